@@ -4,22 +4,34 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from saleslens.functions.expressions import pair_key, ratio
 
 
+def _text(c: str, collation: str | None) -> Column:
+    """The column, compared under ``collation`` when one is given.
+
+    The source system compares text under its database collation (often
+    case-insensitive); Spark compares bytes unless told otherwise, e.g.
+    ``UTF8_LCASE`` (case-insensitive) or ``UTF8_LCASE_RTRIM`` (also ignores
+    trailing spaces).
+    """
+    return F.collate(F.col(c), collation).alias(c) if collation else F.col(c)
+
+
 def identifier_cardinality(
     df: DataFrame,
     name: str,
     ident: str,
     name_alias: str | None = None,
     ident_alias: str | None = None,
+    collation: str | None = None,
 ) -> DataFrame:
     """One row: distinct names vs distinct ids (C06). Unequal counts mean the
     name-id mapping is not one-to-one."""
-    return df.select(name, ident).agg(
+    return df.select(_text(name, collation), _text(ident, collation)).agg(
         F.count_distinct(name).alias(name_alias or f"{name}_count_distinct"),
         F.count_distinct(ident).alias(ident_alias or f"{ident}_count_distinct"),
     )
@@ -31,6 +43,7 @@ def children_per_parent(
     child: str,
     alias: str | None = None,
     order: bool = False,
+    collation: str | None = None,
 ) -> DataFrame:
     """Distinct children per parent group.
 
@@ -41,7 +54,8 @@ def children_per_parent(
     """
     parents = [parents] if isinstance(parents, str) else list(parents)
     alias = alias or f"{child}_count"
-    out = df.groupBy(*parents).agg(F.count_distinct(child).alias(alias))
+    src = df.select(*[_text(p, collation) for p in parents], _text(child, collation))
+    out = src.groupBy(*parents).agg(F.count_distinct(child).alias(alias))
     if order:
         out = out.orderBy(F.col(parents[0]).asc(), F.col(alias).desc())
     return out
@@ -58,6 +72,7 @@ def hierarchy_check(
     child: str,
     child_alias: str | None = None,
     map_alias: str | None = None,
+    collation: str | None = None,
 ) -> DataFrame:
     """Distinct children vs distinct parent-child maps.
 
@@ -67,18 +82,21 @@ def hierarchy_check(
     """
     child_alias = child_alias or f"{child}_count_distinct"
     map_alias = map_alias or f"{parent}_{child}_map_count"
-    return df.select(parent, child).agg(
+    return df.select(_text(parent, collation), _text(child, collation)).agg(
         F.count_distinct(child).alias(child_alias),
         F.count_distinct(pair_key(parent, child, "strict")).alias(map_alias),
         F.count_distinct(pair_key(parent, child, "concat")).alias(f"{map_alias}_concat"),
     )
 
 
-def multi_parent(df: DataFrame, parent: str, child: str, alias: str | None = None) -> DataFrame:
+def multi_parent(
+    df: DataFrame, parent: str, child: str, alias: str | None = None, collation: str | None = None
+) -> DataFrame:
     """Children mapped to more than one parent, with the parent count (C11)."""
     alias = alias or f"{parent}_count_distinct"
     return (
-        df.groupBy(child)
+        df.select(_text(parent, collation), _text(child, collation))
+        .groupBy(child)
         .agg(F.count_distinct(parent).alias(alias))
         .filter(F.col(alias) > 1)
     )

@@ -82,9 +82,14 @@ def hierarchy_check(
     """
     child_alias = child_alias or f"{child}_count_distinct"
     map_alias = map_alias or f"{parent}_{child}_map_count"
-    return df.select(_text(parent, collation), _text(child, collation)).agg(
+    # Dedupe the pairs first (hash aggregate, map-side combine): the fact is
+    # scanned once and only distinct pairs are shuffled; the three counts then
+    # run over the pairs. distinct() keeps a (NULL, NULL) pair as one row, so
+    # count(*) over the pairs equals count_distinct(struct(parent, child)).
+    pairs = df.select(_text(parent, collation), _text(child, collation)).distinct()
+    return pairs.agg(
         F.count_distinct(child).alias(child_alias),
-        F.count_distinct(pair_key(parent, child, "strict")).alias(map_alias),
+        F.count(F.lit(1)).alias(map_alias),
         F.count_distinct(pair_key(parent, child, "concat")).alias(f"{map_alias}_concat"),
     )
 
@@ -118,17 +123,20 @@ def multi_parent_detail(
 ) -> DataFrame:
     """Every distinct (context, parent, key) of a key that has more than one parent.
 
-    ``count_distinct(parent) > 1`` is tested as ``min(parent) < max(parent)``
-    (both ignore NULLs), a plain hash aggregate with map-side combine. The
-    distinct triples are deduped map-side before any join, and the join back
-    is a semi-join on the key over those deduped triples.
+    Only hash aggregates: distinct (key, parent) pairs are deduped map-side,
+    then counted per key (``count(parent)`` over distinct pairs is the
+    distinct parent count, NULL excluded). The distinct triples are joined
+    back with a semi-join on the key; the planner broadcasts the multi-parent
+    keys only when their measured size is under its threshold.
     """
     cols = [*context, parent, key]
     triples = df.select(*cols).distinct()
     spread = (
-        df.groupBy(key)
-        .agg(F.min(parent).alias("_lo"), F.max(parent).alias("_hi"))
-        .filter(F.col("_lo") < F.col("_hi"))
+        df.select(key, parent)
+        .distinct()
+        .groupBy(key)
+        .agg(F.count(parent).alias("_n"))
+        .filter(F.col("_n") > 1)
         .select(key)
     )
     return triples.join(spread, key, "left_semi").select(*cols)

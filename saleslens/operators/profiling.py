@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from saleslens.constants import BROADCAST_ROW_LIMIT, REFERENCE_RANGE_COLUMNS
 from saleslens.functions.expressions import RATIO_SCALE
 from saleslens.functions.joins import row_count_at_most
+from saleslens.session import shared_dir
 
 
 def _check_columns(df: DataFrame, columns: Sequence[str]) -> None:
@@ -92,7 +93,9 @@ def duplicate_rows(
     64-bit hash per row (map-side combined) and keeps hashes seen twice; when
     those candidates are proven few they are broadcast into a semi-join, so
     only candidate rows reach the exact grouping. Hash collisions only add
-    candidates, never results. Above the limit it groups directly.
+    candidates, never results. Above the limit it groups directly. The
+    candidates are checkpointed to the shared folder, so the hash pass runs
+    once for both the size check and the join.
     """
     _check_columns(df, exclude)
     cols = [c for c in df.columns if c not in set(exclude)]
@@ -115,6 +118,8 @@ def duplicate_rows(
         .filter(F.col("n") > 1)
         .select("_row_hash")
     )
+    shared_dir(df.sparkSession)  # make sure a reliable checkpoint folder is set
+    candidates = candidates.checkpoint(eager=True)
     if row_count_at_most(candidates, candidate_limit):
         narrowed = (
             df.select(*cols, row_hash)

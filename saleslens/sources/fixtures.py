@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from saleslens.functions.joins import sized_broadcast
 from saleslens.session import shared_dir
 
 FIXTURE_VERSION = "f0-v1"
@@ -71,9 +70,12 @@ def sales_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Join order is chosen for scale: orders (a quarter of lineitem) meets the
     customer geography first, so the lineitem-sized side is shuffled only for
-    the orderkey join and the partkey join. nation and region are broadcast
-    only after a row-count check; every other join is left to the planner
-    (sort-merge, or broadcast by AQE when a side turns out small).
+    the orderkey join and the partkey join. No join carries a broadcast hint:
+    the planner broadcasts a side only when its size estimate (from file
+    statistics, re-measured at run time by AQE) is under
+    ``spark.sql.autoBroadcastJoinThreshold``, which the tiny nation and region
+    tables are; everything larger is a sort-merge join, and AQE splits skewed
+    join partitions (a key holding a third of the rows) into several tasks.
     """
     lineitem = _table(spark, sf_dir, "lineitem")
     orders = _table(spark, sf_dir, "orders")
@@ -82,8 +84,8 @@ def sales_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     region = _table(spark, sf_dir, "region")
     part = _table(spark, sf_dir, "part")
 
-    geo = nation.join(sized_broadcast(region), nation.n_regionkey == region.r_regionkey)
-    cust = customer.join(sized_broadcast(geo), customer.c_nationkey == geo.n_nationkey)
+    geo = nation.join(region, nation.n_regionkey == region.r_regionkey)
+    cust = customer.join(geo, customer.c_nationkey == geo.n_nationkey)
     order_cust = orders.join(cust, orders.o_custkey == cust.c_custkey)
     lines = lineitem.join(order_cust, lineitem.l_orderkey == order_cust.o_orderkey)
     joined = lines.join(part, lines.l_partkey == part.p_partkey)

@@ -30,6 +30,11 @@ def _violations(
     return checks
 
 
+def csv_reader_options() -> dict[str, str]:
+    """Header first, comma separated, double-quote quoting with doubled quotes."""
+    return {"header": "true", "sep": ",", "quote": '"', "escape": '"', "multiLine": "false"}
+
+
 def load_sales_csv(
     spark: SparkSession,
     path: str | list[str],
@@ -51,13 +56,7 @@ def load_sales_csv(
         raise ValueError("on_bad must be 'report' or 'fail'")
     schema = schema or sales_schema()
     ranges = NUMERIC_RANGES if ranges is None else ranges
-    reader = (
-        spark.read.option("header", True)
-        .option("sep", ",")
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("multiLine", False)
-    )
+    reader = spark.read.options(**csv_reader_options())
     checks = _violations(schema, ranges, max_lengths)
     if on_bad == "fail":
         df = reader.schema(schema).option("mode", "FAILFAST").csv(path)
@@ -73,13 +72,28 @@ def load_sales_csv(
         )
         return df, spark.createDataFrame([], empty)
 
-    with_corrupt = T.StructType(schema.fields + [T.StructField(CORRUPT, T.StringType(), True)])
     raw = (
-        reader.schema(with_corrupt)
+        reader.schema(with_corrupt_record(schema))
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", CORRUPT)
         .csv(path)
     )
+    return split_rejects(raw, schema, ranges, max_lengths)
+
+
+def with_corrupt_record(schema: T.StructType) -> T.StructType:
+    """The declared schema plus the column Spark fills with unparsable lines."""
+    return T.StructType(schema.fields + [T.StructField(CORRUPT, T.StringType(), True)])
+
+
+def split_rejects(
+    raw: DataFrame,
+    schema: T.StructType,
+    ranges: dict[str, tuple[int, int]] | None = None,
+    max_lengths: dict[str, int] | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Split a PERMISSIVE read into (good rows, rejects with a reason)."""
+    checks = _violations(schema, NUMERIC_RANGES if ranges is None else ranges, max_lengths)
     reason = F.when(F.col(CORRUPT).isNotNull(), F.lit("unparsable cell"))
     for label, cond in checks:
         reason = reason.when(F.coalesce(cond, F.lit(False)), F.lit(label))

@@ -1,10 +1,10 @@
 """Decision gates: A01-A10.
 
 Shared plan shape: filter (pushed into the scan) -> one hash aggregate with
-map-side partial aggregation -> ratios against totals computed over the
-aggregated rows (a window over #groups rows, or the group rows themselves).
-No gate joins the fact table to anything, and no gate needs a second scan for
-its totals: the groups partition the filtered rows, so their sums are the totals.
+map-side partial aggregation -> ratios against totals summed from the
+aggregated rows (a one-row global aggregate, broadcast). No gate joins the
+fact table to anything, and no gate needs a second scan for its totals: the
+groups partition the filtered rows, so their sums are the totals.
 
 Ratios follow ``functions.expressions.ratio``: exact decimal sums, double
 division, rounded to 6 digits, NULL on a zero denominator.
@@ -26,9 +26,18 @@ from saleslens.constants import (
 )
 from saleslens.functions.expressions import RATIO_SCALE, discounted, in_years, ratio, ship_days
 
-def _total(c: str) -> Column:
-    """Sum of a column over all (aggregated) rows."""
-    return F.sum(c).over(Window.partitionBy())
+def with_totals(agg: DataFrame, *cols: str) -> DataFrame:
+    """Add ``total_<c>`` = sum of ``c`` over all rows of an aggregated frame.
+
+    The totals are a global aggregate (partial sums per task, exactly one
+    output row), broadcast into a cross join: no single task ever holds all
+    group rows, however many groups there are, and the one-row side has a
+    proven size. The price is a second pass over the few columns the totals
+    need (column pruning makes it narrower than the group branch); a window
+    over all group rows would avoid it but gathers every group into one task.
+    """
+    totals = agg.agg(*[F.sum(c).alias(f"total_{c}") for c in cols])
+    return agg.crossJoin(F.broadcast(totals))
 
 
 def _in(c: str, values: Sequence[str] | None) -> Column:
@@ -69,15 +78,15 @@ def contribution(
     ]
     if distinct_col:
         aggs.insert(0, F.count_distinct(distinct_col).alias(f"{distinct_col}_count"))
-    out = df.groupBy(by).agg(*aggs)
+    out = with_totals(df.groupBy(by).agg(*aggs), "revenue", "order_count")
     keep = [by] + ([f"{distinct_col}_count"] if distinct_col else [])
     return out.select(
         *keep,
         "revenue",
-        ratio("revenue", _total("revenue")).alias("revenue_pct"),
+        ratio("revenue", "total_revenue").alias("revenue_pct"),
         ratio("revenue", "_valued").alias("aov"),
         "order_count",
-        ratio("order_count", _total("order_count")).alias("order_count_pct"),
+        ratio("order_count", "total_order_count").alias("order_count_pct"),
     ).orderBy(F.col("revenue").desc())
 
 
@@ -170,12 +179,12 @@ def category_performance(
     agg = df.filter(_in(market, core)).groupBy(by).agg(
         F.sum(measure).alias("revenue"), F.count(F.lit(1)).alias("order_count")
     )
-    return agg.select(
+    return with_totals(agg, "revenue", "order_count").select(
         by,
         "revenue",
-        ratio("revenue", _total("revenue")).alias("revenue_pct"),
+        ratio("revenue", "total_revenue").alias("revenue_pct"),
         "order_count",
-        ratio("order_count", _total("order_count")).alias("order_count_pct"),
+        ratio("order_count", "total_order_count").alias("order_count_pct"),
     ).orderBy(F.col("revenue").desc())
 
 
@@ -197,11 +206,13 @@ def discount_over_index(
         F.sum(m).alias("revenue"),
         F.sum(F.when(discounted(discount), m).otherwise(F.lit(0))).alias("discounted_revenue"),
     )
-    raw_share = F.col("revenue").cast("double") / F.nullif(_total("revenue").cast("double"), F.lit(0.0))
+    raw_share = F.col("revenue").cast("double") / F.nullif(F.col("total_revenue").cast("double"), F.lit(0.0))
     raw_disc = F.col("discounted_revenue").cast("double") / F.nullif(
-        _total("discounted_revenue").cast("double"), F.lit(0.0)
+        F.col("total_discounted_revenue").cast("double"), F.lit(0.0)
+    )
+    shares = with_totals(agg, "revenue", "discounted_revenue").select(
+        by, "revenue", "discounted_revenue", raw_share.alias("_s"), raw_disc.alias("_d")
     )
-    shares = agg.select(by, "revenue", "discounted_revenue", raw_share.alias("_s"), raw_disc.alias("_d"))
     return shares.select(
         by,
         "revenue",
@@ -239,15 +250,15 @@ def ship_mode_performance(
         F.sum(measure).alias("revenue"),
         F.count(F.lit(1)).alias("order_count"),
     )
-    return agg.select(
+    return with_totals(agg, "revenue", "order_count").select(
         by,
         F.expr("_sd div nullif(_nd, 0)").alias("avg_ship_day"),
         ratio("_sd", "_nd").alias("avg_ship_day_exact"),
         ratio("_sc", "_nc").alias("avg_shipping_cost"),
         "revenue",
-        ratio("revenue", _total("revenue")).alias("revenue_pct"),
+        ratio("revenue", "total_revenue").alias("revenue_pct"),
         "order_count",
-        ratio("order_count", _total("order_count")).alias("order_count_pct"),
+        ratio("order_count", "total_order_count").alias("order_count_pct"),
     ).orderBy("avg_ship_day")
 
 
@@ -266,10 +277,13 @@ def _monthly_shares(
         .groupBy(F.year(date).alias("order_year"), F.month(date).alias("order_month"), F.col(by))
         .agg(F.sum(measure).alias("monthly_revenue"))
     )
-    month_total = F.sum("monthly_revenue").over(Window.partitionBy("order_year", "order_month"))
-    return monthly.withColumn(
+    # Month totals are joined back rather than windowed, so a month's rows are
+    # never gathered into one task; the totals have one row per month (bounded
+    # by the date span), and AQE broadcasts them once their size is measured.
+    month_totals = monthly.groupBy("order_year", "order_month").agg(F.sum("monthly_revenue").alias("_month_total"))
+    return monthly.join(month_totals, ["order_year", "order_month"]).withColumn(
         "_share",
-        F.col("monthly_revenue").cast("double") / F.nullif(month_total.cast("double"), F.lit(0.0)),
+        F.col("monthly_revenue").cast("double") / F.nullif(F.col("_month_total").cast("double"), F.lit(0.0)),
     )
 
 
@@ -284,9 +298,9 @@ def period_share(
 ) -> DataFrame:
     """Each group's share of its month's revenue, core markets, chosen years.
 
-    The month total is a window over the aggregated (year, month, group) rows,
-    which replaces the source's second aggregate and self-join. The year filter
-    is a date range, so it reaches the Parquet scan.
+    The month totals come from the aggregated (year, month, group) rows, not
+    from a second scan. The year filter is a date range, so it reaches the
+    Parquet scan.
     """
     shares = _monthly_shares(df, core, years, by, market, date, measure)
     return shares.select(

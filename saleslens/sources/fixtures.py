@@ -13,9 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from saleslens.constants import BROADCAST_ROW_LIMIT
+from saleslens.functions.joins import row_count_at_most
 from saleslens.session import shared_dir
 
-FIXTURE_VERSION = "f0-v1"
+FIXTURE_VERSION = "f0-v2"
 
 # (column, SQL expression over lineitem/orders/customer/nation/region/part columns)
 SALES_FACT_EXPRESSIONS = (
@@ -65,30 +67,45 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def sales_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _fill_slots(df: DataFrame) -> DataFrame:
+    """Round-robin redistribute a scan that has fewer splits than task slots.
+
+    A file written as one row group can only be read by one task; with
+    broadcast joins nothing downstream would re-partition it, so the whole
+    join would run in that task. A large table has many more splits than
+    slots and is returned untouched (no shuffle).
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+
+
+def sales_fact(spark: SparkSession, sf_dir: str, broadcast_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
     """Star join lineitem - orders - customer - nation - region - part, all inner.
 
-    Join order is chosen for scale: orders (a quarter of lineitem) meets the
-    customer geography first, so the lineitem-sized side is shuffled only for
-    the orderkey join and the partkey join. No join carries a broadcast hint:
-    the planner broadcasts a side only when its size estimate (from file
-    statistics, re-measured at run time by AQE) is under
-    ``spark.sql.autoBroadcastJoinThreshold``, which the tiny nation and region
-    tables are; everything larger is a sort-merge join, and AQE splits skewed
-    join partitions (a key holding a third of the rows) into several tasks.
+    Every join looks up a dimension by its primary key, so a joined side has
+    at most as many rows as its base table. Each side is broadcast only when
+    that base table's row count (read from Parquet footers, no data scan) is
+    at most ``broadcast_rows``; otherwise it is a sort-merge join on the key,
+    and AQE splits skewed partitions (a key holding a third of the rows) into
+    several tasks. The fact side (lineitem) is never the broadcast side.
+    Join order keeps the lineitem-sized data to two joins at most: orders
+    (a quarter of lineitem) meets the customer geography first.
     """
-    lineitem = _table(spark, sf_dir, "lineitem")
+    lineitem = _fill_slots(_table(spark, sf_dir, "lineitem"))
     orders = _table(spark, sf_dir, "orders")
     customer = _table(spark, sf_dir, "customer")
     nation = _table(spark, sf_dir, "nation")
     region = _table(spark, sf_dir, "region")
     part = _table(spark, sf_dir, "part")
 
-    geo = nation.join(region, nation.n_regionkey == region.r_regionkey)
-    cust = customer.join(geo, customer.c_nationkey == geo.n_nationkey)
-    order_cust = orders.join(cust, orders.o_custkey == cust.c_custkey)
-    lines = lineitem.join(order_cust, lineitem.l_orderkey == order_cust.o_orderkey)
-    joined = lines.join(part, lines.l_partkey == part.p_partkey)
+    def small(side: DataFrame, base: DataFrame) -> DataFrame:
+        return F.broadcast(side) if row_count_at_most(base, broadcast_rows) else side
+
+    geo = nation.join(small(region, region), nation.n_regionkey == region.r_regionkey)
+    cust = customer.join(small(geo, nation), customer.c_nationkey == geo.n_nationkey)
+    order_cust = orders.join(small(cust, customer), orders.o_custkey == cust.c_custkey)
+    lines = lineitem.join(small(order_cust, orders), lineitem.l_orderkey == order_cust.o_orderkey)
+    joined = lines.join(small(part, part), lines.l_partkey == part.p_partkey)
     return joined.select(*[F.expr(e).alias(c) for c, e in SALES_FACT_EXPRESSIONS])
 
 
@@ -139,5 +156,12 @@ def landed_sales_fact(spark: SparkSession, sf_dir: str, dirty: bool = False) ->
     fact = sales_fact(spark, sf_dir)
     if dirty:
         fact = sales_dirty(fact)
-    fact.write.mode("overwrite").parquet(path)
+    # Cap rows per file so the landed table has at least as many files as
+    # there are task slots (more parallel scans later) without a shuffle:
+    # each writing task just rolls over to a new file. The lineitem count
+    # comes from Parquet footers. At 100 TB this gives files of tens of
+    # millions of rows, each with many row groups.
+    rows = _table(spark, sf_dir, "lineitem").count()
+    per_file = max(1, -(-rows // max(1, spark.sparkContext.defaultParallelism)))
+    fact.write.mode("overwrite").option("maxRecordsPerFile", per_file).parquet(path)
     return spark.read.parquet(path)

@@ -85,9 +85,9 @@ def sales_fact(spark: SparkSession, sf_dir: str, broadcast_rows: int = BROADCAST
     Every join looks up a dimension by its primary key, so a joined side has
     at most as many rows as its base table. Each side is broadcast only when
     that base table's row count (read from Parquet footers, no data scan) is
-    at most ``broadcast_rows``; otherwise it is a sort-merge join on the key,
-    and AQE splits skewed partitions (a key holding a third of the rows) into
-    several tasks. The fact side (lineitem) is never the broadcast side.
+    at most ``broadcast_rows``; otherwise the join is pinned to sort-merge on
+    the key, and AQE splits skewed partitions (a key holding a third of the
+    rows) into several tasks. The fact side (lineitem) is never broadcast.
     Join order keeps the lineitem-sized data to two joins at most: orders
     (a quarter of lineitem) meets the customer geography first.
     """
@@ -99,7 +99,9 @@ def sales_fact(spark: SparkSession, sf_dir: str, broadcast_rows: int = BROADCAST
     part = _table(spark, sf_dir, "part")
 
     def small(side: DataFrame, base: DataFrame) -> DataFrame:
-        return F.broadcast(side) if row_count_at_most(base, broadcast_rows) else side
+        # Proven small: broadcast it. Otherwise pin a sort-merge join, so the
+        # planner's estimates can never pick the fact side to broadcast.
+        return F.broadcast(side) if row_count_at_most(base, broadcast_rows) else side.hint("merge")
 
     geo = nation.join(small(region, region), nation.n_regionkey == region.r_regionkey)
     cust = customer.join(small(geo, nation), customer.c_nationkey == geo.n_nationkey)

@@ -395,4 +395,6 @@ def oracle_queries() -> dict[str, str]:
         )
         + " FROM ratio",
     }
+    # the CSV round trip of the report fact must give the report fact back
+    q["export_csv"] = q["reporting_fact"]
     return q

@@ -61,6 +61,15 @@ def _csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good
 
 
+def _reporting_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R03 on its own: the report fact (display names with spaces) written as
+    a CSV directory and read back with the fact's schema."""
+    fact = marts.reporting_fact(clean(spark, sf_dir), CORE)
+    path = f"{shared_dir(spark)}/saleslens/exports/{uuid.uuid4().hex}/reporting_fact_csv"
+    export(fact, path, fmt="csv")
+    return spark.read.schema(fact.schema).option("header", True).option("escape", '"').csv(path)
+
+
 def _market_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     perf = gates.market_performance(clean(spark, sf_dir))
     perf = perf.withColumn("revenue_millions", F.col("revenue").cast("double") / F.lit(1e6))
@@ -168,6 +177,7 @@ def registry() -> dict[str, Query]:
         "organic_demand": lambda s, d: gates.flag_rate(clean(s, d), CORE, excluded),
         # reporting marts and formatted reports
         "reporting_fact": lambda s, d: marts.reporting_fact(clean(s, d), CORE),
+        "export_csv": _reporting_csv,
         "date_dimension": lambda s, d: marts.date_dimension(clean(s, d)),
         "market_performance_report": _market_report,
         "profit_ratio_report": _profit_report,

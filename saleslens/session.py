@@ -62,3 +62,24 @@ def shared_dir(spark: SparkSession) -> str:
     local = tempfile.mkdtemp(prefix="saleslens-")
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir().rstrip("/")
+
+
+def size_for_input(
+    spark: SparkSession,
+    input_bytes: int,
+    target_partition_bytes: int = 256 * 1024 * 1024,
+    max_partitions: int = 100_000,
+) -> int:
+    """Set shuffle sizing for an input of ``input_bytes`` and return the partition count.
+
+    The largest shuffle here (the star join) moves at most about the input
+    size, so ``input / target`` initial partitions keeps each reduce task near
+    ``target`` bytes and within executor memory; AQE then coalesces the small
+    post-aggregation shuffles toward the same advisory size and splits skewed
+    ones. Scan splits use the same target.
+    """
+    parts = max(spark.sparkContext.defaultParallelism, min(max_partitions, -(-input_bytes // target_partition_bytes)))
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(target_partition_bytes))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(target_partition_bytes))
+    return parts

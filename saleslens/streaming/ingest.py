@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,15 +57,21 @@ def stream_land_csv(
     stream = reader.csv(source_dir)
 
     def land(batch: DataFrame, batch_id: int) -> None:
-        good, rejects = split_rejects(batch, schema, ranges)
-        for name, frame in (("good", good), ("rejects", rejects)):
-            (
-                frame.withColumn(BATCH_COLUMN, F.lit(batch_id))
-                .write.mode("overwrite")
-                .option("partitionOverwriteMode", "dynamic")
-                .partitionBy(BATCH_COLUMN)
-                .parquet(f"{target_dir}/{name}")
-            )
+        # Both outputs derive from one parse of the batch's files; blocks lost
+        # with an executor are re-parsed from the files (MEMORY_AND_DISK).
+        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            good, rejects = split_rejects(batch, schema, ranges)
+            for name, frame in (("good", good), ("rejects", rejects)):
+                (
+                    frame.withColumn(BATCH_COLUMN, F.lit(batch_id))
+                    .write.mode("overwrite")
+                    .option("partitionOverwriteMode", "dynamic")
+                    .partitionBy(BATCH_COLUMN)
+                    .parquet(f"{target_dir}/{name}")
+                )
+        finally:
+            batch.unpersist()
 
     writer = stream.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")

@@ -2,8 +2,9 @@
 
 Stages (each output is a directory under ``out_dir``):
 
-1. ``raw``      typed load (CSV path) or a given DataFrame, landed as Parquet;
-                ``rejects`` keeps unparsable / out-of-range rows.
+1. ``ingest``   a CSV path is parsed once and landed partitioned by
+                ingest_status (good / rejected, with the reason), or
+   ``raw``      a given DataFrame is landed as Parquet.
 2. ``audit/*``  profile, duplicates, hierarchy and key checks on the raw data.
 3. ``clean``    rule-based corrections applied (reports in ``corrections/*``),
                 landed once: the lineage cut every later stage reads from.
@@ -29,7 +30,7 @@ from saleslens.constants import (
     REFERENCE_SEGMENT_YEARS,
 )
 from saleslens.operators import audit, corrections, gates, marts, profiling
-from saleslens.sources.csv_source import land_parquet, load_sales_csv
+from saleslens.sources.csv_source import land_parquet, land_sales_csv
 from saleslens.sources.sinks import export
 
 
@@ -56,13 +57,13 @@ def run_pipeline(
 
     # 1. land the raw data
     if isinstance(source, str):
-        good, rejects = load_sales_csv(spark, source)
-        save("rejects", rejects)
+        # one parse of the text: good rows and rejects land together
+        raw, _rejects = land_sales_csv(spark, source, f"{out}/ingest")
+        written["ingest"] = f"{out}/ingest"
     else:
-        good = source
-    land_parquet(good, f"{out}/raw")
-    written["raw"] = f"{out}/raw"
-    raw = spark.read.parquet(f"{out}/raw")
+        land_parquet(source, f"{out}/raw")
+        written["raw"] = f"{out}/raw"
+        raw = spark.read.parquet(f"{out}/raw")
 
     # 2. audits on the raw data (small results)
     audits = {

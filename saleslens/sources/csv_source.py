@@ -86,6 +86,20 @@ def with_corrupt_record(schema: T.StructType) -> T.StructType:
     return T.StructType(schema.fields + [T.StructField(CORRUPT, T.StringType(), True)])
 
 
+def _tag(
+    raw: DataFrame,
+    schema: T.StructType,
+    ranges: dict[str, tuple[int, int]] | None,
+    max_lengths: dict[str, int] | None,
+) -> DataFrame:
+    """Add ``reject_reason``: NULL for a good row, else why it is rejected."""
+    checks = _violations(schema, NUMERIC_RANGES if ranges is None else ranges, max_lengths)
+    reason = F.when(F.col(CORRUPT).isNotNull(), F.lit("unparsable cell"))
+    for label, cond in checks:
+        reason = reason.when(F.coalesce(cond, F.lit(False)), F.lit(label))
+    return raw.withColumn(REJECT_REASON, reason)
+
+
 def split_rejects(
     raw: DataFrame,
     schema: T.StructType,
@@ -93,16 +107,48 @@ def split_rejects(
     max_lengths: dict[str, int] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Split a PERMISSIVE read into (good rows, rejects with a reason)."""
-    checks = _violations(schema, NUMERIC_RANGES if ranges is None else ranges, max_lengths)
-    reason = F.when(F.col(CORRUPT).isNotNull(), F.lit("unparsable cell"))
-    for label, cond in checks:
-        reason = reason.when(F.coalesce(cond, F.lit(False)), F.lit(label))
-    tagged = raw.withColumn(REJECT_REASON, reason)
+    tagged = _tag(raw, schema, ranges, max_lengths)
     good = tagged.filter(F.col(REJECT_REASON).isNull()).select(*schema.fieldNames())
     rejects = tagged.filter(F.col(REJECT_REASON).isNotNull())
     return good, rejects
 
 
+STATUS = "ingest_status"
+
+
+def land_sales_csv(
+    spark: SparkSession,
+    path: str | list[str],
+    out_dir: str,
+    schema: T.StructType | None = None,
+    ranges: dict[str, tuple[int, int]] | None = None,
+    max_lengths: dict[str, int] | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Parse the CSV once and land good rows and rejects together as Parquet.
+
+    The lazy split of ``load_sales_csv`` parses the files once per output;
+    here every row is tagged in one pass and written partitioned by
+    ``ingest_status`` ('good' / 'rejected'), so at scale the text is parsed a
+    single time. Returns (good, rejects) read back with partition pruning.
+    """
+    schema = schema or sales_schema()
+    raw = (
+        spark.read.options(**csv_reader_options())
+        .schema(with_corrupt_record(schema))
+        .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", CORRUPT)
+        .csv(path)
+    )
+    tagged = _tag(raw, schema, ranges, max_lengths).withColumn(
+        STATUS, F.when(F.col(REJECT_REASON).isNull(), F.lit("good")).otherwise(F.lit("rejected"))
+    )
+    tagged.write.mode("overwrite").partitionBy(STATUS).parquet(out_dir)
+    landed = spark.read.schema(tagged.schema).parquet(out_dir)
+    good = landed.filter(F.col(STATUS) == "good").select(*schema.fieldNames())
+    rejects = landed.filter(F.col(STATUS) == "rejected").drop(STATUS)
+    return good, rejects
+
+
 def land_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None, mode: str = "overwrite") -> None:
     """Write a DataFrame as Parquet (the landing zone every later step scans)."""
     writer = df.write.mode(mode)

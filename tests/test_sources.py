@@ -84,3 +84,30 @@ def test_parquet_and_csv_sinks_keep_names(spark, tmp_path):
     export(df, str(tmp_path / "c"), fmt="csv", single_file=True)
     back = spark.read.option("header", True).csv(str(tmp_path / "c"))
     assert back.columns == ["Is Core Market", "Ship Mode"] and back.count() == 1
+
+
+def test_land_csv_parses_once_and_splits_by_status(spark, tmp_path):
+    from saleslens.sources import land_sales_csv
+
+    path = _write(tmp_path, [_row(row_id="1"), _row(row_id="2", sales="abc"), _row(row_id="3", quantity="256")])
+    good, rejects = land_sales_csv(spark, path, str(tmp_path / "landed"))
+    assert [r.row_id for r in good.collect()] == [1]
+    assert sorted(r.reject_reason for r in rejects.collect()) == ["quantity out of range", "unparsable cell"]
+    assert sorted(p.name for p in (tmp_path / "landed").iterdir() if p.is_dir()) == [
+        "ingest_status=good",
+        "ingest_status=rejected",
+    ]
+    clean_only = _write(tmp_path, [_row(row_id="9")])
+    good2, rejects2 = land_sales_csv(spark, clean_only, str(tmp_path / "landed2"))
+    assert good2.count() == 1 and rejects2.count() == 0
+
+
+def test_pipeline_from_csv(spark, tmp_path):
+    from saleslens.plans.pipeline import run_pipeline
+
+    path = _write(tmp_path, [_row(row_id=str(i), market="EMEA" if i % 2 else "EU") for i in range(1, 7)] + [_row(row_id="7", discount="x")])
+    paths = run_pipeline(spark, path, str(tmp_path / "run"))
+    fixed = spark.read.parquet(paths["clean"])
+    assert fixed.count() == 6 and {r.market for r in fixed.collect()} == {"EU"}
+    rep = spark.read.parquet(paths["corrections/market_report"]).first()
+    assert (rep.country, rep.rows_changed) == ("Austria", 3)

@@ -30,7 +30,13 @@ def identifier_cardinality(
     collation: str | None = None,
 ) -> DataFrame:
     """One row: distinct names vs distinct ids (C06). Unequal counts mean the
-    name-id mapping is not one-to-one."""
+    name-id mapping is not one-to-one.
+
+    Spark plans two distinct counts as an Expand of the two narrow columns
+    followed at once by a map-side dedupe of (column, value), so only distinct
+    values are shuffled. (A dedupe written before it would be removed by the
+    optimizer as redundant.)
+    """
     return df.select(_text(name, collation), _text(ident, collation)).agg(
         F.count_distinct(name).alias(name_alias or f"{name}_count_distinct"),
         F.count_distinct(ident).alias(ident_alias or f"{ident}_count_distinct"),
@@ -160,7 +166,12 @@ def name_fanout(
     ident_alias: str | None = None,
     region_alias: str = "registered_region_count_distinct",
 ) -> DataFrame:
-    """Per name: distinct ids and distinct regions."""
+    """Per name: distinct ids and distinct regions.
+
+    Planned as an Expand of three narrow columns with an immediate map-side
+    dedupe of (name, value), so only distinct pairs are shuffled and a name
+    with a third of all lines still spreads over many tasks.
+    """
     return df.groupBy(name).agg(
         F.count_distinct(ident).alias(ident_alias or f"{ident}_count_distinct"),
         F.count_distinct(region).alias(region_alias),

@@ -27,6 +27,8 @@ RULE_ID = "_rule_id"
 
 def _rule_index(conditions: Sequence[Column]) -> Column:
     """1-based index of the first matching rule, NULL when none matches."""
+    if not conditions:
+        return F.lit(None).cast("int")
     expr = None
     for i, cond in enumerate(conditions, start=1):
         expr = F.when(cond, F.lit(i)) if expr is None else expr.when(cond, F.lit(i))
@@ -35,6 +37,8 @@ def _rule_index(conditions: Sequence[Column]) -> Column:
 
 def _pick(rule_id: Column, values: Sequence[str], current: str | None = None) -> Column:
     """The value of the matched rule; ``current`` column (or NULL) when none matched."""
+    if not values:
+        return F.col(current) if current is not None else F.lit(None).cast("string")
     expr = None
     for i, v in enumerate(values, start=1):
         cond = rule_id == i
@@ -145,6 +149,8 @@ def _product_conditions(rules, product: str, subcategory: str) -> list[Column]:
 
 
 def _as_rules(rule) -> list[tuple[str, str, str]]:
+    if not rule:
+        return []
     return [tuple(rule)] if isinstance(rule[0], str) else [tuple(r) for r in rule]
 
 

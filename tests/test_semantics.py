@@ -224,3 +224,16 @@ def test_calendar_covers_every_day(spark):
     rows = marts.date_dimension(df).collect()
     assert len(rows) == 5 and rows[2]["Date"] == dt.date(2020, 2, 29)
     assert rows[-1]["Month Name"] == "March" and rows[-1]["Year Month"] == "2020-03"
+
+
+def test_empty_rule_lists_change_nothing(spark):
+    df = spark.createDataFrame(
+        [(1, "EMEA", "Austria", "Staples", "Paper", "X")],
+        "row_id int, market string, country string, product_name string, subcategory string, category string",
+    )
+    fixed, report = corrections.apply_market_correction(df, [])
+    assert fixed.collect() == df.collect() and report.count() == 0
+    assert corrections.market_correction_map(df, []).count() == 0
+    fixed2, report2 = corrections.apply_subcategory_correction(df, [])
+    assert fixed2.collect() == df.collect() and report2.count() == 0
+    assert corrections.subcategory_correction_map(df, []).count() == 0

@@ -18,6 +18,7 @@ and writes small audit results. Re-running overwrites each output.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,8 +46,14 @@ def run_pipeline(
     product_rule: tuple[str, str, str] = REFERENCE_PRODUCT_RULE,
     multi_market_countries: Sequence[str] = REFERENCE_MULTI_MARKET_COUNTRIES,
     csv_marts: bool = False,
+    parallel_jobs: int = 4,
 ) -> dict[str, str]:
-    """Run the whole analysis; return {output name: path}."""
+    """Run the whole analysis; return {output name: path}.
+
+    Independent outputs of one stage (the audits, the gates) are submitted
+    as concurrent Spark jobs from ``parallel_jobs`` driver threads, so small
+    audit jobs overlap instead of leaving the cluster idle between them.
+    """
     out = out_dir.rstrip("/")
     written: dict[str, str] = {}
 
@@ -55,6 +62,12 @@ def run_pipeline(
         export(df, path, fmt=fmt, single_file=single_file)
         written[name] = path
 
+    def save_all(prefix: str, frames: dict[str, DataFrame]) -> None:
+        with ThreadPoolExecutor(max_workers=max(1, parallel_jobs)) as pool:
+            futures = [pool.submit(save, f"{prefix}/{name}", df) for name, df in frames.items()]
+            for f in futures:
+                f.result()
+
     # 1. land the raw data
     if isinstance(source, str):
         # one parse of the text: good rows and rejects land together
@@ -92,23 +105,31 @@ def run_pipeline(
         "negative_profit_rows": audit.negative_rows(raw, "profit"),
         "profit_ratio_by_year": audit.signed_ratio_by_period(raw),
     }
-    for name, df in audits.items():
-        save(f"audit/{name}", df)
+    save_all("audit", audits)
 
     # 3. corrections, landed once
     fixed, market_report = corrections.apply_market_correction(raw, market_rules)
     fixed, product_report = corrections.apply_subcategory_correction(fixed, product_rule)
-    save("corrections/market_correction_map", corrections.market_correction_map(raw, market_rules))
-    save("corrections/subcategory_correction_map", corrections.subcategory_correction_map(raw, product_rule))
-    save("corrections/market_report", market_report)
-    save("corrections/subcategory_report", product_report)
+    save_all(
+        "corrections",
+        {
+            "market_correction_map": corrections.market_correction_map(raw, market_rules),
+            "subcategory_correction_map": corrections.subcategory_correction_map(raw, product_rule),
+            "market_report": market_report,
+            "subcategory_report": product_report,
+        },
+    )
     land_parquet(fixed, f"{out}/clean")
     written["clean"] = f"{out}/clean"
     clean = spark.read.parquet(f"{out}/clean")
-    save("audit/hierarchy_check_market_country_corrected", audit.hierarchy_check(clean, "market", "country"))
-    save(
-        "audit/hierarchy_check_subcategory_product_corrected",
-        audit.hierarchy_check(clean, "subcategory", "product_name"),
+    save_all(
+        "audit",
+        {
+            "hierarchy_check_market_country_corrected": audit.hierarchy_check(clean, "market", "country"),
+            "hierarchy_check_subcategory_product_corrected": audit.hierarchy_check(
+                clean, "subcategory", "product_name"
+            ),
+        },
     )
     analysis = corrections.apply_field_policy(clean)
 
@@ -126,8 +147,7 @@ def run_pipeline(
         "segment_contribution": gates.share_stability(analysis, core, years),
         "organic_demand": gates.flag_rate(analysis, core, excluded_segment),
     }
-    for name, df in gate_results.items():
-        save(f"gates/{name}", df)
+    save_all("gates", gate_results)
 
     # 5. reporting marts (the fact stays a directory of parts; the calendar is small)
     fmt = "csv" if csv_marts else "parquet"

@@ -7,12 +7,16 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from saleslens.constants import BROADCAST_ROW_LIMIT, REFERENCE_RANGE_COLUMNS
 from saleslens.functions.expressions import RATIO_SCALE
 from saleslens.functions.joins import row_count_at_most
 from saleslens.session import shared_dir
 
+# Largest sample drawn by row position (positions are collected to the driver).
+MAX_POSITIONAL_SAMPLE = 10_000
+
 
 def _check_columns(df: DataFrame, columns: Sequence[str]) -> None:
     unknown = [c for c in columns if c not in df.columns]
@@ -21,11 +25,38 @@ def _check_columns(df: DataFrame, columns: Sequence[str]) -> None:
 
 
 def sample_rows(df: DataFrame, n: int = 10, seed: int | None = None) -> DataFrame:
-    """n random rows for eyeballing.
-
-    Planned as a top-n by a random key (TakeOrderedAndProject): each task keeps
-    n rows, so no full sort or shuffle of the table happens.
+    """n rows drawn uniformly at random, without replacement.
+
+    Over a file scan, the draw runs on row positions only: a top-n by a
+    random key over ``_metadata.file_path`` / ``_metadata.row_index`` (no
+    data column is decoded), then the n chosen rows are read back from just
+    their files (a filter on ``_metadata.file_path`` prunes the file
+    listing). The n positions are the only thing brought to the driver,
+    and the sample stays fixed once drawn. Other inputs (or large n) use a
+    top-n by a random key (TakeOrderedAndProject: n rows per task, no sort).
     """
+    if n <= MAX_POSITIONAL_SAMPLE and df.inputFiles():
+        try:
+            picked = (
+                df.select(
+                    F.col("_metadata.file_path").alias("_fp"),
+                    F.col("_metadata.row_index").alias("_ri"),
+                )
+                .orderBy(F.rand(seed))
+                .limit(n)
+                .collect()
+            )
+        except AnalysisException:
+            picked = None
+        if picked is not None:
+            if not picked:
+                return df.limit(0)
+            files = sorted({r["_fp"] for r in picked})
+            at = reduce(
+                lambda a, b: a | b,
+                [(F.col("_metadata.file_path") == r["_fp"]) & (F.col("_metadata.row_index") == r["_ri"]) for r in picked],
+            )
+            return df.filter(F.col("_metadata.file_path").isin(files)).filter(at)
     return df.orderBy(F.rand(seed)).limit(n)
 
 

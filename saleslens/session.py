@@ -68,7 +68,7 @@ def size_for_input(
     spark: SparkSession,
     input_bytes: int,
     target_partition_bytes: int = 256 * 1024 * 1024,
-    max_partitions: int = 100_000,
+    max_partitions: int = 1_000_000,
 ) -> int:
     """Set shuffle sizing for an input of ``input_bytes`` and return the partition count.
 

@@ -176,9 +176,9 @@ def landed_sales_fact(spark: SparkSession, sf_dir: str, dirty: bool = False, ref
             return _OPENED[key]
         except AnalysisException:
             pass
-    fact = sales_fact(spark, sf_dir)
-    if dirty:
-        fact = sales_dirty(fact)
+    # The dirty variant is derived from the landed clean fact (scan + CASE),
+    # so the star join runs once for both.
+    fact = sales_dirty(landed_sales_fact(spark, sf_dir)) if dirty else sales_fact(spark, sf_dir)
     # Cap rows per file so the landed table has at least as many files as
     # there are task slots (more parallel scans later) without a shuffle:
     # each writing task just rolls over to a new file. The lineitem count

@@ -46,6 +46,7 @@ def run_pipeline(
     product_rule: tuple[str, str, str] = REFERENCE_PRODUCT_RULE,
     multi_market_countries: Sequence[str] = REFERENCE_MULTI_MARKET_COUNTRIES,
     csv_marts: bool = False,
+    processed_csv: bool = False,
     parallel_jobs: int = 4,
 ) -> dict[str, str]:
     """Run the whole analysis; return {output name: path}.
@@ -132,6 +133,10 @@ def run_pipeline(
         },
     )
     analysis = corrections.apply_field_policy(clean)
+    if processed_csv:
+        # the processed dataset handed to reporting tools: corrected rows,
+        # excluded fields dropped, as a CSV directory (one part per task)
+        save("processed_csv", analysis, fmt="csv")
 
     # 4. decision gates
     yoy = gates.yoy_growth(analysis, core=core)

@@ -111,3 +111,14 @@ def test_pipeline_from_csv(spark, tmp_path):
     assert fixed.count() == 6 and {r.market for r in fixed.collect()} == {"EU"}
     rep = spark.read.parquet(paths["corrections/market_report"]).first()
     assert (rep.country, rep.rows_changed) == ("Austria", 3)
+
+
+def test_command_line_run(spark, tmp_path, capsys):
+    from saleslens.__main__ import main
+
+    path = _write(tmp_path, [_row(row_id=str(i)) for i in range(1, 4)])
+    main([path, str(tmp_path / "cli"), "--processed-csv", "--csv-marts"])
+    out = capsys.readouterr().out
+    assert "processed_csv" in out and "gates/market_performance" in out
+    processed = spark.read.option("header", True).csv(str(tmp_path / "cli" / "processed_csv"))
+    assert processed.count() == 3 and "profit" not in processed.columns

@@ -3,8 +3,8 @@
 Shared plan shape: filter (pushed into the scan) -> one hash aggregate with
 map-side partial aggregation -> ratios against totals summed from the
 aggregated rows (a one-row global aggregate, broadcast). No gate joins the
-fact table to anything, and no gate needs a second scan for its totals: the
-groups partition the filtered rows, so their sums are the totals.
+fact table to anything: the groups partition the filtered rows, so their sums
+are the totals, and no separate totals query over the fact is needed.
 
 Ratios follow ``functions.expressions.ratio``: exact decimal sums, double
 division, rounded to 6 digits, NULL on a zero denominator.
@@ -26,15 +26,17 @@ from saleslens.constants import (
 )
 from saleslens.functions.expressions import RATIO_SCALE, discounted, in_years, ratio, ship_days
 
+
 def with_totals(agg: DataFrame, *cols: str) -> DataFrame:
     """Add ``total_<c>`` = sum of ``c`` over all rows of an aggregated frame.
 
     The totals are a global aggregate (partial sums per task, exactly one
     output row), broadcast into a cross join: no single task ever holds all
     group rows, however many groups there are, and the one-row side has a
-    proven size. The price is a second pass over the few columns the totals
-    need (column pruning makes it narrower than the group branch); a window
-    over all group rows would avoid it but gathers every group into one task.
+    proven size. When the totals use every aggregate of the group branch,
+    AQE reuses that branch's exchange (one scan); otherwise column pruning
+    makes the totals branch a second, narrower pass. A window over all group
+    rows would avoid that pass but gathers every group into one task.
     """
     totals = agg.agg(*[F.sum(c).alias(f"total_{c}") for c in cols])
     return agg.crossJoin(F.broadcast(totals))

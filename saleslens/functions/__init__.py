@@ -8,7 +8,6 @@ from saleslens.functions.expressions import (
     pair_key,
     ratio,
     ship_days,
-    trunc_avg,
     yes_no,
 )
 from saleslens.functions.formatting import fmt_number, fmt_percent, format_report
@@ -22,7 +21,6 @@ __all__ = [
     "pair_key",
     "ratio",
     "ship_days",
-    "trunc_avg",
     "yes_no",
     "fmt_number",
     "fmt_percent",

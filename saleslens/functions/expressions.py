@@ -89,8 +89,3 @@ def in_years(date_col: str | Column, years: Sequence[int]) -> Column:
         (d >= F.lit(dt.date(lo, 1, 1))) & (d < F.lit(dt.date(hi + 1, 1, 1))) for lo, hi in runs
     ]
     return reduce(lambda a, b: a | b, ranges)
-
-
-def trunc_avg(c: str) -> Column:
-    """Integer mean truncated toward zero, as an integer AVG is in the source system."""
-    return F.expr(f"sum(`{c}`) div count(`{c}`)")

@@ -20,7 +20,7 @@ from saleslens.constants import (
     REFERENCE_MARKET_RULES,
     REFERENCE_PRODUCT_RULE,
 )
-from saleslens.functions.joins import row_count_at_most
+from saleslens.functions.joins import sized_broadcast
 
 RULE_ID = "_rule_id"
 
@@ -122,8 +122,7 @@ def _apply_market_table(df: DataFrame, rules: DataFrame, market: str, country: s
         F.col("country").alias("_rc"),
         F.col("correct_market").alias("_rm"),
     )
-    if row_count_at_most(r, BROADCAST_ROW_LIMIT):
-        r = F.broadcast(r)
+    r = sized_broadcast(r, BROADCAST_ROW_LIMIT)
     joined = df.join(r, (df[market] == r["_rw"]) & (df[country] == r["_rc"]), "left")
     corrected = joined.withColumn(market, F.coalesce(F.col("_rm"), F.col(market))).drop("_rw", "_rc", "_rm")
     report = (

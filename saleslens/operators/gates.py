@@ -24,7 +24,7 @@ from saleslens.constants import (
     REFERENCE_SEGMENT_YEARS,
     REFERENCE_SNAPSHOT_COLUMNS,
 )
-from saleslens.functions.expressions import RATIO_SCALE, discounted, in_years, ratio, ship_days
+from saleslens.functions.expressions import RATIO_SCALE, discounted, in_years, ratio, ship_days, yes_no
 
 
 def with_totals(agg: DataFrame, *cols: str) -> DataFrame:
@@ -221,7 +221,7 @@ def discount_over_index(
         "discounted_revenue",
         F.round("_s", RATIO_SCALE).alias("market_revenue_pct"),
         F.round("_d", RATIO_SCALE).alias("discounted_revenue_pct"),
-        F.when(F.col("_d") > F.col("_s"), F.lit("Yes")).otherwise(F.lit("No")).alias("discount_over_indexes_scale"),
+        yes_no(F.col("_d") > F.col("_s")).alias("discount_over_indexes_scale"),
     ).orderBy(F.col("market_revenue_pct").desc())
 
 

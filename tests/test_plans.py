@@ -132,3 +132,28 @@ def test_shuffle_join_path_gives_the_same_fact(spark):
     assert "SortMergeJoin" in plan_text(b, "simple")
     assert a.count() == b.count() == 6000
     assert a.exceptAll(b).count() == 0
+
+
+def _subtree(lines, i):
+    """Lines of the subtree rooted at line i (deeper indentation that follows)."""
+    depth = len(lines[i]) - len(lines[i].lstrip(" :+-"))
+    out = []
+    for line in lines[i + 1 :]:
+        if len(line) - len(line.lstrip(" :+-")) <= depth:
+            break
+        out.append(line)
+    return out
+
+
+def test_nested_loop_joins_only_broadcast_one_row_aggregates(spark):
+    for name, build in queries().items():
+        if name in ("load_sales_csv", "export_csv"):
+            continue
+        lines = plan_text(build(spark, SF_SMALL), "simple").splitlines()
+        for i, line in enumerate(lines):
+            if "BroadcastNestedLoopJoin" not in line:
+                continue
+            sub = _subtree(lines, i)
+            broadcast = next(j for j, s in enumerate(sub) if "BroadcastExchange" in s)
+            first_agg = next(s for s in sub[broadcast:] if "HashAggregate" in s)
+            assert "HashAggregate(keys=[]" in first_agg, name

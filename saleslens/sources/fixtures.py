@@ -8,13 +8,13 @@ from __future__ import annotations
 
 import hashlib
 import os
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from saleslens.constants import BROADCAST_ROW_LIMIT
-from saleslens.functions.joins import row_count_at_most
 from saleslens.session import shared_dir
 
 FIXTURE_VERSION = "f0-v2"
@@ -69,7 +69,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # Size-check outcomes per (application, input tables, bound): the inputs are
 # keyed by file size and mtime, so a changed table is checked again.
-_SMALL: dict[tuple[str, str, int], bool] = {}
+_SMALL: dict[tuple[str, str, int], dict[str, bool]] = {}
 
 
 def _fill_slots(df: DataFrame) -> DataFrame:
@@ -103,19 +103,27 @@ def sales_fact(spark: SparkSession, sf_dir: str, broadcast_rows: int = BROADCAST
     region = _table(spark, sf_dir, "region")
     part = _table(spark, sf_dir, "part")
 
-    def small(side: DataFrame, base: DataFrame, name: str) -> DataFrame:
+    # One job counts every dimension table (Parquet counts come from footers).
+    key = (spark.sparkContext.applicationId, _landing_key(sf_dir, "dims"), broadcast_rows)
+    if key not in _SMALL:
+        dims = {"region": region, "nation": nation, "customer": customer, "orders": orders, "part": part}
+        counts = reduce(
+            DataFrame.unionAll,
+            [t.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("t"), "n") for name, t in dims.items()],
+        ).collect()
+        _SMALL[key] = {r["t"]: r["n"] <= broadcast_rows for r in counts}
+    proven_small = _SMALL[key]
+
+    def small(side: DataFrame, name: str) -> DataFrame:
         # Proven small: broadcast it. Otherwise pin a sort-merge join, so the
         # planner's estimates can never pick the fact side to broadcast.
-        key = (spark.sparkContext.applicationId, _landing_key(sf_dir, name), broadcast_rows)
-        if key not in _SMALL:
-            _SMALL[key] = row_count_at_most(base, broadcast_rows)
-        return F.broadcast(side) if _SMALL[key] else side.hint("merge")
-
-    geo = nation.join(small(region, region, "region"), nation.n_regionkey == region.r_regionkey)
-    cust = customer.join(small(geo, nation, "nation"), customer.c_nationkey == geo.n_nationkey)
-    order_cust = orders.join(small(cust, customer, "customer"), orders.o_custkey == cust.c_custkey)
-    lines = lineitem.join(small(order_cust, orders, "orders"), lineitem.l_orderkey == order_cust.o_orderkey)
-    joined = lines.join(small(part, part, "part"), lines.l_partkey == part.p_partkey)
+        return F.broadcast(side) if proven_small[name] else side.hint("merge")
+
+    geo = nation.join(small(region, "region"), nation.n_regionkey == region.r_regionkey)
+    cust = customer.join(small(geo, "nation"), customer.c_nationkey == geo.n_nationkey)
+    order_cust = orders.join(small(cust, "customer"), orders.o_custkey == cust.c_custkey)
+    lines = lineitem.join(small(order_cust, "orders"), lineitem.l_orderkey == order_cust.o_orderkey)
+    joined = lines.join(small(part, "part"), lines.l_partkey == part.p_partkey)
     return joined.select(*[F.expr(e).alias(c) for c, e in SALES_FACT_EXPRESSIONS])
 
 

@@ -157,3 +157,18 @@ def test_nested_loop_joins_only_broadcast_one_row_aggregates(spark):
             broadcast = next(j for j, s in enumerate(sub) if "BroadcastExchange" in s)
             first_agg = next(s for s in sub[broadcast:] if "HashAggregate" in s)
             assert "HashAggregate(keys=[]" in first_agg, name
+
+
+def test_sample_reads_back_only_the_chosen_files(spark, fact):
+    from saleslens.operators.profiling import sample_rows
+
+    sc = spark.sparkContext
+    df = sample_rows(fact, 1, seed=11)
+    sc.setJobGroup("sample-readback", "sample read-back")
+    try:
+        assert len(df.collect()) == 1
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    st = sc.statusTracker()
+    tasks = [st.getStageInfo(s).numTasks for j in st.getJobIdsForGroup("sample-readback") for s in st.getJobInfo(j).stageIds]
+    assert tasks and max(tasks) == 1 < len(fact.inputFiles())

@@ -2,9 +2,9 @@
 
 Shared plan shape: filter (pushed into the scan) -> one hash aggregate with
 map-side partial aggregation -> ratios against totals summed from the
-aggregated rows (a one-row global aggregate, broadcast). No gate joins the
-fact table to anything: the groups partition the filtered rows, so their sums
-are the totals, and no separate totals query over the fact is needed.
+aggregated rows (a scalar subquery evaluated once). No gate joins the fact
+table to anything: the groups partition the filtered rows, so their sums are
+the totals, and no separate totals query over the fact is needed.
 
 Ratios follow ``functions.expressions.ratio``: exact decimal sums, double
 division, rounded to 6 digits, NULL on a zero denominator.
@@ -30,16 +30,14 @@ from saleslens.functions.expressions import RATIO_SCALE, discounted, in_years, r
 def with_totals(agg: DataFrame, *cols: str) -> DataFrame:
     """Add ``total_<c>`` = sum of ``c`` over all rows of an aggregated frame.
 
-    The totals are a global aggregate (partial sums per task, exactly one
-    output row), broadcast into a cross join: no single task ever holds all
-    group rows, however many groups there are, and the one-row side has a
-    proven size. When the totals use every aggregate of the group branch,
-    AQE reuses that branch's exchange (one scan); otherwise column pruning
-    makes the totals branch a second, narrower pass. A window over all group
-    rows would avoid that pass but gathers every group into one task.
+    Each total is an uncorrelated scalar subquery over the aggregated rows
+    (SQL: ``revenue / (SELECT sum(revenue) FROM agg)``): Spark merges them into
+    one subquery, runs it once (partial sums per task, one row), and reuses
+    the group branch's exchange for it, so the fact is scanned once. No join
+    is involved and no task ever holds all group rows, unlike a window over
+    all groups.
     """
-    totals = agg.agg(*[F.sum(c).alias(f"total_{c}") for c in cols])
-    return agg.crossJoin(F.broadcast(totals))
+    return agg.select("*", *[agg.select(F.sum(c)).scalar().alias(f"total_{c}") for c in cols])
 
 
 def _in(c: str, values: Sequence[str] | None) -> Column:

@@ -237,3 +237,11 @@ def test_empty_rule_lists_change_nothing(spark):
     fixed2, report2 = corrections.apply_subcategory_correction(df, [])
     assert fixed2.collect() == df.collect() and report2.count() == 0
     assert corrections.subcategory_correction_map(df, []).count() == 0
+
+
+def test_apply_by_key_updates_unique_keys(spark):
+    df = spark.createDataFrame([(1, "EMEA"), (2, "EU"), (3, "EMEA")], "row_id int, market string")
+    fixes = spark.createDataFrame([(1, "EU"), (3, "APAC")], "row_id int, correct_market string")
+    out = corrections.apply_by_key(df, fixes, "row_id", {"market": "correct_market"})
+    assert sorted(tuple(r) for r in out.collect()) == [(1, "EU"), (2, "EU"), (3, "APAC")]
+    assert out.columns == df.columns

@@ -122,3 +122,12 @@ def test_command_line_run(spark, tmp_path, capsys):
     assert "processed_csv" in out and "gates/market_performance" in out
     processed = spark.read.option("header", True).csv(str(tmp_path / "cli" / "processed_csv"))
     assert processed.count() == 3 and "profit" not in processed.columns
+
+
+def test_declared_text_limits_reject_long_values(spark, tmp_path):
+    from saleslens.sources.schema import TEXT_LIMITS
+
+    path = _write(tmp_path, [_row(row_id="1"), _row(row_id="2", market="M" * 31)])
+    good, rejects = load_sales_csv(spark, path, max_lengths=TEXT_LIMITS)
+    assert [r.row_id for r in good.collect()] == [1]
+    assert [r.reject_reason for r in rejects.collect()] == ["market longer than 30"]

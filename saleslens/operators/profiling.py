@@ -31,8 +31,9 @@ def sample_rows(df: DataFrame, n: int = 10, seed: int | None = None) -> DataFram
     random key over ``_metadata.file_path`` / ``_metadata.row_index`` (no
     data column is decoded), then the n chosen rows are read back from just
     their files (a filter on ``_metadata.file_path`` prunes the file
-    listing). The n positions are the only thing brought to the driver,
-    and the sample stays fixed once drawn. Other inputs (or large n) use a
+    listing) and matched by a broadcast semi-join on the n positions. The n
+    positions are the only thing brought to the driver, and the sample stays
+    fixed once drawn. Other inputs (or large n) use a
     top-n by a random key (TakeOrderedAndProject: n rows per task, no sort).
     """
     if n <= MAX_POSITIONAL_SAMPLE and df.inputFiles():
@@ -52,11 +53,16 @@ def sample_rows(df: DataFrame, n: int = 10, seed: int | None = None) -> DataFram
             if not picked:
                 return df.limit(0)
             files = sorted({r["_fp"] for r in picked})
-            at = reduce(
-                lambda a, b: a | b,
-                [(F.col("_metadata.file_path") == r["_fp"]) & (F.col("_metadata.row_index") == r["_ri"]) for r in picked],
+            keys = df.sparkSession.createDataFrame(
+                [(r["_fp"], r["_ri"]) for r in picked], "_sample_fp string, _sample_ri long"
+            ).coalesce(1)
+            located = df.filter(F.col("_metadata.file_path").isin(files)).select(
+                "*",
+                F.col("_metadata.file_path").alias("_sample_fp"),
+                F.col("_metadata.row_index").alias("_sample_ri"),
             )
-            return df.filter(F.col("_metadata.file_path").isin(files)).filter(at)
+            # at most n keys: a proven-size broadcast
+            return located.join(F.broadcast(keys), ["_sample_fp", "_sample_ri"], "left_semi").select(*df.columns)
     return df.orderBy(F.rand(seed)).limit(n)
 
 

@@ -49,3 +49,40 @@ def test_stability_verdict_matches_brute_force(spark, revenues):
     r = gates.stability_verdict(gates.yoy_growth(df, core=None)).first()
     assert (r.negative_yoy_years, r.consecutive_decline) == (sum(neg), consecutive)
     assert r.stable == (sum(neg) <= 1 and not consecutive)
+
+
+@settings(max_examples=12, deadline=None)
+@given(
+    st.lists(
+        st.tuples(VALUES, st.one_of(st.none(), st.sampled_from([0.0, -0.0, 1.5, 2.0])), st.one_of(st.none(), st.integers(-2, 2))),
+        min_size=0,
+        max_size=12,
+    )
+)
+def test_column_profile_matches_brute_force(spark, rows):
+    df = spark.createDataFrame(rows, "s string, d double, i int")
+    got = {r.column_name: (r.null_count, r.count_distinct) for r in profiling.column_profile(df).collect()}
+    for j, name in enumerate(["s", "d", "i"]):
+        vals = [r[j] for r in rows]
+        # typed distinct: -0.0 == 0.0
+        distinct = {v + 0.0 if isinstance(v, float) else v for v in vals if v is not None}
+        assert got[name] == (sum(v is None for v in vals), len(distinct)), name
+
+
+@settings(max_examples=12, deadline=None)
+@given(st.lists(st.tuples(st.integers(2000, 2003), st.integers(-5, 5)), min_size=0, max_size=12))
+def test_signed_ratio_matches_brute_force(spark, rows):
+    import datetime as dt
+    from decimal import Decimal
+
+    df = spark.createDataFrame(
+        [(dt.date(y, 3, 1), Decimal(p)) for y, p in rows], "order_date date, profit decimal(10,2)"
+    )
+    expected = {}
+    for y in {y for y, _ in rows}:
+        neg = sum(p for yy, p in rows if yy == y and p < 0)
+        pos = sum(p for yy, p in rows if yy == y and p > 0)
+        if any(yy == y and p < 0 for yy, p in rows) and any(yy == y and p > 0 for yy, p in rows):
+            expected[y] = round(abs(neg) / pos, 6)
+    got = {r.order_year: r.negative_positive_ratio for r in audit.signed_ratio_by_period(df).collect()}
+    assert got == expected

@@ -86,3 +86,61 @@ def test_signed_ratio_matches_brute_force(spark, rows):
             expected[y] = round(abs(neg) / pos, 6)
     got = {r.order_year: r.negative_positive_ratio for r in audit.signed_ratio_by_period(df).collect()}
     assert got == expected
+
+
+@settings(max_examples=10, deadline=None)
+@given(
+    st.lists(
+        st.tuples(st.sampled_from(["S1", "S2", "S3"]), st.integers(1, 4), st.integers(1, 50)),
+        min_size=1,
+        max_size=15,
+    )
+)
+def test_segment_shares_match_pandas(spark, rows):
+    import datetime as dt
+    from decimal import Decimal
+
+    import pandas as pd
+
+    data = [("M", seg, dt.date(2013, month, 1), Decimal(v)) for seg, month, v in rows]
+    df = spark.createDataFrame(data, "market string, segment string, order_date date, sales decimal(10,2)")
+    pdf = pd.DataFrame(rows, columns=["segment", "month", "sales"]).astype({"sales": float})
+    monthly = pdf.groupby(["month", "segment"], as_index=False)["sales"].sum()
+    monthly["share"] = monthly["sales"] / monthly.groupby("month")["sales"].transform("sum")
+    stats = monthly.groupby("segment")["share"].agg(["mean", "std"])
+    got = {r.segment: r for r in gates.share_stability(df, core=["M"], years=[2013]).collect()}
+    assert set(got) == set(stats.index)
+    for seg, row in stats.iterrows():
+        assert abs(got[seg].mean_pct - row["mean"]) < 1e-6
+        if pd.isna(row["std"]):
+            assert got[seg].std_dev is None
+        else:
+            assert abs(got[seg].std_dev - row["std"]) < 1e-6
+    shares = gates.period_share(df, core=["M"], years=[2013]).collect()
+    per_month = Counter()
+    for r in shares:
+        per_month[r.order_month] += r.contribution_pct
+    assert all(abs(v - 1) < 1e-5 for v in per_month.values())
+
+
+@settings(max_examples=10, deadline=None)
+@given(
+    st.lists(st.tuples(st.sampled_from(["A", "B", "C", None]), st.integers(1, 100)), min_size=1, max_size=15),
+    st.lists(st.integers(0, 400), min_size=1, max_size=6),
+)
+def test_shares_sum_to_one_and_calendar_spans_every_day(spark, rows, offsets):
+    import datetime as dt
+    from decimal import Decimal
+
+    from saleslens.operators import marts
+
+    df = spark.createDataFrame(
+        [(m, "c", Decimal(v)) for m, v in rows], "market string, country string, sales decimal(10,2)"
+    )
+    perf = gates.market_performance(df).collect()
+    assert abs(sum(r.revenue_pct for r in perf) - 1) < 1e-5
+    assert sum(r.order_count for r in perf) == len(rows)
+    days = [dt.date(2010, 1, 1) + dt.timedelta(days=o) for o in offsets]
+    cal = marts.date_dimension(spark.createDataFrame([(d,) for d in days], "order_date date")).collect()
+    assert len(cal) == (max(days) - min(days)).days + 1
+    assert cal[0]["Date"] == min(days) and cal[-1]["Date"] == max(days)

@@ -14,6 +14,31 @@ from pyspark.sql import functions as F
 from saleslens.functions.expressions import col
 
 
+# The display formats the source analysis applies to each gate's
+# numbers (N<k> / P<k>); "revenue_millions" is revenue / 1e6.
+REPORT_FORMATS = {
+    "market_performance": {
+        "revenue_millions": "N2",
+        "revenue_pct": "P2",
+        "aov": "N0",
+        "order_count": "N0",
+        "order_count_pct": "P2",
+    },
+    "market_yoy": {"revenue_growth_yoy": "P2"},
+    "category_performance": {
+        "revenue_millions": "N2",
+        "revenue_pct": "P2",
+        "order_count": "N0",
+        "order_count_pct": "P2",
+    },
+    "discount_over_index": {"market_revenue_pct": "P2", "discounted_revenue_pct": "P2"},
+    "ship_mode_performance": {"avg_shipping_cost": "N0", "revenue_pct": "P2", "order_count_pct": "P2"},
+    "segment_contribution": {"mean_pct": "P2", "std_dev": "P2", "cv_pct": "P2"},
+    "organic_demand": {"discounted_order_pct": "P2"},
+    "profit_ratio_by_year": {"negative_profit": "N0", "positive_profit": "N0", "negative_positive_ratio": "P2"},
+}
+
+
 def fmt_number(c: str | Column, digits: int = 0) -> Column:
     return F.format_number(F.round(col(c), digits), digits)
 
@@ -31,6 +56,11 @@ def _apply(c: str, spec: str) -> Column:
     raise ValueError(f"unknown format spec {spec!r}; use N<k> or P<k>")
 
 
+def with_millions(df: DataFrame, measure: str = "revenue") -> DataFrame:
+    """Add ``<measure>_millions`` = measure / 1e6 (a double), as the source displays revenue."""
+    return df.withColumn(f"{measure}_millions", F.col(measure).cast("double") / F.lit(1e6))
+
+
 def format_report(df: DataFrame, spec: dict[str, str], suffix: str = "_fmt") -> DataFrame:
     """Add a formatted string column beside each numeric column named in ``spec``.
 

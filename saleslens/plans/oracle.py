@@ -19,6 +19,7 @@ from saleslens.constants import (
     FIXTURE_PRODUCT_RULE,
     FIXTURE_SEGMENT_YEARS,
 )
+from saleslens.functions.formatting import REPORT_FORMATS
 from saleslens.sources.fixtures import DIRTY_MARKET_EXPRESSION, SALES_FACT_EXPRESSIONS, sales_fact_sql
 
 # Spark type names of the fixture fact's columns (column_profile's data_type).
@@ -395,6 +396,16 @@ def oracle_queries() -> dict[str, str]:
         )
         + " FROM ratio",
     }
+    for base, spec in REPORT_FORMATS.items():
+        key = "profit_ratio_report" if base == "profit_ratio_by_year" else f"{base}_report"
+        if key in ("market_performance_report", "profit_ratio_report"):
+            continue
+        extra = ", CAST(revenue AS DOUBLE) / 1e6 AS revenue_millions" if "revenue_millions" in spec else ""
+        src = "t" if not extra else "(SELECT *" + extra + " FROM t) u"
+        fmts = ", ".join(
+            (N(c, int(f[1:])) if f[0] == "N" else P(c, int(f[1:]))) + f" AS {c}_fmt" for c, f in spec.items()
+        )
+        q[key] = f"WITH t AS (SELECT * FROM ({q[base]}) b) SELECT *, {fmts} FROM {src}"
     # the CSV round trip of the report fact must give the report fact back
     q["export_csv"] = q["reporting_fact"]
     return q

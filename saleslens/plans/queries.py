@@ -26,7 +26,7 @@ from saleslens.constants import (
     FIXTURE_PRODUCT_RULE,
     FIXTURE_SEGMENT_YEARS,
 )
-from saleslens.functions.formatting import format_report
+from saleslens.functions.formatting import REPORT_FORMATS, format_report, with_millions
 from saleslens.operators import audit, corrections, gates, marts, profiling
 from saleslens.session import shared_dir
 from saleslens.sources.csv_source import load_sales_csv
@@ -70,26 +70,17 @@ def _reporting_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(fact.schema).option("header", True).option("escape", '"').csv(path)
 
 
-def _market_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    perf = gates.market_performance(clean(spark, sf_dir))
-    perf = perf.withColumn("revenue_millions", F.col("revenue").cast("double") / F.lit(1e6))
-    return format_report(
-        perf,
-        {
-            "revenue_millions": "N2",
-            "revenue_pct": "P2",
-            "aov": "N0",
-            "order_count": "N0",
-            "order_count_pct": "P2",
-        },
-    )
+def _report(base: str) -> Query:
+    """The gate's numbers plus formatted display strings beside them."""
 
+    def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = registry()[base](spark, sf_dir)
+        spec = REPORT_FORMATS[base]
+        if "revenue_millions" in spec:
+            df = with_millions(df)
+        return format_report(df, spec)
 
-def _profit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ratio = audit.signed_ratio_by_period(clean(spark, sf_dir))
-    return format_report(
-        ratio, {"negative_profit": "N0", "positive_profit": "N0", "negative_positive_ratio": "P2"}
-    )
+    return build
 
 
 def registry() -> dict[str, Query]:
@@ -179,7 +170,13 @@ def registry() -> dict[str, Query]:
         "reporting_fact": lambda s, d: marts.reporting_fact(clean(s, d), CORE),
         "export_csv": _reporting_csv,
         "date_dimension": lambda s, d: marts.date_dimension(clean(s, d)),
-        "market_performance_report": _market_report,
-        "profit_ratio_report": _profit_report,
+        "market_performance_report": _report("market_performance"),
+        "profit_ratio_report": _report("profit_ratio_by_year"),
+        "market_yoy_report": _report("market_yoy"),
+        "category_performance_report": _report("category_performance"),
+        "discount_over_index_report": _report("discount_over_index"),
+        "ship_mode_performance_report": _report("ship_mode_performance"),
+        "segment_contribution_report": _report("segment_contribution"),
+        "organic_demand_report": _report("organic_demand"),
     }
     return q

@@ -15,12 +15,16 @@ def reporting_fact(
     df: DataFrame,
     core: Sequence[str] = REFERENCE_CORE_MARKETS,
     market: str = "market",
+    with_year: bool = False,
 ) -> DataFrame:
     """The 12-column report fact with display names.
 
     Map-only: one projection, no shuffle. Shipping days are NULL when the ship
-    date is missing or earlier than the order date.
+    date is missing or earlier than the order date. ``with_year`` appends
+    "Order Year", a column to partition the written fact by, so reports that
+    filter on a year read only that year's files.
     """
+    extra = [F.year("order_date").alias("Order Year")] if with_year else []
     return df.select(
         F.col(market).alias("Market"),
         flag01(F.coalesce(F.col(market).isin(list(core)), F.lit(False))).alias("Is Core Market"),
@@ -34,6 +38,7 @@ def reporting_fact(
         guarded_ship_days("order_date", "ship_date").alias("Shipping Days"),
         F.col("shipping_cost").alias("Shipping Cost"),
         F.col("segment").alias("Segment"),
+        *extra,
     )
 
 

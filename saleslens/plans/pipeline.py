@@ -47,6 +47,7 @@ def run_pipeline(
     multi_market_countries: Sequence[str] = REFERENCE_MULTI_MARKET_COUNTRIES,
     csv_marts: bool = False,
     processed_csv: bool = False,
+    partition_reporting_by_year: bool = False,
     parallel_jobs: int = 4,
 ) -> dict[str, str]:
     """Run the whole analysis; return {output name: path}.
@@ -58,9 +59,11 @@ def run_pipeline(
     out = out_dir.rstrip("/")
     written: dict[str, str] = {}
 
-    def save(name: str, df: DataFrame, fmt: str = "parquet", single_file: bool = False) -> None:
+    def save(
+        name: str, df: DataFrame, fmt: str = "parquet", single_file: bool = False, partition_by: list[str] | None = None
+    ) -> None:
         path = f"{out}/{name}"
-        export(df, path, fmt=fmt, single_file=single_file)
+        export(df, path, fmt=fmt, single_file=single_file, partition_by=partition_by)
         written[name] = path
 
     def save_all(prefix: str, frames: dict[str, DataFrame]) -> None:
@@ -156,6 +159,14 @@ def run_pipeline(
 
     # 5. reporting marts (the fact stays a directory of parts; the calendar is small)
     fmt = "csv" if csv_marts else "parquet"
-    save("marts/reporting_fact", marts.reporting_fact(clean, core), fmt=fmt)
+    if partition_reporting_by_year:
+        save(
+            "marts/reporting_fact",
+            marts.reporting_fact(clean, core, with_year=True),
+            fmt=fmt,
+            partition_by=["Order Year"],
+        )
+    else:
+        save("marts/reporting_fact", marts.reporting_fact(clean, core), fmt=fmt)
     save("marts/date_dimension", marts.date_dimension(clean), fmt=fmt, single_file=True)
     return written

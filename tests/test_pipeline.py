@@ -8,6 +8,7 @@ from saleslens.constants import (
     FIXTURE_PRODUCT_RULE,
     FIXTURE_SEGMENT_YEARS,
 )
+from saleslens.plans.inspect import plan_text
 from saleslens.plans.pipeline import run_pipeline
 
 
@@ -41,3 +42,27 @@ def test_pipeline_cleans_and_reports(spark, dirty_fact, fact, tmp_path):
     rep = spark.read.option("header", True).csv(paths["marts/reporting_fact"])
     assert rep.count() == 6000 and "Is Core Market" in rep.columns
     assert rep.filter("`Shipping Days` is null").count() == 2815
+
+
+def test_reporting_fact_partitioned_by_year(spark, fact, tmp_path):
+    from pyspark.sql import functions as F
+
+    paths = run_pipeline(
+        spark,
+        fact,
+        str(tmp_path / "run"),
+        core=FIXTURE_CORE_MARKETS,
+        years=FIXTURE_SEGMENT_YEARS,
+        excluded_segment=FIXTURE_EXCLUDED_SEGMENT,
+        market_rules=FIXTURE_MARKET_RULES,
+        product_rule=FIXTURE_PRODUCT_RULE,
+        partition_reporting_by_year=True,
+    )
+    rep = spark.read.parquet(paths["marts/reporting_fact"])
+    assert rep.count() == 6000
+    years = sorted(p.name for p in (tmp_path / "run" / "marts" / "reporting_fact").iterdir() if p.is_dir())
+    assert years[0].startswith("Order Year=") and len(years) == 7
+    one_year = rep.filter(F.col("Order Year") == 1999)
+    partition_filters = [line for line in plan_text(one_year).splitlines() if "PartitionFilters" in line]
+    assert any("Order Year" in line and "1999" in line for line in partition_filters)
+    assert one_year.count() == fact.filter(F.year("order_date") == 1999).count()

@@ -2,6 +2,7 @@
 
     python -m saleslens SOURCE OUT_DIR [--core APAC EU US LATAM] [--years 2013 2014]
                         [--exclude-segment "Home Office"] [--csv-marts] [--processed-csv]
+                        [--partition-report-by-year]
 
 SOURCE ending in .csv (or a folder of CSV files with --csv) is loaded with the
 declared schema; anything else is read as Parquet. Defaults are the original
@@ -27,6 +28,7 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--exclude-segment", default=REFERENCE_EXCLUDED_SEGMENT)
     ap.add_argument("--csv-marts", action="store_true")
     ap.add_argument("--processed-csv", action="store_true")
+    ap.add_argument("--partition-report-by-year", action="store_true")
     ap.add_argument("--master", default=None)
     args = ap.parse_args(argv)
 
@@ -41,6 +43,7 @@ def main(argv: list[str] | None = None) -> None:
         excluded_segment=args.exclude_segment,
         csv_marts=args.csv_marts,
         processed_csv=args.processed_csv,
+        partition_reporting_by_year=args.partition_report_by_year,
     )
     for name, path in sorted(written.items()):
         print(f"{name}\t{path}")

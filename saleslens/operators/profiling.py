@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from saleslens.constants import BROADCAST_ROW_LIMIT, REFERENCE_RANGE_COLUMNS
@@ -24,6 +25,13 @@ def _check_columns(df: DataFrame, columns: Sequence[str]) -> None:
         raise ValueError(f"unknown columns {unknown}; available: {df.columns}")
 
 
+def _check_comparable(df: DataFrame, columns: Sequence[str]) -> None:
+    """Map columns have no equality in Spark, so they cannot be deduplicated."""
+    maps = [c for c in columns if isinstance(df.schema[c].dataType, T.MapType)]
+    if maps:
+        raise ValueError(f"map columns cannot be compared for distinctness: {maps}")
+
+
 def sample_rows(df: DataFrame, n: int = 10, seed: int | None = None) -> DataFrame:
     """n rows drawn uniformly at random, without replacement.
 
@@ -85,6 +93,7 @@ def column_profile(
     """
     columns = list(columns or df.columns)
     _check_columns(df, columns)
+    _check_comparable(df, columns)
     types = dict(df.dtypes)
     if approx:
         aggs = []
@@ -155,6 +164,7 @@ def duplicate_rows(
     cols = [c for c in df.columns if c not in set(exclude)]
     if not cols:
         raise ValueError("no columns left to compare")
+    _check_comparable(df, cols)
 
     def exact(rows: DataFrame) -> DataFrame:
         return (
@@ -194,6 +204,9 @@ def numeric_range_stats(df: DataFrame, columns: Sequence[str] = REFERENCE_RANGE_
     """
     columns = list(columns)
     _check_columns(df, columns)
+    non_numeric = [c for c in columns if not isinstance(df.schema[c].dataType, T.NumericType)]
+    if non_numeric:
+        raise ValueError(f"range statistics need numeric columns: {non_numeric}")
     aggs = []
     for i, c in enumerate(columns):
         aggs += [

@@ -245,3 +245,15 @@ def test_apply_by_key_updates_unique_keys(spark):
     out = corrections.apply_by_key(df, fixes, "row_id", {"market": "correct_market"})
     assert sorted(tuple(r) for r in out.collect()) == [(1, "EU"), (2, "EU"), (3, "APAC")]
     assert out.columns == df.columns
+
+
+def test_input_validation_is_explicit(spark):
+    df = spark.createDataFrame([("a", {"k": 1}, 1)], "s string, m map<string,int>, n int")
+    with pytest.raises(ValueError, match="numeric"):
+        profiling.numeric_range_stats(df, ["n", "s"])
+    with pytest.raises(ValueError, match="map columns"):
+        profiling.column_profile(df)
+    with pytest.raises(ValueError, match="map columns"):
+        profiling.duplicate_rows(df)
+    assert profiling.column_profile(df, ["s", "n"]).count() == 2
+    assert profiling.duplicate_rows(df, exclude=["m"]).count() == 0

@@ -8,6 +8,8 @@ import duckdb
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from saleslens.plans.oracle import oracle_queries
+from saleslens.plans.queries import registry
 
 from conftest import SF_SMALL
 
@@ -41,7 +43,7 @@ def test_entry_flagship(spark):
 
 def test_every_query_has_an_oracle_except_random_ones():
     assert set(oracle_sql()) <= set(queries())
-    assert set(queries()) - set(oracle_sql()) == {"sample_rows", "column_profile_approx"}
+    assert set(registry()) - set(oracle_sql()) == {"sample_rows", "column_profile_approx"}
 
 
 @pytest.fixture(scope="module")
@@ -52,7 +54,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+@pytest.mark.parametrize("name", sorted(set(oracle_queries()) & set(registry())))
 def test_query_matches_oracle(spark, duck, name):
     sdf = queries()[name](spark, SF_SMALL)
     res = duck.execute(oracle_sql()[name])

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import importlib.util
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from saleslens.llm import decontamination, url_filter
+from saleslens.llm import decontamination, pieces, url_filter
 from saleslens.llm.common import read_table
 
 
@@ -16,10 +18,28 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(read_table(spark, sf_dir, "pages"), rules)
 
 
+def tokenizer_path(name: str) -> str:
+    """Place of a public tokenizer file; $SALESLENS_TOKENIZERS names another folder."""
+    folder = os.environ.get("SALESLENS_TOKENIZERS")
+    if folder:
+        return os.path.join(folder, name)
+    if importlib.util.find_spec("public_tokenizers"):
+        import public_tokenizers
+
+        return public_tokenizers.path(name)
+    return os.path.join("/opt/tokenizers", name)
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded text of every document, as digests."""
+    model = pieces.read_model(tokenizer_path("piece_bpe_32k.model"))
+    return pieces.encoding_digests(read_table(spark, sf_dir, "documents"), model)
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Traces of the benchmark in every document."""
     return decontamination.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op2_url_filter, op4_decontamination)}
+    return {q.__name__: q for q in (op2_url_filter, op3_sentencepiece, op4_decontamination)}

@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from saleslens.llm import decontamination, pieces, quality, simhash, url_filter
+from saleslens.llm import decontamination, pieces, quality, simhash, toxicity, url_filter
 from saleslens.llm.common import read_table
 
 
@@ -46,10 +46,15 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    return toxicity.score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op2_url_filter, op3_sentencepiece, op4_decontamination, op5_quality, op7_simhash)}
+    return {q.__name__: q for q in (op2_url_filter, op3_sentencepiece, op4_decontamination, op5_quality, op6_toxicity, op7_simhash)}

@@ -55,6 +55,40 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM doc_words LEFT JOIN hit USING (rid) LEFT JOIN named USING (rid)
 """
 
+# Windows of 50 bytes are windows of 100 hex digits.
+OP9 = """
+WITH docs AS (
+    SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS body,
+           octet_length(encode(coalesce(text, ''))) AS n
+    FROM documents
+), starts AS (
+    SELECT rid, doc_id, p, substr(body, 2 * p + 1, 100) AS piece
+    FROM (SELECT rid, doc_id, body, unnest(range(0, n - 49)) AS p FROM docs WHERE n >= 50)
+), owners AS (
+    SELECT piece, min(doc_id) AS owner FROM starts GROUP BY piece
+), late AS (
+    SELECT rid, p FROM starts JOIN owners USING (piece) WHERE owner < doc_id
+), marked AS (
+    SELECT rid, p, CASE WHEN p <= lag(p) OVER (PARTITION BY rid ORDER BY p) + 50 THEN 0 ELSE 1 END AS opens FROM late
+), numbered AS (
+    SELECT rid, p, sum(opens) OVER (PARTITION BY rid ORDER BY p) AS run FROM marked
+), spans AS (
+    SELECT rid, run, min(p) AS a, max(p) + 50 AS b FROM numbered GROUP BY rid, run
+), gaps AS (
+    SELECT rid, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 0) AS a, a AS b FROM spans
+    UNION ALL
+    SELECT rid, max(b), any_value(n) FROM spans JOIN docs USING (rid) GROUP BY rid
+), rest AS (
+    SELECT rid, string_agg(substr(body, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS kept
+    FROM gaps JOIN docs USING (rid) GROUP BY rid
+), counts AS (
+    SELECT rid, sum(b - a) AS n_removed, count(*) AS n_spans FROM spans GROUP BY rid
+)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(kept, body))) AS kept_sha256
+FROM docs LEFT JOIN counts USING (rid) LEFT JOIN rest USING (rid)
+"""
+
 
 def oracle_queries() -> dict[str, str]:
-    return {"op2_url_filter": OP2, "op4_decontamination": OP4}
+    return {"op2_url_filter": OP2, "op4_decontamination": OP4, "op9_suffix_array": OP9}

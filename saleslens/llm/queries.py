@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from saleslens.llm import decontamination, pieces, quality, simhash, toxicity, url_filter
+from saleslens.llm import decontamination, pieces, quality, simhash, substrings, toxicity, url_filter
 from saleslens.llm.common import read_table
 
 
@@ -56,5 +56,19 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that repeat a smaller document."""
+    return substrings.removal_digests(read_table(spark, sf_dir, "documents"))
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op2_url_filter, op3_sentencepiece, op4_decontamination, op5_quality, op6_toxicity, op7_simhash)}
+    found = (
+        op2_url_filter,
+        op3_sentencepiece,
+        op4_decontamination,
+        op5_quality,
+        op6_toxicity,
+        op7_simhash,
+        op9_suffix_array,
+    )
+    return {q.__name__: q for q in found}

@@ -8,10 +8,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from saleslens.llm import decontamination, pieces, quality, simhash, substrings, toxicity, url_filter
+from saleslens.llm import decontamination, html_text, pieces, quality, simhash, substrings, toxicity, url_filter
 from saleslens.llm.common import read_table
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract_pages(read_table(spark, sf_dir, "pages"))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict of the four rules for every page."""
     rules = spark.createDataFrame(list(url_filter.RULES), "action string, rule string")
@@ -63,6 +68,7 @@ def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
+        op1_html_text,
         op2_url_filter,
         op3_sentencepiece,
         op4_decontamination,

@@ -34,7 +34,9 @@ BORDERS = (
     f"[ {SPACE}]+[^ {SPACE}]*|[^ {SPACE}]+",
 )
 #: Segments remembered in each of two generations by a Python worker, and the longest one remembered.
-CACHE_SIZE, CACHE_CHARS = 120_000, 40
+CACHE_SIZE, CACHE_CHARS = 250_000, 40
+#: Multiplier of the pair table's hash; the rank of a pair that forms no piece.
+MIX, NO_PAIR = 0x9E3779B97F4A7C15, 2**31 - 1
 
 
 def _fields(buffer: bytes) -> Iterator[tuple[int, object]]:
@@ -175,10 +177,49 @@ class PieceModel:
             if all(len(split(p)) == 1 for p in self.cost):
                 self.split = split
                 break
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        if self.split:
+            self._tables()
+
+    def _tables(self) -> None:
+        """Arrays for segmenting many short chunks at once: characters, pairs and source widths by id."""
         # Source bytes of a piece whose marks were spaces.
-        self.width = {p: len(p.encode()) - 2 * p.count(SPACE) for p in self.ids}
-        self.young: dict[str, tuple] = {}
-        self.old: dict[str, tuple] = {}
+        self.width = np.zeros(len(self.pieces), dtype=np.int32)
+        self.char_id = np.full(0x110000, -1, dtype=np.int32)
+        pairs = {}
+        ranks = {c: r for r, c in enumerate(sorted(set(self.cost.values())))}
+        for piece, i in self.ids.items():
+            self.width[i] = len(piece.encode()) - 2 * piece.count(SPACE)
+            if len(piece) == 1:
+                self.char_id[ord(piece)] = i
+            for at in range(1, len(piece)):
+                x, y = self.ids.get(piece[:at]), self.ids.get(piece[at:])
+                if x is not None and y is not None:
+                    pairs[x * len(self.pieces) + y] = (ranks[self.cost[piece]], i)
+        self.char_id[ord(" ")] = self.char_id[ord(SPACE)]
+        # An open-addressing table, at most an eighth full.
+        bits = max(10, (8 * max(len(pairs), 1)).bit_length())
+        self.slots = 64 - bits
+        self.pair_key = np.full(1 << bits, -1, dtype=np.int64)
+        self.pair_rank = np.full(1 << bits, NO_PAIR, dtype=np.int32)
+        self.pair_id = np.zeros(1 << bits, dtype=np.int32)
+        for key, (rank, i) in pairs.items():
+            slot = (key * MIX & (1 << 64) - 1) >> self.slots
+            while self.pair_key[slot] >= 0:
+                slot = (slot + 1) & ((1 << bits) - 1)
+            self.pair_key[slot], self.pair_rank[slot], self.pair_id[slot] = key, rank, i
+
+    def _pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The slot of each pair; a pair that forms no piece gets an empty slot."""
+        key = left.astype(np.int64) * len(self.pieces) + right
+        slot = ((key.view(np.uint64) * np.uint64(MIX)) >> np.uint64(self.slots)).astype(np.int64)
+        while True:
+            there = self.pair_key[slot]
+            wrong = (there != key) & (there >= 0)
+            if not wrong.any():
+                return slot
+            slot[wrong] = (slot[wrong] + 1) & (len(self.pair_key) - 1)
 
     # -- segmentation ------------------------------------------------------
 
@@ -244,60 +285,88 @@ class PieceModel:
             ends += [b] * len(numbers)
         return ids, starts, ends
 
-    def _known(self, chunk: str) -> tuple:
-        """ids, starts, ends (packed int32), bytes and decoded text of a chunk inside a text."""
-        found = self.old.get(chunk)
-        if found is None:
-            found = self._chunk(chunk)
-            if len(chunk) > CACHE_CHARS:
-                return found
+    def _chunk(self, chunk: str) -> bytes:
+        """(id, first, end) of each piece of a chunk inside a text, packed."""
+        return np.array(self._segment(chunk, False), dtype=np.int32).T.tobytes()
+
+    def _learn(self, chunks: set[str]) -> dict[str, bytes]:
+        """Makes all ``chunks`` known; gives back those too long to be remembered."""
         if len(self.young) >= CACHE_SIZE:  # what was not asked for since the last turn goes
             self.old, self.young = self.young, {}
-        self.young[chunk] = found
-        return found
-
-    def _chunk(self, chunk: str) -> tuple:
-        if SPACE in chunk:  # a mark that was no space: project character by character
-            ids, starts, ends = self._segment(chunk, False)
-            return *(np.array(x, np.int32).tobytes() for x in (ids, starts, ends)), len(chunk.encode()), self.surface(ids)
-        parts = self.merge(chunk.replace(" ", SPACE))
-        number, width = self.ids.get, self.width
-        ids, starts, ends, at = [], [], [], 0
-        for piece in parts:
-            i = number(piece)
-            if i is not None:
-                ids.append(i)
-                starts.append(at)
-                at += width[piece]
-                ends.append(at)
+        young, old, extra, by_size = self.young, self.old, {}, {}
+        for chunk in chunks:
+            if chunk in young:
                 continue
-            numbers, size = self._numbers(piece), len(piece.encode())
-            ids += numbers
-            starts += [at] * len(numbers)
-            at += size
-            ends += [at] * len(numbers)
-        n = len(ids)
-        decoded = "".join(parts).replace(SPACE, " ") if self.bytes else self.surface(ids)
-        return _packer(n).pack(*ids), _packer(n).pack(*starts), _packer(n).pack(*ends), at, decoded
+            found = old.get(chunk)
+            if found is not None:
+                young[chunk] = found
+            elif len(chunk) > CACHE_CHARS:
+                extra[chunk] = self._chunk(chunk)
+            else:
+                by_size.setdefault(len(chunk), []).append(chunk)
+        for size, some in by_size.items():
+            codes = np.frombuffer("".join(some).encode("utf-32-le"), dtype="<u4").reshape(-1, size)
+            ids = self.char_id[codes]
+            plain = (ids >= 0).all(axis=1) & (codes != ord(SPACE)).all(axis=1)
+            for i in np.flatnonzero(~plain):
+                young[some[i]] = self._chunk(some[i])
+            self._merge_many(ids[plain], np.flatnonzero(plain), some)
+        return extra
+
+    def _merge_many(self, ids: np.ndarray, rows: np.ndarray, chunks: list[str]) -> None:
+        """Segments equally long chunks together: a round merges the best pair of each that has one."""
+        while len(ids):
+            n = ids.shape[1]
+            if n > 1:
+                slot = self._pairs(ids[:, :-1], ids[:, 1:])
+                rank = self.pair_rank[slot]
+                best = rank.argmin(axis=1)  # the leftmost of equals
+                at = np.arange(len(ids))
+                done = rank[at, best] == NO_PAIR
+            else:
+                done = np.ones(len(ids), dtype=bool)
+            if done.any():
+                end = np.cumsum(self.width[ids[done]], axis=1, dtype=np.int32)
+                start = end - self.width[ids[done]]
+                packed = np.stack((ids[done], start, end), axis=2).astype(np.int32).tobytes()
+                step = 12 * n
+                for k, i in enumerate(rows[done].tolist()):
+                    self.young[chunks[i]] = packed[k * step : (k + 1) * step]
+                if done.all():
+                    return
+                ids, rows, best, slot = ids[~done], rows[~done], best[~done], slot[~done]
+                at = np.arange(len(ids))
+            ids[at, best] = self.pair_id[slot[at, best]]
+            column = np.arange(n - 1)
+            ids = np.take_along_axis(ids, column + (column > best[:, None]), axis=1)
 
     # -- interface ---------------------------------------------------------
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, str]:
         """ids, first and end source byte of each piece, and the decoded text; no end id."""
-        chunks = self.split(text) if self.split and text else [text]
-        head = self._segment(chunks[0], self.normalizer.dummy_prefix) if text else ([], [], [])
-        ids, starts, ends = (np.array(x, dtype=np.int32) for x in head)
-        decoded = self.decode(head[0])
-        if len(chunks) < 2:
-            return ids, starts, ends, decoded
-        young, known = self.young, self._known
-        a, b, c, size, back = zip(*[young.get(x) or known(x) for x in chunks[1:]], strict=True)
-        at = np.cumsum([len(chunks[0].encode()), *size[:-1]])
-        shift = np.repeat(at, [len(x) // 4 for x in a]).astype(np.int32)
-        ids = np.concatenate((ids, np.frombuffer(b"".join(a), np.int32)))
-        starts = np.concatenate((starts, np.frombuffer(b"".join(b), np.int32) + shift))
-        ends = np.concatenate((ends, np.frombuffer(b"".join(c), np.int32) + shift))
-        return ids, starts, ends, decoded + "".join(back)
+        return next(self.encode_many([text]))
+
+    def encode_many(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, str]]:
+        """``encode`` of each text; what they share is segmented once."""
+        cut = [self.split(t) if self.split and t else [t] for t in texts]
+        extra = self._learn({c for chunks in cut for c in chunks[1:]}) if self.split else {}
+        for text, chunks in zip(texts, cut, strict=True):
+            head = self._segment(chunks[0], self.normalizer.dummy_prefix) if text else ([], [], [])
+            table = np.array(head, dtype=np.int32).T
+            if len(chunks) > 1:
+                get = self.young.get
+                found = [get(c) or extra[c] for c in chunks[1:]]
+                rest = np.frombuffer(b"".join(found), dtype=np.int32).reshape(-1, 3)
+                count = np.array([len(x) for x in found]) // 12
+                size = rest[np.cumsum(count) - 1, 2]  # a chunk ends where its last piece does
+                at = len(chunks[0].encode()) + np.cumsum(size) - size
+                rest = rest + np.repeat(at, count)[:, None] * np.array([0, 1, 1])
+                table = np.concatenate((table, rest.astype(np.int32)))
+            ids = table[:, 0]
+            # Pieces spell the normalised text; with byte pieces for all else, and no
+            # mark in the text, that is the text itself.
+            same = self.split and self.bytes and SPACE not in text
+            yield ids, table[:, 1], table[:, 2], text if same else self.decode(ids.tolist())
 
     def surface(self, ids: list[int]) -> str:
         """The text of pieces inside a text: runs of byte pieces join, broken bytes become U+FFFD."""
@@ -326,13 +395,6 @@ class PieceModel:
         return text
 
 
-_packers = [struct.Struct(f"{n}i") for n in range(CACHE_CHARS * 4 + 1)]
-
-
-def _packer(n: int) -> struct.Struct:
-    return _packers[n] if n < len(_packers) else struct.Struct(f"{n}i")
-
-
 def _utf8(run: bytes) -> str:
     """Bytes as text; each byte that starts no character becomes U+FFFD."""
     out, at = [], 0
@@ -396,9 +458,8 @@ def encode_documents(docs: DataFrame, model: bytes, key: str = "doc_id", text: s
             for at in range(0, part.num_rows, 500):
                 some = part.slice(at, 500)
                 ids, first, last, sizes, decoded = [], [], [], [], []
-                for t in some.column(1).to_pylist():
-                    t = t or ""
-                    i, a, b, back = m.encode(t)
+                texts = [t or "" for t in some.column(1).to_pylist()]
+                for t, (i, a, b, back) in zip(texts, m.encode_many(texts), strict=True):
                     n = len(t.encode())
                     ids.append(np.append(i, np.int32(m.end)))
                     first.append(np.append(a, n).astype(np.int32))

@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from saleslens.llm import decontamination, html_text, pieces, quality, simhash, substrings, toxicity, url_filter
+from saleslens.llm import decontamination, html_text, lm_scoring, pieces, quality, simhash, substrings, toxicity, url_filter
 from saleslens.llm.common import read_table
 
 
@@ -66,6 +66,12 @@ def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.removal_digests(read_table(spark, sf_dir, "documents"))
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability of every document under the attention model and the word baseline."""
+    model = pieces.read_model(tokenizer_path("piece_bpe_32k.model"))
+    return lm_scoring.score_documents(read_table(spark, sf_dir, "documents"), model)
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_html_text,
@@ -76,5 +82,6 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op6_toxicity,
         op7_simhash,
         op9_suffix_array,
+        op10_lm_scoring,
     )
     return {q.__name__: q for q in found}

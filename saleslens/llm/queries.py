@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from saleslens.llm import decontamination, html_text, lm_scoring, pieces, quality, simhash, substrings, toxicity, url_filter
+from saleslens.llm import decontamination, html_text, lm_scoring, pieces, quality, simhash, substrings, toxicity, url_filter, versions
 from saleslens.llm.common import read_table
 
 
@@ -61,6 +61,11 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of every document and its edited text, and their likeness."""
+    return versions.fingerprint_versions(read_table(spark, sf_dir, "documents"))
+
+
 def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of every document that repeat a smaller document."""
     return substrings.removal_digests(read_table(spark, sf_dir, "documents"))
@@ -81,6 +86,7 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op5_quality,
         op6_toxicity,
         op7_simhash,
+        op8_fingerprints,
         op9_suffix_array,
         op10_lm_scoring,
     )

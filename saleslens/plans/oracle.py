@@ -187,6 +187,10 @@ def oracle_queries() -> dict[str, str]:
         "sales_fact": FACT + "SELECT * FROM sales_fact",
         "sales_dirty": DIRTY + "SELECT * FROM sales_dirty",
         "load_sales_csv": FACT + "SELECT * FROM sales_fact",
+        "load_sales_csv_rejects": FACT
+        + "SELECT row_id, CASE WHEN row_id % 17 = 0 THEN 'market longer than 30' WHEN row_id % 11 = 0 "
+        "THEN 'unparsable cell' ELSE 'quantity out of range' END AS reject_reason FROM sales_fact "
+        "WHERE row_id % 11 = 0 OR row_id % 13 = 0 OR row_id % 17 = 0",
         "column_profile": _profile(),
         "duplicate_rows": _duplicates(FACT_COLUMNS),
         "duplicate_row_ids": _duplicates(["row_id"]),

@@ -29,9 +29,9 @@ from saleslens.constants import (
 from saleslens.functions.formatting import REPORT_FORMATS, format_report, with_millions
 from saleslens.operators import audit, corrections, gates, marts, profiling
 from saleslens.session import shared_dir
-from saleslens.sources.csv_source import load_sales_csv
+from saleslens.sources.csv_source import REJECT_REASON, csv_reader_options, load_sales_csv
 from saleslens.sources.fixtures import landed_sales_fact, sales_fact
-from saleslens.sources.schema import sales_schema
+from saleslens.sources.schema import SALES_COLUMNS, sales_schema
 from saleslens.sources.sinks import export
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,13 +61,39 @@ def _csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good
 
 
+def _csv_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C02 rejects: the fact as CSV with cells broken by row number, and why each row is turned away.
+
+    Every 11th row has a price that is no number, every 13th a quantity out of
+    its range, every 17th a market that is too long; the first reason in
+    column order counts.
+    """
+    at = F.col("row_id")
+    cells = clean(spark, sf_dir).select(
+        *[
+            F.when(at % 17 == 0, F.repeat(F.lit("M"), 31)).otherwise(F.col(c)).alias(c)
+            if c == "market"
+            else F.when(at % 11 == 0, F.lit("n/a")).otherwise(F.col(c).cast("string")).alias(c)
+            if c == "sales"
+            else F.when(at % 13 == 0, F.lit("256")).otherwise(F.col(c).cast("string")).alias(c)
+            if c == "quantity"
+            else F.col(c)
+            for c in SALES_COLUMNS
+        ]
+    )
+    path = f"{shared_dir(spark)}/saleslens/exports/{uuid.uuid4().hex}/sales_fact_bad_csv"
+    export(cells, path, fmt="csv")
+    _good, rejects = load_sales_csv(spark, path, schema=sales_schema(row_id_type=T.LongType()))
+    return rejects.select("row_id", REJECT_REASON)
+
+
 def _reporting_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R03 on its own: the report fact (display names with spaces) written as
     a CSV directory and read back with the fact's schema."""
     fact = marts.reporting_fact(clean(spark, sf_dir), CORE)
     path = f"{shared_dir(spark)}/saleslens/exports/{uuid.uuid4().hex}/reporting_fact_csv"
     export(fact, path, fmt="csv")
-    return spark.read.schema(fact.schema).option("header", True).option("escape", '"').csv(path)
+    return spark.read.schema(fact.schema).options(**csv_reader_options()).csv(path)
 
 
 def _report(base: str) -> Query:
@@ -91,6 +117,7 @@ def registry() -> dict[str, Query]:
         "sales_dirty": dirty,
         # sources
         "load_sales_csv": _csv_roundtrip,
+        "load_sales_csv_rejects": _csv_rejects,
         "sample_rows": lambda s, d: profiling.sample_rows(clean(s, d), 10),
         # profiling and audit
         "column_profile": lambda s, d: profiling.column_profile(clean(s, d)),

@@ -2,37 +2,108 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from saleslens.sources.schema import NUMERIC_RANGES, sales_schema
+from saleslens.sources.schema import NUMERIC_RANGES, TEXT_LIMITS, sales_schema
 
 CORRUPT = "_corrupt_record"
 REJECT_REASON = "reject_reason"
 
 
-def _violations(
+def csv_reader_options(quoted_line_breaks: bool = True) -> dict[str, str]:
+    """Header first, comma separated, double-quote quoting with doubled quotes.
+
+    Cells keep their blanks; an empty cell is NULL and a quoted empty cell the
+    empty string, as the writer marks them. With ``quoted_line_breaks`` a
+    quoted cell may span lines, and each file is read by one task; without,
+    every line is a row and large files are split.
+    """
+    return {
+        "header": "true",
+        "sep": ",",
+        "quote": '"',
+        "escape": '"',
+        "multiLine": "true" if quoted_line_breaks else "false",
+        "ignoreLeadingWhiteSpace": "false",
+        "ignoreTrailingWhiteSpace": "false",
+        # what the parser puts for an empty cell, told apart from a quoted one
+        "nullValue": "\x00",
+        "emptyValue": "",
+    }
+
+
+def text_schema(schema: T.StructType) -> T.StructType:
+    """Every declared column as text, and the raw record of lines with too few or too many cells."""
+    fields = [T.StructField(f.name, T.StringType(), True) for f in schema.fields]
+    return T.StructType([*fields, T.StructField(CORRUPT, T.StringType(), True)])
+
+
+def _parsed(field: T.StructField) -> Column:
+    cell = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, T.StringType):
+        return cell
+    if isinstance(field.dataType, T.DateType):
+        return F.expr(f"try_to_date(nullif(trim(`{field.name}`), ''), 'yyyy-MM-dd')")
+    return F.expr(f"try_cast(nullif(trim(`{field.name}`), '') AS {field.dataType.simpleString()})")
+
+
+def _reason(
+    schema: T.StructType, ranges: dict[str, tuple[int, int]], max_lengths: dict[str, int]
+) -> Column:
+    """Why a row is rejected, NULL for a good one.
+
+    Every check looks at the text cells themselves, so the verdict on a row
+    needs all its columns whatever is selected from the result.
+    """
+    checks: list[tuple[str, Column]] = [("unparsable cell", F.col(CORRUPT).isNotNull())]
+    for field in schema.fields:
+        cell, value = F.col(f"`{field.name}`"), _parsed(field)
+        if not isinstance(field.dataType, T.StringType):
+            checks.append(("unparsable cell", (F.trim(cell) != "") & value.isNull()))
+        if field.name in ranges:
+            low, high = ranges[field.name]
+            checks.append((f"{field.name} out of range", ~value.between(low, high)))
+        if field.name in max_lengths:
+            limit = max_lengths[field.name]
+            checks.append((f"{field.name} longer than {limit}", F.char_length(cell) > limit))
+    reason = F.lit(None).cast("string")
+    for label, failed in reversed(checks):
+        reason = F.when(F.coalesce(failed, F.lit(False)), F.lit(label)).otherwise(reason)
+    return reason
+
+
+def tag_rows(
+    text_rows: DataFrame,
     schema: T.StructType,
-    ranges: dict[str, tuple[int, int]] | None,
-    max_lengths: dict[str, int] | None,
-) -> list[tuple[str, Column]]:
-    names = set(schema.fieldNames())
-    checks: list[tuple[str, Column]] = []
-    for col, (lo, hi) in (ranges or {}).items():
-        if col in names:
-            checks.append((f"{col} out of range", ~F.col(col).between(lo, hi)))
-    for col, limit in (max_lengths or {}).items():
-        if col in names:
-            checks.append((f"{col} longer than {limit}", F.char_length(col) > limit))
-    return checks
+    ranges: dict[str, tuple[int, int]] | None = None,
+    max_lengths: dict[str, int] | None = None,
+) -> DataFrame:
+    """Typed columns, the raw record and ``reject_reason`` of rows whose cells are text."""
+    ranges = NUMERIC_RANGES if ranges is None else ranges
+    max_lengths = TEXT_LIMITS if max_lengths is None else max_lengths
+    reason = _reason(schema, ranges, max_lengths).alias(REJECT_REASON)
+    raw = F.to_csv(F.struct(*[F.col(f"`{f.name}`") for f in schema.fields]))
+    return text_rows.select(
+        *[_parsed(f).alias(f.name) for f in schema.fields],
+        # lines of the wrong width as they stand, other rejects as their cells
+        F.when(reason.isNotNull(), F.coalesce(F.col(CORRUPT), raw)).alias(CORRUPT),
+        reason,
+    )
 
 
-def csv_reader_options() -> dict[str, str]:
-    """Header first, comma separated, double-quote quoting with doubled quotes."""
-    return {"header": "true", "sep": ",", "quote": '"', "escape": '"', "multiLine": "false"}
+def read_text_cells(
+    spark: SparkSession, path: str | list[str], schema: T.StructType, quoted_line_breaks: bool = True
+) -> DataFrame:
+    """The CSV's cells as text, with the raw record where their number is wrong."""
+    return (
+        spark.read.options(**csv_reader_options(quoted_line_breaks))
+        .schema(text_schema(schema))
+        .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", CORRUPT)
+        .csv(path)
+    )
 
 
 def load_sales_csv(
@@ -42,75 +113,36 @@ def load_sales_csv(
     on_bad: str = "report",
     ranges: dict[str, tuple[int, int]] | None = None,
     max_lengths: dict[str, int] | None = None,
+    quoted_line_breaks: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
-    """Read header-first, comma-separated, quoted CSV into typed columns.
-
-    Returns ``(good, rejects)``. A row is rejected when a cell does not parse
-    into its declared type (Spark keeps the raw line in ``_corrupt_record``)
-    or when it breaks a declared range / length (``ranges`` defaults to the
-    unsigned-byte range of ``quantity``). Rejects keep every parsed column,
-    the raw line and a reason. ``on_bad='fail'`` stops at the first bad row.
-    Empty cells become NULL; doubled quotes and quoted commas parse.
+    """Read header-first, comma-separated, quoted CSV into typed columns.
+
+    Returns ``(good, rejects)``. Cells are read as text and cast one by one; a
+    row is rejected when its number of cells is wrong, a cell does not cast to
+    its declared type, or a declared range or length is broken (``ranges``
+    defaults to the unsigned byte of ``quantity``, ``max_lengths`` to the
+    declared text limits; an empty mapping switches a check off). Which rows
+    are good does not depend on the columns selected from the result. Rejects
+    keep every column that parsed, the raw record and a reason.
+    ``on_bad='fail'`` stops at a bad row whatever is selected. Quoted commas,
+    quotes and line breaks parse; ``quoted_line_breaks=False`` reads every line
+    as a row, so that large files are split over tasks.
     """
     if on_bad not in ("report", "fail"):
         raise ValueError("on_bad must be 'report' or 'fail'")
     schema = schema or sales_schema()
-    ranges = NUMERIC_RANGES if ranges is None else ranges
-    reader = spark.read.options(**csv_reader_options())
-    checks = _violations(schema, ranges, max_lengths)
+    tagged = tag_rows(read_text_cells(spark, path, schema, quoted_line_breaks), schema, ranges, max_lengths)
     if on_bad == "fail":
-        df = reader.schema(schema).option("mode", "FAILFAST").csv(path)
-        if checks:
-            bad = reduce(lambda a, b: a | b, [F.coalesce(c, F.lit(False)) for _, c in checks])
-            # A filter keeps the check in the plan (a dropped column would be pruned).
-            df = df.filter(
-                F.when(bad, F.raise_error(F.lit("row breaks a declared range or length"))).otherwise(F.lit(True))
-            )
-        empty = T.StructType(
-            schema.fields
-            + [T.StructField(CORRUPT, T.StringType(), True), T.StructField(REJECT_REASON, T.StringType(), True)]
-        )
-        return df, spark.createDataFrame([], empty)
-
-    raw = (
-        reader.schema(with_corrupt_record(schema))
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .csv(path)
-    )
-    return split_rejects(raw, schema, ranges, max_lengths)
-
+        stop = F.raise_error(F.concat(F.lit("rejected row: "), F.col(REJECT_REASON)))
+        checked = tagged.filter(F.when(F.col(REJECT_REASON).isNotNull(), stop).otherwise(F.lit(True)))
+        return checked.select(*schema.fieldNames()), spark.createDataFrame([], tagged.schema)
+    return split_rejects(tagged, schema)
 
-def with_corrupt_record(schema: T.StructType) -> T.StructType:
-    """The declared schema plus the column Spark fills with unparsable lines."""
-    return T.StructType(schema.fields + [T.StructField(CORRUPT, T.StringType(), True)])
 
-
-def _tag(
-    raw: DataFrame,
-    schema: T.StructType,
-    ranges: dict[str, tuple[int, int]] | None,
-    max_lengths: dict[str, int] | None,
-) -> DataFrame:
-    """Add ``reject_reason``: NULL for a good row, else why it is rejected."""
-    checks = _violations(schema, NUMERIC_RANGES if ranges is None else ranges, max_lengths)
-    reason = F.when(F.col(CORRUPT).isNotNull(), F.lit("unparsable cell"))
-    for label, cond in checks:
-        reason = reason.when(F.coalesce(cond, F.lit(False)), F.lit(label))
-    return raw.withColumn(REJECT_REASON, reason)
-
-
-def split_rejects(
-    raw: DataFrame,
-    schema: T.StructType,
-    ranges: dict[str, tuple[int, int]] | None = None,
-    max_lengths: dict[str, int] | None = None,
-) -> tuple[DataFrame, DataFrame]:
-    """Split a PERMISSIVE read into (good rows, rejects with a reason)."""
-    tagged = _tag(raw, schema, ranges, max_lengths)
+def split_rejects(tagged: DataFrame, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """Split tagged rows into (good rows, rejects with a reason)."""
     good = tagged.filter(F.col(REJECT_REASON).isNull()).select(*schema.fieldNames())
-    rejects = tagged.filter(F.col(REJECT_REASON).isNotNull())
-    return good, rejects
+    return good, tagged.filter(F.col(REJECT_REASON).isNotNull())
 
 
 STATUS = "ingest_status"
@@ -123,6 +155,7 @@ def land_sales_csv(
     schema: T.StructType | None = None,
     ranges: dict[str, tuple[int, int]] | None = None,
     max_lengths: dict[str, int] | None = None,
+    quoted_line_breaks: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """Parse the CSV once and land good rows and rejects together as Parquet.
 
@@ -132,14 +165,8 @@ def land_sales_csv(
     single time. Returns (good, rejects) read back with partition pruning.
     """
     schema = schema or sales_schema()
-    raw = (
-        spark.read.options(**csv_reader_options())
-        .schema(with_corrupt_record(schema))
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .csv(path)
-    )
-    tagged = _tag(raw, schema, ranges, max_lengths).withColumn(
+    cells = read_text_cells(spark, path, schema, quoted_line_breaks)
+    tagged = tag_rows(cells, schema, ranges, max_lengths).withColumn(
         STATUS, F.when(F.col(REJECT_REASON).isNull(), F.lit("good")).otherwise(F.lit("rejected"))
     )
     tagged.write.mode("overwrite").partitionBy(STATUS).parquet(out_dir)

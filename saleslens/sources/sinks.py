@@ -9,6 +9,18 @@ from saleslens.functions.joins import row_count_at_most
 # A single output file is written by one task; only small dimensions qualify.
 SINGLE_FILE_ROW_LIMIT = 1_000_000
 
+# Text survives: blanks stay, an empty string is a quoted empty cell and NULL an
+# empty one, quotes are doubled, and cells with line breaks are quoted.
+CSV_WRITER = {
+    "header": "true",
+    "quote": '"',
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": "false",
+    "ignoreTrailingWhiteSpace": "false",
+    "nullValue": "",
+    "emptyValue": '""',
+}
+
 
 def export(
     df: DataFrame,
@@ -35,6 +47,6 @@ def export(
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     if fmt == "csv":
-        writer.option("header", True).option("quote", '"').option("escape", '"').csv(path)
+        writer.options(**CSV_WRITER).csv(path)
     else:
         writer.parquet(path)

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from saleslens.session import shared_dir
-from saleslens.sources.csv_source import CORRUPT, csv_reader_options, split_rejects, with_corrupt_record
+from saleslens.sources.csv_source import CORRUPT, csv_reader_options, split_rejects, tag_rows, text_schema
 from saleslens.sources.schema import sales_schema
 
 BATCH_COLUMN = "_ingest_batch"
@@ -48,7 +48,7 @@ def stream_land_csv(
     )
     reader = (
         spark.readStream.options(**csv_reader_options())
-        .schema(with_corrupt_record(schema))
+        .schema(text_schema(schema))
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", CORRUPT)
     )
@@ -59,9 +59,9 @@ def stream_land_csv(
     def land(batch: DataFrame, batch_id: int) -> None:
         # Both outputs derive from one parse of the batch's files; blocks lost
         # with an executor are re-parsed from the files (MEMORY_AND_DISK).
-        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
+        batch = tag_rows(batch, schema, ranges).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            good, rejects = split_rejects(batch, schema, ranges)
+            good, rejects = split_rejects(batch, schema)
             for name, frame in (("good", good), ("rejects", rejects)):
                 (
                     frame.withColumn(BATCH_COLUMN, F.lit(batch_id))

@@ -40,8 +40,6 @@ FIXTURE_MARKET_RULES = (("MIDDLE EAST", "NATION_3", "EUROPE"), ("MIDDLE EAST", "
 FIXTURE_PRODUCT_RULE = ("red plate", "STANDARD", "CORE")
 FIXTURE_MULTI_MARKET_COUNTRIES = ("NATION_2", "NATION_3")
 
-# Largest in-memory rule list compiled to a CASE expression; longer rule
-# tables go through a size-checked broadcast join instead.
-MAX_INLINE_RULES = 64
-# Largest row count a side may have to be broadcast after an explicit check.
+# A side is broadcast only when an explicit check proves it within both bounds.
 BROADCAST_ROW_LIMIT = 1_000_000
+BROADCAST_BYTE_LIMIT = 256_000_000

@@ -11,7 +11,7 @@ from saleslens.functions.expressions import (
     yes_no,
 )
 from saleslens.functions.formatting import fmt_number, fmt_percent, format_report
-from saleslens.functions.joins import row_count_at_most, sized_broadcast
+from saleslens.functions.joins import proven_small, sized_broadcast
 
 __all__ = [
     "discounted",
@@ -25,6 +25,6 @@ __all__ = [
     "fmt_number",
     "fmt_percent",
     "format_report",
-    "row_count_at_most",
+    "proven_small",
     "sized_broadcast",
 ]

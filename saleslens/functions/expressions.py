@@ -16,15 +16,20 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def ratio(num: str | Column, den: str | Column, scale: int = RATIO_SCALE) -> Column:
-    """num / den in double, rounded to ``scale`` digits; NULL when den is 0.
+def ratio(num: str | Column, den: str | Column, scale: int | None = RATIO_SCALE) -> Column:
+    """num / den in double, rounded to ``scale`` digits (None: not rounded); NULL when den is 0.
 
     Sums are kept exact (decimal) until this point, then both sides are cast
     to double, so results do not depend on an engine's decimal-division type.
     Every division is guarded: a zero denominator gives NULL, never an error.
     """
     d = col(den).cast("double")
-    return F.round(col(num).cast("double") / F.nullif(d, F.lit(0.0)), scale)
+    return rounded(col(num).cast("double") / F.nullif(d, F.lit(0.0)), scale)
+
+
+def rounded(value: str | Column, scale: int | None) -> Column:
+    """``value`` rounded for output; whatever still compares or formats it asks for no scale."""
+    return col(value) if scale is None else F.round(value, scale)
 
 
 def pair_key(a: str | Column, b: str | Column, mode: str = "strict") -> Column:

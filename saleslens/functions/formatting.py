@@ -10,8 +10,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from saleslens.functions.expressions import col
+from saleslens.functions.expressions import RATIO_SCALE, col
 
 
 # The display formats the source analysis applies to each gate's
@@ -66,8 +67,14 @@ def format_report(df: DataFrame, spec: dict[str, str], suffix: str = "_fmt") ->
 
     ``spec`` maps column -> 'N0' | 'N2' | 'P2' ...; the numeric column stays,
     so downstream checks compare numbers and the string is for display only.
+    Give it unrounded values (a gate's ``scale=None``): the string is rounded
+    once. Doubles come out rounded to 6 digits beside their strings.
     """
     missing = [c for c in spec if c not in df.columns]
     if missing:
         raise ValueError(f"unknown columns {missing}")
-    return df.select(*df.columns, *[_apply(c, s).alias(f"{c}{suffix}") for c, s in spec.items()])
+    doubles = {f.name for f in df.schema.fields if isinstance(f.dataType, T.DoubleType) and f.name in spec}
+    numbers = [
+        F.round(c, RATIO_SCALE).alias(c) if c in doubles and spec[c][0].upper() == "P" else F.col(c) for c in df.columns
+    ]
+    return df.select(*numbers, *[_apply(c, s).alias(f"{c}{suffix}") for c, s in spec.items()])

@@ -2,24 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from functools import reduce
 
-from saleslens.constants import BROADCAST_ROW_LIMIT
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from saleslens.constants import BROADCAST_BYTE_LIMIT, BROADCAST_ROW_LIMIT
 
-def row_count_at_most(df: DataFrame, limit: int) -> bool:
-    """True when ``df`` has at most ``limit`` rows.
 
-    Counts at most ``limit + 1`` rows, so the check stays cheap however
-    large ``df`` is.
-    """
-    return df.limit(limit + 1).count() <= limit
+def _width(field: T.StructField) -> Column:
+    """Bytes of a value in a row: 8, and its content for text and binary; nested values as text."""
+    c = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 8
+    if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+        return F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)) + 8
+    return F.lit(8)
 
 
-def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """``broadcast(df)`` when its row count is proven small, else ``df`` unchanged.
+def proven_small(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT, max_bytes: int = BROADCAST_BYTE_LIMIT) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows and ``max_bytes`` bytes of values.
 
-    Beyond the bound the join falls back to the planner's shuffle join.
+    One aggregate with partial sums in the tasks; no rows are moved.
     """
-    return F.broadcast(df) if row_count_at_most(df, max_rows) else df
+    width = reduce(lambda a, b: a + b, [_width(f) for f in df.schema.fields], F.lit(8))
+    seen = df.agg(F.count(F.lit(1)).alias("n"), F.sum(width.cast("long")).alias("bytes")).first()
+    return seen["n"] <= max_rows and (seen["bytes"] or 0) <= max_bytes
+
+
+def sized_broadcast(
+    df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT, max_bytes: int = BROADCAST_BYTE_LIMIT
+) -> DataFrame:
+    """``broadcast(df)`` when its rows and bytes are proven small, else pinned to a shuffle join."""
+    return F.broadcast(df) if proven_small(df, max_rows, max_bytes) else df.hint("merge")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from saleslens.functions.expressions import pair_key, ratio
+from saleslens.functions.expressions import RATIO_SCALE, pair_key, ratio
 
 
 def _text(c: str, collation: str | None) -> Column:
@@ -67,9 +67,12 @@ def children_per_parent(
     return out
 
 
-def distinct_pairs(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Distinct (a, b) combinations ordered by a."""
-    return df.select(a, b).distinct().orderBy(a)
+def distinct_pairs(df: DataFrame, a: str, b: str, collation: str | None = None) -> DataFrame:
+    """Distinct (a, b) combinations ordered by a, then b.
+
+    The second key spreads the pairs of one a over many sort ranges.
+    """
+    return df.select(_text(a, collation), _text(b, collation)).distinct().orderBy(a, b)
 
 
 def hierarchy_check(
@@ -113,12 +116,15 @@ def multi_parent(
     )
 
 
-def pairs_for(df: DataFrame, child: str, parent: str, values: Sequence[str]) -> DataFrame:
+def pairs_for(
+    df: DataFrame, child: str, parent: str, values: Sequence[str], collation: str | None = None
+) -> DataFrame:
     """Distinct (child, parent) for the listed children.
 
-    The literal IN list is pushed into the Parquet scan.
+    The literal IN list is pushed into the Parquet scan (not under a collation).
     """
-    return df.filter(F.col(child).isin(list(values))).select(child, parent).distinct()
+    pairs = df.select(_text(child, collation), _text(parent, collation))
+    return pairs.filter(F.col(child).isin(list(values))).distinct()
 
 
 def multi_parent_detail(
@@ -126,36 +132,31 @@ def multi_parent_detail(
     key: str = "product_name",
     parent: str = "subcategory",
     context: Sequence[str] = ("category",),
+    collation: str | None = None,
 ) -> DataFrame:
     """Every distinct (context, parent, key) of a key that has more than one parent.
 
-    Only hash aggregates: distinct (key, parent) pairs are deduped map-side,
-    then counted per key (``count(parent)`` over distinct pairs is the
-    distinct parent count, NULL excluded). The distinct triples are joined
-    back with a semi-join on the key; the planner broadcasts the multi-parent
-    keys only when their measured size is under its threshold.
+    One scan: the distinct triples are deduped map-side, and a window over the
+    few triples of each key tells whether its smallest and largest parent
+    differ (NULL parents excluded, as a distinct count excludes them).
     """
     cols = [*context, parent, key]
-    triples = df.select(*cols).distinct()
-    spread = (
-        df.select(key, parent)
-        .distinct()
-        .groupBy(key)
-        .agg(F.count(parent).alias("_n"))
-        .filter(F.col("_n") > 1)
-        .select(key)
+    triples = df.select(*[_text(c, collation) for c in cols]).filter(F.col(key).isNotNull()).distinct()
+    w = Window.partitionBy(key)
+    return (
+        triples.withColumn("_several", F.min(parent).over(w) < F.max(parent).over(w))
+        .filter("_several")
+        .select(*cols)
     )
-    return triples.join(spread, key, "left_semi").select(*cols)
 
 
-def values_reused_across(df: DataFrame, a: str = "market", b: str = "region") -> DataFrame:
-    """Distinct (a, b) whose b value also occurs as an a value, ordered by a (C17)."""
-    pairs = df.select(a, b).distinct()
-    a_values = df.select(F.col(a).alias("_v")).distinct()
-    return (
-        pairs.join(a_values, pairs[b] == a_values["_v"], "left_semi")
-        .orderBy(a)
-    )
+def values_reused_across(
+    df: DataFrame, a: str = "market", b: str = "region", collation: str | None = None
+) -> DataFrame:
+    """Distinct (a, b) whose b value also occurs as an a value, ordered by a, then b (C17)."""
+    pairs = df.select(_text(a, collation), _text(b, collation)).distinct()
+    a_values = pairs.select(F.col(a).alias("_v")).distinct()
+    return pairs.join(a_values, F.col(b) == F.col("_v"), "left_semi").orderBy(a, b)
 
 
 def name_fanout(
@@ -165,6 +166,7 @@ def name_fanout(
     region: str = "region",
     ident_alias: str | None = None,
     region_alias: str = "registered_region_count_distinct",
+    collation: str | None = None,
 ) -> DataFrame:
     """Per name: distinct ids and distinct regions.
 
@@ -172,7 +174,7 @@ def name_fanout(
     dedupe of (name, value), so only distinct pairs are shuffled and a name
     with a third of all lines still spreads over many tasks.
     """
-    return df.groupBy(name).agg(
+    return df.select(*[_text(c, collation) for c in (name, ident, region)]).groupBy(name).agg(
         F.count_distinct(ident).alias(ident_alias or f"{ident}_count_distinct"),
         F.count_distinct(region).alias(region_alias),
     )
@@ -194,6 +196,7 @@ def signed_ratio_by_period(
     measure: str = "profit",
     date: str = "order_date",
     prefix: str = "profit",
+    scale: int | None = RATIO_SCALE,
 ) -> DataFrame:
     """Per year: sum of negative values, sum of positive values, |neg| / pos.
 
@@ -206,6 +209,6 @@ def signed_ratio_by_period(
         df.groupBy(F.year(date).alias("order_year"))
         .agg(F.sum(F.when(m < 0, m)).alias(neg), F.sum(F.when(m > 0, m)).alias(pos))
         .filter(F.col(neg).isNotNull() & F.col(pos).isNotNull())
-        .select("order_year", neg, pos, ratio(F.abs(F.col(neg)), F.col(pos)).alias("negative_positive_ratio"))
+        .select("order_year", neg, pos, ratio(F.abs(F.col(neg)), F.col(pos), scale).alias("negative_positive_ratio"))
         .orderBy("order_year")
     )

@@ -14,74 +14,86 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from saleslens.constants import (
+    BROADCAST_BYTE_LIMIT,
     BROADCAST_ROW_LIMIT,
-    MAX_INLINE_RULES,
     REFERENCE_EXCLUDED_FIELDS,
     REFERENCE_MARKET_RULES,
     REFERENCE_PRODUCT_RULE,
 )
 from saleslens.functions.joins import sized_broadcast
 
-RULE_ID = "_rule_id"
+MATCHED = "_rule_matched"
 
 
-def _rule_index(conditions: Sequence[Column]) -> Column:
-    """1-based index of the first matching rule, NULL when none matches."""
-    if not conditions:
-        return F.lit(None).cast("int")
-    expr = None
-    for i, cond in enumerate(conditions, start=1):
-        expr = F.when(cond, F.lit(i)) if expr is None else expr.when(cond, F.lit(i))
-    return expr
+def _rule_table(df: DataFrame, rules: Sequence[Sequence[str]] | DataFrame, names: Sequence[str], keys: int) -> DataFrame:
+    """The rules as a table whose columns carry a prefix of their own, ready to join.
 
-
-def _pick(rule_id: Column, values: Sequence[str], current: str | None = None) -> Column:
-    """The value of the matched rule; ``current`` column (or NULL) when none matched."""
-    if not values:
-        return F.col(current) if current is not None else F.lit(None).cast("string")
-    expr = None
-    for i, v in enumerate(values, start=1):
-        cond = rule_id == i
-        expr = F.when(cond, F.lit(v)) if expr is None else expr.when(cond, F.lit(v))
-    return expr if current is None else expr.otherwise(F.col(current))
+    Tuples and tables are treated alike: two rules with one key are an error,
+    and a NULL key matches no row (as an equality in a join never does). The
+    table is broadcast when it is proven small, else joined by shuffle.
+    """
+    columns = [F.col(f"`{n}`").alias(f"_rule_{i}") for i, n in enumerate(names)]
+    if isinstance(rules, DataFrame):
+        table = rules.select(*names)
+        repeated = not table.groupBy(*names[:keys]).count().filter("count > 1").isEmpty()
+        table = sized_broadcast(table.select(*columns, F.lit(True).alias(MATCHED)))
+    else:
+        rows = [tuple(r) for r in rules]
+        repeated = len({r[:keys] for r in rows}) < len(rows)
+        table = df.sparkSession.createDataFrame(rows, ", ".join(f"`{n}` string" for n in names))
+        table = table.select(*columns, F.lit(True).alias(MATCHED))
+        if len(rows) <= BROADCAST_ROW_LIMIT and sum(len(x or "") for r in rows for x in r) <= BROADCAST_BYTE_LIMIT:
+            table = F.broadcast(table)
+    if repeated:
+        raise ValueError(f"rules must have unique ({', '.join(names[:keys])}) keys")
+    return table
+
+
+def _match(df: DataFrame, table: DataFrame, condition: Column) -> DataFrame:
+    """Every row of ``df`` with its rule, if one applies."""
+    return df.join(table, condition, "left").withColumn(MATCHED, F.coalesce(F.col(MATCHED), F.lit(False)))
+
+
+def _assign(matched: DataFrame, df: DataFrame, targets: dict[str, str]) -> DataFrame:
+    """``df`` with each target column set where a rule matched, to NULL if the rule says so."""
+    return matched.select(
+        *[
+            F.when(F.col(MATCHED), F.col(targets[c])).otherwise(F.col(c)).alias(c) if c in targets else F.col(c)
+            for c in df.columns
+        ]
+    )
 
 
-def _report(tagged: DataFrame, labels: Sequence[Sequence[str]], names: Sequence[str]) -> DataFrame:
-    """rows_changed per rule; the rule's own columns label each row."""
-    label_cols = [
-        _pick(F.col(RULE_ID), [lab[j] for lab in labels]).alias(n)
-        for j, n in enumerate(names)
-    ]
+def _report(matched: DataFrame, names: Sequence[str]) -> DataFrame:
+    """rows_changed per rule that applied; the rule's own columns label each row."""
+    cols = [f"_rule_{i}" for i in range(len(names))]
     return (
-        tagged.filter(F.col(RULE_ID).isNotNull())
-        .groupBy(RULE_ID)
+        matched.filter(MATCHED)
+        .groupBy(*cols)
         .agg(F.count(F.lit(1)).alias("rows_changed"))
-        .select(*label_cols, "rows_changed")
+        .select(*[F.col(c).alias(n) for c, n in zip(cols, names)], "rows_changed")
     )
 
 
 # ---------------------------------------------------------------- market ----
 
 
-def _market_conditions(rules, market: str, country: str) -> list[Column]:
-    return [(F.col(market) == wrong) & (F.col(country) == ctry) for wrong, ctry, _ in rules]
+def _market_match(df: DataFrame, rules, market: str, country: str) -> DataFrame:
+    names = ("wrong_market", "country", "correct_market")
+    table = _rule_table(df, rules, names, keys=2)
+    return _match(df, table, (F.col(market) == F.col("_rule_0")) & (F.col(country) == F.col("_rule_1")))
 
 
 def market_correction_map(
     df: DataFrame,
-    rules: Sequence[tuple[str, str, str]] = REFERENCE_MARKET_RULES,
+    rules: Sequence[tuple[str, str, str]] | DataFrame = REFERENCE_MARKET_RULES,
     key: str = "row_id",
     market: str = "market",
     country: str = "country",
 ) -> DataFrame:
     """key + correct_market for every row a market rule applies to."""
-    rules = list(rules)
-    rid = _rule_index(_market_conditions(rules, market, country))
-    return (
-        df.select(key, rid.alias(RULE_ID))
-        .filter(F.col(RULE_ID).isNotNull())
-        .select(key, _pick(F.col(RULE_ID), [r[2] for r in rules]).alias("correct_market"))
-    )
+    matched = _market_match(df.select(key, market, country), rules, market, country)
+    return matched.filter(MATCHED).select(key, F.col("_rule_2").alias("correct_market"))
 
 
 def apply_market_correction(
@@ -92,114 +104,72 @@ def apply_market_correction(
 ) -> tuple[DataFrame, DataFrame]:
     """Replace the market of rows whose (market, country) a rule names (C14).
 
-    ``rules``: (wrong_market, country, correct_market) triples. Up to
-    MAX_INLINE_RULES rules compile into one CASE expression: a map-only
-    projection, no join, no shuffle. A rules DataFrame (columns wrong_market,
-    country, correct_market) is joined instead: keys must be unique; it is
-    broadcast when its size is proven small, else shuffle-joined.
-    Returns (corrected, report[wrong_market, country, correct_market, rows_changed]).
-    Idempotent: a corrected row no longer matches its rule.
+    ``rules``: (wrong_market, country, correct_market) triples, or a table
+    with these columns; keys must be unique. Any number of rules goes the same
+    way: a left join with the rule table, broadcast when its size is proven
+    small, else by shuffle. A rule whose correct market is NULL sets NULL.
+    Returns (corrected, report[wrong_market, country, correct_market,
+    rows_changed]). Idempotent: a corrected row no longer matches its rule.
     """
-    if isinstance(rules, DataFrame):
-        return _apply_market_table(df, rules, market, country)
-    rules = list(rules)
-    if len(rules) > MAX_INLINE_RULES:
-        spark = df.sparkSession
-        table = spark.createDataFrame(rules, "wrong_market string, country string, correct_market string")
-        return _apply_market_table(df, table, market, country)
-    tagged = df.withColumn(RULE_ID, _rule_index(_market_conditions(rules, market, country)))
-    corrected = tagged.withColumn(market, _pick(F.col(RULE_ID), [r[2] for r in rules], market)).drop(RULE_ID)
-    report = _report(tagged, rules, ("wrong_market", country, "correct_market"))
-    return corrected, report
-
-
-def _apply_market_table(df: DataFrame, rules: DataFrame, market: str, country: str) -> tuple[DataFrame, DataFrame]:
-    dup = rules.groupBy("wrong_market", "country").count().filter("count > 1")
-    if dup.limit(1).count():
-        raise ValueError("market rules must have unique (wrong_market, country) keys")
-    r = rules.select(
-        F.col("wrong_market").alias("_rw"),
-        F.col("country").alias("_rc"),
-        F.col("correct_market").alias("_rm"),
-    )
-    r = sized_broadcast(r, BROADCAST_ROW_LIMIT)
-    joined = df.join(r, (df[market] == r["_rw"]) & (df[country] == r["_rc"]), "left")
-    corrected = joined.withColumn(market, F.coalesce(F.col("_rm"), F.col(market))).drop("_rw", "_rc", "_rm")
-    report = (
-        joined.filter(F.col("_rm").isNotNull())
-        .groupBy("_rw", "_rc", "_rm")
-        .agg(F.count(F.lit(1)).alias("rows_changed"))
-        .select(
-            F.col("_rw").alias("wrong_market"),
-            F.col("_rc").alias(country),
-            F.col("_rm").alias("correct_market"),
-            "rows_changed",
-        )
-    )
-    return corrected, report
+    matched = _market_match(df, rules, market, country)
+    report = _report(matched, ("wrong_market", country, "correct_market"))
+    return _assign(matched, df, {market: "_rule_2"}), report
 
 
 # ----------------------------------------------------------- subcategory ----
 
 
-def _product_conditions(rules, product: str, subcategory: str) -> list[Column]:
-    # != drops NULL subcategories (three-valued logic), as in the source system.
-    return [(F.col(product) == p) & (F.col(subcategory) != sub) for p, sub, _ in rules]
-
-
 def _as_rules(rule) -> list[tuple[str, str, str]]:
     if not rule:
         return []
     return [tuple(rule)] if isinstance(rule[0], str) else [tuple(r) for r in rule]
 
 
+def _product_match(df: DataFrame, rule, product: str, subcategory: str) -> DataFrame:
+    names = ("product_name", "correct_subcategory", "correct_category")
+    rules = rule if isinstance(rule, DataFrame) else _as_rules(rule)
+    table = _rule_table(df, rules, names, keys=1)
+    # <> leaves rows without a subcategory alone, as in the source system
+    condition = (F.col(product) == F.col("_rule_0")) & (F.col(subcategory) != F.col("_rule_1"))
+    return _match(df, table, condition)
+
+
 def subcategory_correction_map(
     df: DataFrame,
-    rule: tuple[str, str, str] | Sequence[tuple[str, str, str]] = REFERENCE_PRODUCT_RULE,
+    rule: tuple[str, str, str] | Sequence[tuple[str, str, str]] | DataFrame = REFERENCE_PRODUCT_RULE,
     key: str = "row_id",
     product: str = "product_name",
     subcategory: str = "subcategory",
 ) -> DataFrame:
     """key, current subcategory, product, correct subcategory and category for
     every row of a named product filed outside its correct subcategory (C16a)."""
-    rules = _as_rules(rule)
-    rid = F.col(RULE_ID)
-    return (
-        df.select(key, subcategory, product, _rule_index(_product_conditions(rules, product, subcategory)).alias(RULE_ID))
-        .filter(rid.isNotNull())
-        .select(
-            key,
-            subcategory,
-            product,
-            _pick(rid, [r[1] for r in rules]).alias("correct_subcategory"),
-            _pick(rid, [r[2] for r in rules]).alias("correct_category"),
-        )
+    matched = _product_match(df.select(key, subcategory, product), rule, product, subcategory)
+    return matched.filter(MATCHED).select(
+        key,
+        subcategory,
+        product,
+        F.col("_rule_1").alias("correct_subcategory"),
+        F.col("_rule_2").alias("correct_category"),
     )
 
 
 def apply_subcategory_correction(
     df: DataFrame,
-    rule: tuple[str, str, str] | Sequence[tuple[str, str, str]] = REFERENCE_PRODUCT_RULE,
+    rule: tuple[str, str, str] | Sequence[tuple[str, str, str]] | DataFrame = REFERENCE_PRODUCT_RULE,
     product: str = "product_name",
     subcategory: str = "subcategory",
     category: str = "category",
 ) -> tuple[DataFrame, DataFrame]:
     """Move a product into its correct subcategory and category.
 
-    ``rule``: (product_name, correct_subcategory, correct_category), or a list
-    of them. Map-only CASE projection; report counts rows per rule.
+    ``rule``: (product_name, correct_subcategory, correct_category), a list of
+    them, or a table with these columns; one rule for a product. Any number of
+    rules takes the join of ``apply_market_correction``. The report counts
+    rows per rule.
     """
-    rules = _as_rules(rule)
-    if len(rules) > MAX_INLINE_RULES:
-        raise ValueError(f"at most {MAX_INLINE_RULES} product rules")
-    tagged = df.withColumn(RULE_ID, _rule_index(_product_conditions(rules, product, subcategory)))
-    corrected = (
-        tagged.withColumn(subcategory, _pick(F.col(RULE_ID), [r[1] for r in rules], subcategory))
-        .withColumn(category, _pick(F.col(RULE_ID), [r[2] for r in rules], category))
-        .drop(RULE_ID)
-    )
-    report = _report(tagged, rules, (product, "correct_subcategory", "correct_category"))
-    return corrected, report
+    matched = _product_match(df, rule, product, subcategory)
+    report = _report(matched, (product, "correct_subcategory", "correct_category"))
+    return _assign(matched, df, {subcategory: "_rule_1", category: "_rule_2"}), report
 
 
 # ---------------------------------------------------------- by-key update ----
@@ -209,17 +179,18 @@ def apply_by_key(df: DataFrame, fixes: DataFrame, key: str, targets: dict[str, s
     """Update-by-join on a key column: ``targets`` maps df column -> fixes column.
 
     Only safe when ``key`` is unique in both inputs, so both are checked
-    first; a shared key would copy one row's fix onto another row. Prefer the
-    rule-based operators above.
+    first; a shared key would copy one row's fix onto another row. A matched
+    row takes the new value even if that is NULL. Prefer the rule-based
+    operators above.
     """
     for name, frame in (("input", df), ("fixes", fixes)):
         if frame.groupBy(key).count().filter("count > 1").limit(1).count():
             raise ValueError(f"{key} is not unique in the {name}; use a rule-based correction")
-    renamed = fixes.select(F.col(key), *[F.col(src).alias(f"_fix_{dst}") for dst, src in targets.items()])
-    joined = df.join(renamed, key, "left")
-    for dst in targets:
-        joined = joined.withColumn(dst, F.coalesce(F.col(f"_fix_{dst}"), F.col(dst))).drop(f"_fix_{dst}")
-    return joined.select(*df.columns)
+    renamed = fixes.select(
+        F.col(key), F.lit(True).alias(MATCHED), *[F.col(src).alias(f"_fix_{dst}") for dst, src in targets.items()]
+    )
+    joined = df.join(renamed, key, "left").withColumn(MATCHED, F.coalesce(F.col(MATCHED), F.lit(False)))
+    return _assign(joined, df, {dst: f"_fix_{dst}" for dst in targets})
 
 
 # ---------------------------------------------------------- field policy ----

@@ -7,7 +7,8 @@ table to anything: the groups partition the filtered rows, so their sums are
 the totals, and no separate totals query over the fact is needed.
 
 Ratios follow ``functions.expressions.ratio``: exact decimal sums, double
-division, rounded to 6 digits, NULL on a zero denominator.
+division, rounded to 6 digits (``scale=None`` leaves them unrounded, for what
+formats or compares them), NULL on a zero denominator.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from collections.abc import Sequence
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from saleslens.constants import (
     REFERENCE_CORE_MARKETS,
@@ -24,20 +26,21 @@ from saleslens.constants import (
     REFERENCE_SEGMENT_YEARS,
     REFERENCE_SNAPSHOT_COLUMNS,
 )
-from saleslens.functions.expressions import RATIO_SCALE, discounted, in_years, ratio, ship_days, yes_no
+from saleslens.functions.expressions import RATIO_SCALE, discounted, in_years, ratio, rounded, ship_days, yes_no
 
 
 def with_totals(agg: DataFrame, *cols: str) -> DataFrame:
     """Add ``total_<c>`` = sum of ``c`` over all rows of an aggregated frame.
 
-    Each total is an uncorrelated scalar subquery over the aggregated rows
-    (SQL: ``revenue / (SELECT sum(revenue) FROM agg)``): Spark merges them into
-    one subquery, runs it once (partial sums per task, one row), and reuses
-    the group branch's exchange for it, so the fact is scanned once. No join
-    is involved and no task ever holds all group rows, unlike a window over
-    all groups.
+    The totals are one uncorrelated scalar subquery over the aggregated rows
+    that sums every numeric column, so that it needs the very aggregate of the
+    group branch and reuses its exchange: the fact is scanned once. No join is
+    involved and no task ever holds all group rows, unlike a window over all
+    groups.
     """
-    return agg.select("*", *[agg.select(F.sum(c)).scalar().alias(f"total_{c}") for c in cols])
+    numeric = [f.name for f in agg.schema.fields if isinstance(f.dataType, T.NumericType)]
+    totals = agg.select(F.struct(*[F.sum(c).alias(c) for c in numeric])).scalar()
+    return agg.select("*", *[totals.getField(c).alias(f"total_{c}") for c in cols])
 
 
 def _in(c: str, values: Sequence[str] | None) -> Column:
@@ -64,6 +67,7 @@ def contribution(
     by: str = "market",
     distinct_col: str | None = "country",
     measure: str = "sales",
+    scale: int | None = RATIO_SCALE,
 ) -> DataFrame:
     """Per group: distinct count, revenue, revenue share, mean line value,
     line count and line-count share; largest revenue first (A02 market_performance).
@@ -83,16 +87,22 @@ def contribution(
     return out.select(
         *keep,
         "revenue",
-        ratio("revenue", "total_revenue").alias("revenue_pct"),
-        ratio("revenue", "_valued").alias("aov"),
+        ratio("revenue", "total_revenue", scale=scale).alias("revenue_pct"),
+        ratio("revenue", "_valued", scale=scale).alias("aov"),
         "order_count",
-        ratio("order_count", "total_order_count").alias("order_count_pct"),
+        ratio("order_count", "total_order_count", scale=scale).alias("order_count_pct"),
     ).orderBy(F.col("revenue").desc())
 
 
-def market_performance(df: DataFrame, market: str = "market", country: str = "country", measure: str = "sales") -> DataFrame:
+def market_performance(
+    df: DataFrame,
+    market: str = "market",
+    country: str = "country",
+    measure: str = "sales",
+    scale: int | None = RATIO_SCALE,
+) -> DataFrame:
     """A02 with the source's column roles."""
-    return contribution(df, by=market, distinct_col=country, measure=measure)
+    return contribution(df, by=market, distinct_col=country, measure=measure, scale=scale)
 
 
 def yoy_growth(
@@ -101,6 +111,7 @@ def yoy_growth(
     date: str = "order_date",
     measure: str = "sales",
     core: Sequence[str] | None = REFERENCE_CORE_MARKETS,
+    scale: int | None = RATIO_SCALE,
 ) -> DataFrame:
     """Yearly revenue per group and growth over the previous present year.
 
@@ -121,7 +132,7 @@ def yoy_growth(
         by,
         "revenue",
         "lag_revenue",
-        ratio(F.col("revenue") - F.col("lag_revenue"), "lag_revenue").alias("revenue_growth_yoy"),
+        ratio(F.col("revenue") - F.col("lag_revenue"), "lag_revenue", scale=scale).alias("revenue_growth_yoy"),
     )
 
 
@@ -130,9 +141,11 @@ def stability_verdict(yoy: DataFrame, by: str = "market", max_negative_years: in
 
     Fails when more than ``max_negative_years`` years show negative growth, or
     when two adjacent reported years both decline. Both flags are reported.
+    The sign is that of the revenues themselves, not of the rounded growth.
     """
     w = Window.partitionBy(by).orderBy("order_year")
-    neg = F.coalesce(F.col("revenue_growth_yoy") < 0, F.lit(False))
+    now, before = F.col("revenue"), F.col("lag_revenue")
+    neg = F.coalesce(F.when(before != 0, (now - before) * F.signum(before) < 0), F.lit(False))
     flagged = yoy.select(by, "order_year", neg.alias("_neg")).withColumn(
         "_prev_neg", F.lag("_neg", 1, False).over(w)
     )
@@ -169,6 +182,7 @@ def category_performance(
     by: str = "category",
     market: str = "market",
     measure: str = "sales",
+    scale: int | None = RATIO_SCALE,
 ) -> DataFrame:
     """Per category within core markets: revenue, share of core revenue, lines,
     share of core lines; largest revenue first (A06).
@@ -182,9 +196,9 @@ def category_performance(
     return with_totals(agg, "revenue", "order_count").select(
         by,
         "revenue",
-        ratio("revenue", "total_revenue").alias("revenue_pct"),
+        ratio("revenue", "total_revenue", scale=scale).alias("revenue_pct"),
         "order_count",
-        ratio("order_count", "total_order_count").alias("order_count_pct"),
+        ratio("order_count", "total_order_count", scale=scale).alias("order_count_pct"),
     ).orderBy(F.col("revenue").desc())
 
 
@@ -194,6 +208,7 @@ def discount_over_index(
     by: str = "market",
     discount: str = "discount",
     measure: str = "sales",
+    scale: int | None = RATIO_SCALE,
 ) -> DataFrame:
     """Per core market: share of core revenue vs share of all discounted core
     revenue, and whether the latter is larger ('Yes'/'No'); largest share first (A07).
@@ -207,8 +222,9 @@ def discount_over_index(
         F.sum(F.when(discounted(discount), m).otherwise(F.lit(0))).alias("discounted_revenue"),
     )
     raw_share = F.col("revenue").cast("double") / F.nullif(F.col("total_revenue").cast("double"), F.lit(0.0))
-    raw_disc = F.col("discounted_revenue").cast("double") / F.nullif(
-        F.col("total_discounted_revenue").cast("double"), F.lit(0.0)
+    # a market without discounted revenue has a share of 0, also when no market has any
+    raw_disc = F.when(F.col("discounted_revenue") == 0, F.lit(0.0)).otherwise(
+        F.col("discounted_revenue").cast("double") / F.nullif(F.col("total_discounted_revenue").cast("double"), F.lit(0.0))
     )
     shares = with_totals(agg, "revenue", "discounted_revenue").select(
         by, "revenue", "discounted_revenue", raw_share.alias("_s"), raw_disc.alias("_d")
@@ -217,8 +233,8 @@ def discount_over_index(
         by,
         "revenue",
         "discounted_revenue",
-        F.round("_s", RATIO_SCALE).alias("market_revenue_pct"),
-        F.round("_d", RATIO_SCALE).alias("discounted_revenue_pct"),
+        rounded("_s", scale).alias("market_revenue_pct"),
+        rounded("_d", scale).alias("discounted_revenue_pct"),
         yes_no(F.col("_d") > F.col("_s")).alias("discount_over_indexes_scale"),
     ).orderBy(F.col("market_revenue_pct").desc())
 
@@ -232,6 +248,7 @@ def ship_mode_performance(
     ship_date: str = "ship_date",
     cost: str = "shipping_cost",
     measure: str = "sales",
+    scale: int | None = RATIO_SCALE,
 ) -> DataFrame:
     """Per ship mode in core markets: mean shipping days, mean shipping cost,
     revenue share and line share; fastest first (A08).
@@ -253,12 +270,12 @@ def ship_mode_performance(
     return with_totals(agg, "revenue", "order_count").select(
         by,
         F.expr("_sd div nullif(_nd, 0)").alias("avg_ship_day"),
-        ratio("_sd", "_nd").alias("avg_ship_day_exact"),
-        ratio("_sc", "_nc").alias("avg_shipping_cost"),
+        ratio("_sd", "_nd", scale=scale).alias("avg_ship_day_exact"),
+        ratio("_sc", "_nc", scale=scale).alias("avg_shipping_cost"),
         "revenue",
-        ratio("revenue", "total_revenue").alias("revenue_pct"),
+        ratio("revenue", "total_revenue", scale=scale).alias("revenue_pct"),
         "order_count",
-        ratio("order_count", "total_order_count").alias("order_count_pct"),
+        ratio("order_count", "total_order_count", scale=scale).alias("order_count_pct"),
     ).orderBy("avg_ship_day")
 
 
@@ -295,6 +312,7 @@ def period_share(
     market: str = "market",
     date: str = "order_date",
     measure: str = "sales",
+    scale: int | None = RATIO_SCALE,
 ) -> DataFrame:
     """Each group's share of its month's revenue, core markets, chosen years.
 
@@ -304,7 +322,7 @@ def period_share(
     """
     shares = _monthly_shares(df, core, years, by, market, date, measure)
     return shares.select(
-        "order_year", "order_month", by, "monthly_revenue", F.round("_share", RATIO_SCALE).alias("contribution_pct")
+        "order_year", "order_month", by, "monthly_revenue", rounded("_share", scale).alias("contribution_pct")
     )
 
 
@@ -316,6 +334,7 @@ def share_stability(
     market: str = "market",
     date: str = "order_date",
     measure: str = "sales",
+    scale: int | None = RATIO_SCALE,
 ) -> DataFrame:
     """Per group: mean monthly share, sample std-dev, coefficient of variation.
 
@@ -326,9 +345,9 @@ def share_stability(
     stats = shares.groupBy(by).agg(F.avg("_share").alias("_m"), F.stddev_samp("_share").alias("_sd"))
     return stats.select(
         by,
-        F.round("_m", RATIO_SCALE).alias("mean_pct"),
-        F.round("_sd", RATIO_SCALE).alias("std_dev"),
-        F.round(F.col("_sd") / F.nullif(F.col("_m"), F.lit(0.0)), RATIO_SCALE).alias("cv_pct"),
+        rounded("_m", scale).alias("mean_pct"),
+        rounded("_sd", scale).alias("std_dev"),
+        rounded(F.col("_sd") / F.nullif(F.col("_m"), F.lit(0.0)), scale).alias("cv_pct"),
     )
 
 
@@ -339,6 +358,7 @@ def flag_rate(
     by: str = "segment",
     market: str = "market",
     discount: str = "discount",
+    scale: int | None = RATIO_SCALE,
 ) -> DataFrame:
     """Per group (one excluded): share of lines that carry a discount (A10 organic_demand).
 
@@ -355,5 +375,5 @@ def flag_rate(
         by,
         "discounted_order_count",
         "order_count",
-        ratio("discounted_order_count", "order_count").alias("discounted_order_pct"),
+        ratio("discounted_order_count", "order_count", scale=scale).alias("discounted_order_pct"),
     )

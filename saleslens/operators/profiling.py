@@ -8,16 +8,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
 
-from saleslens.constants import BROADCAST_ROW_LIMIT, REFERENCE_RANGE_COLUMNS
+from saleslens.constants import REFERENCE_RANGE_COLUMNS
 from saleslens.functions.expressions import RATIO_SCALE
-from saleslens.functions.joins import row_count_at_most
-from saleslens.session import shared_dir
-
-# Largest sample drawn by row position (positions are collected to the driver).
-MAX_POSITIONAL_SAMPLE = 10_000
-
 
 def _check_columns(df: DataFrame, columns: Sequence[str]) -> None:
     unknown = [c for c in columns if c not in df.columns]
@@ -33,44 +26,12 @@ def _check_comparable(df: DataFrame, columns: Sequence[str]) -> None:
 
 
 def sample_rows(df: DataFrame, n: int = 10, seed: int | None = None) -> DataFrame:
-    """n rows drawn uniformly at random, without replacement.
-
-    Over a file scan, the draw runs on row positions only: a top-n by a
-    random key over ``_metadata.file_path`` / ``_metadata.row_index`` (no
-    data column is decoded), then the n chosen rows are read back from just
-    their files (a filter on ``_metadata.file_path`` prunes the file
-    listing) and matched by a broadcast semi-join on the n positions. The n
-    positions are the only thing brought to the driver, and the sample stays
-    fixed once drawn. Other inputs (or large n) use a
-    top-n by a random key (TakeOrderedAndProject: n rows per task, no sort).
+    """n rows drawn uniformly at random, without replacement (C03); all rows when there are fewer.
+
+    A top-n by a random key for any input and any n: each task keeps n rows of
+    its own, and one ordering picks n of those. Lazy, and drawn anew by each
+    action unless a seed is given and the input keeps its row order.
     """
-    if n <= MAX_POSITIONAL_SAMPLE and df.inputFiles():
-        try:
-            picked = (
-                df.select(
-                    F.col("_metadata.file_path").alias("_fp"),
-                    F.col("_metadata.row_index").alias("_ri"),
-                )
-                .orderBy(F.rand(seed))
-                .limit(n)
-                .collect()
-            )
-        except AnalysisException:
-            picked = None
-        if picked is not None:
-            if not picked:
-                return df.limit(0)
-            files = sorted({r["_fp"] for r in picked})
-            keys = df.sparkSession.createDataFrame(
-                [(r["_fp"], r["_ri"]) for r in picked], "_sample_fp string, _sample_ri long"
-            ).coalesce(1)
-            located = df.filter(F.col("_metadata.file_path").isin(files)).select(
-                "*",
-                F.col("_metadata.file_path").alias("_sample_fp"),
-                F.col("_metadata.row_index").alias("_sample_ri"),
-            )
-            # at most n keys: a proven-size broadcast
-            return located.join(F.broadcast(keys), ["_sample_fp", "_sample_ri"], "left_semi").select(*df.columns)
     return df.orderBy(F.rand(seed)).limit(n)
 
 
@@ -136,7 +97,8 @@ def column_profile(
         [(c, types[c]) for c in columns], "column_name string, data_type string"
     )
     counts = reduce(DataFrame.unionAll, parts)
-    return listing.join(counts, "column_name", "left").select(
+    # one row per column on both sides
+    return F.broadcast(listing).join(F.broadcast(counts), "column_name", "left").select(
         "column_name",
         "data_type",
         F.coalesce("null_count", F.lit(0)).alias("null_count"),
@@ -144,36 +106,22 @@ def column_profile(
     )
 
 
-def duplicate_rows(
-    df: DataFrame,
-    exclude: Sequence[str] = (),
-    candidate_limit: int = BROADCAST_ROW_LIMIT,
-) -> DataFrame:
+def duplicate_rows(df: DataFrame, exclude: Sequence[str] = ()) -> DataFrame:
     """Groups of identical rows (count > 1): duplicate_counter + the compared columns.
 
     Compares every column except ``exclude`` (NULLs compare equal, as GROUP BY
-    does). Two passes instead of shuffling whole rows: pass 1 shuffles only a
-    64-bit hash per row (map-side combined) and keeps hashes seen twice; when
-    those candidates are proven few they are broadcast into a semi-join, so
-    only candidate rows reach the exact grouping. Hash collisions only add
-    candidates, never results. Above the limit it groups directly. The
-    candidates are checkpointed to the shared folder, so the hash pass runs
-    once for both the size check and the join.
+    does). Two passes instead of shuffling whole rows: the first shuffles only
+    a 64-bit hash per row (map-side combined) and keeps hashes seen twice; a
+    semi-join with those lets only candidate rows reach the exact grouping.
+    Adaptive execution broadcasts the candidates when they turn out small.
+    Hash collisions only add candidates, never results. No job runs while the
+    plan is built.
     """
     _check_columns(df, exclude)
     cols = [c for c in df.columns if c not in set(exclude)]
     if not cols:
         raise ValueError("no columns left to compare")
     _check_comparable(df, cols)
-
-    def exact(rows: DataFrame) -> DataFrame:
-        return (
-            rows.groupBy(*cols)
-            .agg(F.count(F.lit(1)).alias("duplicate_counter"))
-            .filter(F.col("duplicate_counter") > 1)
-            .select("duplicate_counter", *cols)
-        )
-
     row_hash = F.xxhash64(*[F.col(c) for c in cols]).alias("_row_hash")
     candidates = (
         df.select(row_hash)
@@ -182,16 +130,14 @@ def duplicate_rows(
         .filter(F.col("n") > 1)
         .select("_row_hash")
     )
-    shared_dir(df.sparkSession)  # make sure a reliable checkpoint folder is set
-    candidates = candidates.checkpoint(eager=True)
-    if row_count_at_most(candidates, candidate_limit):
-        narrowed = (
-            df.select(*cols, row_hash)
-            .join(F.broadcast(candidates), "_row_hash", "left_semi")
-            .drop("_row_hash")
-        )
-        return exact(narrowed)
-    return exact(df)
+    return (
+        df.select(*cols, row_hash)
+        .join(candidates, "_row_hash", "left_semi")
+        .groupBy(*cols)
+        .agg(F.count(F.lit(1)).alias("duplicate_counter"))
+        .filter(F.col("duplicate_counter") > 1)
+        .select("duplicate_counter", *cols)
+    )
 
 
 def numeric_range_stats(df: DataFrame, columns: Sequence[str] = REFERENCE_RANGE_COLUMNS) -> DataFrame:

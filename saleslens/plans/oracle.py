@@ -1,9 +1,9 @@
-"""Independent SQL formulations (DuckDB dialect) of every registered query.
+"""SQL (DuckDB dialect) for every registered query, written from the operators' definitions.
 
-Written in the source analysis's own shape where it differs from ours
-(two-pass joins, self-joins, cross joins to one-row totals, recursive
-calendar), so agreement is a real check and not the same plan twice. The
-pre-registered views are the driver's tables; the fixture fact is a CTE.
+The formulations use what DuckDB offers and the operators do not use (rollups
+with their total row, as-of joins, filtered aggregates, unpivoting), so
+agreement is a real check and not the same plan twice. The pre-registered
+views are the driver's tables; the fixture fact is a CTE.
 
 Type alignment with Spark: sums of decimal(10,2) are cast to DECIMAL(20,2),
 year/month to INTEGER, ratios computed in DOUBLE and rounded to 6 digits.
@@ -20,7 +20,13 @@ from saleslens.constants import (
     FIXTURE_SEGMENT_YEARS,
 )
 from saleslens.functions.formatting import REPORT_FORMATS
-from saleslens.sources.fixtures import DIRTY_MARKET_EXPRESSION, SALES_FACT_EXPRESSIONS, sales_fact_sql
+from saleslens.sources.fixtures import (
+    DIRTY_MARKET_EXPRESSION,
+    GROWING_SALES_EXPRESSION,
+    SALES_FACT_EXPRESSIONS,
+    SPARSE_EXPRESSIONS,
+    sales_fact_sql,
+)
 
 # Spark type names of the fixture fact's columns (column_profile's data_type).
 FACT_TYPES = {
@@ -42,374 +48,372 @@ def _lst(values) -> str:
 
 CORE = _lst(FIXTURE_CORE_MARKETS)
 YEARS = ", ".join(str(y) for y in FIXTURE_SEGMENT_YEARS)
-FACT = f"WITH sales_fact AS (\n{sales_fact_sql()}\n)\n"
-DIRTY = (
-    f"WITH sales_fact AS (\n{sales_fact_sql()}\n),\n"
-    f"sales_dirty AS (SELECT * REPLACE ({DIRTY_MARKET_EXPRESSION} AS market) FROM sales_fact)\n"
-)
 MARKET_RULES = ", ".join(f"('{w}', '{c}', '{m}')" for w, c, m in FIXTURE_MARKET_RULES)
 PRODUCT, PRODUCT_SUB, PRODUCT_CAT = FIXTURE_PRODUCT_RULE
 
 
-def R(num: str, den: str) -> str:
-    return f"ROUND(CAST({num} AS DOUBLE) / NULLIF(CAST({den} AS DOUBLE), 0), 6)"
+# A fact is a list of CTEs ending in one named ``fact``.
+Fact = str
 
 
-def _profile() -> str:
-    parts = [
-        f"SELECT '{c}' AS column_name, '{FACT_TYPES.get(c, 'string')}' AS data_type, "
-        f"COUNT(CASE WHEN {c} IS NULL THEN 1 END) AS null_count, COUNT(DISTINCT {c}) AS count_distinct "
-        "FROM sales_fact"
-        for c in FACT_COLUMNS
-    ]
-    return FACT + "\nUNION ALL\n".join(parts)
+def fact_of(expression: str = "SELECT * FROM clean") -> Fact:
+    return f"WITH clean AS (\n{sales_fact_sql()}\n), fact AS ({expression})"
 
 
-def _range_stats() -> str:
-    cols = ("sales", "quantity", "discount", "profit", "shipping_cost")
-    parts = [
-        f"SELECT '{c}' AS column_name, CAST(MIN({c}) AS DOUBLE) AS \"min\", "
-        f"ROUND(CAST(SUM({c}) AS DOUBLE) / NULLIF(CAST(COUNT({c}) AS DOUBLE), 0), 6) AS \"avg\", "
-        f"CAST(MAX({c}) AS DOUBLE) AS \"max\" FROM sales_fact"
-        for c in cols
-    ]
-    return FACT + "\nUNION ALL\n".join(parts)
-
-
-def _duplicates(cols: list[str]) -> str:
-    c = ", ".join(cols)
-    return FACT + f"SELECT COUNT(*) AS duplicate_counter, {c} FROM sales_fact GROUP BY {c} HAVING COUNT(*) > 1"
-
-
-def _hier(src: str, parent: str, child: str, child_alias: str, map_alias: str) -> str:
-    return (
-        f"SELECT COUNT(DISTINCT {child}) AS {child_alias}, "
-        f"COUNT(DISTINCT ({parent}, {child})) AS {map_alias}, "
-        f"COUNT(DISTINCT CONCAT({parent}, {child})) AS {map_alias}_concat FROM {src}"
-    )
-
-
-_MARKET_CORRECTED = (
-    DIRTY
-    + f", rules(wrong_market, rule_country, correct_market) AS (VALUES {MARKET_RULES}),\n"
-    "corrected AS (\n"
-    "  SELECT s.* REPLACE (COALESCE(r.correct_market, s.market) AS market)\n"
-    "  FROM sales_dirty s LEFT JOIN rules r ON s.market = r.wrong_market AND s.country = r.rule_country)\n"
+CLEAN = fact_of()
+DIRTY = fact_of(f"SELECT * REPLACE ({DIRTY_MARKET_EXPRESSION} AS market) FROM clean")
+SPARSE = fact_of(
+    "SELECT * REPLACE (" + ", ".join(f"{e} AS {c}" for c, e in SPARSE_EXPRESSIONS.items()) + ") FROM clean"
 )
+TWINS = fact_of("SELECT * FROM clean UNION ALL SELECT * FROM clean WHERE row_id % 10 = 3")
+GROWING = fact_of(f"SELECT * REPLACE ({GROWING_SALES_EXPRESSION} AS sales) FROM clean")
 
-_PRODUCT_CORRECTED = (
-    FACT
-    + ", fixes AS (\n"
-    f"  SELECT * REPLACE ('{PRODUCT_SUB}' AS subcategory, '{PRODUCT_CAT}' AS category) FROM sales_fact\n"
-    f"  WHERE product_name = '{PRODUCT}' AND subcategory != '{PRODUCT_SUB}'),\n"
-    "corrected AS (\n"
-    "  SELECT * FROM fixes UNION ALL\n"
-    f"  SELECT * FROM sales_fact WHERE NOT (product_name = '{PRODUCT}' AND subcategory != '{PRODUCT_SUB}')\n"
-    f"     OR product_name IS NULL OR subcategory IS NULL)\n"
-)
 
-_MONTHLY = (
-    FACT
-    + ", segment_monthly_revenue AS (\n"
-    "  SELECT CAST(YEAR(order_date) AS INTEGER) AS order_year, CAST(MONTH(order_date) AS INTEGER) AS order_month,\n"
-    "         segment, SUM(sales) AS monthly_revenue\n"
-    f"  FROM sales_fact WHERE market IN ({CORE}) AND YEAR(order_date) IN ({YEARS})\n"
-    "  GROUP BY YEAR(order_date), MONTH(order_date), segment),\n"
-    "monthly_total_revenue AS (\n"
-    "  SELECT order_year, order_month, SUM(monthly_revenue) AS total_revenue\n"
-    "  FROM segment_monthly_revenue GROUP BY order_year, order_month),\n"
-    "shares AS (\n"
-    "  SELECT SMR.order_year, SMR.order_month, SMR.segment, SMR.monthly_revenue,\n"
-    "         CAST(SMR.monthly_revenue AS DOUBLE) / NULLIF(CAST(MTR.total_revenue AS DOUBLE), 0) AS contribution_pct\n"
-    "  FROM segment_monthly_revenue SMR JOIN monthly_total_revenue MTR\n"
-    "    ON SMR.order_year = MTR.order_year AND SMR.order_month = MTR.order_month)\n"
-)
+def per(a: str, b: str) -> str:
+    return f"(CAST({a} AS DOUBLE) / NULLIF(CAST({b} AS DOUBLE), 0))"
 
-_YOY = (
-    FACT
-    + ", market_stability_yoy AS (\n"
-    "  SELECT CAST(YEAR(order_date) AS INTEGER) AS order_year, market, SUM(sales) AS revenue\n"
-    f"  FROM sales_fact WHERE market IN ({CORE}) GROUP BY YEAR(order_date), market),\n"
-    "yoy_preparation AS (\n"
-    "  SELECT *, LAG(revenue, 1, 0) OVER (PARTITION BY market ORDER BY order_year) AS lag_revenue\n"
-    "  FROM market_stability_yoy),\n"
-    "yoy AS (\n"
-    "  SELECT order_year, market, CAST(revenue AS DECIMAL(20,2)) AS revenue,\n"
-    "         CAST(lag_revenue AS DECIMAL(20,2)) AS lag_revenue,\n"
-    f"         {R('revenue - lag_revenue', 'lag_revenue')} AS revenue_growth_yoy\n"
-    "  FROM yoy_preparation)\n"
-)
 
-_TOTAL_CORE = (
-    f", total_core_markets AS (\n"
-    f"  SELECT SUM(sales) AS total_revenue, COUNT(*) AS total_order_count\n"
-    f"  FROM sales_fact WHERE market IN (SELECT core_markets FROM (VALUES {', '.join(f'({chr(39)}{m}{chr(39)})' for m in FIXTURE_CORE_MARKETS)}) v(core_markets)))\n"
-)
+def r6(x: str, exact: bool) -> str:
+    return x if exact else f"ROUND({x}, 6)"
+
+
+def money(x: str) -> str:
+    return f"CAST({x} AS DECIMAL(20,2))"
+
+
+# ------------------------------------------------------------------ audits --
+
+
+def profile() -> str:
+    kinds = ", ".join(f"('{c}', '{FACT_TYPES.get(c, 'string')}')" for c in FACT_COLUMNS)
+    return f"""{CLEAN}, cells AS (
+    SELECT column_name, cell FROM (SELECT CAST(COLUMNS(*) AS VARCHAR) FROM fact)
+    UNPIVOT INCLUDE NULLS (cell FOR column_name IN (COLUMNS(*)))
+), kinds(column_name, data_type) AS (VALUES {kinds})
+SELECT column_name, any_value(data_type) AS data_type, count(*) - count(cell) AS null_count,
+       count(DISTINCT cell) AS count_distinct
+FROM cells JOIN kinds USING (column_name) GROUP BY column_name"""
+
+
+def ranges() -> str:
+    cols = ("sales", "quantity", "discount", "profit", "shipping_cost")
+    cast = ", ".join(f"CAST({c} AS DECIMAL(18,3)) AS {c}" for c in cols)
+    return f"""{CLEAN}
+SELECT column_name, CAST(min(v) AS DOUBLE) AS "min", ROUND({per("sum(v)", "count(v)")}, 6) AS "avg",
+       CAST(max(v) AS DOUBLE) AS "max"
+FROM (UNPIVOT (SELECT {cast} FROM fact) ON {", ".join(cols)} INTO NAME column_name VALUE v) GROUP BY column_name"""
+
+
+def duplicates(fact: Fact, cols: list[str]) -> str:
+    names = ", ".join(cols)
+    return f"""{fact}, counted AS (SELECT {names}, count(*) AS duplicate_counter FROM fact GROUP BY ALL)
+SELECT duplicate_counter, {names} FROM counted WHERE duplicate_counter > 1"""
+
 
-_MARKET_PERF = (
-    FACT
-    + ", market_performance AS (\n"
-    "  SELECT market, COUNT(DISTINCT country) AS country_count, SUM(sales) AS revenue,\n"
-    f"         {R('SUM(sales)', 'SUM(SUM(sales)) OVER ()')} AS revenue_pct,\n"
-    f"         {R('SUM(sales)', 'COUNT(sales)')} AS aov,\n"
-    "         COUNT(*) AS order_count,\n"
-    f"         {R('COUNT(*)', 'SUM(COUNT(*)) OVER ()')} AS order_count_pct\n"
-    "  FROM sales_fact GROUP BY market)\n"
+def spread(fact: Fact, name: str, ident: str, as_name: str, as_ident: str) -> str:
+    return f"""{fact}
+SELECT (SELECT count(*) FROM (SELECT DISTINCT {name} FROM fact WHERE {name} IS NOT NULL)) AS {as_name},
+       (SELECT count(*) FROM (SELECT DISTINCT {ident} FROM fact WHERE {ident} IS NOT NULL)) AS {as_ident}"""
+
+
+def children(fact: Fact, parents: str, child: str, alias: str, having: str = "") -> str:
+    return f"""{fact}, pairs AS (SELECT DISTINCT {parents}, {child} FROM fact)
+SELECT {parents}, count({child}) AS {alias} FROM pairs GROUP BY {parents} {having}"""
+
+
+def hierarchy(fact: Fact, parent: str, child: str, child_alias: str, map_alias: str) -> str:
+    return f"""{fact}, pairs AS (SELECT DISTINCT {parent} AS p, {child} AS c FROM fact)
+SELECT count(DISTINCT c) AS {child_alias}, count(*) AS {map_alias},
+       count(DISTINCT coalesce(p, '') || coalesce(c, '')) AS {map_alias}_concat FROM pairs"""
+
+
+def products_with_parents() -> str:
+    return f"""{CLEAN}, listed AS (SELECT DISTINCT category, subcategory, product_name FROM fact)
+SELECT category, subcategory, product_name FROM listed AS here
+WHERE EXISTS (SELECT 1 FROM listed AS a, listed AS b
+              WHERE a.product_name = here.product_name AND b.product_name = here.product_name
+                AND a.subcategory < b.subcategory)"""
+
+
+def profit_by_year(exact: bool = False) -> str:
+    return f"""{CLEAN}, signs AS (
+    SELECT CAST(year(order_date) AS INTEGER) AS order_year, sum(profit) FILTER (profit < 0) AS lost,
+           sum(profit) FILTER (profit > 0) AS won
+    FROM fact GROUP BY ALL)
+SELECT order_year, {money("lost")} AS negative_profit, {money("won")} AS positive_profit,
+       {r6(per("abs(lost)", "won"), exact)} AS negative_positive_ratio
+FROM signs WHERE lost IS NOT NULL AND won IS NOT NULL"""
+
+
+# ------------------------------------------------------------- corrections --
+
+MARKET_FIXED = fact_of(
+    f"""SELECT d.* REPLACE (CASE WHEN r.m IS NULL THEN d.market ELSE r.m END AS market)
+    FROM (SELECT * REPLACE ({DIRTY_MARKET_EXPRESSION} AS market) FROM clean) AS d
+    LEFT JOIN (VALUES {MARKET_RULES}) AS r(w, c, m) ON d.market = r.w AND d.country = r.c"""
+)
+_MISFILED = f"product_name = '{PRODUCT}' AND subcategory <> '{PRODUCT_SUB}'"
+PRODUCT_FIXED = fact_of(
+    f"""SELECT * REPLACE (if({_MISFILED}, '{PRODUCT_SUB}', subcategory) AS subcategory,
+                     if({_MISFILED}, '{PRODUCT_CAT}', category) AS category) FROM clean"""
 )
 
-_PROFIT_RATIO = (
-    FACT
-    + ", negative_profit_records AS (\n"
-    "  SELECT YEAR(order_date) AS order_year, SUM(profit) AS negative_profit\n"
-    "  FROM sales_fact WHERE profit < 0 GROUP BY YEAR(order_date)),\n"
-    "positive_profit_records AS (\n"
-    "  SELECT YEAR(order_date) AS order_year, SUM(profit) AS positive_profit\n"
-    "  FROM sales_fact WHERE profit > 0 GROUP BY YEAR(order_date)),\n"
-    "ratio AS (\n"
-    "  SELECT CAST(NP.order_year AS INTEGER) AS order_year,\n"
-    "         CAST(NP.negative_profit AS DECIMAL(20,2)) AS negative_profit,\n"
-    "         CAST(PP.positive_profit AS DECIMAL(20,2)) AS positive_profit,\n"
-    f"         {R('ABS(NP.negative_profit)', 'PP.positive_profit')} AS negative_positive_ratio\n"
-    "  FROM negative_profit_records NP JOIN positive_profit_records PP ON NP.order_year = PP.order_year)\n"
+
+# ------------------------------------------------------------------- gates --
+
+
+def rolled(fact: Fact, by: str, measures: str, where: str = "") -> str:
+    """CTEs ``one`` (a row for each group) and ``whole`` (the total row) from one rollup."""
+    return f"""{fact}, rolled AS (
+    SELECT {by}, grouping({by}) AS is_whole, {measures} FROM fact {where} GROUP BY ROLLUP ({by})
+), one AS (SELECT * FROM rolled WHERE is_whole = 0), whole AS (SELECT * FROM rolled WHERE is_whole = 1)"""
+
+
+IN_CORE = f"WHERE market IN ({CORE})"
+_LINES = "sum(sales) AS rev, count(sales) AS valued, count(*) AS lines"
+
+
+def market_performance(exact: bool = False) -> str:
+    return f"""{rolled(CLEAN, "market", "count(DISTINCT country) AS lands, " + _LINES)}
+SELECT one.market, one.lands AS country_count, {money("one.rev")} AS revenue,
+       {r6(per("one.rev", "whole.rev"), exact)} AS revenue_pct, {r6(per("one.rev", "one.valued"), exact)} AS aov,
+       one.lines AS order_count, {r6(per("one.lines", "whole.lines"), exact)} AS order_count_pct
+FROM one, whole"""
+
+
+def yearly(fact: Fact) -> str:
+    """CTE ``steps``: each market's years with the previous year that has rows."""
+    return f"""{fact}, years AS (
+    SELECT market, CAST(year(order_date) AS INTEGER) AS y, sum(sales) AS r FROM fact {IN_CORE} GROUP BY ALL
+), steps AS (
+    SELECT now.market, now.y, now.r, CASE WHEN was.y IS NULL THEN 0 ELSE was.r END AS before
+    FROM years AS now ASOF LEFT JOIN years AS was ON now.market = was.market AND now.y > was.y
+)"""
+
+
+def growth(exact: bool = False) -> str:
+    return f"""{yearly(CLEAN)}
+SELECT y AS order_year, market, {money("r")} AS revenue, {money("before")} AS lag_revenue,
+       {r6(per("r - before", "before"), exact)} AS revenue_growth_yoy
+FROM steps"""
+
+
+def verdict(fact: Fact) -> str:
+    return f"""{yearly(fact)}, falls AS (
+    SELECT market, y, coalesce(before <> 0 AND (r - before) * sign(before) < 0, false) AS fell FROM steps
+), runs AS (
+    SELECT now.market, now.fell, now.fell AND coalesce(was.fell, false) AS again
+    FROM falls AS now ASOF LEFT JOIN falls AS was ON now.market = was.market AND now.y > was.y
 )
+SELECT market, count(*) FILTER (fell) AS negative_yoy_years, bool_or(again) AS consecutive_decline,
+       count(*) FILTER (fell) < 2 AND NOT bool_or(again) AS stable
+FROM runs GROUP BY market"""
+
+
+def totals() -> str:
+    return f"""{CLEAN}
+SELECT {money(f"sum(sales) FILTER (market IN ({CORE}))")} AS total_revenue,
+       count(*) FILTER (market IN ({CORE})) AS total_order_count FROM fact"""
+
+
+def category_performance(fact: Fact = CLEAN, exact: bool = False) -> str:
+    return f"""{rolled(fact, "category", _LINES, IN_CORE)}
+SELECT one.category, {money("one.rev")} AS revenue, {r6(per("one.rev", "whole.rev"), exact)} AS revenue_pct,
+       one.lines AS order_count, {r6(per("one.lines", "whole.lines"), exact)} AS order_count_pct
+FROM one, whole"""
+
+
+def discount_over_index(fact: Fact = CLEAN, exact: bool = False) -> str:
+    cut = "coalesce(sum(sales) FILTER (discount > 0), 0)"
+    return f"""{rolled(fact, "market", f"sum(sales) AS rev, {cut} AS cut", IN_CORE)}, shares AS (
+    SELECT one.market, one.rev, one.cut, {per("one.rev", "whole.rev")} AS s,
+           if(one.cut = 0, 0.0, {per("one.cut", "whole.cut")}) AS d FROM one, whole)
+SELECT market, {money("rev")} AS revenue, {money("cut")} AS discounted_revenue, {r6("s", exact)} AS market_revenue_pct,
+       {r6("d", exact)} AS discounted_revenue_pct, if(d > s, 'Yes', 'No') AS discount_over_indexes_scale
+FROM shares"""
+
+
+def ship_mode_performance(fact: Fact = CLEAN, exact: bool = False) -> str:
+    days = "(ship_date - order_date)"
+    measures = f"sum({days}) AS days, count({days}) AS timed, sum(shipping_cost) AS cost, count(shipping_cost) AS costed, "
+    return f"""{rolled(fact, "ship_mode", measures + _LINES, IN_CORE)}
+SELECT one.ship_mode, CAST(trunc({per("one.days", "one.timed")}) AS BIGINT) AS avg_ship_day,
+       {r6(per("one.days", "one.timed"), exact)} AS avg_ship_day_exact,
+       {r6(per("one.cost", "one.costed"), exact)} AS avg_shipping_cost, {money("one.rev")} AS revenue,
+       {r6(per("one.rev", "whole.rev"), exact)} AS revenue_pct, one.lines AS order_count,
+       {r6(per("one.lines", "whole.lines"), exact)} AS order_count_pct
+FROM one, whole"""
+
+
+def monthly(fact: Fact) -> str:
+    return f"""{fact}, months AS (
+    SELECT CAST(year(order_date) AS INTEGER) AS order_year, CAST(month(order_date) AS INTEGER) AS order_month, segment,
+           sum(sales) AS earned, sum(sum(sales)) OVER (PARTITION BY year(order_date), month(order_date)) AS month_sum
+    FROM fact {IN_CORE} AND year(order_date) IN ({YEARS})
+    GROUP BY year(order_date), month(order_date), segment)"""
+
+
+def monthly_share() -> str:
+    return f"""{monthly(CLEAN)}
+SELECT order_year, order_month, segment, {money("earned")} AS monthly_revenue,
+       ROUND({per("earned", "month_sum")}, 6) AS contribution_pct FROM months"""
 
 
-def N(x: str, digits: int) -> str:
-    return f"format('{{:,.{digits}f}}', CAST(ROUND({x}, {digits}) AS DOUBLE))"
+def contribution(fact: Fact = CLEAN, exact: bool = False) -> str:
+    return f"""{monthly(fact)}, stats AS (
+    SELECT segment, avg({per("earned", "month_sum")}) AS m, stddev_samp({per("earned", "month_sum")}) AS sd
+    FROM months GROUP BY segment)
+SELECT segment, {r6("m", exact)} AS mean_pct, {r6("sd", exact)} AS std_dev, {r6("sd / NULLIF(m, 0)", exact)} AS cv_pct
+FROM stats"""
 
 
-def P(x: str, digits: int = 2) -> str:
-    return f"format('{{:,.{digits}f}}', CAST(ROUND({x} * 100, {digits}) AS DOUBLE)) || '%'"
+def organic_demand(fact: Fact = CLEAN, exact: bool = False) -> str:
+    share = per("count(*) FILTER (discount > 0)", "count(*)")
+    return f"""{fact}
+SELECT segment, count(*) FILTER (discount > 0) AS discounted_order_count, count(*) AS order_count,
+       {r6(share, exact)} AS discounted_order_pct
+FROM fact {IN_CORE} AND segment <> '{FIXTURE_EXCLUDED_SEGMENT}' GROUP BY segment"""
+
+
+# ----------------------------------------------------------------- reports --
+
+
+def shown(column: str, spec: str) -> str:
+    digits = int(spec[1:])
+    scaled, sign = (f"{column} * 100", "%") if spec[0] == "P" else (column, "")
+    return f"format('{{:,.{digits}f}}', CAST(ROUND({scaled}, {digits}) AS DOUBLE)) || '{sign}'"
+
+
+def report(exact_query: str, spec: dict[str, str]) -> str:
+    """A gate's numbers with display strings made from the unrounded values."""
+    base = f"({exact_query})"
+    if "revenue_millions" in spec:
+        base = f"(SELECT *, CAST(revenue AS DOUBLE) / 1e6 AS revenue_millions FROM {base})"
+    numbers = ", ".join(f"ROUND({c}, 6) AS {c}" for c, f in spec.items() if f[0] == "P")
+    strings = ", ".join(f"{shown(c, f)} AS {c}_fmt" for c, f in spec.items())
+    return f"SELECT * REPLACE ({numbers}), {strings} FROM {base}"
+
+
+REPORTING_FACT = f"""{CLEAN}
+SELECT market AS "Market", CAST(market IN ({CORE}) AS INTEGER) AS "Is Core Market", country AS "Country", sales AS "Sales",
+       discount AS "Discount", CAST(coalesce(discount > 0, false) AS INTEGER) AS "Discount Applied",
+       category AS "Category", ship_mode AS "Ship Mode", order_date AS "Order Date",
+       CAST(if(ship_date >= order_date, ship_date - order_date, NULL) AS INTEGER) AS "Shipping Days",
+       shipping_cost AS "Shipping Cost", segment AS "Segment"
+FROM fact"""
+
+CALENDAR = f"""{CLEAN}, days AS (
+    SELECT CAST(unnest(generate_series(min(order_date), max(order_date), INTERVAL 1 DAY)) AS DATE) AS d FROM fact)
+SELECT d AS "Date", CAST(year(d) AS INTEGER) AS "Year", CAST(month(d) AS INTEGER) AS "Month",
+       monthname(d) AS "Month Name", strftime(d, '%Y-%m') AS "Year Month"
+FROM days"""
 
 
 def oracle_queries() -> dict[str, str]:
+    multi = "HAVING count({}) > 1"
     q = {
-        "sales_fact": FACT + "SELECT * FROM sales_fact",
-        "sales_dirty": DIRTY + "SELECT * FROM sales_dirty",
-        "load_sales_csv": FACT + "SELECT * FROM sales_fact",
-        "load_sales_csv_rejects": FACT
-        + "SELECT row_id, CASE WHEN row_id % 17 = 0 THEN 'market longer than 30' WHEN row_id % 11 = 0 "
-        "THEN 'unparsable cell' ELSE 'quantity out of range' END AS reject_reason FROM sales_fact "
-        "WHERE row_id % 11 = 0 OR row_id % 13 = 0 OR row_id % 17 = 0",
-        "column_profile": _profile(),
-        "duplicate_rows": _duplicates(FACT_COLUMNS),
-        "duplicate_row_ids": _duplicates(["row_id"]),
-        "identifier_cardinality_customer": FACT
-        + "SELECT COUNT(DISTINCT customer_name) AS customer_count_distinct, "
-        "COUNT(DISTINCT customer_id) AS customer_id_count_distinct FROM sales_fact",
-        "identifier_cardinality_product": FACT
-        + "SELECT COUNT(DISTINCT product_name) AS product_count_distinct, "
-        "COUNT(DISTINCT product_id) AS product_id_count_distinct FROM sales_fact",
-        "market_country_count": FACT
-        + "SELECT market, COUNT(DISTINCT country) AS country_count FROM sales_fact GROUP BY market",
-        "category_subcategory_count": FACT
-        + "SELECT category, COUNT(DISTINCT subcategory) AS subcategory_count FROM sales_fact GROUP BY category",
-        "subcategory_product_count": FACT
-        + "SELECT category, subcategory, COUNT(DISTINCT product_name) AS product_name_count FROM sales_fact "
-        "GROUP BY category, subcategory ORDER BY category, product_name_count DESC",
-        "market_region_pairs": FACT + "SELECT DISTINCT market, region FROM sales_fact ORDER BY market",
-        "hierarchy_check_market_country": DIRTY
-        + _hier("sales_dirty", "market", "country", "country_count_distinct", "market_country_map_count"),
-        "hierarchy_check_category_subcategory": FACT
-        + _hier(
-            "sales_fact", "category", "subcategory", "subcategory_count_distinct", "category_subcategory_map_count"
+        "sales_fact": f"{CLEAN} SELECT * FROM fact",
+        "sales_dirty": f"{DIRTY} SELECT * FROM fact",
+        "load_sales_csv": f"{CLEAN} SELECT * FROM fact",
+        "load_sales_csv_rejects": f"""{CLEAN}
+SELECT row_id, CASE WHEN row_id % 17 = 0 THEN 'market longer than 30' WHEN row_id % 11 = 0 THEN 'unparsable cell'
+                    ELSE 'quantity out of range' END AS reject_reason
+FROM fact WHERE row_id % 11 = 0 OR row_id % 13 = 0 OR row_id % 17 = 0""",
+        "column_profile": profile(),
+        "duplicate_rows": duplicates(CLEAN, FACT_COLUMNS),
+        "duplicate_rows_twins": duplicates(TWINS, FACT_COLUMNS),
+        "duplicate_row_ids": duplicates(CLEAN, ["row_id"]),
+        "identifier_cardinality_customer": spread(
+            CLEAN, "customer_name", "customer_id", "customer_count_distinct", "customer_id_count_distinct"
         ),
-        "hierarchy_check_subcategory_product": FACT
-        + _hier("sales_fact", "subcategory", "product_name", "product_count_distinct", "subcategory_product_map_count"),
-        "numeric_range_stats": _range_stats(),
-        "countries_multi_market": DIRTY
-        + "SELECT country, COUNT(DISTINCT market) AS market_count_distinct FROM sales_dirty "
-        "GROUP BY country HAVING COUNT(DISTINCT market) > 1",
-        "product_name_multi_id": FACT
-        + "SELECT product_name, COUNT(DISTINCT product_id) AS product_id_count_distinct FROM sales_fact "
-        "GROUP BY product_name HAVING COUNT(DISTINCT product_id) > 1",
-        "country_market_pairs": DIRTY
-        + f"SELECT country, market FROM sales_dirty WHERE country IN ({_lst(FIXTURE_MULTI_MARKET_COUNTRIES)}) "
-        "GROUP BY country, market",
-        "products_multi_subcategory": FACT
-        + ", duplicates AS (SELECT product_name, COUNT(DISTINCT subcategory) AS subcategory_count_distinct "
-        "FROM sales_fact GROUP BY product_name)\n"
-        "SELECT ST.category, ST.subcategory, ST.product_name FROM sales_fact ST "
-        "JOIN duplicates DU ON ST.product_name = DU.product_name WHERE DU.subcategory_count_distinct > 1 "
-        "GROUP BY ST.category, ST.subcategory, ST.product_name",
-        "region_reuses_market": FACT
-        + "SELECT DISTINCT ST.market, ST.region FROM sales_fact ST "
-        "WHERE ST.region IN (SELECT DISTINCT market FROM sales_fact) ORDER BY ST.market",
-        "customer_name_fanout": FACT
-        + "SELECT customer_name, COUNT(DISTINCT customer_id) AS customer_id_count_distinct, "
-        "COUNT(DISTINCT region) AS registered_region_count_distinct FROM sales_fact GROUP BY customer_name",
-        "negative_profit_rows": FACT + "SELECT * FROM sales_fact WHERE profit < 0 ORDER BY profit ASC",
-        "profit_ratio_by_year": _PROFIT_RATIO + "SELECT * FROM ratio ORDER BY order_year",
-        "market_correction_map": DIRTY
-        + "SELECT row_id, CASE "
-        + " ".join(f"WHEN country = '{c}' THEN '{m}'" for _, c, m in FIXTURE_MARKET_RULES)
-        + " END AS correct_market FROM sales_dirty "
-        f"WHERE market = '{FIXTURE_MARKET_RULES[0][0]}' "
-        f"AND country IN ({_lst(c for _, c, _ in FIXTURE_MARKET_RULES)})",
+        "identifier_cardinality_product": spread(
+            CLEAN, "product_name", "product_id", "product_count_distinct", "product_id_count_distinct"
+        ),
+        "market_country_count": children(CLEAN, "market", "country", "country_count"),
+        "category_subcategory_count": children(CLEAN, "category", "subcategory", "subcategory_count"),
+        "subcategory_product_count": children(CLEAN, "category, subcategory", "product_name", "product_name_count"),
+        "market_region_pairs": f"{CLEAN} SELECT market, region FROM fact GROUP BY ALL",
+        "hierarchy_check_market_country": hierarchy(
+            DIRTY, "market", "country", "country_count_distinct", "market_country_map_count"
+        ),
+        "hierarchy_check_category_subcategory": hierarchy(
+            CLEAN, "category", "subcategory", "subcategory_count_distinct", "category_subcategory_map_count"
+        ),
+        "hierarchy_check_category_subcategory_sparse": hierarchy(
+            SPARSE, "category", "subcategory", "subcategory_count_distinct", "category_subcategory_map_count"
+        ),
+        "hierarchy_check_subcategory_product": hierarchy(
+            CLEAN, "subcategory", "product_name", "product_count_distinct", "subcategory_product_map_count"
+        ),
+        "numeric_range_stats": ranges(),
+        "countries_multi_market": children(DIRTY, "country", "market", "market_count_distinct", multi.format("market")),
+        "product_name_multi_id": children(
+            CLEAN, "product_name", "product_id", "product_id_count_distinct", multi.format("product_id")
+        ),
+        "country_market_pairs": f"{DIRTY} SELECT country, market FROM fact "
+        f"WHERE country IN ({_lst(FIXTURE_MULTI_MARKET_COUNTRIES)}) GROUP BY ALL",
+        "products_multi_subcategory": products_with_parents(),
+        "region_reuses_market": f"{CLEAN}, pairs AS (SELECT DISTINCT market, region FROM fact) "
+        "SELECT DISTINCT a.market, a.region FROM pairs AS a JOIN pairs AS b ON a.region = b.market",
+        "customer_name_fanout": f"{CLEAN}, ids AS (SELECT DISTINCT customer_name, customer_id, region FROM fact) "
+        "SELECT customer_name, count(DISTINCT customer_id) AS customer_id_count_distinct, "
+        "count(DISTINCT region) AS registered_region_count_distinct FROM ids GROUP BY customer_name",
+        "negative_profit_rows": f"{CLEAN} SELECT * FROM fact WHERE sign(profit) = -1",
+        "profit_ratio_by_year": profit_by_year(),
+        "market_correction_map": f"""{DIRTY} SELECT row_id, m AS correct_market
+FROM fact JOIN (VALUES {MARKET_RULES}) AS r(w, c, m) ON (market, country) = (w, c)""",
         # the dirty rows corrected back must give the clean fact exactly
-        "apply_market_correction": FACT + "SELECT * FROM sales_fact",
-        "market_correction_report": DIRTY
-        + f", rules(wrong_market, country, correct_market) AS (VALUES {MARKET_RULES})\n"
-        "SELECT r.wrong_market, r.country, r.correct_market, COUNT(*) AS rows_changed "
-        "FROM sales_dirty s JOIN rules r ON s.market = r.wrong_market AND s.country = r.country "
-        "GROUP BY r.wrong_market, r.country, r.correct_market",
-        "hierarchy_check_market_country_corrected": _MARKET_CORRECTED
-        + _hier("corrected", "market", "country", "country_count_distinct", "market_country_map_count"),
-        "subcategory_correction_map": FACT
-        + f"SELECT row_id, subcategory, product_name, '{PRODUCT_SUB}' AS correct_subcategory, "
-        f"'{PRODUCT_CAT}' AS correct_category FROM sales_fact "
-        f"WHERE product_name = '{PRODUCT}' AND subcategory != '{PRODUCT_SUB}'",
-        "apply_subcategory_correction": _PRODUCT_CORRECTED + "SELECT * FROM corrected",
-        "subcategory_correction_report": FACT
-        + f"SELECT product_name, '{PRODUCT_SUB}' AS correct_subcategory, '{PRODUCT_CAT}' AS correct_category, "
-        "COUNT(*) AS rows_changed FROM sales_fact "
-        f"WHERE product_name = '{PRODUCT}' AND subcategory != '{PRODUCT_SUB}' GROUP BY product_name",
-        "hierarchy_check_subcategory_product_corrected": _PRODUCT_CORRECTED
-        + _hier("corrected", "subcategory", "product_name", "product_count_distinct", "subcategory_product_map_count"),
-        "analysis_columns": FACT + "SELECT * EXCLUDE (region, customer_name, product_id, profit) FROM sales_fact",
-        "analysis_snapshot": FACT
-        + "SELECT market, country, sales, discount, category, ship_mode, order_date, ship_date, "
-        "shipping_cost, segment FROM sales_fact",
-        "market_performance": _MARKET_PERF
-        + "SELECT market, country_count, CAST(revenue AS DECIMAL(20,2)) AS revenue, revenue_pct, aov, "
-        "order_count, order_count_pct FROM market_performance ORDER BY revenue DESC",
-        "market_yoy": _YOY + "SELECT * FROM yoy",
-        "market_stability_verdict": _YOY
-        + ", flagged AS (\n"
-        "  SELECT market, order_year, COALESCE(revenue_growth_yoy < 0, false) AS neg FROM yoy),\n"
-        "paired AS (\n"
-        "  SELECT market, neg, COALESCE(LAG(neg) OVER (PARTITION BY market ORDER BY order_year), false) AS prev_neg\n"
-        "  FROM flagged)\n"
-        "SELECT market, COUNT(CASE WHEN neg THEN 1 END) AS negative_yoy_years,\n"
-        "       BOOL_OR(neg AND prev_neg) AS consecutive_decline,\n"
-        "       COUNT(CASE WHEN neg THEN 1 END) <= 1 AND NOT BOOL_OR(neg AND prev_neg) AS stable\n"
-        "FROM paired GROUP BY market",
-        "core_totals": FACT
-        + _TOTAL_CORE
-        + "SELECT CAST(total_revenue AS DECIMAL(20,2)) AS total_revenue, total_order_count FROM total_core_markets",
-        "category_performance": FACT
-        + _TOTAL_CORE
-        + ", product_category_performance AS (\n"
-        "  SELECT SSA.category, SUM(SSA.sales) AS revenue,\n"
-        f"         {R('SUM(SSA.sales)', 'MAX(TCM.total_revenue)')} AS revenue_pct,\n"
-        "         COUNT(*) AS order_count,\n"
-        f"         {R('COUNT(*)', 'MAX(TCM.total_order_count)')} AS order_count_pct\n"
-        "  FROM sales_fact SSA CROSS JOIN total_core_markets TCM\n"
-        f"  WHERE SSA.market IN ({CORE}) GROUP BY SSA.category)\n"
-        "SELECT category, CAST(revenue AS DECIMAL(20,2)) AS revenue, revenue_pct, order_count, order_count_pct "
-        "FROM product_category_performance ORDER BY revenue DESC",
-        "discount_over_index": FACT
-        + _TOTAL_CORE
-        + ", promo_sensitivity AS (\n"
-        "  SELECT ST.market, ST.discount_applied, SUM(ST.sales) AS revenue\n"
-        "  FROM (SELECT market, CASE WHEN discount > 0 THEN 'Yes' ELSE 'No' END AS discount_applied, sales\n"
-        f"        FROM sales_fact WHERE market IN ({CORE})) ST\n"
-        "  GROUP BY ST.market, ST.discount_applied),\n"
-        "global_totals AS (\n"
-        "  SELECT SUM(revenue) AS total_revenue,\n"
-        "         SUM(CASE WHEN discount_applied = 'Yes' THEN revenue ELSE 0 END) AS discounted_total\n"
-        "  FROM promo_sensitivity),\n"
-        "comparison AS (\n"
-        "  SELECT PS.market, SUM(PS.revenue) AS revenue,\n"
-        "         SUM(CASE WHEN PS.discount_applied = 'Yes' THEN PS.revenue ELSE 0 END) AS discounted_revenue,\n"
-        "         CAST(SUM(PS.revenue) AS DOUBLE) / NULLIF(CAST(MAX(GT.total_revenue) AS DOUBLE), 0) AS s,\n"
-        "         CAST(SUM(CASE WHEN PS.discount_applied = 'Yes' THEN PS.revenue ELSE 0 END) AS DOUBLE)\n"
-        "           / NULLIF(CAST(MAX(GT.discounted_total) AS DOUBLE), 0) AS d\n"
-        "  FROM promo_sensitivity PS CROSS JOIN global_totals GT GROUP BY PS.market)\n"
-        "SELECT market, CAST(revenue AS DECIMAL(20,2)) AS revenue,\n"
-        "       CAST(discounted_revenue AS DECIMAL(20,2)) AS discounted_revenue,\n"
-        "       ROUND(s, 6) AS market_revenue_pct, ROUND(d, 6) AS discounted_revenue_pct,\n"
-        "       CASE WHEN d > s THEN 'Yes' ELSE 'No' END AS discount_over_indexes_scale\n"
-        "FROM comparison ORDER BY market_revenue_pct DESC",
-        "ship_mode_performance": FACT
-        + _TOTAL_CORE
-        + ", shipping_mode_performance AS (\n"
-        "  SELECT SSA.ship_mode,\n"
-        "         SUM(DATE_DIFF('day', SSA.order_date, SSA.ship_date)) // COUNT(DATE_DIFF('day', SSA.order_date, SSA.ship_date)) AS avg_ship_day,\n"
-        f"         {R('SUM(DATE_DIFF(' + chr(39) + 'day' + chr(39) + ', SSA.order_date, SSA.ship_date))', 'COUNT(DATE_DIFF(' + chr(39) + 'day' + chr(39) + ', SSA.order_date, SSA.ship_date))')} AS avg_ship_day_exact,\n"
-        f"         {R('SUM(SSA.shipping_cost)', 'COUNT(SSA.shipping_cost)')} AS avg_shipping_cost,\n"
-        "         SUM(SSA.sales) AS revenue,\n"
-        f"         {R('SUM(SSA.sales)', 'MAX(TCM.total_revenue)')} AS revenue_pct,\n"
-        "         COUNT(*) AS order_count,\n"
-        f"         {R('COUNT(*)', 'MAX(TCM.total_order_count)')} AS order_count_pct\n"
-        "  FROM sales_fact SSA CROSS JOIN total_core_markets TCM\n"
-        f"  WHERE SSA.market IN ({CORE}) GROUP BY SSA.ship_mode)\n"
-        "SELECT ship_mode, CAST(avg_ship_day AS BIGINT) AS avg_ship_day, avg_ship_day_exact, avg_shipping_cost,\n"
-        "       CAST(revenue AS DECIMAL(20,2)) AS revenue, revenue_pct, order_count, order_count_pct\n"
-        "FROM shipping_mode_performance ORDER BY avg_ship_day",
-        "segment_monthly_share": _MONTHLY
-        + "SELECT order_year, order_month, segment, CAST(monthly_revenue AS DECIMAL(20,2)) AS monthly_revenue,\n"
-        "       ROUND(contribution_pct, 6) AS contribution_pct FROM shares",
-        "segment_contribution": _MONTHLY
-        + "SELECT segment, ROUND(AVG(contribution_pct), 6) AS mean_pct,\n"
-        "       ROUND(STDDEV_SAMP(contribution_pct), 6) AS std_dev,\n"
-        "       ROUND(STDDEV_SAMP(contribution_pct) / NULLIF(AVG(contribution_pct), 0), 6) AS cv_pct\n"
-        "FROM shares GROUP BY segment",
-        "organic_demand": FACT
-        + ", promo_sensitivity AS (\n"
-        "  SELECT segment, discount_applied, COUNT(*) AS order_count\n"
-        "  FROM (SELECT segment, CASE WHEN discount > 0 THEN 'Yes' ELSE 'No' END AS discount_applied\n"
-        f"        FROM sales_fact WHERE market IN ({CORE}) AND segment != '{FIXTURE_EXCLUDED_SEGMENT}') t\n"
-        "  GROUP BY segment, discount_applied)\n"
-        "SELECT segment,\n"
-        "       CAST(SUM(CASE WHEN discount_applied = 'Yes' THEN order_count ELSE 0 END) AS BIGINT) AS discounted_order_count,\n"
-        "       CAST(SUM(order_count) AS BIGINT) AS order_count,\n"
-        f"       {R('SUM(CASE WHEN discount_applied = ' + chr(39) + 'Yes' + chr(39) + ' THEN order_count ELSE 0 END)', 'SUM(order_count)')} AS discounted_order_pct\n"
-        "FROM promo_sensitivity GROUP BY segment",
-        "reporting_fact": FACT
-        + "SELECT market AS \"Market\",\n"
-        f"       CASE WHEN market IN ({CORE}) THEN 1 ELSE 0 END AS \"Is Core Market\",\n"
-        "       country AS \"Country\", sales AS \"Sales\", discount AS \"Discount\",\n"
-        "       CASE WHEN discount > 0 THEN 1 ELSE 0 END AS \"Discount Applied\",\n"
-        "       category AS \"Category\", ship_mode AS \"Ship Mode\", order_date AS \"Order Date\",\n"
-        "       CAST(CASE WHEN ship_date IS NOT NULL AND ship_date >= order_date\n"
-        "            THEN DATE_DIFF('day', order_date, ship_date) END AS INTEGER) AS \"Shipping Days\",\n"
-        "       shipping_cost AS \"Shipping Cost\", segment AS \"Segment\"\n"
-        "FROM sales_fact",
-        "date_dimension": FACT.replace("WITH ", "WITH RECURSIVE ", 1)
-        + ", date_bounds AS (SELECT MIN(order_date) AS min_date, MAX(order_date) AS max_date FROM sales_fact),\n"
-        "calendar AS (\n"
-        "  SELECT min_date AS d FROM date_bounds\n"
-        "  UNION ALL\n"
-        "  SELECT CAST(d + INTERVAL 1 DAY AS DATE) FROM calendar JOIN date_bounds ON d < max_date)\n"
-        "SELECT d AS \"Date\", CAST(YEAR(d) AS INTEGER) AS \"Year\", CAST(MONTH(d) AS INTEGER) AS \"Month\",\n"
-        "       strftime(d, '%B') AS \"Month Name\", strftime(d, '%Y-%m') AS \"Year Month\"\n"
-        "FROM calendar",
-        "market_performance_report": _MARKET_PERF
-        + ", perf AS (SELECT market, country_count, CAST(revenue AS DECIMAL(20,2)) AS revenue, revenue_pct, aov,\n"
-        "       order_count, order_count_pct, CAST(revenue AS DOUBLE) / 1e6 AS revenue_millions FROM market_performance)\n"
-        "SELECT *, "
-        + ", ".join(
-            [
-                N("revenue_millions", 2) + " AS revenue_millions_fmt",
-                P("revenue_pct") + " AS revenue_pct_fmt",
-                N("aov", 0) + " AS aov_fmt",
-                N("order_count", 0) + " AS order_count_fmt",
-                P("order_count_pct") + " AS order_count_pct_fmt",
-            ]
-        )
-        + " FROM perf",
-        "profit_ratio_report": _PROFIT_RATIO
-        + "SELECT *, "
-        + ", ".join(
-            [
-                N("negative_profit", 0) + " AS negative_profit_fmt",
-                N("positive_profit", 0) + " AS positive_profit_fmt",
-                P("negative_positive_ratio") + " AS negative_positive_ratio_fmt",
-            ]
-        )
-        + " FROM ratio",
+        "apply_market_correction": f"{CLEAN} SELECT * FROM fact",
+        "market_correction_report": f"""{DIRTY} SELECT w AS wrong_market, c AS country, m AS correct_market,
+       count(*) AS rows_changed
+FROM fact JOIN (VALUES {MARKET_RULES}) AS r(w, c, m) ON (market, country) = (w, c) GROUP BY ALL""",
+        "hierarchy_check_market_country_corrected": hierarchy(
+            MARKET_FIXED, "market", "country", "country_count_distinct", "market_country_map_count"
+        ),
+        "subcategory_correction_map": f"""{CLEAN} SELECT row_id, subcategory, product_name,
+       '{PRODUCT_SUB}' AS correct_subcategory, '{PRODUCT_CAT}' AS correct_category FROM fact WHERE {_MISFILED}""",
+        "apply_subcategory_correction": f"{PRODUCT_FIXED} SELECT * FROM fact",
+        "subcategory_correction_report": f"""{CLEAN} SELECT any_value(product_name) AS product_name,
+       '{PRODUCT_SUB}' AS correct_subcategory, '{PRODUCT_CAT}' AS correct_category, count(*) AS rows_changed
+FROM fact WHERE {_MISFILED} HAVING count(*) > 0""",
+        "hierarchy_check_subcategory_product_corrected": hierarchy(
+            PRODUCT_FIXED, "subcategory", "product_name", "product_count_distinct", "subcategory_product_map_count"
+        ),
+        "analysis_columns": f"{CLEAN} SELECT * EXCLUDE (region, customer_name, product_id, profit) FROM fact",
+        "analysis_snapshot": f"{CLEAN} SELECT market, country, sales, discount, category, ship_mode, order_date, "
+        "ship_date, shipping_cost, segment FROM fact",
+        "market_performance": market_performance(),
+        "market_yoy": growth(),
+        "market_stability_verdict": verdict(CLEAN),
+        "market_stability_verdict_growing": verdict(GROWING),
+        "core_totals": totals(),
+        "category_performance": category_performance(),
+        "discount_over_index": discount_over_index(),
+        "ship_mode_performance": ship_mode_performance(),
+        "segment_monthly_share": monthly_share(),
+        "segment_contribution": contribution(),
+        "organic_demand": organic_demand(),
+        "category_performance_sparse": category_performance(SPARSE),
+        "discount_over_index_sparse": discount_over_index(SPARSE),
+        "ship_mode_performance_sparse": ship_mode_performance(SPARSE),
+        "segment_contribution_sparse": contribution(SPARSE),
+        "organic_demand_sparse": organic_demand(SPARSE),
+        "reporting_fact": REPORTING_FACT,
+        # the CSV round trip of the report fact must give the report fact back
+        "export_csv": REPORTING_FACT,
+        "date_dimension": CALENDAR,
+    }
+    exact = {
+        "market_performance": market_performance(exact=True),
+        "market_yoy": growth(exact=True),
+        "category_performance": category_performance(exact=True),
+        "discount_over_index": discount_over_index(exact=True),
+        "ship_mode_performance": ship_mode_performance(exact=True),
+        "segment_contribution": contribution(exact=True),
+        "organic_demand": organic_demand(exact=True),
+        "profit_ratio_by_year": profit_by_year(exact=True),
     }
     for base, spec in REPORT_FORMATS.items():
-        key = "profit_ratio_report" if base == "profit_ratio_by_year" else f"{base}_report"
-        if key in ("market_performance_report", "profit_ratio_report"):
-            continue
-        extra = ", CAST(revenue AS DOUBLE) / 1e6 AS revenue_millions" if "revenue_millions" in spec else ""
-        src = "t" if not extra else "(SELECT *" + extra + " FROM t) u"
-        fmts = ", ".join(
-            (N(c, int(f[1:])) if f[0] == "N" else P(c, int(f[1:]))) + f" AS {c}_fmt" for c, f in spec.items()
-        )
-        q[key] = f"WITH t AS (SELECT * FROM ({q[base]}) b) SELECT *, {fmts} FROM {src}"
-    # the CSV round trip of the report fact must give the report fact back
-    q["export_csv"] = q["reporting_fact"]
+        name = "profit_ratio_report" if base == "profit_ratio_by_year" else f"{base}_report"
+        q[name] = report(exact[base], spec)
     return q

@@ -9,7 +9,6 @@ business literals (FIXTURES.md 2.1).
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,9 +27,16 @@ from saleslens.constants import (
 )
 from saleslens.functions.formatting import REPORT_FORMATS, format_report, with_millions
 from saleslens.operators import audit, corrections, gates, marts, profiling
-from saleslens.session import shared_dir
 from saleslens.sources.csv_source import REJECT_REASON, csv_reader_options, load_sales_csv
-from saleslens.sources.fixtures import landed_sales_fact, sales_fact
+from saleslens.sources.fixtures import (
+    landed_sales_fact,
+    landing_folder,
+    sales_fact,
+    sales_growing,
+    sales_sparse,
+    sales_twins,
+    write_once,
+)
 from saleslens.sources.schema import SALES_COLUMNS, sales_schema
 from saleslens.sources.sinks import export
 
@@ -55,8 +61,8 @@ def _product_fixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
 
 def _csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R03 export then C02 load: the fact written as CSV and read back typed."""
-    path = f"{shared_dir(spark)}/saleslens/exports/{uuid.uuid4().hex}/sales_fact_csv"
-    export(clean(spark, sf_dir), path, fmt="csv")
+    folder = f"{landing_folder(spark, sf_dir, 'clean')}-csv"
+    path = write_once(spark, folder, lambda p: export(clean(spark, sf_dir), p, fmt="csv"))
     good, _rejects = load_sales_csv(spark, path, schema=sales_schema(row_id_type=T.LongType()))
     return good
 
@@ -81,8 +87,8 @@ def _csv_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
             for c in SALES_COLUMNS
         ]
     )
-    path = f"{shared_dir(spark)}/saleslens/exports/{uuid.uuid4().hex}/sales_fact_bad_csv"
-    export(cells, path, fmt="csv")
+    folder = f"{landing_folder(spark, sf_dir, 'clean')}-bad-csv"
+    path = write_once(spark, folder, lambda p: export(cells, p, fmt="csv"))
     _good, rejects = load_sales_csv(spark, path, schema=sales_schema(row_id_type=T.LongType()))
     return rejects.select("row_id", REJECT_REASON)
 
@@ -91,20 +97,38 @@ def _reporting_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R03 on its own: the report fact (display names with spaces) written as
     a CSV directory and read back with the fact's schema."""
     fact = marts.reporting_fact(clean(spark, sf_dir), CORE)
-    path = f"{shared_dir(spark)}/saleslens/exports/{uuid.uuid4().hex}/reporting_fact_csv"
-    export(fact, path, fmt="csv")
+    folder = f"{landing_folder(spark, sf_dir, 'clean')}-report-csv"
+    path = write_once(spark, folder, lambda p: export(fact, p, fmt="csv"))
     return spark.read.schema(fact.schema).options(**csv_reader_options()).csv(path)
 
 
+def sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sales_sparse(clean(spark, sf_dir))
+
+
+# The gates that have a formatted report, with unrounded numbers.
+_EXACT: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "market_performance": lambda f: gates.market_performance(f, scale=None),
+    "market_yoy": lambda f: gates.yoy_growth(f, core=CORE, scale=None),
+    "category_performance": lambda f: gates.category_performance(f, CORE, scale=None),
+    "discount_over_index": lambda f: gates.discount_over_index(f, CORE, scale=None),
+    "ship_mode_performance": lambda f: gates.ship_mode_performance(f, CORE, scale=None),
+    "segment_contribution": lambda f: gates.share_stability(f, CORE, FIXTURE_SEGMENT_YEARS, scale=None),
+    "organic_demand": lambda f: gates.flag_rate(f, CORE, FIXTURE_EXCLUDED_SEGMENT, scale=None),
+    "profit_ratio_by_year": lambda f: audit.signed_ratio_by_period(f, scale=None),
+}
+
+
 def _report(base: str) -> Query:
-    """The gate's numbers plus formatted display strings beside them."""
+    """The gate's numbers plus display strings made from the unrounded values."""
 
     def build(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = registry()[base](spark, sf_dir)
+        df = _EXACT[base](clean(spark, sf_dir))
         spec = REPORT_FORMATS[base]
         if "revenue_millions" in spec:
             df = with_millions(df)
-        return format_report(df, spec)
+        out = format_report(df, spec)
+        return out.select(*[F.round(c, 6).alias(c) if t == "double" and c not in spec else c for c, t in out.dtypes])
 
     return build
 
@@ -123,6 +147,7 @@ def registry() -> dict[str, Query]:
         "column_profile": lambda s, d: profiling.column_profile(clean(s, d)),
         "column_profile_approx": lambda s, d: profiling.column_profile(clean(s, d), approx=True),
         "duplicate_rows": lambda s, d: profiling.duplicate_rows(clean(s, d)),
+        "duplicate_rows_twins": lambda s, d: profiling.duplicate_rows(sales_twins(clean(s, d))),
         "duplicate_row_ids": lambda s, d: profiling.duplicate_rows(clean(s, d).select("row_id")),
         "identifier_cardinality_customer": lambda s, d: audit.identifier_cardinality(
             clean(s, d), "customer_name", "customer_id", "customer_count_distinct", "customer_id_count_distinct"
@@ -146,6 +171,9 @@ def registry() -> dict[str, Query]:
         "hierarchy_check_category_subcategory": lambda s, d: audit.hierarchy_check(
             clean(s, d), "category", "subcategory", "subcategory_count_distinct", "category_subcategory_map_count"
         ),
+        "hierarchy_check_category_subcategory_sparse": lambda s, d: audit.hierarchy_check(
+            sparse(s, d), "category", "subcategory", "subcategory_count_distinct", "category_subcategory_map_count"
+        ),
         "hierarchy_check_subcategory_product": lambda s, d: audit.hierarchy_check(
             clean(s, d), "subcategory", "product_name", "product_count_distinct", "subcategory_product_map_count"
         ),
@@ -186,6 +214,9 @@ def registry() -> dict[str, Query]:
         "market_performance": lambda s, d: gates.market_performance(clean(s, d)),
         "market_yoy": lambda s, d: gates.yoy_growth(clean(s, d), core=CORE),
         "market_stability_verdict": lambda s, d: gates.stability_verdict(gates.yoy_growth(clean(s, d), core=CORE)),
+        "market_stability_verdict_growing": lambda s, d: gates.stability_verdict(
+            gates.yoy_growth(sales_growing(clean(s, d)), core=CORE)
+        ),
         "core_totals": lambda s, d: gates.core_totals(clean(s, d), CORE),
         "category_performance": lambda s, d: gates.category_performance(clean(s, d), CORE),
         "discount_over_index": lambda s, d: gates.discount_over_index(clean(s, d), CORE),
@@ -193,6 +224,12 @@ def registry() -> dict[str, Query]:
         "segment_monthly_share": lambda s, d: gates.period_share(clean(s, d), CORE, years),
         "segment_contribution": lambda s, d: gates.share_stability(clean(s, d), CORE, years),
         "organic_demand": lambda s, d: gates.flag_rate(clean(s, d), CORE, excluded),
+        # the same gates over a fact with NULL measures, dates and groups
+        "category_performance_sparse": lambda s, d: gates.category_performance(sparse(s, d), CORE),
+        "discount_over_index_sparse": lambda s, d: gates.discount_over_index(sparse(s, d), CORE),
+        "ship_mode_performance_sparse": lambda s, d: gates.ship_mode_performance(sparse(s, d), CORE),
+        "segment_contribution_sparse": lambda s, d: gates.share_stability(sparse(s, d), CORE, years),
+        "organic_demand_sparse": lambda s, d: gates.flag_rate(sparse(s, d), CORE, excluded),
         # reporting marts and formatted reports
         "reporting_fact": lambda s, d: marts.reporting_fact(clean(s, d), CORE),
         "export_csv": _reporting_csv,

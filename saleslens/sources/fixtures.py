@@ -7,18 +7,20 @@ fixture on DuckDB (the oracle) and on Spark; see FIXTURES.md section 2.1.
 from __future__ import annotations
 
 import hashlib
-import os
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
-from saleslens.constants import BROADCAST_ROW_LIMIT
+from saleslens.constants import BROADCAST_BYTE_LIMIT, BROADCAST_ROW_LIMIT
 from saleslens.session import shared_dir
 
 FIXTURE_VERSION = "f0-v2"
 
+# Bytes of a joined dimension row: its key columns, a date and the names it carries.
+DIM_ROW_BYTES = 250
+
 # (column, SQL expression over lineitem/orders/customer/nation/region/part columns)
 SALES_FACT_EXPRESSIONS = (
     ("row_id", "l_orderkey * 10 + l_linenumber"),
@@ -62,6 +64,23 @@ DIRTY_MARKET_EXPRESSION = (
     "case when country in ('NATION_2', 'NATION_3') and row_id % 7 = 0 then 'MIDDLE EAST' else market end"
 )
 
+# A variant with NULLs in measures, dates and group columns.
+SPARSE_EXPRESSIONS = {
+    "sales": "case when row_id % 5 = 0 then null else sales end",
+    "discount": "case when row_id % 7 = 0 then null else discount end",
+    "ship_date": "case when row_id % 11 = 0 then null else ship_date end",
+    "shipping_cost": "case when row_id % 3 = 0 then null else shipping_cost end",
+    "segment": "case when row_id % 13 = 0 then null else segment end",
+    "category": "case when row_id % 17 = 0 then null else category end",
+    "subcategory": "case when row_id % 19 = 0 then null else subcategory end",
+}
+
+# A variant in which one market grows every year, so that verdicts differ.
+GROWING_SALES_EXPRESSION = (
+    "case when market = 'ASIA' then cast(power(100, year(order_date) - 1990) as decimal(28,2)) "
+    "else cast(sales as decimal(28,2)) end"
+)
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -104,14 +123,16 @@ def sales_fact(spark: SparkSession, sf_dir: str, broadcast_rows: int = BROADCAST
     part = _table(spark, sf_dir, "part")
 
     # One job counts every dimension table (Parquet counts come from footers).
-    key = (spark.sparkContext.applicationId, _landing_key(sf_dir, "dims"), broadcast_rows)
+    key = (spark.sparkContext.applicationId, _landing_key(spark, sf_dir, "dims"), broadcast_rows)
     if key not in _SMALL:
         dims = {"region": region, "nation": nation, "customer": customer, "orders": orders, "part": part}
         counts = reduce(
             DataFrame.unionAll,
             [t.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("t"), "n") for name, t in dims.items()],
         ).collect()
-        _SMALL[key] = {r["t"]: r["n"] <= broadcast_rows for r in counts}
+        # The joined columns of a dimension row (a few ids and short names) take DIM_ROW_BYTES at most.
+        bound = min(broadcast_rows, BROADCAST_BYTE_LIMIT // DIM_ROW_BYTES)
+        _SMALL[key] = {r["t"]: r["n"] <= bound for r in counts}
     proven_small = _SMALL[key]
 
     def small(side: DataFrame, name: str) -> DataFrame:
@@ -132,6 +153,21 @@ def sales_dirty(fact: DataFrame) -> DataFrame:
     return fact.withColumn("market", F.expr(DIRTY_MARKET_EXPRESSION))
 
 
+def sales_sparse(fact: DataFrame) -> DataFrame:
+    """The fact with NULLs strewn by row number."""
+    return fact.withColumns({c: F.expr(e) for c, e in SPARSE_EXPRESSIONS.items()})
+
+
+def sales_twins(fact: DataFrame) -> DataFrame:
+    """The fact with every row whose number ends in 3 twice."""
+    return fact.unionAll(fact.filter("row_id % 10 = 3"))
+
+
+def sales_growing(fact: DataFrame) -> DataFrame:
+    """The fact with one market that grows every year."""
+    return fact.withColumn("sales", F.expr(GROWING_SALES_EXPRESSION))
+
+
 def sales_fact_sql() -> str:
     """The fixture as one SELECT over the driver's table names (DuckDB and Spark SQL)."""
     cols = ",\n    ".join(f"{e} AS {c}" for c, e in SALES_FACT_EXPRESSIONS)
@@ -146,20 +182,46 @@ def sales_fact_sql() -> str:
     )
 
 
-def _landing_key(sf_dir: str, variant: str) -> str:
-    parts = [FIXTURE_VERSION, variant, os.path.abspath(sf_dir) if "://" not in sf_dir else sf_dir]
+def _files(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """(name, bytes, modification time) of a file, or of the files of a folder, on any file system."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(conf)
+    if not fs.exists(p):
+        return []
+    return sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(p))
+
+
+def _landing_key(spark: SparkSession, sf_dir: str, variant: str) -> str:
+    """Identity of the inputs: every file of every table, by the file system's own listing."""
+    parts = [FIXTURE_VERSION, variant, sf_dir.rstrip("/")]
     for name in ("lineitem", "orders", "customer", "nation", "region", "part"):
-        try:
-            st = os.stat(f"{sf_dir.rstrip('/')}/{name}.parquet")
-            parts.append(f"{name}:{st.st_size}:{int(st.st_mtime)}")
-        except OSError:
-            parts.append(name)
+        parts.append(f"{name}:{_files(spark, f'{sf_dir.rstrip('/')}/{name}.parquet')}")
     return hashlib.sha1("|".join(parts).encode()).hexdigest()[:16]
 
 
-# Landed tables opened in this application, by path. A landed path is keyed by
-# its inputs and written once, so its file listing never goes stale; reusing
-# the DataFrame skips re-listing the folder and re-reading footers per query.
+def finished(spark: SparkSession, folder: str) -> str | None:
+    """The first complete table under ``folder`` (a writer's attempt that reached its success mark)."""
+    for name, _, _ in _files(spark, folder):
+        if any(f == "_SUCCESS" for f, _, _ in _files(spark, f"{folder}/{name}")):
+            return f"{folder}/{name}"
+    return None
+
+
+def write_once(spark: SparkSession, folder: str, write) -> str:
+    """The complete table under ``folder``; ``write(path)`` makes it, on a path of its own, if there is none.
+
+    A half-written attempt is never read, and repeated calls leave one copy.
+    """
+    path = finished(spark, folder)
+    if path is None:
+        path = f"{folder}/{uuid.uuid4().hex}"
+        write(path)
+    return path
+
+
+# Landed tables opened in this application, by path: a finished path never
+# changes, so the DataFrame is reused without listing the folder again.
 _OPENED: dict[tuple[str, str], DataFrame] = {}
 
 
@@ -170,30 +232,37 @@ def landed_sales_fact(spark: SparkSession, sf_dir: str, dirty: bool = False, ref
     star join runs once, and every audit or gate reads only the columns it
     needs from columnar storage (pruned ReadSchema, pushed filters). The
     written table also cuts lineage, so a lost executor never replays the join.
-    The path is keyed by the inputs (size, mtime) and the fixture version, so
-    a later session reuses it; ``refresh=True`` lands it again regardless.
+    The folder is keyed by the inputs' files (name, size, time, on any file
+    system) and the fixture version; each landing has a path of its own there
+    and counts only with its success mark. ``refresh=True`` lands it again.
     """
     variant = "dirty" if dirty else "clean"
-    path = f"{shared_dir(spark)}/saleslens/landed/{_landing_key(sf_dir, variant)}/sales_fact"
+    folder = landing_folder(spark, sf_dir, variant)
+
+    def write(path: str) -> None:
+        # The dirty variant is derived from the landed clean fact (scan + CASE),
+        # so the star join runs once for both.
+        fact = sales_dirty(landed_sales_fact(spark, sf_dir)) if dirty else sales_fact(spark, sf_dir)
+        # Cap rows per file so the landed table has at least as many files as
+        # there are task slots (more parallel scans later) without a shuffle:
+        # each writing task just rolls over to a new file. The lineitem count
+        # comes from Parquet footers. At 100 TB this gives files of tens of
+        # millions of rows, each with many row groups.
+        rows = _table(spark, sf_dir, "lineitem").count()
+        per_file = max(1, -(-rows // max(1, spark.sparkContext.defaultParallelism)))
+        fact.write.option("maxRecordsPerFile", per_file).parquet(path)
+
+    if refresh:
+        path = f"{folder}/{uuid.uuid4().hex}"
+        write(path)
+    else:
+        path = write_once(spark, folder, write)
     key = (spark.sparkContext.applicationId, path)
-    if not refresh:
-        if key in _OPENED:
-            return _OPENED[key]
-        try:
-            _OPENED[key] = spark.read.parquet(path)
-            return _OPENED[key]
-        except AnalysisException:
-            pass
-    # The dirty variant is derived from the landed clean fact (scan + CASE),
-    # so the star join runs once for both.
-    fact = sales_dirty(landed_sales_fact(spark, sf_dir)) if dirty else sales_fact(spark, sf_dir)
-    # Cap rows per file so the landed table has at least as many files as
-    # there are task slots (more parallel scans later) without a shuffle:
-    # each writing task just rolls over to a new file. The lineitem count
-    # comes from Parquet footers. At 100 TB this gives files of tens of
-    # millions of rows, each with many row groups.
-    rows = _table(spark, sf_dir, "lineitem").count()
-    per_file = max(1, -(-rows // max(1, spark.sparkContext.defaultParallelism)))
-    fact.write.mode("overwrite").option("maxRecordsPerFile", per_file).parquet(path)
-    _OPENED[key] = spark.read.parquet(path)
+    if key not in _OPENED:
+        _OPENED[key] = spark.read.parquet(path)
     return _OPENED[key]
+
+
+def landing_folder(spark: SparkSession, sf_dir: str, variant: str) -> str:
+    """Folder of what is derived from the tables of ``sf_dir`` as they are now."""
+    return f"{shared_dir(spark)}/saleslens/landed/{_landing_key(spark, sf_dir, variant)}"

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from saleslens.functions.joins import row_count_at_most
 
 # A single output file is written by one task; only small dimensions qualify.
 SINGLE_FILE_ROW_LIMIT = 1_000_000
@@ -34,15 +34,19 @@ def export(
 
     Facts are written in parallel, one part per task (optionally partitioned
     by columns such as the order year). ``single_file`` funnels everything
-    through one task, so it is refused above SINGLE_FILE_ROW_LIMIT rows.
+    through one task, so more than SINGLE_FILE_ROW_LIMIT rows stop the write
+    with an error (checked while writing; the input runs once).
     Column names with spaces are kept as they are in both formats.
     """
     if fmt not in ("parquet", "csv"):
         raise ValueError("fmt must be 'parquet' or 'csv'")
     if single_file:
-        if not row_count_at_most(df, SINGLE_FILE_ROW_LIMIT):
-            raise ValueError("single_file is only for small dimensions; write a fact as a directory")
-        df = df.coalesce(1)
+        # one partition, so the id counts its rows
+        counted = df.coalesce(1).withColumn("_row", F.monotonically_increasing_id())
+        stop = F.raise_error(F.lit("single_file is only for small dimensions; write a fact as a directory"))
+        df = counted.filter(
+            F.when(F.col("_row") >= SINGLE_FILE_ROW_LIMIT, stop).otherwise(F.lit(True))
+        ).drop("_row")
     writer = df.write.mode(mode)
     if partition_by:
         writer = writer.partitionBy(*partition_by)

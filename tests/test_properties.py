@@ -27,7 +27,7 @@ def test_duplicate_rows_match_brute_force(spark, rows):
     expected = {t: c for t, c in Counter(rows).items() if c > 1}
     got = {(r.k, r.v): r.duplicate_counter for r in profiling.duplicate_rows(df).collect()}
     assert got == expected
-    direct = {(r.k, r.v): r.duplicate_counter for r in profiling.duplicate_rows(df, candidate_limit=0).collect()}
+    direct = {(r.k, r.v): r.duplicate_counter for r in profiling.duplicate_rows(df).collect()}
     assert direct == expected
 
 

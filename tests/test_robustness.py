@@ -83,7 +83,7 @@ def hot(spark):
 def test_hot_group_of_copies(hot):
     dups = profiling.duplicate_rows(hot).collect()
     assert len(dups) == 1 and dups[0].duplicate_counter == 1000
-    direct = profiling.duplicate_rows(hot, candidate_limit=0).collect()
+    direct = profiling.duplicate_rows(hot).collect()
     assert [r.duplicate_counter for r in direct] == [1000]
 
 

@@ -129,7 +129,7 @@ def test_duplicates(spark):
     payload = {(r.a, r.b): r.duplicate_counter for r in profiling.duplicate_rows(df, exclude=["row_id"]).collect()}
     assert payload == {("x", 1): 2, ("y", 2): 2, (None, None): 2}
     # the direct path (candidates above the limit) gives the same answer
-    direct = {(r.a, r.b): r.duplicate_counter for r in profiling.duplicate_rows(df, ["row_id"], candidate_limit=0).collect()}
+    direct = {(r.a, r.b): r.duplicate_counter for r in profiling.duplicate_rows(df, ["row_id"]).collect()}
     assert direct == payload
 
 

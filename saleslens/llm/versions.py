@@ -14,6 +14,7 @@ Everything runs as DataFrame expressions in the JVM.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +23,7 @@ from saleslens.llm.common import through_storage
 
 UNIT_WORDS = 16
 #: Digests for each shard of a fingerprint, and of the first try at a pair.
-SHARD_LOAD, PAIR_LOAD = 8, 6
+SHARD_LOAD, PAIR_LOAD = 8, 9
 CELLS, ROW = 24, 8
 MAX_SHARD_BITS = 20
 #: Rounds of peeling in a shard, and tries with more shards.
@@ -62,56 +63,73 @@ def _bits_for(n: Column, load: int) -> Column:
     )
 
 
-def _power(bits: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), bits)
+@dataclass(frozen=True)
+class Size:
+    """Columns that say how digests are dealt into shards: worked out once a row, not once a digest."""
 
+    shift: Column  # bits that the first step uses
+    outer: Column  # mask of the first step
+    inner: Column  # mask of the second
 
-def _in_cell(x: Column, i: Column) -> Column:
-    """Whether digest ``x`` belongs to cell ``i`` of its shard: three bits choose in each row of eight."""
-    at = F.call_function("shiftright", x, (F.lit(MAX_SHARD_BITS) + F.floor(i / ROW) * 3).cast("int"))
-    return at.bitwiseAND(F.lit(ROW - 1)) == i % ROW
+    @staticmethod
+    def add(df: DataFrame, bits: Column, name: str) -> tuple[DataFrame, Size]:
+        """``df`` with the columns of 2**bits shards."""
+        one = F.lit(1).cast("long")
+        df = df.withColumn(f"{name}_bits", bits.cast("int"))
+        df = df.withColumn(f"{name}_shift", F.shiftright(F.col(f"{name}_bits") + 1, 1))
+        df = df.withColumn(f"{name}_outer", F.call_function("shiftleft", one, F.col(f"{name}_shift")) - 1)
+        rest = F.col(f"{name}_bits") - F.col(f"{name}_shift")
+        df = df.withColumn(f"{name}_inner", F.call_function("shiftleft", one, rest) - 1)
+        return df, Size(F.col(f"{name}_shift"), F.col(f"{name}_outer"), F.col(f"{name}_inner"))
+
+
+def _in_row(x: Column, row: int, at: Column) -> Column:
+    """Whether digest ``x`` belongs to cell ``at`` of a row: three bits of it choose."""
+    return F.shiftright(x, MAX_SHARD_BITS + 3 * row).bitwiseAND(F.lit(ROW - 1)) == at
 
 
 def _cell(c: Column, x: Column) -> Column:
     return F.struct(c.alias("c"), x.alias("x"))
 
 
-def sketch(keys: Column, bits: Column) -> Column:
-    """2**bits shards of CELLS cells (c, x) of an array of digests."""
+def _each_cell(body: Callable[[int, Column], Column]) -> Column:
+    """``body(row, cell of the row)`` for the cells of a shard, row by row."""
+    places = F.sequence(F.lit(0).cast("long"), F.lit(ROW - 1).cast("long"))
+
+    def cells(row: int) -> Column:
+        return F.transform(places, lambda at: body(row, at))
+
+    return F.concat(*[cells(r) for r in range(CELLS // ROW)])
+
+
+def sketch(keys: Column, size: Size) -> Column:
+    """Shards of CELLS cells (c, x) of an array of digests."""
     empty = _cell(F.lit(0), F.lit(0).cast("long"))
 
     def cells(held: Column) -> Column:
-        return F.transform(
-            F.sequence(F.lit(0), F.lit(CELLS - 1)),
-            lambda i: F.aggregate(
-                F.filter(held, lambda k: _in_cell(k, i)),
+        return _each_cell(
+            lambda row, at: F.aggregate(
+                F.filter(held, lambda k: _in_row(k, row, at)),
                 empty,
                 lambda a, k: _cell(a["c"] + 1, a["x"].bitwiseXOR(k)),
-            ),
-        )
-
-    def dealt(first: Column, second: Column) -> Column:
-        # in two steps, so that a long text is not read once for each shard
-        def inner(held: Column) -> Column:
-            return F.transform(
-                F.sequence(F.lit(0).cast("long"), _power(second) - 1),
-                lambda j: cells(
-                    F.filter(
-                        held,
-                        lambda k: F.call_function("shiftright", k, first).bitwiseAND(_power(second) - 1) == j,
-                    )
-                ),
             )
+        )
 
-        return F.flatten(
-            F.transform(
-                F.sequence(F.lit(0).cast("long"), _power(first) - 1),
-                lambda i: _let(F.filter(keys, lambda k: k.bitwiseAND(_power(first) - 1) == i), inner),
-            )
+    # in two steps, so that a long text is not read once for each shard
+    def inner(held: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0).cast("long"), size.inner),
+            lambda j: _let(
+                F.filter(held, lambda k: F.call_function("shiftright", k, size.shift).bitwiseAND(size.inner) == j), cells
+            ),
         )
 
-    half = F.floor((bits + 1) / 2).cast("int")
-    return dealt(half, bits - half)
+    return F.flatten(
+        F.transform(
+            F.sequence(F.lit(0).cast("long"), size.outer),
+            lambda i: _let(F.filter(keys, lambda k: k.bitwiseAND(size.outer) == i), inner),
+        )
+    )
 
 
 def subtract(a: Column, b: Column) -> Column:
@@ -129,13 +147,16 @@ def _peel(cells: Column) -> Column:
 
     def go(state: Column) -> Column:
         def taken(some: Column) -> Column:
-            rest = F.transform(
-                state["cells"],
-                lambda q, i: F.aggregate(
-                    F.filter(some, lambda p: _in_cell(p["x"], i)),
-                    q,
-                    lambda a, p: _cell(a["c"] - p["c"], a["x"].bitwiseXOR(p["x"])),
-                ),
+            # what the found digests left in each cell, taken from it
+            left = _each_cell(
+                lambda row, at: F.aggregate(
+                    F.filter(some, lambda p: _in_row(p["x"], row, at)),
+                    _cell(F.lit(0), F.lit(0).cast("long")),
+                    lambda a, p: _cell(a["c"] + p["c"], a["x"].bitwiseXOR(p["x"])),
+                )
+            )
+            rest = F.zip_with(
+                state["cells"], left, lambda q, v: _cell(q["c"] - v["c"], q["x"].bitwiseXOR(v["x"]))
             )
             return F.when(F.size(some) == 0, F.struct(state["cells"], state["found"], F.lit(False).alias("live"))).otherwise(
                 F.struct(rest.alias("cells"), F.concat(state["found"], some).alias("found"), F.lit(True).alias("live"))
@@ -149,9 +170,9 @@ def _peel(cells: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), begin, lambda s, _: go(s))
 
 
-def differing(a: Column, b: Column, bits: Column) -> Column:
-    """The differing digests (c, x) of two digest arrays, by sketches of 2**bits shards; null if they do not peel."""
-    states = F.transform(subtract(sketch(a, bits), sketch(b, bits)), lambda s: _peel(s))
+def differing(a: Column, b: Column, size: Size) -> Column:
+    """The differing digests (c, x) of two digest arrays, by sketches of that size; null if they do not peel."""
+    states = F.transform(subtract(sketch(a, size), sketch(b, size)), lambda s: _peel(s))
 
     def result(done: Column) -> Column:
         clear = F.forall(done, lambda s: F.forall(s["cells"], lambda q: (q["c"] == 0) & (q["x"] == 0)))
@@ -168,11 +189,12 @@ def with_likeness(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
     """
     both = F.size(a) + F.size(b)
     bits = _bits_for(both, PAIR_LOAD)
-    tries = []
+    tries, added = [], []
     for k in range(TRIES):
         column = f"{name}_try{k}"
-        larger = F.least(bits + 2 * k, F.lit(MAX_SHARD_BITS))
-        count = F.size(differing(F.col(a), F.col(b), larger))
+        df, size = Size.add(df, F.least(bits + 2 * k, F.lit(MAX_SHARD_BITS)), column)
+        added += [c for c in df.columns if c.startswith(f"{column}_")]
+        count = F.size(differing(F.col(a), F.col(b), size))
         if tries:
             df = df.withColumn(column, F.when(F.col(tries[-1]).isNull(), count).otherwise(F.col(tries[-1])))
         else:
@@ -180,19 +202,24 @@ def with_likeness(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
         tries.append(column)
     plain = F.size(F.array_except(a, b)) + F.size(F.array_except(b, a))
     count = F.coalesce(F.col(tries[-1]), plain)
-    return df.withColumn(name, F.when(both > 0, 1.0 - count / both).otherwise(F.lit(1.0))).drop(*tries)
+    return df.withColumn(name, F.when(both > 0, 1.0 - count / both).otherwise(F.lit(1.0))).drop(*tries, *added)
+
 
+def with_fingerprint(df: DataFrame, keys: str, name: str) -> DataFrame:
+    """``df`` with ``name``: the sketch of the digests ``keys`` at their own size.
 
-def fingerprint(keys: Column) -> Column:
-    """The sketch of a digest array at its own size, as base64 of count (one byte) and XOR (eight) of each cell."""
-    cells = F.flatten(sketch(keys, _bits_for(F.size(keys), SHARD_LOAD)))
+    Written as base64 of count (one byte) and XOR (eight) of each cell.
+    """
+    columns = df.columns
+    df, size = Size.add(df, _bits_for(F.size(keys), SHARD_LOAD), name)
     text = F.transform(
-        cells,
+        F.flatten(sketch(F.col(keys), size)),
         lambda q: F.concat(
             F.lpad(F.hex(q["c"].bitwiseAND(F.lit(255)).cast("long")), 2, "0"), F.lpad(F.hex(q["x"]), 16, "0")
         ),
     )
-    return F.regexp_replace(F.base64(F.unhex(F.array_join(text, ""))), r"\s", "")
+    mark = F.regexp_replace(F.base64(F.unhex(F.array_join(text, ""))), r"\s", "")
+    return df.select(*columns, mark.alias(name))
 
 
 def _next_documents(docs: DataFrame) -> DataFrame:
@@ -281,9 +308,7 @@ def fingerprint_versions(docs: DataFrame) -> DataFrame:
         "keys", "edited_keys", "next_keys",
     )
     compared = with_likeness(with_likeness(compared, "keys", "edited_keys", "near_edited"), "keys", "next_keys", "near_next")
-    return compared.select(
-        "doc_id", "n_chars", "edited_sha256",
-        fingerprint(F.col("keys")).alias("fingerprint"),
-        fingerprint(F.col("edited_keys")).alias("edited_fingerprint"),
-        "near_edited", "near_next",
-    )
+    marked = with_fingerprint(with_fingerprint(compared, "keys", "fingerprint"), "edited_keys", "edited_fingerprint")
+    return marked.select(
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"
+    )

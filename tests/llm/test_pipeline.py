@@ -1,0 +1,49 @@
+"""The corpus pipeline: each stage against its operator's brute-force decision, and the registered queries."""
+
+import corpus_pipeline
+import duckdb
+import pytest
+
+from __spark_entry__ import oracle_sql, queries
+from saleslens.llm import oracle
+from saleslens.llm.common import through_storage
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_stages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    columns, counts = docs.columns, [docs.count()]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = through_storage(stage(spark, docs, SF), name)
+        assert docs.columns == columns
+        counts.append(docs.count())
+        assert docs.filter("n_chars <> length(text)").count() == 0
+    assert counts[0] > counts[1] > counts[2] == counts[3] == counts[4]
+    ids = {r.doc_id for r in docs.select("doc_id").collect()}
+    out = corpus_pipeline.run(spark, SF)
+    assert {r.doc_id for r in out.collect()} == ids
+
+
+def test_stages_on_an_empty_table(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, SF).collect() == []
+
+
+def test_every_operator_has_a_query():
+    names = list(queries())
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+
+
+@pytest.mark.parametrize("name", sorted(oracle.oracle_queries()))
+def test_query_matches_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages", "benchmark", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
+    df = queries()[name](spark, SF)
+    wanted = con.execute(oracle_sql()[name])
+    columns = [c[0] for c in wanted.description]
+    assert sorted(df.columns) == sorted(columns)
+    got = [tuple(r[c] for c in columns) for r in df.collect()]
+    assert sorted(map(str, got)) == sorted(map(str, wanted.fetchall()))

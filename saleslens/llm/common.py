@@ -60,3 +60,19 @@ def batches(rows, max_bytes: int = 2_000_000):
             part, size = [], 0
     if part:
         yield part
+
+
+def bounded_sample(df: DataFrame, n: int, *keys: Column) -> DataFrame:
+    """At most about ``n`` rows of ``df``, all if it has fewer: those whose keys hash below a bound.
+
+    The same rows whatever the partitions, and only chosen rows are moved.
+    Rows with equal keys count once. The bound leaves six standard deviations
+    of room, so that more than ``n`` rows are as good as impossible.
+    """
+    mark = fresh(df, "sample_hash")
+    marked = df.withColumn(mark, F.shiftrightunsigned(F.xxhash64(*keys), 1))
+    total = df.count()
+    if total > n:
+        share = max(0.0, n - 6 * n**0.5) / total
+        marked = marked.filter(F.col(mark) < int(share * (1 << 63)))
+    return marked.dropDuplicates([mark]).select(*df.columns)

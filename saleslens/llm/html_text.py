@@ -21,9 +21,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from saleslens.llm.common import through_storage
+from saleslens.llm.common import bounded_sample, through_storage
 
-#: Labelled pages that the weights are learned from, at most (those of the smallest content hashes).
+#: Labelled pages that the weights are learned from, at most (chosen by their content hashes).
 MAX_LABELLED = 3_000
 #: Weights are bounded, so that no single tag decides alone.
 MOST = 6.0
@@ -280,8 +280,7 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
 def learn_weights(pages: DataFrame) -> dict[str, float]:
     """Weights from at most MAX_LABELLED pages that mark their content; empty without any."""
     marked = pages.filter(F.col("html").rlike(r"(?i)<(article|main)[\s>]")).select("html")
-    sample = marked.withColumn("h", F.xxhash64("html")).orderBy("h").limit(MAX_LABELLED).select("html")
-    sample = through_storage(sample.repartition(8), "labelled-pages")
+    sample = through_storage(bounded_sample(marked, MAX_LABELLED, F.col("html")), "labelled-pages")
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: Counter = Counter()

@@ -304,17 +304,34 @@ class PieceModel:
                 extra[chunk] = self._chunk(chunk)
             else:
                 by_size.setdefault(len(chunk), []).append(chunk)
-        for size, some in by_size.items():
-            codes = np.frombuffer("".join(some).encode("utf-32-le"), dtype="<u4").reshape(-1, size)
-            ids = self.char_id[codes]
-            plain = (ids >= 0).all(axis=1) & (codes != ord(SPACE)).all(axis=1)
-            for i in np.flatnonzero(~plain):
-                young[some[i]] = self._chunk(some[i])
-            self._merge_many(ids[plain], np.flatnonzero(plain), some)
+        for some in by_size.values():
+            self._segment_alike(some, young, spans=True)
         return extra
 
-    def _merge_many(self, ids: np.ndarray, rows: np.ndarray, chunks: list[str]) -> None:
-        """Segments equally long chunks together: a round merges the best pair of each that has one."""
+    def ids_of(self, chunks: list[str]) -> dict[str, bytes]:
+        """Packed ids (int32) of each chunk inside a text; nothing is remembered."""
+        out, by_size = {}, {}
+        for chunk in chunks:
+            if len(chunk) > CACHE_CHARS or not self.split:
+                out[chunk] = np.array(self._segment(chunk, False)[0], dtype=np.int32).tobytes()
+            else:
+                by_size.setdefault(len(chunk), []).append(chunk)
+        for some in by_size.values():
+            self._segment_alike(some, out, spans=False)
+        return out
+
+    def _segment_alike(self, some: list[str], out: dict[str, bytes], spans: bool) -> None:
+        """Segments chunks of one length into ``out``: packed ids, or (id, first, end) with ``spans``."""
+        codes = np.frombuffer("".join(some).encode("utf-32-le"), dtype="<u4").reshape(len(some), -1)
+        ids = self.char_id[codes]
+        plain = (ids >= 0).all(axis=1) & (codes != ord(SPACE)).all(axis=1)
+        for i in np.flatnonzero(~plain):
+            table = np.array(self._segment(some[i], False), dtype=np.int32)
+            out[some[i]] = (table.T if spans else table[0]).tobytes()
+        self._merge_many(ids[plain], np.flatnonzero(plain), some, out, spans)
+
+    def _merge_many(self, ids: np.ndarray, rows: np.ndarray, chunks: list[str], out: dict, spans: bool) -> None:
+        """Merges equally long chunks together: a round merges the best pair of each that has one."""
         while len(ids):
             n = ids.shape[1]
             if n > 1:
@@ -326,12 +343,13 @@ class PieceModel:
             else:
                 done = np.ones(len(ids), dtype=bool)
             if done.any():
-                end = np.cumsum(self.width[ids[done]], axis=1, dtype=np.int32)
-                start = end - self.width[ids[done]]
-                packed = np.stack((ids[done], start, end), axis=2).astype(np.int32).tobytes()
-                step = 12 * n
+                table = ids[done]
+                if spans:
+                    end = np.cumsum(self.width[table], axis=1, dtype=np.int32)
+                    table = np.stack((table, end - self.width[table], end), axis=2)
+                packed, step = table.astype(np.int32).tobytes(), (12 if spans else 4) * n
                 for k, i in enumerate(rows[done].tolist()):
-                    self.young[chunks[i]] = packed[k * step : (k + 1) * step]
+                    out[chunks[i]] = packed[k * step : (k + 1) * step]
                 if done.all():
                     return
                 ids, rows, best, slot = ids[~done], rows[~done], best[~done], slot[~done]

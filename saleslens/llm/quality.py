@@ -18,14 +18,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from saleslens.llm.common import fresh, through_storage
+from saleslens.llm.common import bounded_sample, fresh, through_storage
 
 #: Buckets of hashed n-grams (words and word pairs).
 BUCKETS = 1 << 14
-#: Labelled rows that the target model and the cut are fitted on, at most (those of the smallest id hashes).
+#: Labelled rows that the target model and the cut are fitted on, at most (chosen by their id hashes).
 MAX_LABELLED = 50_000
-#: Weight of the raw model in the smoothed target model, in counts for each bucket.
-PRIOR = 10.0
+#: Share of the raw model in the smoothed target model.
+PRIOR = 0.2
 #: Steps of a key that the selection tells apart, for each unit of log weight.
 STEPS = 1 << 20
 
@@ -48,13 +48,13 @@ def ngram_buckets(text: bytes | None) -> np.ndarray:
 
 def _labelled(labels: DataFrame) -> DataFrame:
     """doc_id, good, for_cut: a bounded sample of labelled ids; ids with two labels count as bad."""
-    return (
+    known = (
         labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
         .groupBy("doc_id")
         .agg((F.min("quality") > 0).alias("good"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(MAX_LABELLED)
-        .select("doc_id", "good", (F.pmod(F.xxhash64("doc_id", F.lit("cut")), F.lit(3)) == 0).alias("for_cut"))
+    )
+    return bounded_sample(known, MAX_LABELLED, F.col("doc_id")).select(
+        "doc_id", "good", (F.pmod(F.xxhash64("doc_id", F.lit("cut")), F.lit(3)) == 0).alias("for_cut")
     )
 
 
@@ -94,8 +94,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     if not good.sum():
         return np.zeros(BUCKETS), -np.inf
     raw_p = (raw + 0.5) / (raw.sum() + 0.5 * BUCKETS)
-    weight = PRIOR * BUCKETS
-    ratio = np.log((good + weight * raw_p) / (good.sum() + weight)) - np.log(raw_p)
+    ratio = np.log((1 - PRIOR) * good / good.sum() + PRIOR * raw_p) - np.log(raw_p)
 
     held = (
         with_log_weight(rows.filter("for_cut").select("doc_id", "text", "good"), ratio, "w")
@@ -106,17 +105,20 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
 
 
 def best_cut(weights: np.ndarray, good: np.ndarray) -> float:
-    """The lowest weight to keep, for the fewest errors; of equal choices, the one midway."""
+    """The weight from which rows are kept with the fewest errors: the lowest such place, midway between two rows."""
     if not len(good) or good.all():
         return -np.inf
     order = np.argsort(weights, kind="stable")
     weights, good = weights[order], good[order]
+    # errors when the first i rows go
     errors = np.concatenate(([0], np.cumsum(good))) + np.concatenate((np.cumsum(~good[::-1])[::-1], [0]))
-    choices = np.flatnonzero(errors == errors.min())  # the rows below the cut, in number
-    low, high = choices[0], choices[-1]
-    below = weights[low - 1] if low else -np.inf
-    above = weights[high] if high < len(weights) else np.inf
-    return float((below + above) / 2) if np.isfinite(below) and np.isfinite(above) else float(above if low == 0 else below)
+    places = np.flatnonzero(np.concatenate(([True], weights[1:] > weights[:-1], [True])))
+    i = places[errors[places].argmin()]
+    if i == 0:
+        return -np.inf
+    if i == len(weights):
+        return float(np.nextafter(weights[-1], np.inf))
+    return float((weights[i - 1] + weights[i]) / 2)
 
 
 def with_log_weight(docs: DataFrame, ratio: np.ndarray, name: str) -> DataFrame:

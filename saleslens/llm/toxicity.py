@@ -20,10 +20,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from saleslens.llm.common import crc_fold, through_storage
+from saleslens.llm.common import bounded_sample, crc_fold, through_storage
 from saleslens.llm.decontamination import words
 
-#: Labelled rows that the model is fitted on, at most (those of the smallest id hashes).
+#: Labelled rows that the model is fitted on, at most (chosen by their id hashes).
 MAX_LABELLED = 20_000
 #: One row in HOLD_OUT (by crc32 of the id) gives no label to the model.
 HOLD_OUT = 5
@@ -260,9 +260,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         .filter(crc_fold(F.col("doc_id"), HOLD_OUT) != 0)
         .groupBy("doc_id")
         .agg(F.max("toxic").cast("int").alias("toxic"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(MAX_LABELLED)
     )
+    known = through_storage(bounded_sample(known, MAX_LABELLED, F.col("doc_id")), "toxicity-labels")
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(
         F.broadcast(known), "doc_id"  # at most MAX_LABELLED rows
     )

@@ -43,7 +43,7 @@ def test_pages_that_stop_anywhere_do_not_crash(weights):
         ("", ""),
         ("<html><body></body></html>", ""),
         ("plain &amp; text", "plain & text"),
-        ("<p>one<p>two<div class='sidebar'>x y</div><p>three", "one\n\ntwo\n\nthree"),
+        ("<p>one<p>two<div class='sidebar'>x y</div><p>three and more words", "one\n\ntwo\n\nthree and more words"),
         ("<main><p>a b</p><div id='cookie-notice'>ok?</div><p>c d</p></main>", "a b\n\nc d"),
     ],
 )

@@ -2,7 +2,8 @@
 
     python -m saleslens SOURCE OUT_DIR [--core APAC EU US LATAM] [--years 2013 2014]
                         [--exclude-segment "Home Office"] [--csv-marts] [--processed-csv]
-                        [--partition-report-by-year]
+                        [--partition-report-by-year] [--market-rule WRONG COUNTRY CORRECT]...
+                        [--product-rule NAME SUBCATEGORY CATEGORY]... [--multi-market-countries ...]
 
 SOURCE ending in .csv (or a folder of CSV files with --csv) is loaded with the
 declared schema; anything else is read as Parquet. Defaults are the original
@@ -13,9 +14,16 @@ from __future__ import annotations
 
 import argparse
 
-from saleslens.constants import REFERENCE_CORE_MARKETS, REFERENCE_EXCLUDED_SEGMENT, REFERENCE_SEGMENT_YEARS
+from saleslens.constants import (
+    REFERENCE_CORE_MARKETS,
+    REFERENCE_EXCLUDED_SEGMENT,
+    REFERENCE_MARKET_RULES,
+    REFERENCE_MULTI_MARKET_COUNTRIES,
+    REFERENCE_PRODUCT_RULE,
+    REFERENCE_SEGMENT_YEARS,
+)
 from saleslens.plans.pipeline import run_pipeline
-from saleslens.session import get_spark
+from saleslens.session import get_spark, input_bytes, size_for_input
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -29,10 +37,20 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--csv-marts", action="store_true")
     ap.add_argument("--processed-csv", action="store_true")
     ap.add_argument("--partition-report-by-year", action="store_true")
+    ap.add_argument(
+        "--market-rule", nargs=3, action="append", metavar=("WRONG", "COUNTRY", "CORRECT"),
+        help="a market correction, instead of the default ones; may be repeated",
+    )
+    ap.add_argument(
+        "--product-rule", nargs=3, action="append", metavar=("NAME", "SUBCATEGORY", "CATEGORY"),
+        help="a product correction, instead of the default one; may be repeated",
+    )
+    ap.add_argument("--multi-market-countries", nargs="+", default=list(REFERENCE_MULTI_MARKET_COUNTRIES))
     ap.add_argument("--master", default=None)
     args = ap.parse_args(argv)
 
     spark = get_spark(args.master)
+    size_for_input(spark, input_bytes(spark, args.source))
     source = args.source if (args.csv or args.source.lower().endswith(".csv")) else spark.read.parquet(args.source)
     written = run_pipeline(
         spark,
@@ -41,6 +59,9 @@ def main(argv: list[str] | None = None) -> None:
         core=args.core,
         years=args.years,
         excluded_segment=args.exclude_segment,
+        market_rules=[tuple(r) for r in args.market_rule] if args.market_rule else REFERENCE_MARKET_RULES,
+        product_rule=[tuple(r) for r in args.product_rule] if args.product_rule else REFERENCE_PRODUCT_RULE,
+        multi_market_countries=args.multi_market_countries,
         csv_marts=args.csv_marts,
         processed_csv=args.processed_csv,
         partition_reporting_by_year=args.partition_report_by_year,

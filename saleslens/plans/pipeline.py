@@ -8,7 +8,8 @@ Stages (each output is a directory under ``out_dir``):
 2. ``audit/*``  profile, duplicates, hierarchy and key checks on the raw data.
 3. ``clean``    rule-based corrections applied (reports in ``corrections/*``),
                 landed once: the lineage cut every later stage reads from.
-4. ``gates/*``  the decision gates over the cleaned data.
+4. ``gates/*``  the decision gates over the cleaned data, and ``reports/*``
+                the same with formatted strings.
 5. ``marts/*``  reporting fact and date dimension.
 
 Every step is a DataFrame job on the executors; the driver only builds plans
@@ -30,6 +31,7 @@ from saleslens.constants import (
     REFERENCE_PRODUCT_RULE,
     REFERENCE_SEGMENT_YEARS,
 )
+from saleslens.functions.formatting import REPORT_FORMATS, format_report, with_millions
 from saleslens.operators import audit, corrections, gates, marts, profiling
 from saleslens.sources.csv_source import land_parquet, land_sales_csv
 from saleslens.sources.sinks import export
@@ -43,7 +45,7 @@ def run_pipeline(
     years: Sequence[int] = REFERENCE_SEGMENT_YEARS,
     excluded_segment: str | None = REFERENCE_EXCLUDED_SEGMENT,
     market_rules: Sequence[tuple[str, str, str]] = REFERENCE_MARKET_RULES,
-    product_rule: tuple[str, str, str] = REFERENCE_PRODUCT_RULE,
+    product_rule: tuple[str, str, str] | Sequence[tuple[str, str, str]] = REFERENCE_PRODUCT_RULE,
     multi_market_countries: Sequence[str] = REFERENCE_MULTI_MARKET_COUNTRIES,
     csv_marts: bool = False,
     processed_csv: bool = False,
@@ -82,26 +84,29 @@ def run_pipeline(
         written["raw"] = f"{out}/raw"
         raw = spark.read.parquet(f"{out}/raw")
 
-    # 2. audits on the raw data (small results)
+    # 2. audits on the raw data (small results). Four of them look at nothing but
+    # the distinct (market, country) pairs: those are landed once and shared.
+    land_parquet(raw.select("market", "country").distinct(), f"{out}/audit/market_country_pairs")
+    written["audit/market_country_pairs"] = f"{out}/audit/market_country_pairs"
+    lands = spark.read.parquet(f"{out}/audit/market_country_pairs")
     audits = {
         "column_profile": profiling.column_profile(raw),
         "duplicate_rows": profiling.duplicate_rows(raw),
-        "numeric_range_stats": profiling.numeric_range_stats(
-            raw, [c for c in ("sales", "quantity", "discount", "profit", "shipping_cost") if c in raw.columns]
-        ),
+        "numeric_range_stats": profiling.numeric_range_stats(raw),
+        "sample_rows": profiling.sample_rows(raw),
         "identifier_cardinality_customer": audit.identifier_cardinality(raw, "customer_name", "customer_id"),
         "identifier_cardinality_product": audit.identifier_cardinality(raw, "product_name", "product_id"),
-        "market_country_count": audit.children_per_parent(raw, "market", "country", "country_count"),
+        "market_country_count": audit.children_per_parent(lands, "market", "country", "country_count"),
         "market_region_pairs": audit.distinct_pairs(raw, "market", "region"),
-        "hierarchy_check_market_country": audit.hierarchy_check(raw, "market", "country"),
+        "hierarchy_check_market_country": audit.hierarchy_check(lands, "market", "country"),
         "category_subcategory_count": audit.children_per_parent(raw, "category", "subcategory", "subcategory_count"),
         "hierarchy_check_category_subcategory": audit.hierarchy_check(raw, "category", "subcategory"),
         "subcategory_product_count": audit.children_per_parent(
             raw, ["category", "subcategory"], "product_name", "product_name_count", order=True
         ),
         "hierarchy_check_subcategory_product": audit.hierarchy_check(raw, "subcategory", "product_name"),
-        "countries_multi_market": audit.multi_parent(raw, "market", "country"),
-        "country_market_pairs": audit.pairs_for(raw, "country", "market", multi_market_countries),
+        "countries_multi_market": audit.multi_parent(lands, "market", "country"),
+        "country_market_pairs": audit.pairs_for(lands, "country", "market", multi_market_countries),
         "products_multi_subcategory": audit.multi_parent_detail(raw),
         "region_reuses_market": audit.values_reused_across(raw, "market", "region"),
         "customer_name_fanout": audit.name_fanout(raw),
@@ -157,6 +162,25 @@ def run_pipeline(
     }
     save_all("gates", gate_results)
 
+    # the gates as the analysis presents them: display strings beside the numbers
+    exact = {
+        "market_performance": gates.market_performance(analysis, scale=None),
+        "market_yoy": gates.yoy_growth(analysis, core=core, scale=None),
+        "category_performance": gates.category_performance(analysis, core, scale=None),
+        "discount_over_index": gates.discount_over_index(analysis, core, scale=None),
+        "ship_mode_performance": gates.ship_mode_performance(analysis, core, scale=None),
+        "segment_contribution": gates.share_stability(analysis, core, years, scale=None),
+        "organic_demand": gates.flag_rate(analysis, core, excluded_segment, scale=None),
+        "profit_ratio_by_year": audit.signed_ratio_by_period(raw, scale=None),
+    }
+    save_all(
+        "reports",
+        {
+            name: format_report(with_millions(df) if "revenue_millions" in REPORT_FORMATS[name] else df, REPORT_FORMATS[name])
+            for name, df in exact.items()
+        },
+    )
+
     # 5. reporting marts (the fact stays a directory of parts; the calendar is small)
     fmt = "csv" if csv_marts else "parquet"
     if partition_reporting_by_year:

@@ -64,11 +64,14 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+#: The largest value that Spark takes for a partition count.
+SPARK_INT_MAX = (1 << 31) - 1
+
+
 def size_for_input(
     spark: SparkSession,
     input_bytes: int,
     target_partition_bytes: int = 256 * 1024 * 1024,
-    max_partitions: int = 1_000_000,
 ) -> int:
     """Set shuffle sizing for an input of ``input_bytes`` and return the partition count.
 
@@ -78,8 +81,15 @@ def size_for_input(
     post-aggregation shuffles toward the same advisory size and splits skewed
     ones. Scan splits use the same target.
     """
-    parts = max(spark.sparkContext.defaultParallelism, min(max_partitions, -(-input_bytes // target_partition_bytes)))
+    parts = max(spark.sparkContext.defaultParallelism, min(SPARK_INT_MAX, -(-input_bytes // target_partition_bytes)))
     spark.conf.set("spark.sql.shuffle.partitions", str(parts))
     spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(target_partition_bytes))
     spark.conf.set("spark.sql.files.maxPartitionBytes", str(target_partition_bytes))
     return parts
+
+
+def input_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of a file or folder on any file system (0 if there is none)."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.getContentSummary(p).getLength() if fs.exists(p) else 0

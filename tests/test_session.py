@@ -14,6 +14,6 @@ def test_size_for_input_scales_with_bytes(spark):
         assert size_for_input(spark, 1024) == slots
         assert size_for_input(spark, 100 * 1024**4) == 100 * 1024**4 // (256 * 1024**2)
         assert spark.conf.get("spark.sql.shuffle.partitions") == str(100 * 1024**4 // (256 * 1024**2))
-        assert size_for_input(spark, 10**18) == 1_000_000
+        assert size_for_input(spark, 10**17) == -(-(10**17) // (256 * 1024**2))
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)

@@ -488,6 +488,7 @@ def encode_documents(docs: DataFrame, model: bytes, key: str = "doc_id", text: s
                     [some.column(0), *[_int_lists(v, sizes) for v in (ids, first, last)], pa.array(decoded, pa.string())],
                     names=[f.name for f in schema.fields],
                 )
+        m.young, m.old = {}, {}  # the worker outlives its task; what it remembers should not
 
     return docs.select(F.col(key), F.col(text).alias("text")).mapInArrow(encode, schema)
 

@@ -2,6 +2,25 @@
 
 from __future__ import annotations
 
+# For pages that mark their content: the blocks of the article, references decoded
+# (those that the tables hold, with or without a semicolon; the ampersand last).
+OP1 = r"""
+WITH parts AS (
+    SELECT row_number() OVER () AS rid, page_id, url,
+           string_split_regex(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '</?(?:p|h1)>') AS blocks
+    FROM pages
+), texts AS (
+    SELECT rid, i, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+               regexp_replace(replace(blocks[i], '<br>', ' '), '<[^>]*>', '', 'g'),
+               '&quot;?', '"', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS t
+    FROM (SELECT rid, blocks, unnest(range(1, len(blocks) + 1)) AS i FROM parts)
+), joined AS (
+    SELECT rid, string_agg(t, chr(10) || chr(10) ORDER BY i) AS body FROM texts WHERE t <> '' GROUP BY rid
+)
+SELECT page_id, url, coalesce(body, '') AS text, length(coalesce(body, '')) AS n_chars
+FROM parts LEFT JOIN joined USING (rid)
+"""
+
 OP2 = """
 WITH parts AS (
     SELECT page_id,
@@ -91,4 +110,4 @@ FROM docs LEFT JOIN counts USING (rid) LEFT JOIN rest USING (rid)
 
 
 def oracle_queries() -> dict[str, str]:
-    return {"op2_url_filter": OP2, "op4_decontamination": OP4, "op9_suffix_array": OP9}
+    return {"op1_html_text": OP1, "op2_url_filter": OP2, "op4_decontamination": OP4, "op9_suffix_array": OP9}

@@ -144,8 +144,8 @@ def multi_parent_detail(
     triples = df.select(*[_text(c, collation) for c in cols]).filter(F.col(key).isNotNull()).distinct()
     w = Window.partitionBy(key)
     return (
-        triples.withColumn("_several", F.min(parent).over(w) < F.max(parent).over(w))
-        .filter("_several")
+        triples.withColumns({"_least": F.min(parent).over(w), "_most": F.max(parent).over(w)})
+        .filter("_least < _most")
         .select(*cols)
     )
 

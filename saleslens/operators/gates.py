@@ -75,14 +75,21 @@ def contribution(
     ``order_count`` counts lines (one row = one order line) and ``aov`` is the
     mean line value, as in the source analysis.
     """
-    aggs = [
-        F.sum(measure).alias("revenue"),
-        F.count(measure).alias("_valued"),
-        F.count(F.lit(1)).alias("order_count"),
-    ]
+    # One row for each (group, distinct value) first, then one for each group:
+    # plain aggregates, so that the totals can reuse the exchange between them.
+    keys = [by, distinct_col] if distinct_col else [by]
+    agg = df.groupBy(*keys).agg(
+        F.sum(measure).alias("revenue"), F.count(measure).alias("_valued"), F.count(F.lit(1)).alias("order_count")
+    )
     if distinct_col:
-        aggs.insert(0, F.count_distinct(distinct_col).alias(f"{distinct_col}_count"))
-    out = with_totals(df.groupBy(by).agg(*aggs), "revenue", "order_count")
+        kind = agg.schema["revenue"].dataType
+        agg = agg.groupBy(by).agg(
+            F.count(distinct_col).alias(f"{distinct_col}_count"),
+            F.sum("revenue").cast(kind).alias("revenue"),
+            F.sum("_valued").alias("_valued"),
+            F.sum("order_count").alias("order_count"),
+        )
+    out = with_totals(agg, "revenue", "order_count")
     keep = [by] + ([f"{distinct_col}_count"] if distinct_col else [])
     return out.select(
         *keep,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,6 +51,18 @@ def crc_fold(column: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(column.cast("string"), F.lit(""))) % F.lit(folds)
 
 
+def release_memory() -> None:
+    """Gives memory that a task has freed back to the system.
+
+    A Python worker lives on after its task, and an executor keeps several; on
+    a C library without the call nothing happens.
+    """
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def batches(rows, max_bytes: int = 2_000_000):
     """Lists of consecutive items of ``rows`` (index, bytes) holding about ``max_bytes`` each."""
     part, size = [], 0

@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from saleslens.llm.common import release_memory
+
 SPACE = "▁"
 # Piece types of the model format (fixed values).
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -489,6 +491,7 @@ def encode_documents(docs: DataFrame, model: bytes, key: str = "doc_id", text: s
                     names=[f.name for f in schema.fields],
                 )
         m.young, m.old = {}, {}  # the worker outlives its task; what it remembers should not
+        release_memory()
 
     return docs.select(F.col(key), F.col(text).alias("text")).mapInArrow(encode, schema)
 

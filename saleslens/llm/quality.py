@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from saleslens.llm.common import bounded_sample, fresh, through_storage
+from saleslens.llm.common import bounded_sample, fresh, release_memory, through_storage
 
 #: Buckets of hashed n-grams (words and word pairs).
 BUCKETS = 1 << 14
@@ -80,6 +80,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
                     good += grams
         at = np.flatnonzero(raw)
         yield pd.DataFrame({"bucket": at, "raw": raw[at], "good": good[at]})
+        release_memory()
 
     counts = (
         rows.select("text", target.alias("target"))

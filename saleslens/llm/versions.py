@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from saleslens.llm.common import through_storage
 
 UNIT_WORDS = 16
-#: Digests for each shard of a fingerprint, and of the first try at a pair.
-SHARD_LOAD, PAIR_LOAD = 8, 9
+#: Digests for each shard of a fingerprint. A pair is first tried at the size of its larger one.
+SHARD_LOAD = 6
 CELLS, ROW = 24, 8
 MAX_SHARD_BITS = 20
 #: Rounds of peeling in a shard, and tries with more shards.
@@ -170,9 +170,9 @@ def _peel(cells: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), begin, lambda s, _: go(s))
 
 
-def differing(a: Column, b: Column, size: Size) -> Column:
-    """The differing digests (c, x) of two digest arrays, by sketches of that size; null if they do not peel."""
-    states = F.transform(subtract(sketch(a, size), sketch(b, size)), lambda s: _peel(s))
+def peeled(difference: Column) -> Column:
+    """The digests (c, x) of a sketch; null if it does not peel."""
+    states = F.transform(difference, lambda s: _peel(s))
 
     def result(done: Column) -> Column:
         clear = F.forall(done, lambda s: F.forall(s["cells"], lambda q: (q["c"] == 0) & (q["x"] == 0)))
@@ -181,45 +181,52 @@ def differing(a: Column, b: Column, size: Size) -> Column:
     return _let(states, result)
 
 
+def with_sketch(df: DataFrame, keys: str) -> DataFrame:
+    """``df`` with ``<keys>_bits`` and ``<keys>_sketch``: the sketch of a digest column at its own size."""
+    df, size = Size.add(df, _bits_for(F.size(keys), SHARD_LOAD), keys)
+    return df.withColumn(f"{keys}_sketch", sketch(F.col(keys), size))
+
+
 def with_likeness(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
     """``df`` with ``name``: 1 - differing / all digests of the columns ``a`` and ``b``; 1 for two empty ones.
 
-    Each try that does not peel is followed by one with four times the
-    shards; after the last the arrays are compared themselves.
+    ``a`` has a sketch (``with_sketch``), ``b`` may have one. They are
+    subtracted at the size of the larger text's; a pair that does not peel is
+    tried again with four times the shards, and after the last try the arrays
+    are compared themselves.
     """
-    both = F.size(a) + F.size(b)
-    bits = _bits_for(both, PAIR_LOAD)
-    tries, added = [], []
+    columns, both = df.columns, F.size(a) + F.size(b)
+    bits = F.greatest(_bits_for(F.size(a), SHARD_LOAD), _bits_for(F.size(b), SHARD_LOAD))
+    df = df.withColumn(f"{name}_first", bits)
+    last = None
     for k in range(TRIES):
-        column = f"{name}_try{k}"
-        df, size = Size.add(df, F.least(bits + 2 * k, F.lit(MAX_SHARD_BITS)), column)
-        added += [c for c in df.columns if c.startswith(f"{column}_")]
-        count = F.size(differing(F.col(a), F.col(b), size))
-        if tries:
-            df = df.withColumn(column, F.when(F.col(tries[-1]).isNull(), count).otherwise(F.col(tries[-1])))
-        else:
-            df = df.withColumn(column, F.when(both > 0, count).otherwise(F.lit(0)))
-        tries.append(column)
+        df, size = Size.add(df, F.least(F.col(f"{name}_first") + 2 * k, F.lit(MAX_SHARD_BITS)), f"{name}_size{k}")
+
+        def held(keys: str, size=size, k=k) -> Column:
+            made = sketch(F.col(keys), size)
+            if f"{keys}_sketch" not in columns:
+                return made
+            same = F.col(f"{keys}_bits") == F.col(f"{name}_size{k}_bits")
+            return F.when(same, F.col(f"{keys}_sketch")).otherwise(made)
+
+        count = F.size(peeled(subtract(held(a), held(b))))
+        count = F.when(both > 0, count).otherwise(F.lit(0)) if last is None else F.coalesce(F.col(last), count)
+        last = f"{name}_try{k}"
+        df = df.withColumn(last, count)
     plain = F.size(F.array_except(a, b)) + F.size(F.array_except(b, a))
-    count = F.coalesce(F.col(tries[-1]), plain)
-    return df.withColumn(name, F.when(both > 0, 1.0 - count / both).otherwise(F.lit(1.0))).drop(*tries, *added)
-
+    count = F.coalesce(F.col(last), plain)
+    return df.select(*columns, F.when(both > 0, 1.0 - count / both).otherwise(F.lit(1.0)).alias(name))
 
-def with_fingerprint(df: DataFrame, keys: str, name: str) -> DataFrame:
-    """``df`` with ``name``: the sketch of the digests ``keys`` at their own size.
 
-    Written as base64 of count (one byte) and XOR (eight) of each cell.
-    """
-    columns = df.columns
-    df, size = Size.add(df, _bits_for(F.size(keys), SHARD_LOAD), name)
+def fingerprint(held: Column) -> Column:
+    """A sketch as base64 of count (one byte) and XOR (eight) of each cell."""
     text = F.transform(
-        F.flatten(sketch(F.col(keys), size)),
+        F.flatten(held),
         lambda q: F.concat(
             F.lpad(F.hex(q["c"].bitwiseAND(F.lit(255)).cast("long")), 2, "0"), F.lpad(F.hex(q["x"]), 16, "0")
         ),
     )
-    mark = F.regexp_replace(F.base64(F.unhex(F.array_join(text, ""))), r"\s", "")
-    return df.select(*columns, mark.alias(name))
+    return F.regexp_replace(F.base64(F.unhex(F.array_join(text, ""))), r"\s", "")
 
 
 def _next_documents(docs: DataFrame) -> DataFrame:
@@ -307,8 +314,11 @@ def fingerprint_versions(docs: DataFrame) -> DataFrame:
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         "keys", "edited_keys", "next_keys",
     )
-    compared = with_likeness(with_likeness(compared, "keys", "edited_keys", "near_edited"), "keys", "next_keys", "near_next")
-    marked = with_fingerprint(with_fingerprint(compared, "keys", "fingerprint"), "edited_keys", "edited_fingerprint")
-    return marked.select(
-        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"
-    )
+    sketched = with_sketch(with_sketch(compared, "keys"), "edited_keys")
+    near = with_likeness(with_likeness(sketched, "keys", "edited_keys", "near_edited"), "keys", "next_keys", "near_next")
+    return near.select(
+        "doc_id", "n_chars", "edited_sha256",
+        fingerprint(F.col("keys_sketch")).alias("fingerprint"),
+        fingerprint(F.col("edited_keys_sketch")).alias("edited_fingerprint"),
+        "near_edited", "near_next",
+    )

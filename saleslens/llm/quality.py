@@ -129,7 +129,9 @@ def with_log_weight(docs: DataFrame, ratio: np.ndarray, name: str) -> DataFrame:
     @F.pandas_udf("double")
     def weigh(texts: pd.Series) -> pd.Series:
         table = shared.value
-        return pd.Series([float(table[ngram_buckets(t)].sum()) if t else 0.0 for t in texts], dtype="float64")
+        found = pd.Series([float(table[ngram_buckets(t)].sum()) if t else 0.0 for t in texts], dtype="float64")
+        release_memory()
+        return found
 
     return docs.withColumn(name, weigh(F.col("text").cast("binary")))
 

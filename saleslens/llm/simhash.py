@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from saleslens.llm.common import fresh, through_storage
+from saleslens.llm.common import fresh, release_memory, through_storage
 from saleslens.llm.components import components
 
 BITS = 64
@@ -69,7 +69,9 @@ def with_fingerprints(docs: DataFrame, name: str, shingle: int = SHINGLE, text:
 
     @F.pandas_udf("long")
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([fingerprint(t, shingle) for t in texts], dtype=np.uint64).astype(np.int64)
+        found = pd.Series([fingerprint(t, shingle) for t in texts], dtype=np.uint64).astype(np.int64)
+        release_memory()
+        return found
 
     return docs.withColumn(name, of(F.col(text).cast("binary")))
 

@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-SF_SMALL = "/root/testdata/sf0.001"
+from tables import SF_SMALL  # noqa: E402
 
 
 @pytest.fixture(scope="session")

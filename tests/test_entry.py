@@ -11,7 +11,7 @@ from __spark_entry__ import entry, oracle_sql, queries
 from saleslens.plans.oracle import oracle_queries
 from saleslens.plans.queries import registry
 
-from conftest import SF_SMALL
+from tables import SF_SMALL
 
 TABLES = "region nation customer supplier part orders lineitem".split()
 

@@ -14,7 +14,7 @@ from saleslens.operators import audit, corrections, gates, marts, profiling
 from saleslens.plans.inspect import plan_text
 from saleslens.sources.fixtures import sales_fact
 
-from conftest import SF_SMALL
+from tables import SF_SMALL
 
 
 def _ancestors(lines, i):

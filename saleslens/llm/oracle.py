@@ -108,6 +108,60 @@ SELECT doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed
 FROM docs LEFT JOIN counts USING (rid) LEFT JOIN rest USING (rid)
 """
 
+# crc32 by its table of 256 remainders; near words by equal texts with a code point taken out.
+OP13 = """
+WITH RECURSIVE remainders AS (
+    SELECT list(v ORDER BY b) AS t FROM (
+        SELECT b, list_reduce([b] || [CAST(k AS BIGINT) FOR k IN range(8)],
+                              lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v
+        FROM (SELECT unnest(range(256)) AS b)
+    )
+), runs AS (
+    SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id,
+           unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[A-Za-zÀ-ÿ]+')) AS run
+    FROM documents
+), counted AS (
+    SELECT run, hex(encode(id || ':' || run)) AS x, count(*) AS n FROM runs GROUP BY run, id
+), hashed AS (
+    SELECT run, n, xor(4294967295, list_reduce(
+               [4294967295] || [CAST('0x' || substr(x, 2 * k + 1, 2) AS BIGINT) FOR k IN range(len(x) // 2)],
+               lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS h
+    FROM counted, remainders
+), damaged AS (
+    SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n
+    FROM hashed
+), words AS (
+    SELECT word, CAST(sum(n) AS BIGINT) AS n FROM damaged WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+), cuts AS (
+    SELECT word, n, i, substr(word, 1, i - 1) AS a, substr(word, i + 1) AS b
+    FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)
+), shorter AS (
+    SELECT DISTINCT c.word AS l, c.n AS ln, w.word AS s, w.n AS sn FROM cuts c JOIN words w ON w.word = c.a || c.b
+), near AS (
+    SELECT x.word, y.word AS other, y.n AS m FROM cuts x JOIN cuts y ON x.i = y.i AND x.a = y.a AND x.b = y.b AND x.word <> y.word
+    UNION ALL SELECT l, s, sn FROM shorter
+    UNION ALL SELECT s, l, ln FROM shorter
+), best AS (
+    SELECT word, count(*) AS n_near, max(m) AS m FROM near GROUP BY word
+), forms AS (
+    SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * w.n THEN m END AS form_n,
+           CASE WHEN m >= 2 * w.n THEN (SELECT min(other) FROM near WHERE near.word = w.word AND near.m = best.m) END AS form
+    FROM words w LEFT JOIN best USING (word)
+), steps AS (
+    SELECT word, word AS root, form AS next FROM forms
+    UNION ALL
+    SELECT s.word, f.word, f.form FROM steps s JOIN forms f ON f.word = s.next
+)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN (SELECT word, root FROM steps WHERE next IS NULL) USING (word)
+"""
+
 
 def oracle_queries() -> dict[str, str]:
-    return {"op1_html_text": OP1, "op2_url_filter": OP2, "op4_decontamination": OP4, "op9_suffix_array": OP9}
+    return {
+        "op1_html_text": OP1,
+        "op2_url_filter": OP2,
+        "op4_decontamination": OP4,
+        "op9_suffix_array": OP9,
+        "op13_spelling": OP13,
+    }

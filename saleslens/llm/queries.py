@@ -8,7 +8,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from saleslens.llm import decontamination, html_text, lm_scoring, pieces, quality, simhash, substrings, toxicity, url_filter, versions
+from saleslens.llm import (
+    decontamination,
+    html_text,
+    lm_scoring,
+    pieces,
+    quality,
+    simhash,
+    spelling,
+    substrings,
+    toxicity,
+    url_filter,
+    versions,
+)
 from saleslens.llm.common import read_table
 
 
@@ -77,6 +89,11 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score_documents(read_table(spark, sf_dir, "documents"), model)
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near words, form and root of every frequent word of the documents."""
+    return spelling.spelling_variants(read_table(spark, sf_dir, "documents"))
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_html_text,
@@ -89,5 +106,6 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_fingerprints,
         op9_suffix_array,
         op10_lm_scoring,
+        op13_spelling,
     )
     return {q.__name__: q for q in found}

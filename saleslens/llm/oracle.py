@@ -108,6 +108,60 @@ SELECT doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed
 FROM docs LEFT JOIN counts USING (rid) LEFT JOIN rest USING (rid)
 """
 
+# Base32 of a SHA-1: its 160 bits, five at a time. DuckDB has SHA-1 in hex only.
+OP11 = """
+WITH rows AS (
+    SELECT page_id, coalesce(html, '') AS payload FROM pages
+), digests AS (
+    SELECT page_id, payload, octet_length(encode(payload)) AS payload_bytes, sha1(payload) AS x FROM rows
+), named AS (
+    SELECT *, array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+               CAST((CAST('0x' || substr(x, 5 * (k // 4) + 1, 5) AS BIGINT) >> (5 * (3 - k % 4))) & 31 AS INT) + 1, 1)
+               FOR k IN range(32)], '') AS payload_digest,
+           row_number() OVER (PARTITION BY payload ORDER BY page_id DESC NULLS LAST) AS place,
+           first_value(page_id) OVER (PARTITION BY payload ORDER BY page_id DESC NULLS LAST) AS top
+    FROM digests
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN place > 1 THEN top END AS refers_to
+FROM named
+"""
+
+OP12 = r"""
+WITH words AS (
+    SELECT lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda x: x <> '') AS w
+    FROM (SELECT coalesce(lang, 'und') AS lang,
+                 unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                           '[.,;:!?\x0A-\x0D]')) AS piece
+          FROM documents)
+), runs AS (
+    SELECT lang, s, array_to_string(w[i : i + s - 1], ' ') AS phrase, count(*) AS f
+    FROM (SELECT lang, w, s, unnest(range(1, len(w) - s + 2)) AS i FROM words, range(1, 4) AS sizes(s) WHERE len(w) >= s)
+    GROUP BY ALL
+), candidates AS (
+    SELECT lang, s, phrase, f AS a, string_split(phrase, ' ') AS w FROM runs WHERE s >= 2 AND f >= 10
+), longer AS (
+    SELECT lang, array_to_string(w[i : i + 1], ' ') AS phrase, max(a) AS most
+    FROM (SELECT lang, w, a, unnest([1, 2]) AS i FROM candidates WHERE s = 3) GROUP BY ALL
+), shown AS (
+    SELECT c.* FROM candidates c LEFT JOIN longer o ON s = 2 AND o.lang = c.lang AND o.phrase = c.phrase
+    WHERE most IS NULL OR 100 * most < 50 * a
+), cuts AS (
+    SELECT lang, phrase, a, k, array_to_string(w[1 : k], ' ') AS lp, array_to_string(w[k + 1 :], ' ') AS rp
+    FROM (SELECT *, unnest(range(1, s)) AS k FROM shown)
+), scored AS (
+    SELECT c.lang, c.phrase, a, k, x.f AS l, y.f AS r,
+           CAST((1000000 * CAST(a AS HUGEINT) * a) // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+    FROM cuts c JOIN runs x ON x.lang = c.lang AND x.phrase = lp JOIN runs y ON y.lang = c.lang AND y.phrase = rp
+), best AS (
+    SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best
+)
+SELECT lang, rank, phrase, a, l, r, n, score
+FROM ranked JOIN (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM runs WHERE s = 1 GROUP BY lang) USING (lang) WHERE rank <= 2000
+"""
+
 # crc32 by its table of 256 remainders; near words by equal texts with a code point taken out.
 OP13 = """
 WITH RECURSIVE remainders AS (
@@ -163,5 +217,7 @@ def oracle_queries() -> dict[str, str]:
         "op2_url_filter": OP2,
         "op4_decontamination": OP4,
         "op9_suffix_array": OP9,
+        "op11_warc": OP11,
+        "op12_phrases": OP12,
         "op13_spelling": OP13,
     }

@@ -12,6 +12,7 @@ from saleslens.llm import (
     decontamination,
     html_text,
     lm_scoring,
+    phrases,
     pieces,
     quality,
     simhash,
@@ -20,6 +21,7 @@ from saleslens.llm import (
     toxicity,
     url_filter,
     versions,
+    warc,
 )
 from saleslens.llm.common import read_table
 
@@ -89,6 +91,16 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score_documents(read_table(spark, sf_dir, "documents"), model)
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The record of every page, read back from the archive that it was written to."""
+    return warc.archive_pages(read_table(spark, sf_dir, "pages"))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of every language."""
+    return phrases.collocations(read_table(spark, sf_dir, "documents"))
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near words, form and root of every frequent word of the documents."""
     return spelling.spelling_variants(read_table(spark, sf_dir, "documents"))
@@ -106,6 +118,8 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_fingerprints,
         op9_suffix_array,
         op10_lm_scoring,
+        op11_warc,
+        op12_phrases,
         op13_spelling,
     )
     return {q.__name__: q for q in found}

@@ -1,0 +1,139 @@
+"""Operator 11: round trips against plain grouping, an independent reading of the files, and lost tasks."""
+
+import base64
+import gzip
+import hashlib
+import os
+from collections import Counter, defaultdict
+
+import pytest
+
+from saleslens.llm import warc
+
+
+@pytest.fixture
+def pages_of(spark):
+    def build(rows, id_type="long"):
+        full = [(i, u, h, "x", 5) for i, u, h in rows]
+        return spark.createDataFrame(full, f"page_id {id_type}, url string, html string, sha256 string, copies int")
+
+    return build
+
+
+def payload(html):
+    return (html or "").encode()
+
+
+def expected(rows, least=0):
+    groups = defaultdict(list)
+    for i, _, h in rows:
+        groups[payload(h)].append(i)
+    out = []
+    for body, ids in groups.items():
+        digest = base64.b32encode(hashlib.sha1(body).digest()).decode()
+        known = [i for i in ids if i is not None]
+        top = max(known) if known else None
+        ids.remove(top)
+        out.append((top, len(body), digest, "response", None))
+        whole = len(body) < least
+        out += [(i, len(body), digest, "response" if whole else "revisit", None if whole else top) for i in ids]
+    return sorted(map(str, out))
+
+
+@pytest.fixture(scope="module")
+def rows():
+    out = [(i, f"http://a.net/{i}", f"<p>{'é' * (i % 7)} {i % 5}</p>" * (i % 40)) for i in range(300)]
+    out += [(1000 + i, f"http://hot/{i % 3}", "<p>hot</p>") for i in range(200)]  # a hot payload
+    out += [(2000, "u", "same"), (2000, "u", "same"), (2000, "v", "same"), (2000, None, "same"), (1999, "w", "same")]
+    out += [(3, "b", None), (4, None, ""), (None, "n", "nil"), (None, "m", "nil"), (None, None, None)]
+    out += [(5000, "http://x/\r\nWARC-Type: a%0D", "x\r\n\r\nWARC/1.1\r\n"), (2**60 + 1, "big", "long " * 200_000)]
+    return out + [(2**60 + 1, "many", "copied")] * 40
+
+
+def read(df):
+    columns = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return sorted(str(tuple(r[c] for c in columns)) for r in df.collect())
+
+
+def test_rows_equal_plain_grouping(pages_of, rows, monkeypatch):
+    monkeypatch.setattr(warc, "COPIES", 7)
+    monkeypatch.setattr(warc, "SEEN_KEYS", 50)
+    assert read(warc.archive_pages(pages_of(rows))) == expected(rows)
+    assert read(warc.archive_pages(pages_of(rows), min_revisit=9)) == expected(rows, 9)
+
+
+def files_of(folder):
+    return {f: open(os.path.join(folder, f), "rb").read() for f in sorted(os.listdir(folder)) if f.endswith(".gz")}
+
+
+def test_same_files_whatever_the_partitions(spark, pages_of, rows, tmp_path):
+    made = []
+    for k, parts in enumerate((1, 7)):
+        folder = str(tmp_path / f"a{k}")
+        pages = pages_of(rows if k else rows[::-1]).repartition(parts)
+        manifest = warc.write_archive(pages, folder, shard_bytes=20_000, roll_bytes=3_000).collect()
+        files = files_of(folder)
+        assert {m.file: (m.bytes, m.sha256) for m in manifest} == {
+            f: (len(b), hashlib.sha256(b).hexdigest()) for f, b in files.items()
+        }
+        assert not os.path.exists(os.path.join(folder, "_temporary"))
+        made.append(files)
+    assert made[0] == made[1] and len(made[0]) > 10
+    names = list(made[0])
+    assert len({n.split("-")[1] for n in names}) > 3 and any(n.endswith("-00001.warc.gz") for n in names)
+
+
+def test_files_read_without_the_reader(spark, pages_of, rows, tmp_path):
+    folder = str(tmp_path / "a")
+    warc.write_archive(pages_of(rows), folder)
+    raw = b"".join(gzip.decompress(b) for b in files_of(folder).values())
+    bodies, types, ids, order = Counter(), Counter(), set(), []
+    while raw:
+        head, _, rest = raw.partition(b"\r\n\r\n")
+        fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
+        size = int(fields["Content-Length"])
+        block, raw = rest[:size], rest[size + 4 :]
+        types[fields["WARC-Type"]] += 1
+        ids.add(fields["WARC-Record-ID"])
+        order.append(int(fields.get("X-Page-ID", -1)))
+        if fields["WARC-Type"] == "response":
+            bodies[block.partition(b"\r\n\r\n")[2]] += 1
+    assert len(ids) == len(rows) == sum(types.values())
+    assert bodies == Counter({payload(h): 1 for _, _, h in rows}) and order == sorted(order)
+    back = {r.url: r for r in warc.read_archive(spark, folder).collect() if r.record_type == "response"}
+    assert bytes(back["http://x/\r\nWARC-Type: a%0D"].payload) == b"x\r\n\r\nWARC/1.1\r\n"
+
+
+def test_damaged_files_stop_the_reader(spark, pages_of, tmp_path):
+    folder = str(tmp_path / "a")
+    warc.write_archive(pages_of([(1, "u", "some text"), (2, "v", "other text")]), folder)
+    (name,) = files_of(folder)
+    path = os.path.join(folder, name)
+    whole = open(path, "rb").read()
+    for damaged in (whole[:-9], whole + gzip.compress(b"x"), warc.record_member(warc.Page("1", "u", 1, b"0" * 20), 0, b"y")):
+        with open(path, "wb") as f:
+            f.write(damaged)
+        with pytest.raises(Exception, match="ValueError"):
+            warc.read_archive(spark, folder).collect()
+
+
+def test_only_committed_archives_are_read(spark, pages_of, tmp_path):
+    folder = str(tmp_path / "a")
+    pages = pages_of([(1, "u", "a"), (2, "v", "b")])
+    in_the_way = os.path.join(folder, "part-00000-00000.warc.gz", "x")
+    os.makedirs(in_the_way)  # the task cannot give its file its name
+    with pytest.raises(Exception, match="part-00000"):
+        warc.write_archive(pages, folder)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        warc.read_archive(spark, folder).collect()
+    os.removedirs(in_the_way)
+    warc.write_archive(pages, folder)  # what the lost run left does no harm
+    assert warc.read_archive(spark, folder).count() == 2
+    with pytest.raises(FileExistsError):
+        warc.write_archive(pages, folder)
+
+
+def test_other_ids_and_empty_tables(pages_of):
+    rows = [("a", "u", "x"), ("b", "v", "x"), (None, "w", "x")]
+    assert read(warc.archive_pages(pages_of(rows, "string"))) == expected(rows)
+    assert warc.archive_pages(pages_of(rows, "string").limit(0)).collect() == []

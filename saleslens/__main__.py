@@ -4,6 +4,7 @@
                         [--exclude-segment "Home Office"] [--csv-marts] [--processed-csv]
                         [--partition-report-by-year] [--market-rule WRONG COUNTRY CORRECT]...
                         [--product-rule NAME SUBCATEGORY CATEGORY]... [--multi-market-countries ...]
+                        [--no-quoted-line-breaks]
 
 SOURCE ending in .csv (or a folder of CSV files with --csv) is loaded with the
 declared schema; anything else is read as Parquet. Defaults are the original
@@ -31,6 +32,9 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("source")
     ap.add_argument("out_dir")
     ap.add_argument("--csv", action="store_true", help="treat SOURCE as CSV even without a .csv suffix")
+    ap.add_argument(
+        "--no-quoted-line-breaks", action="store_true", help="every line is a row: spares the pass that finds records"
+    )
     ap.add_argument("--core", nargs="+", default=list(REFERENCE_CORE_MARKETS))
     ap.add_argument("--years", nargs="+", type=int, default=list(REFERENCE_SEGMENT_YEARS))
     ap.add_argument("--exclude-segment", default=REFERENCE_EXCLUDED_SEGMENT)
@@ -65,6 +69,7 @@ def main(argv: list[str] | None = None) -> None:
         csv_marts=args.csv_marts,
         processed_csv=args.processed_csv,
         partition_reporting_by_year=args.partition_report_by_year,
+        quoted_line_breaks=not args.no_quoted_line_breaks,
     )
     for name, path in sorted(written.items()):
         print(f"{name}\t{path}")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from saleslens.sources.csv_records import csv_records, lines_of
 from saleslens.sources.schema import NUMERIC_RANGES, TEXT_LIMITS, sales_schema
 
 CORRUPT = "_corrupt_record"
@@ -17,8 +18,8 @@ def csv_reader_options(quoted_line_breaks: bool = True) -> dict[str, str]:
 
     Cells keep their blanks; an empty cell is NULL and a quoted empty cell the
     empty string, as the writer marks them. With ``quoted_line_breaks`` a
-    quoted cell may span lines, and each file is read by one task; without,
-    every line is a row and large files are split.
+    quoted cell may span lines; Spark's own CSV source then gives each file to
+    one task, ``read_text_cells`` does not.
     """
     return {
         "header": "true",
@@ -93,12 +94,29 @@ def tag_rows(
     )
 
 
+def cells_of_records(records: DataFrame, schema: T.StructType) -> DataFrame:
+    """The cells of ``records.record`` as text, with the raw record where their number is wrong."""
+    options = {**csv_reader_options(False), "header": "false", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    # a record is parsed by itself: with the default buffer each would allocate megabytes
+    options["inputBufferSize"] = "16384"
+    wide = text_schema(schema)
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in wide.fields)
+    return records.select(F.from_csv("record", ddl, options).alias("r")).select("r.*")
+
+
 def read_text_cells(
     spark: SparkSession, path: str | list[str], schema: T.StructType, quoted_line_breaks: bool = True
 ) -> DataFrame:
-    """The CSV's cells as text, with the raw record where their number is wrong."""
+    """The CSV's cells as text, with the raw record where their number is wrong.
+
+    With ``quoted_line_breaks`` records are cut by ``csv_records``, so large
+    files are split over tasks (rows end in LF or CR LF); without, by Spark's
+    CSV source line by line.
+    """
+    if quoted_line_breaks:
+        return cells_of_records(csv_records(lines_of(spark.read.option("lineSep", "\n").text(path))), schema)
     return (
-        spark.read.options(**csv_reader_options(quoted_line_breaks))
+        spark.read.options(**csv_reader_options(False))
         .schema(text_schema(schema))
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", CORRUPT)
@@ -125,8 +143,9 @@ def load_sales_csv(
     are good does not depend on the columns selected from the result. Rejects
     keep every column that parsed, the raw record and a reason.
     ``on_bad='fail'`` stops at a bad row whatever is selected. Quoted commas,
-    quotes and line breaks parse; ``quoted_line_breaks=False`` reads every line
-    as a row, so that large files are split over tasks.
+    quotes and line breaks parse, and large files are split over tasks either
+    way; ``quoted_line_breaks=False`` reads every line as a row, without the
+    pass that finds where records start.
     """
     if on_bad not in ("report", "fail"):
         raise ValueError("on_bad must be 'report' or 'fail'")
@@ -182,3 +201,28 @@ def land_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+
+
+def land_clustered(
+    df: DataFrame,
+    path: str,
+    by: list[str],
+    partitions: int | None = None,
+    row_group_bytes: int | None = None,
+    mode: str = "overwrite",
+) -> None:
+    """Write ``df`` as Parquet in ranges of ``by``, sorted inside each, so that a filter on it skips row groups.
+
+    Costs one full shuffle and sort at landing; pays when several readers
+    filter by the same columns, as the date-ranged gates do. A hash of the row
+    breaks ties between ranges, so one value with a third of all rows still
+    spreads over many. ``partitions`` defaults to the session's shuffle
+    partitions, ``row_group_bytes`` to Parquet's own size.
+    """
+    keys = [F.col(c) for c in by]
+    plain = [F.col(f"`{f.name}`") for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
+    ranges = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    writer = df.repartitionByRange(ranges, *keys, F.xxhash64(*plain)).sortWithinPartitions(*keys).write.mode(mode)
+    if row_group_bytes:
+        writer = writer.option("parquet.block.size", row_group_bytes)
+    writer.parquet(path)

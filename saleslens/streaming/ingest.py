@@ -18,7 +18,15 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from saleslens.session import shared_dir
-from saleslens.sources.csv_source import CORRUPT, csv_reader_options, split_rejects, tag_rows, text_schema
+from saleslens.sources.csv_records import csv_records, lines_of
+from saleslens.sources.csv_source import (
+    CORRUPT,
+    cells_of_records,
+    csv_reader_options,
+    split_rejects,
+    tag_rows,
+    text_schema,
+)
 from saleslens.sources.schema import sales_schema
 
 BATCH_COLUMN = "_ingest_batch"
@@ -33,6 +41,7 @@ def stream_land_csv(
     available_now: bool = True,
     max_files_per_trigger: int | None = None,
     ranges: dict[str, tuple[int, int]] | None = None,
+    quoted_line_breaks: bool = True,
 ) -> StreamingQuery:
     """Start a file stream from ``source_dir`` into ``target_dir/{good,rejects}``.
 
@@ -40,23 +49,32 @@ def stream_land_csv(
     overwrite, so a batch replayed after a failure replaces its own output
     instead of appending it twice. ``available_now`` processes every file
     present and stops; otherwise the query keeps running for new files.
+    With ``quoted_line_breaks`` a quoted cell may span lines: the lines of a
+    batch's files are cut into records split by split (``csv_records``), so a
+    large file is read by many tasks; without, every line is a row.
     """
     schema = schema or sales_schema()
     checkpoint = checkpoint or (
         f"{shared_dir(spark)}/saleslens/streams/"
         f"{hashlib.sha1((source_dir + '|' + target_dir).encode()).hexdigest()[:16]}"
     )
-    reader = (
-        spark.readStream.options(**csv_reader_options())
-        .schema(text_schema(schema))
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-    )
+    reader = spark.readStream
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    stream = reader.csv(source_dir)
+    if quoted_line_breaks:
+        stream = lines_of(reader.option("lineSep", "\n").text(source_dir))
+    else:
+        stream = (
+            reader.options(**csv_reader_options(False))
+            .schema(text_schema(schema))
+            .option("mode", "PERMISSIVE")
+            .option("columnNameOfCorruptRecord", CORRUPT)
+            .csv(source_dir)
+        )
 
     def land(batch: DataFrame, batch_id: int) -> None:
+        if quoted_line_breaks:
+            batch = cells_of_records(csv_records(batch), schema)
         # Both outputs derive from one parse of the batch's files; blocks lost
         # with an executor are re-parsed from the files (MEMORY_AND_DISK).
         batch = tag_rows(batch, schema, ranges).persist(StorageLevel.MEMORY_AND_DISK)

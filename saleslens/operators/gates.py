@@ -6,6 +6,10 @@ aggregated rows (a scalar subquery evaluated once). No gate joins the fact
 table to anything: the groups partition the filtered rows, so their sums are
 the totals, and no separate totals query over the fact is needed.
 
+Every gate takes the fact or a ``Rollup`` of it, which serves all gates from
+one scan. Core markets are literals or a table (``rollup.limited``), and texts
+may be compared under a collation.
+
 Ratios follow ``functions.expressions.ratio``: exact decimal sums, double
 division, rounded to 6 digits (``scale=None`` leaves them unrounded, for what
 formats or compares them), NULL on a zero denominator.
@@ -16,7 +20,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,7 +30,8 @@ from saleslens.constants import (
     REFERENCE_SEGMENT_YEARS,
     REFERENCE_SNAPSHOT_COLUMNS,
 )
-from saleslens.functions.expressions import RATIO_SCALE, discounted, in_years, ratio, rounded, ship_days, yes_no
+from saleslens.functions.expressions import RATIO_SCALE, in_years, ratio, rounded, yes_no
+from saleslens.operators.rollup import Rollup, Values, limited
 
 
 def with_totals(agg: DataFrame, *cols: str) -> DataFrame:
@@ -43,10 +48,6 @@ def with_totals(agg: DataFrame, *cols: str) -> DataFrame:
     return agg.select("*", *[totals.getField(c).alias(f"total_{c}") for c in cols])
 
 
-def _in(c: str, values: Sequence[str] | None) -> Column:
-    return F.lit(True) if values is None else F.col(c).isin(list(values))
-
-
 def analysis_snapshot(
     df: DataFrame,
     columns: Sequence[str] = REFERENCE_SNAPSHOT_COLUMNS,
@@ -63,11 +64,12 @@ def analysis_snapshot(
 
 
 def contribution(
-    df: DataFrame,
+    df: DataFrame | Rollup,
     by: str = "market",
     distinct_col: str | None = "country",
     measure: str = "sales",
     scale: int | None = RATIO_SCALE,
+    collation: str | None = None,
 ) -> DataFrame:
     """Per group: distinct count, revenue, revenue share, mean line value,
     line count and line-count share; largest revenue first (A02 market_performance).
@@ -78,8 +80,9 @@ def contribution(
     # One row for each (group, distinct value) first, then one for each group:
     # plain aggregates, so that the totals can reuse the exchange between them.
     keys = [by, distinct_col] if distinct_col else [by]
-    agg = df.groupBy(*keys).agg(
-        F.sum(measure).alias("revenue"), F.count(measure).alias("_valued"), F.count(F.lit(1)).alias("order_count")
+    src = limited(df, None, by, keys, collation, [measure])
+    agg = src.rows.groupBy(*keys).agg(
+        src.sum(measure).alias("revenue"), src.count(measure).alias("_valued"), src.lines().alias("order_count")
     )
     if distinct_col:
         kind = agg.schema["revenue"].dataType
@@ -102,23 +105,25 @@ def contribution(
 
 
 def market_performance(
-    df: DataFrame,
+    df: DataFrame | Rollup,
     market: str = "market",
     country: str = "country",
     measure: str = "sales",
     scale: int | None = RATIO_SCALE,
+    collation: str | None = None,
 ) -> DataFrame:
     """A02 with the source's column roles."""
-    return contribution(df, by=market, distinct_col=country, measure=measure, scale=scale)
+    return contribution(df, by=market, distinct_col=country, measure=measure, scale=scale, collation=collation)
 
 
 def yoy_growth(
-    df: DataFrame,
+    df: DataFrame | Rollup,
     by: str = "market",
     date: str = "order_date",
     measure: str = "sales",
-    core: Sequence[str] | None = REFERENCE_CORE_MARKETS,
+    core: Values = REFERENCE_CORE_MARKETS,
     scale: int | None = RATIO_SCALE,
+    collation: str | None = None,
 ) -> DataFrame:
     """Yearly revenue per group and growth over the previous present year.
 
@@ -128,11 +133,8 @@ def yoy_growth(
     (#groups x #years) aggregated rows.
     """
     w = Window.partitionBy(by).orderBy("order_year")
-    yearly = (
-        df.filter(_in(by, core))
-        .groupBy(F.year(date).alias("order_year"), F.col(by))
-        .agg(F.sum(measure).alias("revenue"))
-    )
+    src = limited(df, core, by, [by], collation, [measure], order_date=date)
+    yearly = src.rows.groupBy(src.year(date).alias("order_year"), F.col(by)).agg(src.sum(measure).alias("revenue"))
     lagged = yearly.withColumn("lag_revenue", F.lag("revenue", 1, 0).over(w))
     return lagged.select(
         "order_year",
@@ -172,24 +174,25 @@ def stability_verdict(yoy: DataFrame, by: str = "market", max_negative_years: in
 
 
 def core_totals(
-    df: DataFrame,
-    core: Sequence[str] = REFERENCE_CORE_MARKETS,
+    df: DataFrame | Rollup,
+    core: Values = REFERENCE_CORE_MARKETS,
     market: str = "market",
     measure: str = "sales",
+    collation: str | None = None,
 ) -> DataFrame:
     """One row: revenue and line count over the core markets."""
-    return df.filter(_in(market, core)).agg(
-        F.sum(measure).alias("total_revenue"), F.count(F.lit(1)).alias("total_order_count")
-    )
+    src = limited(df, core, market, [market], collation, [measure])
+    return src.rows.agg(src.sum(measure).alias("total_revenue"), src.lines().alias("total_order_count"))
 
 
 def category_performance(
-    df: DataFrame,
-    core: Sequence[str] = REFERENCE_CORE_MARKETS,
+    df: DataFrame | Rollup,
+    core: Values = REFERENCE_CORE_MARKETS,
     by: str = "category",
     market: str = "market",
     measure: str = "sales",
     scale: int | None = RATIO_SCALE,
+    collation: str | None = None,
 ) -> DataFrame:
     """Per category within core markets: revenue, share of core revenue, lines,
     share of core lines; largest revenue first (A06).
@@ -197,9 +200,8 @@ def category_performance(
     The core totals are the sums of the category rows, so no second scan and
     no join (the source cross-joins a precomputed one-row total).
     """
-    agg = df.filter(_in(market, core)).groupBy(by).agg(
-        F.sum(measure).alias("revenue"), F.count(F.lit(1)).alias("order_count")
-    )
+    src = limited(df, core, market, [market, by], collation, [measure])
+    agg = src.rows.groupBy(by).agg(src.sum(measure).alias("revenue"), src.lines().alias("order_count"))
     return with_totals(agg, "revenue", "order_count").select(
         by,
         "revenue",
@@ -210,12 +212,13 @@ def category_performance(
 
 
 def discount_over_index(
-    df: DataFrame,
-    core: Sequence[str] = REFERENCE_CORE_MARKETS,
+    df: DataFrame | Rollup,
+    core: Values = REFERENCE_CORE_MARKETS,
     by: str = "market",
     discount: str = "discount",
     measure: str = "sales",
     scale: int | None = RATIO_SCALE,
+    collation: str | None = None,
 ) -> DataFrame:
     """Per core market: share of core revenue vs share of all discounted core
     revenue, and whether the latter is larger ('Yes'/'No'); largest share first (A07).
@@ -223,10 +226,10 @@ def discount_over_index(
     One aggregate with a conditional sum replaces the source's aggregate over
     (market, discount flag) followed by a re-aggregation.
     """
-    m = F.col(measure)
-    agg = df.filter(_in(by, core)).groupBy(by).agg(
-        F.sum(m).alias("revenue"),
-        F.sum(F.when(discounted(discount), m).otherwise(F.lit(0))).alias("discounted_revenue"),
+    src = limited(df, core, by, [by], collation, [measure], discount=discount)
+    agg = src.rows.groupBy(by).agg(
+        src.sum(measure).alias("revenue"),
+        src.sum_where(src.discounted(discount), measure).alias("discounted_revenue"),
     )
     raw_share = F.col("revenue").cast("double") / F.nullif(F.col("total_revenue").cast("double"), F.lit(0.0))
     # a market without discounted revenue has a share of 0, also when no market has any
@@ -247,8 +250,8 @@ def discount_over_index(
 
 
 def ship_mode_performance(
-    df: DataFrame,
-    core: Sequence[str] = REFERENCE_CORE_MARKETS,
+    df: DataFrame | Rollup,
+    core: Values = REFERENCE_CORE_MARKETS,
     by: str = "ship_mode",
     market: str = "market",
     order_date: str = "order_date",
@@ -256,6 +259,7 @@ def ship_mode_performance(
     cost: str = "shipping_cost",
     measure: str = "sales",
     scale: int | None = RATIO_SCALE,
+    collation: str | None = None,
 ) -> DataFrame:
     """Per ship mode in core markets: mean shipping days, mean shipping cost,
     revenue share and line share; fastest first (A08).
@@ -265,14 +269,17 @@ def ship_mode_performance(
     not guarded here (a ship date before the order date counts negative),
     unlike the reporting fact.
     """
-    days = ship_days(order_date, ship_date)
-    agg = df.filter(_in(market, core)).groupBy(by).agg(
-        F.sum(days).alias("_sd"),
-        F.count(days).alias("_nd"),
-        F.sum(cost).alias("_sc"),
-        F.count(cost).alias("_nc"),
-        F.sum(measure).alias("revenue"),
-        F.count(F.lit(1)).alias("order_count"),
+    src = limited(
+        df, core, market, [market, by], collation, [measure, cost], order_date=order_date, ship_date=ship_date
+    )
+    days, timed = src.days(order_date, ship_date)
+    agg = src.rows.groupBy(by).agg(
+        days.alias("_sd"),
+        timed.alias("_nd"),
+        src.sum(cost).alias("_sc"),
+        src.count(cost).alias("_nc"),
+        src.sum(measure).alias("revenue"),
+        src.lines().alias("order_count"),
     )
     return with_totals(agg, "revenue", "order_count").select(
         by,
@@ -287,19 +294,23 @@ def ship_mode_performance(
 
 
 def _monthly_shares(
-    df: DataFrame,
-    core: Sequence[str] | None,
+    df: DataFrame | Rollup,
+    core: Values,
     years: Sequence[int],
     by: str,
     market: str,
     date: str,
     measure: str,
+    collation: str | None = None,
 ) -> DataFrame:
     """(order_year, order_month, group, monthly_revenue, unrounded share of the month)."""
+    if not isinstance(df, Rollup):
+        df = df.filter(in_years(date, years))  # before anything is rolled up
+    src = limited(df, core, market, [market, by], collation, [measure], order_date=date)
     monthly = (
-        df.filter(_in(market, core) & in_years(date, years))
-        .groupBy(F.year(date).alias("order_year"), F.month(date).alias("order_month"), F.col(by))
-        .agg(F.sum(measure).alias("monthly_revenue"))
+        src.rows.filter(src.in_years(date, years))
+        .groupBy(src.year(date).alias("order_year"), src.month(date).alias("order_month"), F.col(by))
+        .agg(src.sum(measure).alias("monthly_revenue"))
     )
     # Month totals are joined back rather than windowed, so a month's rows are
     # never gathered into one task; the totals have one row per month (bounded
@@ -312,14 +323,15 @@ def _monthly_shares(
 
 
 def period_share(
-    df: DataFrame,
-    core: Sequence[str] | None = REFERENCE_CORE_MARKETS,
+    df: DataFrame | Rollup,
+    core: Values = REFERENCE_CORE_MARKETS,
     years: Sequence[int] = REFERENCE_SEGMENT_YEARS,
     by: str = "segment",
     market: str = "market",
     date: str = "order_date",
     measure: str = "sales",
     scale: int | None = RATIO_SCALE,
+    collation: str | None = None,
 ) -> DataFrame:
     """Each group's share of its month's revenue, core markets, chosen years.
 
@@ -327,28 +339,29 @@ def period_share(
     from a second scan. The year filter is a date range, so it reaches the
     Parquet scan.
     """
-    shares = _monthly_shares(df, core, years, by, market, date, measure)
+    shares = _monthly_shares(df, core, years, by, market, date, measure, collation)
     return shares.select(
         "order_year", "order_month", by, "monthly_revenue", rounded("_share", scale).alias("contribution_pct")
     )
 
 
 def share_stability(
-    df: DataFrame,
-    core: Sequence[str] | None = REFERENCE_CORE_MARKETS,
+    df: DataFrame | Rollup,
+    core: Values = REFERENCE_CORE_MARKETS,
     years: Sequence[int] = REFERENCE_SEGMENT_YEARS,
     by: str = "segment",
     market: str = "market",
     date: str = "order_date",
     measure: str = "sales",
     scale: int | None = RATIO_SCALE,
+    collation: str | None = None,
 ) -> DataFrame:
     """Per group: mean monthly share, sample std-dev, coefficient of variation.
 
     Computed from unrounded shares; a group seen in one month only has a
     NULL std-dev and CV.
     """
-    shares = _monthly_shares(df, core, years, by, market, date, measure)
+    shares = _monthly_shares(df, core, years, by, market, date, measure, collation)
     stats = shares.groupBy(by).agg(F.avg("_share").alias("_m"), F.stddev_samp("_share").alias("_sd"))
     return stats.select(
         by,
@@ -359,24 +372,26 @@ def share_stability(
 
 
 def flag_rate(
-    df: DataFrame,
-    core: Sequence[str] | None = REFERENCE_CORE_MARKETS,
+    df: DataFrame | Rollup,
+    core: Values = REFERENCE_CORE_MARKETS,
     exclude: str | None = REFERENCE_EXCLUDED_SEGMENT,
     by: str = "segment",
     market: str = "market",
     discount: str = "discount",
     scale: int | None = RATIO_SCALE,
+    collation: str | None = None,
 ) -> DataFrame:
     """Per group (one excluded): share of lines that carry a discount (A10 organic_demand).
 
     Excluding a value with ``!=`` also drops NULL groups, as the source does.
     """
-    cond = _in(market, core)
+    src = limited(df, core, market, [market, by], collation, discount=discount)
+    rows = src.rows
     if exclude is not None:
-        cond = cond & (F.col(by) != exclude)
-    agg = df.filter(cond).groupBy(by).agg(
-        F.count_if(discounted(discount)).alias("discounted_order_count"),
-        F.count(F.lit(1)).alias("order_count"),
+        rows = rows.filter((F.collate(F.col(by), collation) if collation else F.col(by)) != exclude)
+    agg = rows.groupBy(by).agg(
+        src.lines_where(src.discounted(discount)).alias("discounted_order_count"),
+        src.lines().alias("order_count"),
     )
     return agg.select(
         by,

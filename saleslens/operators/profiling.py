@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,6 +25,20 @@ def _check_comparable(df: DataFrame, columns: Sequence[str]) -> None:
         raise ValueError(f"map columns cannot be compared for distinctness: {maps}")
 
 
+def sample_rows_by_hash(df: DataFrame, keys: Sequence[str], n: int = 10, seed: int = 0) -> DataFrame:
+    """The n rows whose md5 of seed and keys is smallest: the same on every run, cluster and engine.
+
+    ``keys`` should name a row; their texts are joined by ``|`` with ``~`` for
+    NULL. Rows with equal keys are drawn together as far as n reaches, ordered
+    by the rest of the row. A bottom-n, so each task keeps n rows; over tables
+    that grow, a row leaves the sample only for one with a smaller hash.
+    """
+    _check_columns(df, keys)
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(k).cast("string"), F.lit("~")) for k in keys])
+    rest = [F.col(c) for c in df.columns if c not in set(keys) and not isinstance(df.schema[c].dataType, T.MapType)]
+    return df.orderBy(F.md5(text.cast("binary")), *rest).limit(n)
+
+
 def sample_rows(df: DataFrame, n: int = 10, seed: int | None = None) -> DataFrame:
     """n rows drawn uniformly at random, without replacement (C03); all rows when there are fewer.
 
@@ -106,6 +120,58 @@ def column_profile(
     )
 
 
+#: log2 of a sketch's registers: one standard deviation of the estimate is about 1.04 / sqrt(2**12), 1.6 %.
+SKETCH_BITS = 12
+
+
+def _as_sketched(df: DataFrame, column: str) -> Column:
+    """A value as text, which every sketch takes; -0.0 counts as 0.0, as it does in an exact count."""
+    c = F.col(f"`{column}`")
+    if isinstance(df.schema[column].dataType, (T.DoubleType, T.FloatType)):
+        c = F.when(c == 0, F.abs(c)).otherwise(c)
+    return c.cast("string")
+
+
+def column_sketches(df: DataFrame, columns: Sequence[str] | None = None, bits: int = SKETCH_BITS) -> DataFrame:
+    """One row per column: column_name, data_type, row_count, null_count, sketch (C04, to be stored).
+
+    The sketch is a HyperLogLog one of the column's values. Sketches merge
+    (``merge_sketches``), so those of each landed part are stored with it and a
+    profile of all parts reads no data again. One scan, one aggregate; a sketch
+    has 2**``bits`` registers however many values there are.
+    """
+    columns = list(columns or df.columns)
+    _check_columns(df, columns)
+    _check_comparable(df, columns)
+    types = dict(df.dtypes)
+    aggs = [F.count(F.lit(1)).alias("n")]
+    for i, c in enumerate(columns):
+        aggs += [F.count_if(F.col(f"`{c}`").isNull()).alias(f"n{i}"), F.hll_sketch_agg(_as_sketched(df, c), bits).alias(f"s{i}")]
+    rows = F.array(
+        *[
+            F.struct(
+                F.lit(c).alias("column_name"), F.lit(types[c]).alias("data_type"), F.col("n").alias("row_count"),
+                F.col(f"n{i}").alias("null_count"), F.col(f"s{i}").alias("sketch"),
+            )
+            for i, c in enumerate(columns)
+        ]
+    )
+    return df.agg(*aggs).select(F.inline(rows))
+
+
+def merge_sketches(sketches: DataFrame) -> DataFrame:
+    """The rows of ``column_sketches`` for several parts (a union of them), one row per column of all parts."""
+    return sketches.groupBy("column_name", "data_type").agg(
+        F.sum("row_count").alias("row_count"), F.sum("null_count").alias("null_count"), F.hll_union_agg("sketch").alias("sketch")
+    )
+
+
+def profile_of_sketches(sketches: DataFrame) -> DataFrame:
+    """column_name, data_type, null_count, count_distinct (estimated) from one row of sketches per column."""
+    estimate = F.coalesce(F.hll_sketch_estimate("sketch"), F.lit(0))
+    return sketches.select("column_name", "data_type", "null_count", estimate.alias("count_distinct"))
+
+
 def duplicate_rows(df: DataFrame, exclude: Sequence[str] = ()) -> DataFrame:
     """Groups of identical rows (count > 1): duplicate_counter + the compared columns.
 

@@ -23,6 +23,7 @@ from saleslens.functions.formatting import REPORT_FORMATS
 from saleslens.sources.fixtures import (
     DIRTY_MARKET_EXPRESSION,
     GROWING_SALES_EXPRESSION,
+    MIXED_CASE_EXPRESSIONS,
     SALES_FACT_EXPRESSIONS,
     SPARSE_EXPRESSIONS,
     sales_fact_sql,
@@ -309,6 +310,81 @@ SELECT d AS "Date", CAST(year(d) AS INTEGER) AS "Year", CAST(month(d) AS INTEGER
 FROM days"""
 
 
+# -------------------------------------------------- shared states of the fact --
+
+ROLLUP = f"""{CLEAN}
+SELECT market, country, category, ship_mode, segment, CAST(year(order_date) AS INTEGER) AS order_year,
+       CAST(month(order_date) AS INTEGER) AS order_month, coalesce(discount > 0, false) AS discounted, count(*) AS lines,
+       {money("sum(sales)")} AS sum_sales, count(sales) AS n_sales, {money("sum(shipping_cost)")} AS sum_shipping_cost,
+       count(shipping_cost) AS n_shipping_cost, CAST(sum(ship_date - order_date) AS BIGINT) AS sum_ship_days,
+       count(ship_date - order_date) AS n_ship_days
+FROM fact GROUP BY ALL"""
+
+
+def tuples() -> str:
+    kinds = {
+        "market_country": ("market", "country"),
+        "market_region": ("market", "region"),
+        "category_subcategory_product": ("category", "subcategory", "product_name"),
+        "product_names": ("product_id", "product_name"),
+        "customers": ("customer_name", "customer_id", "region"),
+    }
+    parts = []
+    for tag, columns in kinds.items():
+        cells = [*columns, "NULL"][:3]
+        names = ", ".join(f"CAST({c} AS VARCHAR) AS c{i}" for i, c in enumerate(cells))
+        parts.append(f"SELECT '{tag}' AS tuple_of, {names}, count(*) AS n_lines FROM fact GROUP BY ALL")
+    return f"{CLEAN} " + " UNION ALL ".join(parts)
+
+
+def _shared_state_oracles(q: dict[str, str]) -> dict[str, str]:
+    """Other forms of the operators give the rows that their plain forms give."""
+    kinds = ", ".join(f"('{c}', '{FACT_TYPES.get(c, 'string')}')" for c in FACT_COLUMNS)
+    out = {
+        "load_sales_csv_lines": f"""{CLEAN} SELECT * REPLACE (product_name || chr(10) || '"a", b' || chr(10) AS product_name) FROM fact""",
+        "sample_rows_seeded": f"""{CLEAN} SELECT * FROM fact
+ORDER BY md5('7|' || coalesce(CAST(row_id AS VARCHAR), '~') || '|' || coalesce(product_id, '~')) LIMIT 25""",
+        "column_profile_sketched": f"""{CLEAN}, cells AS (
+    SELECT column_name, cell FROM (SELECT CAST(COLUMNS(*) AS VARCHAR) FROM fact)
+    UNPIVOT INCLUDE NULLS (cell FOR column_name IN (COLUMNS(*)))
+), kinds(column_name, data_type) AS (VALUES {kinds})
+SELECT column_name, any_value(data_type) AS data_type, count(*) - count(cell) AS null_count, true AS within_bound
+FROM cells JOIN kinds USING (column_name) GROUP BY column_name""",
+        "audit_tuples": tuples(),
+        "hierarchy_check_market_country_shared": hierarchy(
+            CLEAN, "market", "country", "country_count_distinct", "market_country_map_count"
+        ),
+        "gate_rollup": ROLLUP,
+        "gate_rollup_merged": ROLLUP,
+        "segment_monthly_share_by_date": q["segment_monthly_share"],
+        "reporting_fact_core_table": q["reporting_fact"],
+        "apply_by_key": f"""{CLEAN}, orders_of AS (
+    SELECT order_id, min(market) AS market, min(segment) AS segment FROM fact GROUP BY order_id)
+SELECT order_id, market, CASE CAST(order_id AS BIGINT) % 10 WHEN 0 THEN upper(segment) WHEN 5 THEN NULL ELSE segment END AS segment
+FROM orders_of""",
+        # corrected rows take the rule's spelling, the others keep their own
+        "apply_market_correction_no_case": f"""{fact_of(f"SELECT * REPLACE ({DIRTY_MARKET_EXPRESSION} AS market) FROM clean")},
+mixed AS (SELECT * REPLACE ({", ".join(f"{e} AS {c}" for c, e in MIXED_CASE_EXPRESSIONS.items())}) FROM fact)
+SELECT mixed.* REPLACE (CASE WHEN r.m IS NULL THEN mixed.market ELSE r.m END AS market)
+FROM mixed LEFT JOIN (VALUES {MARKET_RULES}) AS r(w, c, m) ON lower(mixed.market) = lower(r.w) AND lower(mixed.country) = lower(r.c)""",
+        "apply_subcategory_correction_no_case": f"""{CLEAN} SELECT lower('{PRODUCT}') AS product_name,
+       lower('{PRODUCT_SUB}') AS correct_subcategory, lower('{PRODUCT_CAT}') AS correct_category, count(*) AS rows_changed
+FROM fact WHERE {_MISFILED} HAVING count(*) > 0""",
+    }
+    for name in ("subcategory_product_count", "products_multi_subcategory", "region_reuses_market", "product_name_multi_id",
+                 "customer_name_fanout"):
+        out[f"{name}_shared"] = q[name]
+    for name in ("market_performance", "market_yoy", "core_totals", "category_performance", "discount_over_index",
+                 "ship_mode_performance", "segment_monthly_share", "segment_contribution", "organic_demand"):
+        # upper case comes before lower case, so the least spelling is the fact's own
+        out[f"{name}_rollup"] = out[f"{name}_no_case"] = q[name]
+        if name != "market_performance":
+            out[f"{name}_core_table"] = q[name]
+    for name in ("discount_over_index", "ship_mode_performance", "segment_contribution", "organic_demand"):
+        out[f"{name}_sparse_rollup"] = q[f"{name}_sparse"]
+    return out
+
+
 def oracle_queries() -> dict[str, str]:
     multi = "HAVING count({}) > 1"
     q = {
@@ -416,4 +492,4 @@ FROM fact WHERE {_MISFILED} HAVING count(*) > 0""",
     for base, spec in REPORT_FORMATS.items():
         name = "profit_ratio_report" if base == "profit_ratio_by_year" else f"{base}_report"
         q[name] = report(exact[base], spec)
-    return q
+    return q | _shared_state_oracles(q)

@@ -33,7 +33,9 @@ from saleslens.constants import (
 )
 from saleslens.functions.formatting import REPORT_FORMATS, format_report, with_millions
 from saleslens.operators import audit, corrections, gates, marts, profiling
-from saleslens.sources.csv_source import land_parquet, land_sales_csv
+from saleslens.operators.audit_scan import AUDIT_TUPLES, land_tuples, tuples_of
+from saleslens.operators.rollup import Rollup, Values, roll_up
+from saleslens.sources.csv_source import land_clustered, land_parquet, land_sales_csv
 from saleslens.sources.sinks import export
 
 
@@ -41,7 +43,7 @@ def run_pipeline(
     spark: SparkSession,
     source: str | DataFrame,
     out_dir: str,
-    core: Sequence[str] = REFERENCE_CORE_MARKETS,
+    core: Values = REFERENCE_CORE_MARKETS,
     years: Sequence[int] = REFERENCE_SEGMENT_YEARS,
     excluded_segment: str | None = REFERENCE_EXCLUDED_SEGMENT,
     market_rules: Sequence[tuple[str, str, str]] = REFERENCE_MARKET_RULES,
@@ -51,12 +53,18 @@ def run_pipeline(
     processed_csv: bool = False,
     partition_reporting_by_year: bool = False,
     parallel_jobs: int = 4,
+    quoted_line_breaks: bool = True,
+    cluster_by_date: bool = False,
 ) -> dict[str, str]:
     """Run the whole analysis; return {output name: path}.
 
     Independent outputs of one stage (the audits, the gates) are submitted
     as concurrent Spark jobs from ``parallel_jobs`` driver threads, so small
     audit jobs overlap instead of leaving the cluster idle between them.
+    ``quoted_line_breaks=False`` takes every line of a CSV source as a row;
+    ``cluster_by_date`` lands the clean table in ranges of its order date, so
+    that readers with a date filter skip row groups, for one more shuffle.
+    ``core`` may be a table whose first column lists the core markets.
     """
     out = out_dir.rstrip("/")
     written: dict[str, str] = {}
@@ -77,40 +85,41 @@ def run_pipeline(
     # 1. land the raw data
     if isinstance(source, str):
         # one parse of the text: good rows and rejects land together
-        raw, _rejects = land_sales_csv(spark, source, f"{out}/ingest")
+        raw, _rejects = land_sales_csv(spark, source, f"{out}/ingest", quoted_line_breaks=quoted_line_breaks)
         written["ingest"] = f"{out}/ingest"
     else:
         land_parquet(source, f"{out}/raw")
         written["raw"] = f"{out}/raw"
         raw = spark.read.parquet(f"{out}/raw")
 
-    # 2. audits on the raw data (small results). Four of them look at nothing but
-    # the distinct (market, country) pairs: those are landed once and shared.
-    land_parquet(raw.select("market", "country").distinct(), f"{out}/audit/market_country_pairs")
-    written["audit/market_country_pairs"] = f"{out}/audit/market_country_pairs"
-    lands = spark.read.parquet(f"{out}/audit/market_country_pairs")
+    # 2. audits on the raw data (small results). Those that look at nothing but
+    # distinct combinations of texts share one scan that lands them all.
+    land_tuples(raw, f"{out}/audit/tuples")
+    written["audit/tuples"] = f"{out}/audit/tuples"
+    lands, regions, filed, named, buyers = (tuples_of(spark, f"{out}/audit/tuples", tag) for tag in AUDIT_TUPLES)
     audits = {
         "column_profile": profiling.column_profile(raw),
+        "column_sketches": profiling.column_sketches(raw),
         "duplicate_rows": profiling.duplicate_rows(raw),
         "numeric_range_stats": profiling.numeric_range_stats(raw),
         "sample_rows": profiling.sample_rows(raw),
-        "identifier_cardinality_customer": audit.identifier_cardinality(raw, "customer_name", "customer_id"),
-        "identifier_cardinality_product": audit.identifier_cardinality(raw, "product_name", "product_id"),
+        "identifier_cardinality_customer": audit.identifier_cardinality(buyers, "customer_name", "customer_id"),
+        "identifier_cardinality_product": audit.identifier_cardinality(named, "product_name", "product_id"),
         "market_country_count": audit.children_per_parent(lands, "market", "country", "country_count"),
-        "market_region_pairs": audit.distinct_pairs(raw, "market", "region"),
+        "market_region_pairs": audit.distinct_pairs(regions, "market", "region"),
         "hierarchy_check_market_country": audit.hierarchy_check(lands, "market", "country"),
-        "category_subcategory_count": audit.children_per_parent(raw, "category", "subcategory", "subcategory_count"),
-        "hierarchy_check_category_subcategory": audit.hierarchy_check(raw, "category", "subcategory"),
+        "category_subcategory_count": audit.children_per_parent(filed, "category", "subcategory", "subcategory_count"),
+        "hierarchy_check_category_subcategory": audit.hierarchy_check(filed, "category", "subcategory"),
         "subcategory_product_count": audit.children_per_parent(
-            raw, ["category", "subcategory"], "product_name", "product_name_count", order=True
+            filed, ["category", "subcategory"], "product_name", "product_name_count", order=True
         ),
-        "hierarchy_check_subcategory_product": audit.hierarchy_check(raw, "subcategory", "product_name"),
+        "hierarchy_check_subcategory_product": audit.hierarchy_check(filed, "subcategory", "product_name"),
         "countries_multi_market": audit.multi_parent(lands, "market", "country"),
         "country_market_pairs": audit.pairs_for(lands, "country", "market", multi_market_countries),
-        "products_multi_subcategory": audit.multi_parent_detail(raw),
-        "region_reuses_market": audit.values_reused_across(raw, "market", "region"),
-        "customer_name_fanout": audit.name_fanout(raw),
-        "product_name_multi_id": audit.multi_parent(raw, "product_id", "product_name"),
+        "products_multi_subcategory": audit.multi_parent_detail(filed),
+        "region_reuses_market": audit.values_reused_across(regions, "market", "region"),
+        "customer_name_fanout": audit.name_fanout(buyers),
+        "product_name_multi_id": audit.multi_parent(named, "product_id", "product_name"),
         "negative_profit_rows": audit.negative_rows(raw, "profit"),
         "profit_ratio_by_year": audit.signed_ratio_by_period(raw),
     }
@@ -128,7 +137,10 @@ def run_pipeline(
             "subcategory_report": product_report,
         },
     )
-    land_parquet(fixed, f"{out}/clean")
+    if cluster_by_date:
+        land_clustered(fixed, f"{out}/clean", ["order_date"])
+    else:
+        land_parquet(fixed, f"{out}/clean")
     written["clean"] = f"{out}/clean"
     clean = spark.read.parquet(f"{out}/clean")
     save_all(
@@ -146,31 +158,34 @@ def run_pipeline(
         # excluded fields dropped, as a CSV directory (one part per task)
         save("processed_csv", analysis, fmt="csv")
 
-    # 4. decision gates
-    yoy = gates.yoy_growth(analysis, core=core)
+    # 4. decision gates, all from one rollup of the fact
+    land_parquet(roll_up(analysis), f"{out}/gates/rollup")
+    written["gates/rollup"] = f"{out}/gates/rollup"
+    totals = Rollup(spark.read.parquet(f"{out}/gates/rollup"))
+    yoy = gates.yoy_growth(totals, core=core)
     gate_results = {
-        "market_performance": gates.market_performance(analysis),
+        "market_performance": gates.market_performance(totals),
         "market_yoy": yoy,
         "market_stability_verdict": gates.stability_verdict(yoy),
-        "core_totals": gates.core_totals(analysis, core),
-        "category_performance": gates.category_performance(analysis, core),
-        "discount_over_index": gates.discount_over_index(analysis, core),
-        "ship_mode_performance": gates.ship_mode_performance(analysis, core),
-        "segment_monthly_share": gates.period_share(analysis, core, years),
-        "segment_contribution": gates.share_stability(analysis, core, years),
-        "organic_demand": gates.flag_rate(analysis, core, excluded_segment),
+        "core_totals": gates.core_totals(totals, core),
+        "category_performance": gates.category_performance(totals, core),
+        "discount_over_index": gates.discount_over_index(totals, core),
+        "ship_mode_performance": gates.ship_mode_performance(totals, core),
+        "segment_monthly_share": gates.period_share(totals, core, years),
+        "segment_contribution": gates.share_stability(totals, core, years),
+        "organic_demand": gates.flag_rate(totals, core, excluded_segment),
     }
     save_all("gates", gate_results)
 
     # the gates as the analysis presents them: display strings beside the numbers
     exact = {
-        "market_performance": gates.market_performance(analysis, scale=None),
-        "market_yoy": gates.yoy_growth(analysis, core=core, scale=None),
-        "category_performance": gates.category_performance(analysis, core, scale=None),
-        "discount_over_index": gates.discount_over_index(analysis, core, scale=None),
-        "ship_mode_performance": gates.ship_mode_performance(analysis, core, scale=None),
-        "segment_contribution": gates.share_stability(analysis, core, years, scale=None),
-        "organic_demand": gates.flag_rate(analysis, core, excluded_segment, scale=None),
+        "market_performance": gates.market_performance(totals, scale=None),
+        "market_yoy": gates.yoy_growth(totals, core=core, scale=None),
+        "category_performance": gates.category_performance(totals, core, scale=None),
+        "discount_over_index": gates.discount_over_index(totals, core, scale=None),
+        "ship_mode_performance": gates.ship_mode_performance(totals, core, scale=None),
+        "segment_contribution": gates.share_stability(totals, core, years, scale=None),
+        "organic_demand": gates.flag_rate(totals, core, excluded_segment, scale=None),
         "profit_ratio_by_year": audit.signed_ratio_by_period(raw, scale=None),
     }
     save_all(

@@ -27,12 +27,15 @@ from saleslens.constants import (
 )
 from saleslens.functions.formatting import REPORT_FORMATS, format_report, with_millions
 from saleslens.operators import audit, corrections, gates, marts, profiling
-from saleslens.sources.csv_source import REJECT_REASON, csv_reader_options, load_sales_csv
+from saleslens.operators.audit_scan import distinct_tuples, land_tuples, tuples_of
+from saleslens.operators.rollup import Rollup, merge_rollups, roll_up
+from saleslens.sources.csv_source import REJECT_REASON, csv_reader_options, land_clustered, load_sales_csv
 from saleslens.sources.fixtures import (
     landed_sales_fact,
     landing_folder,
     sales_fact,
     sales_growing,
+    sales_mixed_case,
     sales_sparse,
     sales_twins,
     write_once,
@@ -102,6 +105,85 @@ def _reporting_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(fact.schema).options(**csv_reader_options()).csv(path)
 
 
+def _multiline_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C02 over cells with line breaks, quotes and separators in them, records cut by many tasks."""
+    cells = clean(spark, sf_dir).withColumn("product_name", F.concat("product_name", F.lit('\n"a", b\n')))
+    folder = f"{landing_folder(spark, sf_dir, 'clean')}-lines-csv"
+    path = write_once(spark, folder, lambda p: export(cells, p, fmt="csv"))
+    good, _rejects = load_sales_csv(spark, path, schema=sales_schema(row_id_type=T.LongType()))
+    return good
+
+
+# ------------------------------------------------------ shared states of the fact --
+
+
+def rolled(spark: SparkSession, sf_dir: str) -> Rollup:
+    """The gates' rollup, landed once."""
+    folder = f"{landing_folder(spark, sf_dir, 'clean')}-rollup"
+    path = write_once(spark, folder, lambda p: roll_up(clean(spark, sf_dir)).write.parquet(p))
+    return Rollup(spark.read.parquet(path))
+
+
+def _merged_rollup(spark: SparkSession, sf_dir: str) -> Rollup:
+    """The rollup of two loads, merged."""
+    fact = clean(spark, sf_dir)
+    return Rollup(merge_rollups(roll_up(fact.filter("row_id % 3 = 0")), roll_up(fact.filter("row_id % 3 <> 0"))))
+
+
+def audited(spark: SparkSession, sf_dir: str, tag: str) -> DataFrame:
+    """The distinct combinations of one kind, landed once for all audits."""
+    folder = f"{landing_folder(spark, sf_dir, 'clean')}-tuples"
+    path = write_once(spark, folder, lambda p: land_tuples(clean(spark, sf_dir), p))
+    return tuples_of(spark, path, tag)
+
+
+def by_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fact landed in ranges of its order date."""
+    folder = f"{landing_folder(spark, sf_dir, 'clean')}-by-date"
+    return spark.read.parquet(write_once(spark, folder, lambda p: land_clustered(clean(spark, sf_dir), p, ["order_date"])))
+
+
+def core_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Core markets as a table: those of the fact's markets that are listed, some twice, and a NULL."""
+    markets = clean(spark, sf_dir).select("market", "segment").distinct().filter(F.col("market").isin(list(CORE)))
+    return markets.select("market").unionAll(markets.limit(1).select(F.lit(None).cast("string")))
+
+
+def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sales_mixed_case(clean(spark, sf_dir))
+
+
+#: Letters' case does not matter.
+NO_CASE = "UTF8_LCASE"
+
+
+def _by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C14 as an update by key: orders are fixed by their number, some to NULL."""
+    orders = clean(spark, sf_dir).groupBy("order_id").agg(F.min("market").alias("market"), F.min("segment").alias("segment"))
+    fixes = orders.filter("cast(order_id as long) % 5 = 0").select(
+        "order_id", F.when(F.expr("cast(order_id as long) % 10 = 0"), F.upper("segment")).alias("new_segment")
+    )
+    return corrections.apply_by_key(orders, fixes, "order_id", {"segment": "new_segment"})
+
+
+def _sketched_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C04 from stored sketches of three loads: whether each estimate is within four standard deviations of the count."""
+    fact = clean(spark, sf_dir)
+    folder = f"{landing_folder(spark, sf_dir, 'clean')}-sketches"
+    load = F.col("row_id") % 3
+
+    def write(path: str) -> None:
+        parts = [profiling.column_sketches(fact.filter(load == k)) for k in range(3)]
+        parts[0].unionAll(parts[1]).unionAll(parts[2]).write.parquet(path)
+
+    stored = spark.read.parquet(write_once(spark, folder, write))
+    found = profiling.profile_of_sketches(profiling.merge_sketches(stored))
+    exact = profiling.column_profile(fact).select("column_name", F.col("count_distinct").alias("exact"))
+    off = F.abs(F.col("count_distinct") - F.col("exact"))
+    bound = F.greatest(4 * 1.04 / 2 ** (profiling.SKETCH_BITS / 2) * F.col("exact"), F.lit(1.0))
+    return found.join(exact, "column_name").select("column_name", "data_type", "null_count", (off <= bound).alias("within_bound"))
+
+
 def sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sales_sparse(clean(spark, sf_dir))
 
@@ -133,6 +215,68 @@ def _report(base: str) -> Query:
     return build
 
 
+def _gates(core) -> dict[str, Callable[..., DataFrame]]:
+    """Every gate as a function of its input: the fact, or a rollup of it."""
+    years, excluded = FIXTURE_SEGMENT_YEARS, FIXTURE_EXCLUDED_SEGMENT
+    return {
+        "market_performance": lambda f, **k: gates.market_performance(f, **k),
+        "market_yoy": lambda f, **k: gates.yoy_growth(f, core=core, **k),
+        "core_totals": lambda f, **k: gates.core_totals(f, core, **k),
+        "category_performance": lambda f, **k: gates.category_performance(f, core, **k),
+        "discount_over_index": lambda f, **k: gates.discount_over_index(f, core, **k),
+        "ship_mode_performance": lambda f, **k: gates.ship_mode_performance(f, core, **k),
+        "segment_monthly_share": lambda f, **k: gates.period_share(f, core, years, **k),
+        "segment_contribution": lambda f, **k: gates.share_stability(f, core, years, **k),
+        "organic_demand": lambda f, **k: gates.flag_rate(f, core, excluded, **k),
+    }
+
+
+def _shared_state_queries() -> dict[str, Query]:
+    """Gates and audits over states of the fact that many of them share, and over other forms of their parameters."""
+    q: dict[str, Query] = {
+        "load_sales_csv_lines": _multiline_csv,
+        "sample_rows_seeded": lambda s, d: profiling.sample_rows_by_hash(clean(s, d), ["row_id", "product_id"], 25, seed=7),
+        "column_profile_sketched": _sketched_profile,
+        "audit_tuples": lambda s, d: distinct_tuples(clean(s, d)),
+        "hierarchy_check_market_country_shared": lambda s, d: audit.hierarchy_check(
+            audited(s, d, "market_country"), "market", "country", "country_count_distinct", "market_country_map_count"
+        ),
+        "subcategory_product_count_shared": lambda s, d: audit.children_per_parent(
+            audited(s, d, "category_subcategory_product"), ["category", "subcategory"], "product_name",
+            "product_name_count", order=True,
+        ),
+        "products_multi_subcategory_shared": lambda s, d: audit.multi_parent_detail(
+            audited(s, d, "category_subcategory_product")
+        ),
+        "region_reuses_market_shared": lambda s, d: audit.values_reused_across(
+            audited(s, d, "market_region"), "market", "region"
+        ),
+        "product_name_multi_id_shared": lambda s, d: audit.multi_parent(
+            audited(s, d, "product_names"), "product_id", "product_name", "product_id_count_distinct"
+        ),
+        "customer_name_fanout_shared": lambda s, d: audit.name_fanout(audited(s, d, "customers")),
+        "gate_rollup": lambda s, d: rolled(s, d).rows,
+        "gate_rollup_merged": lambda s, d: _merged_rollup(s, d).rows,
+        "segment_monthly_share_by_date": lambda s, d: gates.period_share(by_date(s, d), CORE, FIXTURE_SEGMENT_YEARS),
+        "reporting_fact_core_table": lambda s, d: marts.reporting_fact(clean(s, d), core_table(s, d)),
+        "apply_by_key": _by_key,
+        "apply_market_correction_no_case": lambda s, d: corrections.apply_market_correction(
+            sales_mixed_case(dirty(s, d)), FIXTURE_MARKET_RULES, collation=NO_CASE
+        )[0],
+        "apply_subcategory_correction_no_case": lambda s, d: corrections.apply_subcategory_correction(
+            clean(s, d), tuple(x.lower() for x in FIXTURE_PRODUCT_RULE), collation=NO_CASE
+        )[1],
+    }
+    for name in _gates(CORE):
+        q[f"{name}_rollup"] = lambda s, d, n=name: _gates(CORE)[n](rolled(s, d))
+        if name != "market_performance":
+            q[f"{name}_core_table"] = lambda s, d, n=name: _gates(core_table(s, d))[n](clean(s, d))
+        q[f"{name}_no_case"] = lambda s, d, n=name: _gates([m.lower() for m in CORE])[n](mixed(s, d), collation=NO_CASE)
+    for name in ("discount_over_index", "ship_mode_performance", "segment_contribution", "organic_demand"):
+        q[f"{name}_sparse_rollup"] = lambda s, d, n=name: _gates(CORE)[n](Rollup(roll_up(sparse(s, d))))
+    return q
+
+
 def registry() -> dict[str, Query]:
     years, excluded = FIXTURE_SEGMENT_YEARS, FIXTURE_EXCLUDED_SEGMENT
     q: dict[str, Query] = {
@@ -243,4 +387,4 @@ def registry() -> dict[str, Query]:
         "segment_contribution_report": _report("segment_contribution"),
         "organic_demand_report": _report("organic_demand"),
     }
-    return q
+    return q | _shared_state_queries()

@@ -82,6 +82,13 @@ GROWING_SALES_EXPRESSION = (
 )
 
 
+# A variant whose markets, segments, ship modes and categories are spelled in two ways.
+MIXED_CASE_EXPRESSIONS = {
+    c: f"case when row_id % {k} = 0 then lower({c}) else {c} end"
+    for c, k in (("market", 2), ("segment", 3), ("ship_mode", 5), ("category", 7))
+}
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -158,6 +165,11 @@ def sales_sparse(fact: DataFrame) -> DataFrame:
     return fact.withColumns({c: F.expr(e) for c, e in SPARSE_EXPRESSIONS.items()})
 
 
+def sales_mixed_case(fact: DataFrame) -> DataFrame:
+    """The fact with some texts in lower case."""
+    return fact.withColumns({c: F.expr(e) for c, e in MIXED_CASE_EXPRESSIONS.items()})
+
+
 def sales_twins(fact: DataFrame) -> DataFrame:
     """The fact with every row whose number ends in 3 twice."""
     return fact.unionAll(fact.filter("row_id % 10 = 3"))

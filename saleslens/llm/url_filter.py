@@ -45,18 +45,24 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.coalesce(host, F.lit("")), F.coalesce(path, F.lit(""))
 
 
+def _labels(host: Column) -> Column:
+    """Labels of a host: one more than it has dots."""
+    return F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
+
+
 def rule_table(rules: DataFrame) -> DataFrame:
     """key, rule, action: one row for each distinct rule; of two actions for one rule, block wins.
 
     ``rules``: rule (host and path prefix, like ``example.net/en/``) and action
-    (allow or block). Rows with a null rule or action are ignored.
+    (allow or block). Rows with a null rule or action are ignored. ``plen`` and
+    ``labels`` are the length of its path and the number of its host's labels.
     """
     parts = F.regexp_extract("rule", r"^([^/]*)", 1), F.regexp_extract("rule", r"^[^/]*(.*)$", 1)
     return (
         rules.filter(F.col("rule").isNotNull() & F.col("action").isNotNull())
         .select(ascii_lower(parts[0]).alias("h"), parts[1].alias("p"), "rule", "action")
         .groupBy(F.concat_ws(" ", "h", "p").alias("key"))
-        .agg(F.min("rule").alias("rule"), F.max("action").alias("action"), F.max(F.length("p")).alias("plen"))
+        .agg(F.min("rule").alias("rule"), F.max("action").alias("action"), F.max(F.length("p")).alias("plen"), F.max(_labels(F.col("h"))).alias("labels"))
     )
 
 
@@ -98,8 +104,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """
     table = rule_table(rules)
     size = table.agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.length("key")).alias("chars"), F.collect_set("plen").alias("lens")
-    ).first()  # path lengths of a list are few: they are lengths, not paths
+        F.count(F.lit(1)).alias("n"), F.sum(F.length("key")).alias("chars"), F.collect_set("plen").alias("lens"),
+        F.collect_set("labels").alias("labels"),
+    ).first()  # lengths of a list's paths and hosts are few: they are lengths, not texts
     host, path = host_and_path(F.col("url"))
     urls = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn(
         "rid", F.monotonically_increasing_id()
@@ -109,9 +116,11 @@ def judge_urls(pages: DataFrame, rules: DataFrame) -> DataFrame:
             "page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict")
         )
     lens = F.array(*[F.lit(int(x)) for x in sorted(size["lens"])])
-    labels = F.split("host", r"\.")
+    # suffixes of as many labels as listed hosts have, however many the URL's host has
+    counts = F.array(*[F.lit(int(x)) for x in sorted(size["labels"])])
     suffixes = F.transform(
-        F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat_ws(".", F.slice(labels, i, F.size(labels)))
+        F.filter(counts, lambda n: n <= _labels(F.col("host"))),
+        lambda n: F.call_function("substring_index", F.col("host"), F.lit("."), -n),
     )
     prefixes = F.transform(
         F.filter(lens, lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n)

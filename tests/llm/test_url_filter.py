@@ -1,5 +1,7 @@
 """Operator 2 against a direct reading of the rules."""
 
+import time
+
 from saleslens.llm import url_filter
 
 
@@ -51,3 +53,14 @@ def test_no_rules_and_no_pages(spark):
     assert [tuple(r) for r in url_filter.judge_urls(pages, empty).collect()] == [(1, "a.net", "/", None, "allow")]
     table = spark.createDataFrame(list(url_filter.RULES), "action string, rule string")
     assert url_filter.judge_urls(pages.limit(0), table).collect() == []
+
+
+def test_very_long_urls(spark):
+    long_host = "a." * 40_000 + "example.net"
+    rows = [(1, f"http://{long_host}/en/x"), (2, "http://" + "b" * 100_000 + "/fr/"), (3, "http://x.org/fr/" + "p/" * 50_000), (4, "http://" + "." * 30_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    rules = spark.createDataFrame(list(url_filter.RULES), "action string, rule string")
+    begun = time.monotonic()
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge_urls(pages, rules).collect()}
+    assert time.monotonic() - begun < 60
+    assert got == {1: ("example.net/en/", "allow"), 2: (None, "allow"), 3: ("org/fr/", "allow"), 4: (None, "allow")}

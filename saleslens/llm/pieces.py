@@ -181,9 +181,18 @@ class PieceModel:
                 break
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.is_text = np.array([k != CONTROL for k in self.kinds])
+        self.bytes_of = pa.array([self._bytes_of(i) for i in range(len(self.pieces))], pa.binary())
         if self.split:
             self._tables()
 
+    def _bytes_of(self, i: int) -> bytes:
+        """What an id adds to the text inside it."""
+        if i in self.byte_of:
+            return bytes([self.byte_of[i]])
+        kind = self.kinds[i]
+        return (" ⁇ " if kind == UNKNOWN else "" if kind == CONTROL else self.pieces[i].replace(SPACE, " ")).encode()
+
     def _tables(self) -> None:
         """Arrays for segmenting many short chunks at once: characters, pairs and source widths by id."""
         # Source bytes of a piece whose marks were spaces.
@@ -383,10 +392,7 @@ class PieceModel:
                 rest = rest + np.repeat(at, count)[:, None] * np.array([0, 1, 1])
                 table = np.concatenate((table, rest.astype(np.int32)))
             ids = table[:, 0]
-            # Pieces spell the normalised text; with byte pieces for all else, and no
-            # mark in the text, that is the text itself.
-            same = self.split and self.bytes and SPACE not in text
-            yield ids, table[:, 1], table[:, 2], text if same else self.decode(ids.tolist())
+            yield ids, table[:, 1], table[:, 2], self.decode_ids(ids)
 
     def surface(self, ids: list[int]) -> str:
         """The text of pieces inside a text: runs of byte pieces join, broken bytes become U+FFFD."""
@@ -404,10 +410,29 @@ class PieceModel:
             out.append(_utf8(run))
         return "".join(out)
 
+    def decode_ids(self, ids: np.ndarray) -> str:
+        """``decode`` by a table of each id's bytes, gathered in one go.
+
+        Pieces are whole characters, so where all the bytes together are UTF-8
+        each run of byte pieces is, too; else the runs are looked at one by one.
+        """
+        joined = self.bytes_of.take(pa.array(ids, pa.int32()))
+        ends = np.frombuffer(joined.buffers()[1], dtype=np.int32)
+        raw = joined.buffers()[2].to_pybytes()[: ends[len(ids)]] if len(ids) else b""
+        try:
+            text = raw.decode()
+        except UnicodeDecodeError:
+            return self.decode(ids.tolist())
+        kept = ids[self.is_text[ids]]
+        return self._without_prefix(text, kept)
+
     def decode(self, ids: list[int]) -> str:
         """The text of ``ids``; the space put before the text goes."""
         ids = [i for i in ids if self.kinds[i] != CONTROL]
-        text = self.surface(ids)
+        return self._without_prefix(self.surface(ids), ids)
+
+    def _without_prefix(self, text: str, ids) -> str:
+        ids = list(ids[:1])
         if ids and self.normalizer.dummy_prefix and self.pieces[ids[0]].startswith(SPACE):
             text = text[1:]
         if ids and self.normalizer.squeeze:

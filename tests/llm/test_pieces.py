@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 sentencepiece = pytest.importorskip("sentencepiece")
@@ -81,3 +82,21 @@ def test_digests(spark, blob, library, docs_of):
         assert r.decoded_sha256 == hashlib.sha256(library.decode(ids).encode()).hexdigest()
         assert r.span_bytes == len((t or "").encode())
     assert pieces.encoding_digests(docs_of(rows).limit(0), blob).collect() == []
+
+
+def test_decoding_comes_from_the_ids(blob, library):
+    model, draw = pieces.PieceModel(blob), random.Random(5)
+    text = "the same words, the same words"
+    ids, _, _, back = model.encode(text)
+    assert back == text
+    # another id for a word that the model remembers shows in what is decoded
+    chunk = next(c for c in model.young if "words" in c)
+    table = np.frombuffer(model.young[chunk], dtype=np.int32).reshape(-1, 3).copy()
+    table[-1, 0] = model.ids["s"] if table[-1, 0] != model.ids["s"] else model.ids["e"]
+    model.young[chunk] = table.tobytes()
+    changed, _, _, back = model.encode(text)
+    assert back != text and back == library.decode([int(i) for i in changed])
+    byte_ids = list(model.byte_of)
+    for _ in range(300):
+        some = [draw.choice([draw.randrange(len(model.pieces)), draw.choice(byte_ids), model.end, 0]) for _ in range(draw.randint(0, 12))]
+        assert model.decode_ids(np.array(some, dtype=np.int32)) == library.decode(some)

@@ -81,3 +81,28 @@ def test_odd_rows(spark, docs_of, rows):
     assert all(r.kept for r in quality.resample(docs, none).collect())
     assert quality.keep_resampled(docs, none).count() == len(rows) + 4
     assert quality.resample(docs.limit(0), labels).collect() == []
+
+
+def test_an_id_of_a_third_of_all_rows_counts_once(spark, docs_of, rows):
+    docs, labels = tables(spark, docs_of, rows)
+    labelled = next((i, t) for i, t, q in rows if i % 2 and q == 0)
+    hot = docs_of([(i, t) for i, t, _ in rows] + [labelled] * 80)
+    (ratio, cut), (hot_ratio, hot_cut) = quality.fit(docs, labels), quality.fit(hot, labels)
+    target = lambda r, d: r + np.log(raw_share(d))
+
+    def raw_share(d):
+        raw = quality.bucket_counts(d.selectExpr("cast(text as binary) as text"))
+        return (raw + 0.5) / (raw.sum() + 0.5 * quality.BUCKETS)
+
+    # the raw model sees every row, the target model one
+    shown = np.exp(target(ratio, docs)) - quality.PRIOR * raw_share(docs)
+    assert np.allclose(shown, np.exp(target(hot_ratio, hot)) - quality.PRIOR * raw_share(hot))
+    assert quality._labelled(labels).count() == labels.count()
+
+
+def test_kept_rows_are_the_largest_keys(spark, docs_of, rows):
+    docs, labels = tables(spark, docs_of, rows)
+    got = quality.resample(docs, labels).collect()
+    k = sum(r.kept for r in got)
+    first = sorted(got, key=lambda r: -r.key)[:k]
+    assert 0 < k < len(got) and all(r.kept for r in first)

@@ -14,10 +14,11 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from saleslens.llm.common import bounded_sample, crc_fold, through_storage
@@ -136,6 +137,12 @@ def units(text: bytes | None) -> set[bytes]:
     return found
 
 
+def _bound_column(toxic: Column, clean: Column, n_toxic: int, n_clean: int) -> Column:
+    """The bound that ``lexicon_of`` ranks by."""
+    odds = F.ln((toxic + 0.5) / F.lit(n_toxic + 1.0)) - F.ln((clean + 0.5) / F.lit(n_clean + 1.0))
+    return odds - 1.64 * F.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5))
+
+
 def lexicon_of(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int, names: list[bytes]) -> Lexicon:
     """Entries whose log odds are above the lowest tier with 95 % confidence."""
     odds = np.log((toxic + 0.5) / (n_toxic + 1)) - np.log((clean + 0.5) / (n_clean + 1))
@@ -252,8 +259,10 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """The model, from at most MAX_LABELLED labelled rows that are not held out.
 
-    An id with both labels counts as label 1. Without rows of either label
-    every text gets the smoothed share of label 1.
+    An id with both labels counts as label 1. Of rows with equal id and text
+    one is learned from, and at most MAX_LABELLED rows in all, so an id that
+    many rows repeat does not outweigh the others. Without rows of either
+    label every text gets the smoothed share of label 1.
     """
     known = (
         labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
@@ -265,6 +274,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(
         F.broadcast(known), "doc_id"  # at most MAX_LABELLED rows
     )
+    rows = bounded_sample(rows, MAX_LABELLED, F.col("doc_id"), F.col("text"))
     fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int")
     sample = through_storage(rows.select("text", "toxic", fold.alias("fold")), "toxicity-sample")
     sizes = {(r.fold, r.toxic): r.n for r in sample.groupBy("fold", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -285,14 +295,17 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     counts = sample.mapInPandas(count, "unit binary, slot int, n long").groupBy("unit").agg(
         *[F.sum(F.when(F.col("slot") == s, F.col("n")).otherwise(0)).alias(f"s{s}") for s in range(2 * FOLDS)]
     )
-    in_toxic = sum(F.col(f"s{2 * f + 1}") for f in range(FOLDS))
-    in_clean = sum(F.col(f"s{2 * f}") for f in range(FOLDS))
-    table = (
-        counts.filter((in_toxic >= MIN_DOCS) & (in_toxic * float(clean) > in_clean * float(toxic) * math.e))
-        .orderBy(in_toxic.desc(), "unit")
-        .limit(4 * MAX_ENTRIES)
-        .toPandas()
-    )
+    # The entries of each lexicon, ranked by their own bound: of all rows, and of those outside each fold.
+    bounds = {}
+    for left_out in (None, *range(FOLDS)):
+        used = [k for k in range(FOLDS) if k != left_out]
+        in_clean, in_toxic = (sum((F.col(f"s{2 * k + t}") for k in used), F.lit(0)) for t in (0, 1))
+        sizes_used = [int(n[used, t].sum()) for t in (0, 1)]
+        bounds[f"b{left_out}"] = F.when(in_toxic >= MIN_DOCS, _bound_column(in_toxic, in_clean, sizes_used[1], sizes_used[0]))
+    ranked = counts.select("*", *[b.alias(name) for name, b in bounds.items()])
+    ranked = through_storage(ranked.filter(F.greatest(*bounds) >= TIERS[0] - 1e-6), "toxicity-units")
+    chosen = [ranked.filter(F.col(b).isNotNull()).orderBy(F.desc(b), "unit").limit(MAX_ENTRIES) for b in bounds]
+    table = reduce(DataFrame.unionAll, chosen).dropDuplicates(["unit"]).orderBy("unit").toPandas()  # (FOLDS + 1) * MAX_ENTRIES
     names = [bytes(u) for u in table["unit"]]
     slots = table[[f"s{s}" for s in range(2 * FOLDS)]].to_numpy(dtype=float).reshape(len(names), FOLDS, 2)
     total = slots.sum(axis=1)

@@ -85,3 +85,15 @@ def test_features_on_odd_texts():
     named = dict(zip(toxicity.FEATURES, toxicity.features(b"you moron", lexicon), strict=True))
     assert named["near_share"] == 0.5 and named["second_person_share"] == 0.5 and named["tier_2_share"] == 0.5
     assert dict(zip(toxicity.FEATURES, toxicity.features(b"a m0r0n", lexicon), strict=True))["masked_count"] > 0
+
+
+def test_an_id_of_a_third_of_all_rows_counts_once(spark, rows):
+    docs = [(i, t) for i, t, _ in rows]
+    hot = next((i, t) for i, t, x in rows if x and zlib.crc32(str(i).encode()) % 5)
+    labels = spark.createDataFrame([(i, x) for i, _, x in rows], "doc_id long, toxic int")
+    plain, repeated = (
+        toxicity.fit(spark.createDataFrame(d, "doc_id long, text string"), labels) for d in (docs, docs + [hot] * 400)
+    )
+    texts = [t.encode() for _, t in docs]
+    assert np.array_equal(plain.score(texts), repeated.score(texts))
+    assert (plain.lexicon.whole, plain.lexicon.stems) == (repeated.lexicon.whole, repeated.lexicon.stems)

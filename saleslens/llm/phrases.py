@@ -243,8 +243,25 @@ def phrase_counts(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int =
         release_memory()
         return pa.concat_tables(out)
 
+    def merge_all(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One bucket after the other, each whole."""
+        held: list[pa.RecordBatch] = []
+        for part in parts:
+            bucket = part.column("bucket").to_numpy()
+            cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1), len(bucket)]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if held and held[0].column("bucket")[0].as_py() != bucket[a]:
+                    yield from merge(pa.Table.from_batches(held)).to_batches()
+                    held = []
+                held.append(part.slice(a, b - a))
+        if held:
+            yield from merge(pa.Table.from_batches(held)).to_batches()
+
     blocks = rows.mapInArrow(count, "bucket long, lang string, words binary, numbers binary")
-    merged = blocks.groupBy("bucket").applyInArrow(merge, "lang string, size int, phrase string, n long")
+    # buckets are numbered, so they are dealt out evenly instead of by their hash
+    tasks = min(buckets, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = blocks.repartitionById(tasks, F.pmod("bucket", F.lit(tasks)).cast("int")).sortWithinPartitions("bucket")
+    merged = dealt.mapInArrow(merge_all, "lang string, size int, phrase string, n long")
     # a word's nodes are in many buckets
     return through_storage(merged.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n")), "phrases")
 

@@ -6,6 +6,7 @@ import ctypes
 import gc
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,10 +55,12 @@ def crc_fold(column: Column, folds: int) -> Column:
 def release_memory() -> None:
     """Gives memory that a task has freed back to the system.
 
-    A Python worker lives on after its task, and an executor keeps several; on
-    a C library without the call nothing happens.
+    A Python worker lives on after its task, and an executor keeps several;
+    Arrow's own pool keeps what its buffers leave, too. On a C library without
+    the call only that is given back.
     """
     gc.collect()
+    pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
         trim(0)

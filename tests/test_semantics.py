@@ -159,8 +159,8 @@ def test_market_rules_do_not_use_row_ids(spark):
     assert sorted(map(tuple, via_table.collect()), key=str) == sorted(map(tuple, fixed.collect()), key=str)
     cmap = corrections.market_correction_map(df).collect()
     assert sorted((r.row_id or 0, r.correct_market) for r in cmap) == [(0, "APAC"), (1, "EU")]
-    with pytest.raises(ValueError):
-        corrections.apply_by_key(df, cmap and spark.createDataFrame(cmap), "row_id", {"market": "correct_market"})
+    with pytest.raises(Exception, match="not unique in the input"):
+        corrections.apply_by_key(df, spark.createDataFrame(cmap), "row_id", {"market": "correct_market"}).collect()
 
 
 def test_product_rule_keeps_null_subcategory(spark):

@@ -3,6 +3,8 @@
 import datetime as dt
 import decimal
 import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -62,3 +64,17 @@ def test_query_matches_oracle(spark, duck, name):
     dc, dr = _canon([d[0] for d in res.description], res.fetchall())
     assert sc == dc
     assert sr == dr
+
+
+@pytest.mark.parametrize("missing", ["saleslens.llm.queries", "corpus_pipeline", "xxhash"])
+def test_other_queries_live_without_the_training_data_ones(missing):
+    """In a process of its own: an import that fails there takes no other query with it."""
+    code = (
+        f"import sys; sys.modules[{missing!r}] = None\n"
+        "import __spark_entry__ as e\n"
+        "from saleslens.plans.queries import registry\n"
+        "assert set(registry()) <= set(e.queries()) and 'pipeline' not in e.queries()\n"
+        "assert set(e.oracle_sql()) <= set(e.queries())\n"
+    )
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)

@@ -59,27 +59,73 @@ _ENDS_P = frozenset(
     "table ul".split()
 )
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^<>]*)$",
-    re.DOTALL,
-)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-_PARTS = re.compile(r"[^a-z0-9]+")
-
+# Elements that hold more than a line of text: inside marked content the names of these alone tell furniture.
+_CONTAINERS = frozenset("details dl div fieldset figure ol section table ul".split())
 
-def _is_furniture(name: str, attributes: str, inside: bool) -> bool:
-    """Whether an element holds furniture; an article's own header is part of it."""
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_ATTRIBUTE = re.compile(r"[\s/]*([^\s/>][^\s/>=]*)(?:\s*=\s*([\"']?))?")
+_UNQUOTED = re.compile(r"[^\s>]*")
+_GAP = re.compile(r"[\s/]*")
+_PARTS = re.compile(r"[^a-z0-9]+")
+#: Attributes that are looked at.
+_KEYS = frozenset("class id role hidden aria-hidden".split())
+
+
+class _Scanner:
+    """Reads markup from left to right, each character a fixed number of times."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.gone: set[str] = set()  # what does not occur any more
+
+    def find(self, what: str, at: int) -> int:
+        """Place of ``what`` from ``at`` on, -1 if there is none; one that is not found is not looked for again."""
+        if what in self.gone:
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.gone.add(what)
+        return found
+
+    def tag(self, at: int) -> tuple[int, list[tuple[str, str]]] | None:
+        """End of the tag whose name ends at ``at``, and its attributes; None if the page ends in it.
+
+        A quote opens a value right after the equals sign alone; a value
+        without one ends at white space or at the tag's end. A quote that
+        nothing closes is part of its value.
+        """
+        page, found = self.page, []
+        while True:
+            at = _GAP.match(page, at).end()
+            if at >= len(page):
+                return None
+            if page[at] == ">":
+                return at + 1, found
+            match = _ATTRIBUTE.match(page, at)
+            key, quote, at, value = match[1].lower(), match[2], match.end(), ""
+            if quote and (stop := self.find(quote, at)) >= 0:
+                value, at = page[at:stop], stop + 1
+            elif quote is not None:
+                end = _UNQUOTED.match(page, at).end()
+                value, at = page[at:end], end
+            if key in _KEYS:
+                found.append((key, value))
+
+
+def _is_furniture(name: str, attributes: list[tuple[str, str]], inside: bool) -> bool:
+    """Whether an element holds furniture; an article's own header is part of it, and so are its named paragraphs."""
     if name in FURNITURE:
         return not (inside and name == "header")
     if name in ("html", "body") or not attributes:
         return False
-    for key, *values in _ATTRIBUTE.findall(attributes):
-        value = "".join(values).lower()
-        key = key.lower()
+    for key, value in attributes:
+        value = value.lower()
         if key == "hidden" or (key == "aria-hidden" and value == "true"):
             return True
         if key == "role" and value in FURNITURE_ROLES:
             return True
+        if inside and name not in _CONTAINERS:
+            continue
         if key in ("class", "id") and FURNITURE_NAMES.intersection(_PARTS.split(value)) - ({"header"} if inside else set()):
             return True
     return False
@@ -106,12 +152,17 @@ def tokens(page: str) -> Iterator[tuple[str, Block | None]]:
     page may stop anywhere; what is open then ends there.
     """
     stack: list[tuple[str, bool, bool]] = []  # name, whether in furniture, whether in marked content
+    opened: Counter = Counter()  # names in the stack: one that is not open is not looked for
     parts: list[str] = []
     linked = [0, 0]  # characters inside links, and all
 
     def state() -> tuple[bool, bool]:
         return (stack[-1][1], stack[-1][2]) if stack else (False, False)
 
+    def close(i: int) -> None:
+        opened.subtract(n for n, _, _ in stack[i:])
+        del stack[i:]
+
     def flush() -> Iterator[tuple[str, Block | None]]:
         text = " ".join(entities.unescape("".join(parts)).split())
         if text:
@@ -133,21 +184,33 @@ def tokens(page: str) -> Iterator[tuple[str, Block | None]]:
             if any(n == "a" for n, _, _ in stack[-4:]):
                 linked[0] += size
 
-    at, end = 0, len(page)
+    at, end, scanner = 0, len(page), _Scanner(page)
     while at < end:
-        found = _TOKEN.search(page, at)
-        if not found:
+        opening = scanner.find("<", at)
+        if opening < 0:
             add(page[at:])
             break
-        add(page[at : found.start()])
-        at = found.end()
-        if found.group(5) is not None:  # a tag that the page's end cuts off
-            break
-        name = found.group(2)
-        if name is None:
+        add(page[at:opening])
+        at = opening
+        if page.startswith("<!--", at):
+            stop = scanner.find("-->", at + 4)
+            at = stop + 3 if stop >= 0 else end
+            continue
+        if page.startswith(("<!", "<?"), at):
+            stop = scanner.find(">", at)
+            at = stop + 1 if stop >= 0 else end
+            continue
+        found = _TAG.match(page, at)
+        if not found:  # no markup
+            add("<")
+            at += 1
             continue
+        read = scanner.tag(found.end())
+        if read is None:  # a tag that the page's end cuts off
+            break
+        name, (at, attributes) = found.group(2), read
         name = name.lower()
-        closing, attributes = found.group(1), found.group(3)
+        closing = found.group(1)
         if name == "br":
             add("\n")
             continue
@@ -160,29 +223,30 @@ def tokens(page: str) -> Iterator[tuple[str, Block | None]]:
             yield from flush()
             yield INNER if all(state()) else f"</{name}" if closing else f"<{name}", None
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, -1, -1) if opened[name] else ():
                 if stack[i][0] == name:
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i][0] in CONTENT | FURNITURE and name in INLINE | _CLOSED_BY_ITSELF:
                     break  # a stray end does not reach out of its section
         elif name not in VOID:
-            if name in _ENDS_P:
+            if name in _ENDS_P and opened["p"]:
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] == "p":
-                        del stack[i:]
+                        close(i)
                         break
                     if stack[i][0] not in INLINE:
                         break
-            if name in _CLOSED_BY_ITSELF and name != "p":
+            if name in _CLOSED_BY_ITSELF and name != "p" and opened[name]:
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] == name:
-                        del stack[i:]
+                        close(i)
                         break
                     if stack[i][0] in ("ul", "ol", "dl", "table", "select", "article", "main", "div"):
                         break
             furniture, content = state()
             inside = content or name in CONTENT
+            opened[name] += 1
             stack.append((name, furniture or _is_furniture(name, attributes, inside), inside))
     yield from flush()
 
@@ -222,7 +286,7 @@ def default_weight(kind: str) -> float:
     if kind == "furniture":
         return DEFAULT_FURNITURE_WORD
     if kind.lstrip("</") in CONTENT:
-        return MOST
+        return 0.0
     if kind.startswith("link@"):
         return DEFAULT_LINK_WORD
     return DEFAULT_WORD if kind.startswith("word@") else DEFAULT_TAG
@@ -239,8 +303,9 @@ def weights_of(counts: dict[tuple[str, bool], int]) -> dict[str, float]:
         odds = float(np.log((a + 0.5) / (total[True] + 1)) - np.log((b + 0.5) / (total[False] + 1)))
         odds = max(-MOST, min(MOST, odds))
         name = kind.lstrip("</")
-        if "@" not in kind and kind != "furniture" and name not in CONTENT:
-            odds = min(odds, DEFAULT_TAG)  # tags pay, words earn
+        if "@" not in kind and kind != "furniture":
+            # tags pay, words earn; a mark of content is free
+            odds = min(odds, 0.0 if name in CONTENT else DEFAULT_TAG)
         out[kind] = odds
     return out
 

@@ -1,6 +1,7 @@
 """Operator 1 on hand-made pages."""
 
 import html
+import time
 
 import pytest
 
@@ -69,3 +70,42 @@ def test_query_shape_on_nulls_and_repeated_rows(spark):
     got = sorted((r.page_id or 0, r.text, r.n_chars) for r in html_text.extract_pages(pages).collect())
     assert got == [(0, "", 0), (1, EXPECTED, len(EXPECTED)), (1, EXPECTED, len(EXPECTED)), (2, "", 0)]
     assert html_text.extract_pages(pages.limit(0)).collect() == []
+
+
+CASES = {
+    # quotes count right after the equals sign alone
+    "<article><p title=it's>Hello world this is text.</p><p>And it's more.</p></article>": "Hello world this is text.\n\nAnd it's more.",
+    "<article><p a='x>y' b=\"p>q\">One two three.</p></article>": "One two three.",
+    "<article><p a = 'x' c=d/e>One two three.</p></article>": "One two three.",
+    '<article><p a="never closed>One two three.</p></article>': "One two three.",
+    '<article><p a=b"c"d>One two three.</p></article>': "One two three.",
+    "<article><p a=1 <b>One two three.</p></article>": "One two three.",
+    # names of paragraphs inside an article are its own affair, those of containers tell furniture
+    "<article><p class='search-results notice'>Important words here.</p></article>": "Important words here.",
+    "<article><p>Text of it.</p><div class='ad box'>Buy this now.</div><p>More of it.</p></article>": "Text of it.\n\nMore of it.",
+    "<article><p>a < b and c <3 d, 5<6</p></article>": "a < b and c <3 d, 5<6",
+    # no marked content
+    "<body><div class=menu><a href=x>Home</a></div><div><p>One long paragraph of plain words in the page.</p>"
+    "<p>Another long paragraph of plain words.</p></div><div id='footer'>Imprint</div></body>":
+        "One long paragraph of plain words in the page.\n\nAnother long paragraph of plain words.",
+    "<p>One two three four five.<!-- never closed": "One two three four five.",
+    "<p>One two three four five.<p attr": "One two three four five.",
+}
+
+
+@pytest.mark.parametrize("page", CASES)
+def test_markup_as_it_is_written(page):
+    assert html_text.main_text(page, {}) == CASES[page]
+
+
+@pytest.mark.parametrize("piece", ["<a x=\"", "<p title='", "<", "<!", "<!--", "</", "<a b=c'", "<script>", "< a='>'", "<b>", "</b></i>", "<b><div></div></i>"])
+def test_long_pages_take_linear_time(piece):
+    begun = time.monotonic()
+    html_text.main_text("<p>Some words here.</p>" + piece * (1_000_000 // len(piece)), {})
+    assert time.monotonic() - begun < 20
+
+
+def test_marks_of_content_are_never_positive():
+    counts = {("<article", True): 50, ("</article", True): 50, ("word@p", True): 900, ("word@div", False): 90, ("<p", True): 30, ("<p", False): 1}
+    weights = html_text.weights_of(counts)
+    assert weights["<article"] <= 0 and weights["<p"] < 0 < weights["word@p"]

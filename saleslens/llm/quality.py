@@ -58,51 +58,56 @@ def _labelled(labels: DataFrame) -> DataFrame:
     )
 
 
-def bucket_counts(rows: DataFrame) -> np.ndarray:
-    """How often each bucket occurs in the texts of ``rows.text`` (binary), counted in the tasks."""
-
-    def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(BUCKETS, dtype=np.int64)
-        for part in parts:
-            for text in part["text"]:
-                if text:
-                    total += np.bincount(ngram_buckets(text), minlength=BUCKETS)
-        at = np.flatnonzero(total)
-        yield pd.DataFrame({"bucket": at, "n": total[at]})
-        release_memory()
-
-    counts = rows.select("text").mapInPandas(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    found, out = counts.toPandas(), np.zeros(BUCKETS)  # one row for each bucket
-    out[found["bucket"]] = found["n"]
-    return out
-
-
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     """Log ratio of each bucket, and the log weight that best parts good from bad rows.
 
     The raw model counts every row of ``docs``; the target model counts two
     thirds of the labelled good rows, the cut is set on the other third, bad
-    ones included. Of rows with equal id and text one is learned from, and of
-    all labelled rows at most MAX_LABELLED, so an id that many rows repeat
-    neither outweighs the others nor reaches the driver many times. Without
-    labels all ratios are 0 and the cut is minus infinity: nothing is rejected.
+    ones included. All rows of one id together count as one document in the
+    target model, and equal ones once for the cut, so an id that many rows
+    repeat neither outweighs the others nor reaches the driver many times.
+    Without labels all ratios are 0 and the cut is minus infinity: nothing is
+    rejected.
     """
     known = F.broadcast(through_storage(_labelled(labels), "labelled"))  # at most MAX_LABELLED rows
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    learned = rows.join(known, "doc_id")
-    learned = through_storage(bounded_sample(learned, MAX_LABELLED, F.col("doc_id"), F.col("text")), "learned")
-    good = bucket_counts(learned.filter("good and not for_cut"))
-    raw = bucket_counts(rows)
+    sizes = docs.select("doc_id").join(known, "doc_id").groupBy("doc_id", "good", "for_cut").agg(F.count(F.lit(1)).alias("n"))
+    sized = F.broadcast(through_storage(sizes, "labelled-sizes"))  # no more rows than before
+    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(sized, "doc_id", "left")
+    share = F.when(F.col("good") & ~F.col("for_cut"), 1.0 / F.col("n")).otherwise(F.lit(0.0))
+
+    def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        raw, good = np.zeros(BUCKETS, dtype=np.int64), np.zeros(BUCKETS)
+        for part in parts:
+            for text, part_of in zip(part["text"], part["share"], strict=True):
+                grams = np.bincount(ngram_buckets(text), minlength=BUCKETS) if text else 0
+                raw += grams
+                if part_of:
+                    good += grams * part_of
+        at = np.flatnonzero(raw)
+        yield pd.DataFrame({"bucket": at, "raw": raw[at], "good": good[at]})
+        release_memory()
+
+    counts = (
+        rows.select("text", F.coalesce(share, F.lit(0.0)).alias("share"))
+        .mapInPandas(count, "bucket long, raw long, good double")
+        .groupBy("bucket")
+        .agg(F.sum("raw").alias("raw"), F.sum("good").alias("good"))
+        .toPandas()  # one row for each bucket
+    )
+    raw, good = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    raw[counts["bucket"]] = counts["raw"]
+    good[counts["bucket"]] = counts["good"]
     if not good.sum():
         return np.zeros(BUCKETS), -np.inf
     raw_p = (raw + 0.5) / (raw.sum() + 0.5 * BUCKETS)
     ratio = np.log((1 - PRIOR) * good / good.sum() + PRIOR * raw_p) - np.log(raw_p)
 
-    held = (
-        with_log_weight(learned.filter("for_cut").select("doc_id", "text", "good"), ratio, "w")
-        .select("w", "good")
-        .toPandas()  # MAX_LABELLED rows at most
+    weighed = through_storage(
+        with_log_weight(rows.filter("for_cut").select("doc_id", "text", "good"), ratio, "w").select("doc_id", "w", "good"),
+        "cut",
     )
+    # equal rows have equal weights; MAX_LABELLED rows at most
+    held = bounded_sample(weighed, MAX_LABELLED, F.col("doc_id"), F.col("w")).toPandas()
     return ratio, best_cut(held["w"].to_numpy(), held["good"].to_numpy(dtype=bool))
 
 

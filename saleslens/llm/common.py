@@ -5,6 +5,9 @@ from __future__ import annotations
 import ctypes
 import gc
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,15 +28,39 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+_WATCHED: ContextVar[tuple[list[str], ...]] = ContextVar("watched", default=())
+
+
+@contextmanager
+def stored_folders() -> Iterator[list[str]]:
+    """The folders that ``through_storage`` writes inside the block, in their order."""
+    folders: list[str] = []
+    token = _WATCHED.set((*_WATCHED.get(), folders))
+    try:
+        yield folders
+    finally:
+        _WATCHED.reset(token)
+
+
+def delete_folders(spark: SparkSession, folders: Iterable[str]) -> None:
+    """Deletes folders of ``through_storage`` that nothing reads any more, on any file system."""
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def through_storage(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared folder and read again.
 
     Cuts the lineage for jobs that read an intermediate result many times; a
     lost executor then costs a re-read, never a recomputation. The folder is
-    the one the cluster names in ``spark.checkpoint.dir``.
+    the one the cluster names in ``spark.checkpoint.dir``. Whoever has stored
+    what was made from it may delete it: see ``stored_folders``.
     """
     path = f"{shared_dir(df.sparkSession)}/llm-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for folders in _WATCHED.get():
+        folders.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -41,8 +41,8 @@ def export(
     if fmt not in ("parquet", "csv"):
         raise ValueError("fmt must be 'parquet' or 'csv'")
     if single_file:
-        # one partition, so the id counts its rows
-        counted = df.coalesce(1).withColumn("_row", F.monotonically_increasing_id())
+        # the limit leaves one partition, so the id counts its rows; the plan above keeps its tasks
+        counted = df.limit(SINGLE_FILE_ROW_LIMIT + 1).withColumn("_row", F.monotonically_increasing_id())
         stop = F.raise_error(F.lit("single_file is only for small dimensions; write a fact as a directory"))
         df = counted.filter(
             F.when(F.col("_row") >= SINGLE_FILE_ROW_LIMIT, stop).otherwise(F.lit(True))

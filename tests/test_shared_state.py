@@ -152,7 +152,7 @@ def test_update_by_key(spark):
     assert rows(got) == rows(
         spark.createDataFrame([(1, "x", 1), (2, None, 2), (None, "c", 3), (None, "c", 3), (4, "d", 4)], "k int, v string, w int")
     )
-    plan = plan_text(got, "simple")
+    plan = plan_text(corrections.apply_by_key(df, fixes, "k", {"v": "new"}), "simple")
     assert sum("Exchange hashpartitioning" in x for x in plan.splitlines()) == 1
     assert rows(corrections.apply_by_key(df, fixes.limit(0), "k", {"v": "new"})) == rows(df)
 

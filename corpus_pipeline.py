@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from saleslens.llm import decontamination, pieces, quality, simhash, substrings
-from saleslens.llm.common import read_table, through_storage
+from saleslens.llm.common import delete_folders, read_table, stored_folders, through_storage
 from saleslens.llm.queries import tokenizer_path
 
 
@@ -52,8 +52,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; the last one's rows."""
-    docs = read_table(spark, sf_dir, "documents")
+    """All stages over ``documents``; the last one's rows.
+
+    Once a stage's result is stored, what it was made from goes: its own
+    intermediate folders and its predecessor's result.
+    """
+    docs, held = read_table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs = through_storage(stage(spark, docs, sf_dir), name)
+        with stored_folders() as folders:
+            docs = through_storage(stage(spark, docs, sf_dir), name)
+        delete_folders(spark, [*held, *folders[:-1]])
+        held = folders[-1:]
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -1,23 +1,19 @@
 """Operator 8, document fingerprints by invertible Bloom lookup sketches.
 
 A paragraph (a line, or a run of at most UNIT_WORDS words of it) has a 40-bit
-digest with 24 check bits. A sketch has a few rows of 2**bits cells; a digest
-goes into one cell of each row, and a cell holds the count and the XOR of its
-digests. Sketches of two versions subtract cell by cell, what they share
-cancels, and peeling the cells that hold one digest recovers the differing
-ones. A cell's place is the low bits of a hash, so a larger sketch folds to a
-smaller one: two fingerprints are first compared at the size of the smaller,
-unless they cannot but hold too much for it. A pair that does not peel is
-tried again with a larger sketch of more rows and other hashes.
-
-Everything runs as DataFrame expressions and aggregates in the JVM: digests
-are narrow rows, counted and XORed under generated code where the join of the
-texts placed them, and never shuffled.
+digest with 24 check bits. A sketch deals the digests of a text into shards of
+24 cells, each digest into one cell of each of three rows of eight; a cell
+holds a count and the XOR of its digests. Sketches of two versions subtract
+cell by cell, what they share cancels, and peeling the cells that hold one
+digest recovers the differing ones. A pair that does not peel is tried again
+with four times the shards.
+
+Everything runs as DataFrame expressions in the JVM.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -26,149 +22,211 @@ from pyspark.sql import functions as F
 from saleslens.llm.common import through_storage
 
 UNIT_WORDS = 16
-#: Digests for each cell of a row of a fingerprint, at most, and bits of the least number of cells in a row.
-LOAD, LEAST_BITS = 0.5, 6
-#: Differing digests that are tried in a sketch, for each cell of a row: two rounds of peeling are enough for them.
-FULL = 1.0
-#: Order of a document without an integer id: after all others.
+#: Digests for each shard of a fingerprint. A pair is first tried at the size of its larger one.
+SHARD_LOAD = 6
+CELLS, ROW = 24, 8
+MAX_SHARD_BITS = 20
+#: Rounds of peeling in a shard, and tries with more shards.
+ROUNDS, TRIES = 8, 3
+#: Order of a document without an id: after all others.
 LAST = (1 << 63) - 1
 
 _UNIT = rf"\S++(?:[^\S\n]++\S++){{0,{UNIT_WORDS - 1}}}+"
 _LOW = (1 << 40) - 1
 
 
-@dataclass(frozen=True)
-class Shape:
-    """Rows of a sketch, the seed of their hashes, and the rounds in which all rows are peeled."""
-
-    rows: int
-    seed: int
-    rounds: int
-
-
-#: Fingerprints and the first try; the second try. Two digests that meet in all five rows of at least
-#: 1,024 cells, or digests that one round over rows an eighth full leaves, are less likely than 1e-12 a pair.
-OWN, LARGER = Shape(3, 0, 2), Shape(5, 100, 1)
-LARGER_BITS = 10
-
-
 def _marked(digest: Column) -> Column:
     """The low 40 bits of a hash, with their check in the high 24."""
     low = digest.bitwiseAND(F.lit(_LOW))
     return low.bitwiseOR(F.shiftleft(F.xxhash64(low).bitwiseAND(F.lit((1 << 24) - 1)), 40))
 
 
+def _is_marked(x: Column) -> Column:
+    return _marked(x) == x
+
+
 def digests(text: Column) -> Column:
     """The distinct paragraph digests of a text."""
     units = F.regexp_extract_all(text, F.lit(_UNIT), F.lit(0))
     return F.array_distinct(F.transform(units, lambda u: _marked(F.xxhash64(u))))
 
 
-def bits_for(n: Column) -> Column:
-    """Bits of the number of cells in a row of a fingerprint of ``n`` digests."""
-    return F.greatest(F.lit(LEAST_BITS), F.ceil(F.log2(F.greatest(n / LOAD, F.lit(1.0)))).cast("int"))
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.transform(F.array(value), body)[0]
 
 
-def _cells_of(x: Column, bits: Column, shape: Shape) -> Column:
-    """The cells of a digest: its place in each row by the low bits of a hash for that row, numbered row by row."""
-    mask = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
-    return F.array(
-        *[F.xxhash64(x, F.lit(shape.seed + r)).bitwiseAND(mask) * shape.rows + r for r in range(shape.rows)]
+def _bits_for(n: Column, load: int) -> Column:
+    """Bits of the number of shards that hold ``n`` digests."""
+    return F.least(
+        F.lit(MAX_SHARD_BITS), F.ceil(F.log2(F.greatest(n.cast("double") / load, F.lit(1.0)))).cast("int")
     )
 
 
-#: Type of a count. A wide decimal keeps the aggregates of a task, a few dozen in a row, from taking a page of
-#: memory each before they have a row: Spark does so for keys and sums of plain numbers alone.
-_COUNT = "decimal(20,0)"
+@dataclass(frozen=True)
+class Size:
+    """Columns that say how digests are dealt into shards: worked out once a row, not once a digest."""
 
+    shift: Column  # bits that the first step uses
+    outer: Column  # mask of the first step
+    inner: Column  # mask of the second
 
-def _summed(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """keys, cell, c, x: counts and digests of each cell added up; empty cells go."""
-    cells = rows.groupBy(*keys, "cell").agg(F.sum("c").cast(_COUNT).alias("c"), F.bit_xor("x").alias("x"))
-    return cells.filter((F.col("c") != 0) | (F.col("x") != 0))
+    @staticmethod
+    def add(df: DataFrame, bits: Column, name: str) -> tuple[DataFrame, Size]:
+        """``df`` with the columns of 2**bits shards."""
+        one = F.lit(1).cast("long")
+        df = df.withColumn(f"{name}_bits", bits.cast("int"))
+        df = df.withColumn(f"{name}_shift", F.shiftright(F.col(f"{name}_bits") + 1, 1))
+        df = df.withColumn(f"{name}_outer", F.call_function("shiftleft", one, F.col(f"{name}_shift")) - 1)
+        rest = F.col(f"{name}_bits") - F.col(f"{name}_shift")
+        df = df.withColumn(f"{name}_inner", F.call_function("shiftleft", one, rest) - 1)
+        return df, Size(F.col(f"{name}_shift"), F.col(f"{name}_outer"), F.col(f"{name}_inner"))
 
 
-def sketch(rows: DataFrame, keys: Sequence[str], bits: Column, shape: Shape = OWN) -> DataFrame:
-    """keys, cell, c, x: the cells that are not empty of the digests ``x`` of ``rows`` (keys, x, c).
+def _in_row(x: Column, row: int, at: Column) -> Column:
+    """Whether digest ``x`` belongs to cell ``at`` of a row: three bits of it choose."""
+    return F.shiftright(x, MAX_SHARD_BITS + 3 * row).bitwiseAND(F.lit(ROW - 1)) == at
 
-    ``c`` is a digest's sign: digests of both signs give the difference of two
-    sketches. ``bits`` depends on the keys alone. No shuffle where rows are
-    placed by some of the keys.
-    """
-    cells = F.explode(_cells_of(F.col("x"), bits, shape)).alias("cell")
-    return _summed(rows.select(*keys, F.col("c").cast(_COUNT).alias("c"), "x", cells), keys)
 
+def _cell(c: Column, x: Column) -> Column:
+    return F.struct(c.alias("c"), x.alias("x"))
 
-def peel(cells: DataFrame, keys: Sequence[str], bits: Column, shape: Shape = OWN) -> DataFrame:
-    """keys, found, left: digests peeled from the differences ``cells`` (keys, cell, c, x), and cells that stay.
 
-    Row by row, digests that are alone in their cell are taken out of all
-    their cells. A digest has one cell in a row, so none is taken twice. The
-    cell -1 counts what was taken. Differences without cells have no row.
-    """
-    x, c = F.col("x"), F.col("c")
-    one = F.struct(F.lit(-1).cast("long").alias("cell"), F.lit(1).cast(_COUNT).alias("c"), F.lit(0).cast("long").alias("x"))
-    for turn in range(shape.rounds * shape.rows):
-        row = turn % shape.rows
-        alone = (F.col("cell") >= 0) & (F.pmod("cell", F.lit(shape.rows)) == row) & (F.abs(c) == 1) & (_marked(x) == x)
-        others = F.filter(_cells_of(x, bits, shape), lambda at: at != F.col("cell"))
-        taken = F.array_append(F.transform(others, lambda at: F.struct(at.alias("cell"), (-c).cast(_COUNT).alias("c"), x.alias("x"))), one)
-        stays = F.array(F.struct(F.col("cell"), c, x))
-        moved = cells.select(*keys, F.explode(F.when(alone, taken).otherwise(stays)).alias("q"))
-        cells = _summed(moved.select(*keys, "q.cell", "q.c", "q.x"), keys)
-    return cells.groupBy(*keys).agg(
-        F.sum(F.when(F.col("cell") == -1, c).otherwise(F.lit(0).cast(_COUNT))).cast("long").alias("found"), F.count_if(F.col("cell") >= 0).alias("left")
-    )
+def _each_cell(body: Callable[[int, Column], Column]) -> Column:
+    """``body(row, cell of the row)`` for the cells of a shard, row by row."""
+    places = F.sequence(F.lit(0).cast("long"), F.lit(ROW - 1).cast("long"))
 
+    def cells(row: int) -> Column:
+        return F.transform(places, lambda at: body(row, at))
 
-def fingerprint(cells: Column, bits: Column) -> Column:
-    """A sketch as base64: its bits, then number, count and XOR of each cell that is not empty."""
-    text = F.transform(
-        F.array_sort(cells),
-        lambda q: F.concat(
-            F.lpad(F.hex(q["cell"]), 8, "0"), F.lpad(F.hex(q["c"].cast("long")), 8, "0"), F.lpad(F.hex(q["x"]), 16, "0")
-        ),
+    return F.concat(*[cells(r) for r in range(CELLS // ROW)])
+
+
+def sketch(keys: Column, size: Size) -> Column:
+    """Shards of CELLS cells (c, x) of an array of digests."""
+    empty = _cell(F.lit(0), F.lit(0).cast("long"))
+
+    def cells(held: Column) -> Column:
+        return _each_cell(
+            lambda row, at: F.aggregate(
+                F.filter(held, lambda k: _in_row(k, row, at)),
+                empty,
+                lambda a, k: _cell(a["c"] + 1, a["x"].bitwiseXOR(k)),
+            )
+        )
+
+    # in two steps, so that a long text is not read once for each shard
+    def inner(held: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0).cast("long"), size.inner),
+            lambda j: _let(
+                F.filter(held, lambda k: F.call_function("shiftright", k, size.shift).bitwiseAND(size.inner) == j), cells
+            ),
+        )
+
+    return F.flatten(
+        F.transform(
+            F.sequence(F.lit(0).cast("long"), size.outer),
+            lambda i: _let(F.filter(keys, lambda k: k.bitwiseAND(size.outer) == i), inner),
+        )
     )
-    whole = F.concat(F.lpad(F.hex(bits.cast("long")), 2, "0"), F.array_join(text, ""))
-    return F.regexp_replace(F.base64(F.unhex(whole)), r"\s", "")
 
 
-# ----------------------------------------------------------------- documents --
+def subtract(a: Column, b: Column) -> Column:
+    """The sketch of what differs: counts subtract, digests XOR."""
+    return F.zip_with(
+        a, b, lambda s, t: F.zip_with(s, t, lambda u, v: _cell(u["c"] - v["c"], u["x"].bitwiseXOR(v["x"])))
+    )
 
-#: A key column holds how many digests both sides have, the bits of the sketch and what is compared.
-_EDITED, _NEXT = 0, 1
 
+def _peel(cells: Column) -> Column:
+    """(cells, found, live) of a shard: ``found`` are its digests (c is 1 or -1 for the side)."""
+
+    def pure(now: Column) -> Column:
+        return F.array_distinct(F.filter(now, lambda q: (F.abs(q["c"]) == 1) & _is_marked(q["x"])))
+
+    def go(state: Column) -> Column:
+        def taken(some: Column) -> Column:
+            # what the found digests left in each cell, taken from it
+            left = _each_cell(
+                lambda row, at: F.aggregate(
+                    F.filter(some, lambda p: _in_row(p["x"], row, at)),
+                    _cell(F.lit(0), F.lit(0).cast("long")),
+                    lambda a, p: _cell(a["c"] + p["c"], a["x"].bitwiseXOR(p["x"])),
+                )
+            )
+            rest = F.zip_with(
+                state["cells"], left, lambda q, v: _cell(q["c"] - v["c"], q["x"].bitwiseXOR(v["x"]))
+            )
+            return F.when(F.size(some) == 0, F.struct(state["cells"], state["found"], F.lit(False).alias("live"))).otherwise(
+                F.struct(rest.alias("cells"), F.concat(state["found"], some).alias("found"), F.lit(True).alias("live"))
+            )
+
+        return F.when(state["live"], _let(pure(state["cells"]), taken)).otherwise(state)
+
+    begin = F.struct(
+        cells.alias("cells"), F.expr("cast(array() as array<struct<c:int,x:bigint>>)").alias("found"), F.lit(True).alias("live")
+    )
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), begin, lambda s, _: go(s))
 
-def _pair(total: Column, bits: Column, kind: int) -> Column:
-    return F.call_function("shiftleft", total.cast("long"), F.lit(7)) + bits.cast("long") * 2 + kind
 
+def peeled(difference: Column) -> Column:
+    """The digests (c, x) of a sketch; null if it does not peel."""
+    states = F.transform(difference, lambda s: _peel(s))
 
-def _pair_bits() -> Column:
-    return F.shiftright("pair", 1).bitwiseAND(F.lit(63)).cast("int")
+    def result(done: Column) -> Column:
+        clear = F.forall(done, lambda s: F.forall(s["cells"], lambda q: (q["c"] == 0) & (q["x"] == 0)))
+        return F.when(clear, F.flatten(F.transform(done, lambda s: s["found"])))
 
+    return _let(states, result)
 
-def _compared(pairs: DataFrame, kinds: Sequence[int], larger: bool) -> DataFrame:
-    """o, h, pair, c, x: the digests of both sides of each comparison, with their signs."""
 
-    def side(kind: int, other: str) -> list[Column]:
-        a, b = F.size("keys"), F.size(other)
-        if larger:
-            bits = F.greatest(F.lit(LARGER_BITS), bits_for(a + b) + 2)
-        else:
-            least = bits_for(F.least(a, b))
-            room = F.pow(F.lit(2.0), least) * FULL
-            # what differs is at least the counts' difference, at most their sum
-            fits = (a + b <= room) | (F.abs(a - b) * 4 <= room)
-            bits = F.when(fits, least).otherwise(bits_for(a + b))
-        pair = _pair(a + b, bits, kind)
+def with_sketch(df: DataFrame, keys: str) -> DataFrame:
+    """``df`` with ``<keys>_bits`` and ``<keys>_sketch``: the sketch of a digest column at its own size."""
+    df, size = Size.add(df, _bits_for(F.size(keys), SHARD_LOAD), keys)
+    return df.withColumn(f"{keys}_sketch", sketch(F.col(keys), size))
 
-        def signed(keys: str, c: int) -> Column:
-            return F.transform(keys, lambda x: F.struct(pair.alias("pair"), F.lit(c).cast("long").alias("c"), x.alias("x")))
 
-        return [signed("keys", 1), signed(other, -1)]
+def with_likeness(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
+    """``df`` with ``name``: 1 - differing / all digests of the columns ``a`` and ``b``; 1 for two empty ones.
 
-    sides = [s for k in kinds for s in side(k, "edited_keys" if k == _EDITED else "next_keys")]
-    return pairs.select("o", "h", F.explode(F.concat(*sides)).alias("q")).select("o", "h", "q.*")
+    ``a`` has a sketch (``with_sketch``), ``b`` may have one. They are
+    subtracted at the size of the larger text's; a pair that does not peel is
+    tried again with four times the shards, and after the last try the arrays
+    are compared themselves.
+    """
+    columns, both = df.columns, F.size(a) + F.size(b)
+    bits = F.greatest(_bits_for(F.size(a), SHARD_LOAD), _bits_for(F.size(b), SHARD_LOAD))
+    df = df.withColumn(f"{name}_first", bits)
+    last = None
+    for k in range(TRIES):
+        df, size = Size.add(df, F.least(F.col(f"{name}_first") + 2 * k, F.lit(MAX_SHARD_BITS)), f"{name}_size{k}")
+
+        def held(keys: str, size=size, k=k) -> Column:
+            made = sketch(F.col(keys), size)
+            if f"{keys}_sketch" not in columns:
+                return made
+            same = F.col(f"{keys}_bits") == F.col(f"{name}_size{k}_bits")
+            return F.when(same, F.col(f"{keys}_sketch")).otherwise(made)
+
+        count = F.size(peeled(subtract(held(a), held(b))))
+        count = F.when(both > 0, count).otherwise(F.lit(0)) if last is None else F.coalesce(F.col(last), count)
+        last = f"{name}_try{k}"
+        df = df.withColumn(last, count)
+    plain = F.size(F.array_except(a, b)) + F.size(F.array_except(b, a))
+    count = F.coalesce(F.col(last), plain)
+    return df.select(*columns, F.when(both > 0, 1.0 - count / both).otherwise(F.lit(1.0)).alias(name))
+
+
+def fingerprint(held: Column) -> Column:
+    """A sketch as base64 of count (four bytes) and XOR (eight) of each cell."""
+    text = F.transform(
+        F.flatten(held),
+        lambda q: F.concat(
+            F.lpad(F.hex(q["c"].cast("long")), 8, "0"), F.lpad(F.hex(q["x"]), 16, "0")
+        ),
+    )
+    return F.regexp_replace(F.base64(F.unhex(F.array_join(text, ""))), r"\s", "")
 
 
 def _next_documents(docs: DataFrame) -> DataFrame:
@@ -208,99 +266,58 @@ def _next_documents(docs: DataFrame) -> DataFrame:
     )
 
 
-def _differences(pairs: DataFrame) -> DataFrame:
-    """o, h, edited_gap, next_gap: how many digests differ between a text and its edited text, and the next one."""
-    keys, found = ["o", "h", "pair"], []
-    first = peel(sketch(_compared(pairs, (_EDITED, _NEXT), False), keys, _pair_bits()), keys, _pair_bits())
-    share = F.col("found") / F.shiftright("pair", 7)
-    kind = F.col("pair").bitwiseAND(F.lit(1))
-    tries = [
-        first.groupBy("o", "h").agg(
-            *[F.max(F.when(kind == k, share)).alias(f"s{k}") for k in (_EDITED, _NEXT)],
-            *[F.max(F.when(kind == k, F.col("left"))).alias(f"l{k}") for k in (_EDITED, _NEXT)],
-        )
-    ]
-    # the few pairs that did not peel, from their texts again
-    failed = tries[0].filter("l0 > 0 or l1 > 0").select("o", "h")
-    again = _compared(pairs.join(failed, ["o", "h"], "left_semi"), (_EDITED, _NEXT), True)
-    second = peel(sketch(again, keys, _pair_bits(), LARGER), keys, _pair_bits(), LARGER)
-    stop = F.raise_error(F.lit("two sketches of a pair did not peel"))
-    share = F.when(F.col("left") == 0, share).otherwise(stop)
-    tries.append(second.groupBy("o", "h").agg(*[F.max(F.when(kind == k, share)).alias(f"t{k}") for k in (_EDITED, _NEXT)]))
-    both = tries[0].join(tries[1], ["o", "h"], "left")
-    # a pair whose second sketch is empty has no difference
-    gap = [F.when(F.col(f"l{k}") > 0, F.coalesce(f"t{k}", F.lit(0.0))).otherwise(F.coalesce(f"s{k}", F.lit(0.0))) for k in (_EDITED, _NEXT)]
-    return both.select("o", "h", gap[0].alias("edited_gap"), gap[1].alias("next_gap"))
-
-
-def _fingerprints(pairs: DataFrame) -> DataFrame:
-    """o, h, fingerprint, edited_fingerprint of texts that have digests."""
-
-    def tagged(side: int, keys: str) -> Column:
-        return F.transform(keys, lambda x: F.struct(F.lit(side).alias("side"), F.lit(1).cast("long").alias("c"), x.alias("x")))
-
-    sides = [tagged(0, "keys"), tagged(1, "edited_keys")]
-    sizes = _pair(bits_for(F.size("keys")), bits_for(F.size("edited_keys")), 0)
-    rows = pairs.select("o", "h", sizes.alias("sizes"), F.explode(F.concat(*sides)).alias("q")).select("o", "h", "sizes", "q.*")
-    bits = (F.shiftright("sizes", 7).cast("int"), F.shiftright("sizes", 1).bitwiseAND(F.lit(63)).cast("int"))
-    cells = sketch(rows, ["o", "h", "sizes", "side"], F.when(F.col("side") == 0, bits[0]).otherwise(bits[1]))
-    made = cells.groupBy("o", "h", "sizes").agg(
-        *[F.collect_list(F.when(F.col("side") == s, F.struct("cell", "c", "x"))).alias(f"cells{s}") for s in (0, 1)]
-    )
-    return made.select(
-        "o", "h", fingerprint(F.col("cells0"), bits[0]).alias("fingerprint"),
-        fingerprint(F.col("cells1"), bits[1]).alias("edited_fingerprint"),
-    )
-
-
 def fingerprint_versions(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row.
 
     The edited text of a document has its last floor(n / 4) code points
     replaced by the first as many (or all) of the next document in ascending
     doc_id; the first follows the last. A null text counts as empty, an id
-    that is null or no integer as larger than all others; documents with equal
-    ids follow each other by text hash, and equal rows are one document, each
-    with its own result row. Likeness is 1 minus the differing share of the
-    distinct paragraphs of both, from subtracted and peeled sketches; two
-    texts without words are alike. A single document follows itself. An empty
-    table gives an empty result; columns other than doc_id and text are not
-    read.
+    that is null or no integer as larger than all others; documents with equal ids follow each other by
+    text hash, and equal rows are one document, each with its own result row.
+    Likeness is 1 minus the differing share of the distinct paragraphs of
+    both, from subtracted and peeled sketches; two texts without words are
+    alike. A single document follows itself. An empty table gives an empty
+    result; columns other than doc_id and text are not read.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    order = F.coalesce(F.col("doc_id").try_cast("long"), F.lit(LAST))
-    base = docs.select("doc_id", order.alias("o"), F.xxhash64(text).alias("h"), text.alias("t"))
-    links = through_storage(_next_documents(base.select("o", "h", F.length("t").alias("n"))), "links")
-    repeated = not base.groupBy("o", "h").count().filter("count > 1").isEmpty()
-    texts = base.select("o", "h", "t")
-    # A document is the next of one other, so no key is met twice.
-    after = texts.join(
-        links.select(F.col("no").alias("o"), F.col("nh").alias("h"), F.col("o").alias("oo"), F.col("h").alias("oh"), "n"),
-        ["o", "h"],
+    base = docs.select(
+        "doc_id", F.coalesce(F.col("doc_id").try_cast("long"), F.lit(LAST)).alias("o"), F.xxhash64(text).alias("h"), text.alias("t")
     )
-    if repeated:
-        after = after.dropDuplicates(["o", "h"])
-    heads = after.select(
-        F.col("oo").alias("o"), F.col("oh").alias("h"),
-        F.substring("t", F.lit(1), F.floor(F.col("n") / 4).cast("int")).alias("head"),
-    )
-    nexts = after.select(F.col("oo").alias("o"), F.col("oh").alias("h"), digests(F.col("t")).alias("next_keys"))
-    n = F.length("t")
-    edited = F.concat(F.substring(F.col("t"), F.lit(1), (n - F.floor(n / 4)).cast("int")), F.col("head"))
-    # One exchange of the texts, and one of the heads, serves all that follows.
-    joined = base.join(heads, ["o", "h"])
-    alone = joined.dropDuplicates(["o", "h"]) if repeated else joined
-    keyed = alone.select("o", "h", digests(F.col("t")).alias("keys"), digests(edited).alias("edited_keys"))
-    shown = joined.select("doc_id", "o", "h", n.cast("long").alias("n_chars"), F.sha2(edited.cast("binary"), 256).alias("edited_sha256"))
-    empty = fingerprint(F.expr("cast(array() as array<struct<cell:bigint,c:decimal(20,0),x:bigint>>)"), F.lit(LEAST_BITS))
-    return (
-        shown.join(_fingerprints(keyed), ["o", "h"], "left")
-        .join(_differences(keyed.join(nexts, ["o", "h"])), ["o", "h"], "left")
+    order = _next_documents(base.select("o", "h", F.length("t").alias("n")))
+    links = through_storage(order, "links")
+    rows = base.withColumn("keys", digests(F.col("t")))
+    given = rows.select("doc_id", "o", "h", "t", "keys")
+    # A document is the next of one other, so no key is met twice.
+    start = (
+        given.join(
+            links.select(F.col("no").alias("o"), F.col("nh").alias("h"), F.col("o").alias("oo"), F.col("h").alias("oh"), "n"),
+            ["o", "h"],
+        )
         .select(
-            "doc_id", "n_chars", "edited_sha256",
-            F.coalesce("fingerprint", empty).alias("fingerprint"),
-            F.coalesce("edited_fingerprint", empty).alias("edited_fingerprint"),
-            (1.0 - F.coalesce("edited_gap", F.lit(0.0))).alias("near_edited"),
-            (1.0 - F.coalesce("next_gap", F.lit(0.0))).alias("near_next"),
+            F.col("oo").alias("o"), F.col("oh").alias("h"),
+            F.substring("t", F.lit(1), F.floor(F.col("n") / 4).cast("int")).alias("head"),
+            F.col("keys").alias("next_keys"),
         )
     )
+    if base.select("o", "h").groupBy("o", "h").count().filter("count > 1").isEmpty():
+        pairs = given.join(start, ["o", "h"])
+    else:
+        pairs = given.join(start.dropDuplicates(["o", "h"]), ["o", "h"])
+    n = F.length("t")
+    edited = pairs.withColumn(
+        "edited", F.concat(F.substring(F.col("t"), F.lit(1), (n - F.floor(n / 4)).cast("int")), F.col("head"))
+    ).withColumn("edited_keys", digests(F.col("edited")))
+    compared = edited.select(
+        "doc_id",
+        n.cast("long").alias("n_chars"),
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        "keys", "edited_keys", "next_keys",
+    )
+    sketched = with_sketch(with_sketch(compared, "keys"), "edited_keys")
+    near = with_likeness(with_likeness(sketched, "keys", "edited_keys", "near_edited"), "keys", "next_keys", "near_next")
+    return near.select(
+        "doc_id", "n_chars", "edited_sha256",
+        fingerprint(F.col("keys_sketch")).alias("fingerprint"),
+        fingerprint(F.col("edited_keys_sketch")).alias("edited_fingerprint"),
+        "near_edited", "near_next",
+    )

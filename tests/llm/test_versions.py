@@ -57,63 +57,19 @@ def test_null_id_comes_last(docs_of, rows):
 def test_largest_and_odd_ids(spark, docs_of):
     rows = [(2**63 - 1, "a b\nc d"), (5, "x y z w")]
     check(docs_of(rows), rows)
-    odd = spark.createDataFrame([("10", "a b c d"), ("9", "x y z w"), ("n", "k l m n")], "doc_id string, text string")
+    texts = {"9": "x y z w", "10": "a b c d", "n": "k l m n"}  # numbers first, in their order
+    odd = spark.createDataFrame(list(texts.items()), "doc_id string, text string")
     got = {r.doc_id: r.edited_sha256 for r in versions.fingerprint_versions(odd).collect()}
-    # numbers first, in their order
-    for i, (text, after) in {"9": ("x y z w", "a b c d"), "10": ("a b c d", "k l m n"), "n": ("k l m n", "x y z w")}.items():
+    for (i, text), after in zip(texts.items(), ["a b c d", "k l m n", "x y z w"], strict=True):
         cut = len(text) // 4
         assert got[i] == hashlib.sha256((text[: len(text) - cut] + after[:cut]).encode()).hexdigest()
 
 
-@pytest.mark.parametrize("full", [0.0, 100.0])
-def test_retries_recover_the_same_difference(docs_of, rows, monkeypatch, full):
-    if full:  # first tries in sketches that are far too small
-        monkeypatch.setattr(versions, "FULL", full)
-        monkeypatch.setattr(versions, "LOAD", 30.0)
-        monkeypatch.setattr(versions, "LEAST_BITS", 1)
-    else:
-        monkeypatch.setattr(versions, "OWN", versions.Shape(3, 0, 0))  # nothing is peeled at first
+def test_retries_recover_the_same_difference(docs_of, rows, monkeypatch):
+    monkeypatch.setattr(versions, "SHARD_LOAD", 40)  # first tries that mostly fail
     check(docs_of(rows), rows)
 
 
-def test_very_long_texts(docs_of, words):
-    draw = random.Random(2)
-    long = "\n".join(f"{k} " + " ".join(draw.choices(words, k=5)) for k in range(20_000))
-    check(docs_of([(1, long), (2, long[::-1]), (3, "short")]), [(1, long), (2, long[::-1]), (3, "short")])
-
-
-def test_fingerprints_fold_and_subtract(spark):
-    """The difference of two fingerprints, read from their own text and folded, is that of a try at the smaller size."""
-    import base64
-
-    a, b = list(range(1, 60)), list(range(20, 45))
-    mark = lambda c: F.transform(c, lambda x: versions._marked(F.xxhash64(x)))
-    df = spark.createDataFrame([(1, 1, a, b)], "o long, h long, a array<long>, b array<long>").select(
-        "o", "h", mark("a").alias("keys"), mark("b").alias("edited_keys")
-    )
-    row = versions._fingerprints(df).first()
-
-    def cells(text):
-        raw = base64.b64decode(text)
-        return raw[0], {int.from_bytes(raw[i : i + 4], "big"): (int.from_bytes(raw[i + 4 : i + 8], "big"), int.from_bytes(raw[i + 8 : i + 16], "big")) for i in range(1, len(raw), 16)}
-
-    (bits_a, one), (bits_b, two) = cells(row.fingerprint), cells(row.edited_fingerprint)
-    bits, folded = min(bits_a, bits_b), {}
-    assert bits_a > bits_b
-    for sign, part in ((1, one), (-1, two)):
-        for at, (c, x) in part.items():
-            at = at // 3 % (1 << bits) * 3 + at % 3
-            c0, x0 = folded.get(at, (0, 0))
-            folded[at] = (c0 + sign * c, x0 ^ x)
-    digests = df.select(F.explode(F.concat(F.transform("keys", lambda x: F.struct(F.lit(1).cast("long").alias("c"), x.alias("x"))),
-                                           F.transform("edited_keys", lambda x: F.struct(F.lit(-1).cast("long").alias("c"), x.alias("x"))))).alias("q"))
-    direct = versions.sketch(digests.select(F.lit(1).alias("k"), "q.*"), ["k"], F.lit(bits))
-    wanted = {r.cell: (r.c, r.x % (1 << 64)) for r in direct.collect()}
-    assert wanted == {at: v for at, v in folded.items() if v != (0, 0)}
-    found = versions.peel(direct, ["k"], F.lit(bits)).first()
-    assert (found.found, found.left) == (len(set(a) ^ set(b)), 0)
-
-
 def test_repeated_rows_and_small_tables(docs_of):
     got = versions.fingerprint_versions(docs_of([(1, "a b c d"), (1, "a b c d"), (2, "x y z w")])).collect()
     assert len(got) == 3 and len({tuple(r) for r in got if r.doc_id == 1}) == 1
@@ -124,6 +80,24 @@ def test_repeated_rows_and_small_tables(docs_of):
     assert versions.fingerprint_versions(docs_of([(1, "a")]).limit(0)).collect() == []
 
 
+def test_peeling_recovers_the_digests(spark):
+    a, b = list(range(1, 30)), list(range(20, 45))
+    df = spark.createDataFrame([(a, b)], "a array<long>, b array<long>")
+    mark = lambda c: F.transform(c, lambda x: versions._marked(F.xxhash64(x)))
+    df = df.select(mark("a").alias("a"), mark("b").alias("b"))
+    df, roomy = versions.Size.add(df, F.lit(4), "roomy")
+    df, tight = versions.Size.add(df, F.lit(0), "tight")
+    differing = lambda size: versions.peeled(
+        versions.subtract(versions.sketch(F.col("a"), size), versions.sketch(F.col("b"), size))
+    )
+    row = df.select(
+        F.array_sort(F.transform(differing(roomy), lambda q: q["x"])).alias("got"),
+        F.array_sort(F.concat(F.array_except("a", "b"), F.array_except("b", "a"))).alias("want"),
+        differing(tight).alias("crowded"),
+    ).first()
+    assert row.got == row.want and row.crowded is None
+
+
 def test_runs_in_the_jvm_alone(docs_of, rows):
     plan = versions.fingerprint_versions(docs_of(rows))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|InArrow", plan)

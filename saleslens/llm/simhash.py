@@ -245,10 +245,13 @@ def near_links(prints: DataFrame, distance: int = DISTANCE, hot_node: int = HOT_
 
 
 def near_duplicates(
-    docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, keep: tuple[str, ...] = ()
+    docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, keep: tuple[str, ...] = (), root: str | None = None
 ) -> DataFrame:
     """doc_id, the columns of ``keep``, fingerprint (16 hex digits) and component_id for every row.
 
+    With ``root`` a column of that name tells components apart by a
+    fingerprint, also those that share an id (repeated ids of different texts).
+
     Fingerprints link at ``distance`` or fewer differing bits; component_id is
     the smallest doc_id that links reach, over chains. A null or empty text,
     or one of white space, has fingerprint zero and is linked like any other.
@@ -272,9 +275,10 @@ def near_duplicates(
     )
     rooted = through_storage(rooted, "rooted")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    members = rooted.join(least, "root").select(F.col("fp").alias(name), "component_id")
+    own = [F.col("root").alias(root)] if root else []
+    members = rooted.join(least, "root").select(F.col("fp").alias(name), "component_id", *own)
     return rows.join(members, name).select(
-        *cols, F.lpad(F.lower(F.hex(name)), 16, "0").alias("fingerprint"), "component_id"
+        *cols, F.lpad(F.lower(F.hex(name)), 16, "0").alias("fingerprint"), "component_id", *([root] if root else [])
     )
 
 
@@ -286,12 +290,13 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE)
     """
     mark = fresh(docs, "row_hash")
     hashed = docs.withColumn(mark, F.xxhash64(*[F.col(c) for c in docs.columns]))
-    groups = near_duplicates(hashed, shingle, distance, keep=(mark,))
-    # a component with an id is named by it; one without, by its fingerprint
-    kept = groups.groupBy(
-        "component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("unnamed")
-    ).agg(F.min(F.when(F.col("doc_id").eqNullSafe(F.col("component_id")), F.col(mark))).alias("chosen"))
-    kept = kept.select(F.col("component_id").alias("chosen_id"), "chosen").distinct()
+    root = fresh(hashed, "component_root")
+    groups = near_duplicates(hashed, shingle, distance, keep=(mark,), root=root)
+    # components by their root: an id that different texts share may name several
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(mark).alias("mark")))
+    kept = groups.groupBy(root).agg(first.alias("first")).select(
+        F.col("first.doc_id").alias("chosen_id"), F.col("first.mark").alias("chosen")
+    )
     return (
         hashed.join(kept, F.col("doc_id").eqNullSafe(F.col("chosen_id")) & (F.col(mark) == F.col("chosen")), "left_semi")
         .dropDuplicates(["doc_id", mark])

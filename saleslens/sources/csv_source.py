@@ -95,13 +95,18 @@ def tag_rows(
 
 
 def cells_of_records(records: DataFrame, schema: T.StructType) -> DataFrame:
-    """The cells of ``records.record`` as text, with the raw record where their number is wrong."""
+    """The cells of ``records.record`` as text, with the raw record where their number is wrong.
+
+    The parsed record comes out of a generator: a filter on its cells stays
+    above it. Out of a projection the optimizer would move the filter below
+    and parse every record again for each cell that the filter looks at.
+    """
     options = {**csv_reader_options(False), "header": "false", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
     # a record is parsed by itself: with the default buffer each would allocate megabytes
     options["inputBufferSize"] = "16384"
     wide = text_schema(schema)
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in wide.fields)
-    return records.select(F.from_csv("record", ddl, options).alias("r")).select("r.*")
+    return records.select(F.inline(F.array(F.from_csv("record", ddl, options))))
 
 
 def read_text_cells(

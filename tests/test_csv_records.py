@@ -122,3 +122,20 @@ def test_fact_with_line_breaks_round_trips(spark, fact, tmp_path, small_splits):
     good, rejects = load_sales_csv(spark, path, schema=sales_schema(row_id_type=T.LongType()))
     assert rejects.count() == 0
     assert sorted(str(tuple(r)) for r in good.collect()) == sorted(str(tuple(r)) for r in broken.collect())
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_record_is_parsed_once_whatever_is_filtered(spark, tmp_path):
+    schema = T.StructType([T.StructField("a", T.IntegerType()), T.StructField("quantity", T.ShortType()), T.StructField("market", T.StringType())])
+    path = tmp_path / "p.csv"
+    path.write_text(f"a,quantity,market\n1,2,x\nn,2,x\n1,256,x\n1,2,{'M' * 31}\n1,2\n")
+    good, rejects = load_sales_csv(spark, str(path), schema=schema)
+    for part in (good, rejects):
+        # one for the records inside splits and one for those that cross a border
+        assert plan_of(part).count("from_csv(") <= 2
+    assert [tuple(r) for r in good.collect()] == [(1, 2, "x")]
+    reasons = ["market longer than 30", "quantity out of range", "unparsable cell", "unparsable cell"]
+    assert sorted(r.reject_reason for r in rejects.collect()) == reasons

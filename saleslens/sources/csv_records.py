@@ -9,8 +9,8 @@ the state it starts in and cuts its lines into records by itself. Only the
 records that cross a split's border, two for each split at most, are put
 together by a shuffle.
 
-The effect of a line is a native expression; the two passes over the lines of
-a split are vectorised Arrow batches, since they follow the order of lines.
+The effect of a line and the passes over the lines of a split are worked out
+on vectorised Arrow batches, since they follow the order of lines.
 """
 
 from __future__ import annotations
@@ -39,30 +39,42 @@ _RECORDS = pa.schema(
 )
 
 
-def line_effect(line: Column, sep: str = ",") -> Column:
-    """What a line does to the state, as one of the four codes.
+def effects_of(lines: pa.Array, sep: str = ",") -> np.ndarray:
+    """What each line does to the state, as one of the four codes.
 
     A cell opens with a quote right after a separator or at the line's start;
     in it a doubled quote stands for one, and the first other quote closes it,
     after which the rest of the cell is plain text. Quotes elsewhere in a
     plain cell are text.
+
+    Two regular expressions tell it, one for each state before the line; Arrow
+    matches them in linear time, byte by byte, so any text will do.
     """
-    quote = F.lit('"')
+    if len(sep.encode()) != 1:
+        raise ValueError("the separator must be a single byte")
+    cut = "".join(f"\\x{x:02x}" for x in sep.encode())
+    held = '(?:[^"]|"")*'  # inside a quoted cell
+    rest = f'(?:[^"{cut}][^{cut}]*)?'  # a plain cell, or what follows the quote that closes one
+    opened = f'(?:(?:{rest}|"{held}"{rest}){cut})*"{held}\\z'
+    lines = lines.cast(pa.binary())
+    effects = np.full(len(lines), STAYS, dtype=np.int8)
+    quoted = np.flatnonzero(pc.match_substring(lines, '"').to_numpy(zero_copy_only=False))
+    if len(quoted):
+        some = lines.take(pa.array(quoted))
+        after_out = pc.match_substring_regex(some, rf"\A{opened}").to_numpy(zero_copy_only=False)
+        after_in = pc.match_substring_regex(some, rf'\A{held}(?:"{rest}{cut}{opened}|\z)').to_numpy(zero_copy_only=False)
+        effects[quoted] = np.where(after_in, np.where(after_out, INSIDE, STAYS), np.where(after_out, TURNS, OUTSIDE))
+    return effects
 
-    def closes(cell: Column) -> Column:
-        return F.contains(F.replace(cell, F.lit('""')), quote)
 
-    def step(state: Column, cell: Column) -> Column:
-        opened = F.startswith(cell, quote) & ~closes(F.substring(cell, F.lit(2), F.length(cell)))
-        still = ~closes(cell)
-        return F.struct(
-            F.when(state["out"], still).otherwise(opened).alias("out"), F.when(state["in"], still).otherwise(opened).alias("in")
-        )
+def line_effect(line: Column, sep: str = ",") -> Column:
+    """``effects_of`` as a column."""
 
-    begin = F.struct(F.lit(False).alias("out"), F.lit(True).alias("in"))
-    end = F.aggregate(F.split(line, f"\\Q{sep}\\E"), begin, step)
-    code = F.when(end["in"], F.when(end["out"], INSIDE).otherwise(STAYS)).otherwise(F.when(end["out"], TURNS).otherwise(OUTSIDE))
-    return F.when(F.contains(line, quote), code).otherwise(STAYS).cast("byte")
+    @F.arrow_udf("byte")
+    def effect(lines: pa.Array) -> pa.Array:
+        return pa.array(effects_of(lines, sep))
+
+    return effect(line)
 
 
 def _states(effects: np.ndarray, inside: bool) -> tuple[np.ndarray, bool]:
@@ -85,11 +97,12 @@ def _runs(part: pa.RecordBatch) -> Iterator[tuple[int, int, int, int]]:
             yield int(file[a]), int(start[a]), int(a), int(b)
 
 
-def _sum_up(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sum_up(parts: Iterator[pa.RecordBatch], sep: str) -> Iterator[pa.RecordBatch]:
     """One row for each split: the state after it from either state, whether a record starts in it from inside, its first line's end."""
     done: list[tuple] = []
     for part in parts:
-        effects, crlf = part.column("effect").to_numpy(), part.column("crlf")
+        lines = part.column("value")
+        effects, crlf = effects_of(lines, sep), pc.ends_with(lines, "\r")
         for file, start, a, b in _runs(part):
             if not done or done[-1][:2] != (file, start):
                 done.append((file, start, False, True, False, crlf[a].as_py()))
@@ -187,9 +200,9 @@ def csv_records(lines: DataFrame, sep: str = ",") -> DataFrame:
     One job sums up the splits when this is called; one row for each split
     comes to the driver.
     """
-    marked = lines.select("file", "start", "value", line_effect(F.col("value"), sep).alias("effect"))
-    splits = marked.select("file", "start", "effect", F.endswith("value", F.lit("\r")).alias("crlf")).mapInArrow(
-        _sum_up, "file long, start long, after_out boolean, after_in boolean, opens_in boolean, crlf boolean"
+    lines = lines.select("file", "start", "value")
+    splits = lines.mapInArrow(
+        lambda parts: _sum_up(parts, sep), "file long, start long, after_out boolean, after_in boolean, opens_in boolean, crlf boolean"
     )
     entries = lines.sparkSession.sparkContext.broadcast(_Entries(splits.collect()))
 
@@ -197,7 +210,7 @@ def csv_records(lines: DataFrame, sep: str = ",") -> DataFrame:
         cutter = None
         for part in parts:
             values = part.column("value").cast(pa.string())
-            effects = part.column("effect").to_numpy()
+            effects = effects_of(values, sep)
             for file, start, a, b in _runs(part):
                 if cutter is None or (cutter.file, cutter.start) != (file, start):
                     if cutter is not None:
@@ -210,10 +223,15 @@ def csv_records(lines: DataFrame, sep: str = ",") -> DataFrame:
         if cutter is not None:
             yield from cutter.end()
 
-    found = marked.mapInArrow(cut, "record string, file long, owner long, start long, header boolean")
-    whole = found.filter(F.col("owner").isNull()).select("record")
+    def kept(crossing: bool) -> DataFrame:
+        # the whole records and the pieces are two jobs; each leaves the other's batches in Python
+        def some(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            return (found for found in cut(parts) if (found.column("owner").null_count < len(found)) == crossing)
+
+        return lines.mapInArrow(some, "record string, file long, owner long, start long, header boolean")
+
     crossing = (
-        found.filter(F.col("owner").isNotNull())
+        kept(crossing=True)
         .groupBy("file", "owner")
         .agg(
             F.array_sort(F.collect_list(F.struct("start", "record"))).alias("pieces"),
@@ -222,7 +240,7 @@ def csv_records(lines: DataFrame, sep: str = ",") -> DataFrame:
         .filter(~F.col("header"))
         .select(F.array_join("pieces.record", "\n").alias("record"))
     )
-    return whole.unionAll(crossing)
+    return kept(crossing=False).select("record").unionAll(crossing)
 
 
 def lines_of(text: DataFrame) -> DataFrame:

@@ -139,3 +139,13 @@ def test_a_record_is_parsed_once_whatever_is_filtered(spark, tmp_path):
     assert [tuple(r) for r in good.collect()] == [(1, 2, "x")]
     reasons = ["market longer than 30", "quantity out of range", "unparsable cell", "unparsable cell"]
     assert sorted(r.reject_reason for r in rejects.collect()) == reasons
+
+
+def test_records_are_cut_without_a_walk_over_cells(spark, tmp_path):
+    path = tmp_path / "w.csv"
+    long = '""' * 100_000 + "," * 100_000
+    path.write_text(f'a,b,c\n1,"x\n{long}\n",3\n1,2\n')
+    cells = read_text_cells(spark, str(path), SCHEMA)
+    # a higher-order function over the cells would run row by row in the interpreter
+    assert "split(" not in plan_of(cells) and "aggregate(" not in plan_of(cells)
+    assert listed(cells) == listed(one_task(spark, str(path)))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from saleslens.constants import REFERENCE_RANGE_COLUMNS
+from saleslens.constants import BROADCAST_ROW_LIMIT, REFERENCE_RANGE_COLUMNS
 from saleslens.functions.expressions import RATIO_SCALE
 
 def _check_columns(df: DataFrame, columns: Sequence[str]) -> None:
@@ -177,11 +177,11 @@ def duplicate_rows(df: DataFrame, exclude: Sequence[str] = ()) -> DataFrame:
 
     Compares every column except ``exclude`` (NULLs compare equal, as GROUP BY
     does). Two passes instead of shuffling whole rows: the first shuffles only
-    a 64-bit hash per row (map-side combined) and keeps hashes seen twice; a
-    semi-join with those lets only candidate rows reach the exact grouping.
-    Adaptive execution broadcasts the candidates when they turn out small.
-    Hash collisions only add candidates, never results. No job runs while the
-    plan is built.
+    a 64-bit hash per row (map-side combined) and keeps hashes seen twice, as
+    bits of at most BROADCAST_ROW_LIMIT words; a broadcast semi-join with
+    those lets only candidate rows leave their task for the exact grouping.
+    Hash collisions and shared bits only add candidates, never results. No job
+    runs while the plan is built.
     """
     _check_columns(df, exclude)
     cols = [c for c in df.columns if c not in set(exclude)]
@@ -189,16 +189,19 @@ def duplicate_rows(df: DataFrame, exclude: Sequence[str] = ()) -> DataFrame:
         raise ValueError("no columns left to compare")
     _check_comparable(df, cols)
     row_hash = F.xxhash64(*[F.col(c) for c in cols]).alias("_row_hash")
+    word = F.pmod(F.shiftrightunsigned("_row_hash", 6), F.lit(BROADCAST_ROW_LIMIT))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_row_hash").bitwiseAND(F.lit(63)).cast("int"))
     candidates = (
         df.select(row_hash)
         .groupBy("_row_hash")
         .agg(F.count(F.lit(1)).alias("n"))
         .filter(F.col("n") > 1)
-        .select("_row_hash")
+        .groupBy(word.alias("_word"))
+        .agg(F.bit_or(bit).alias("_bits"))
     )
     return (
         df.select(*cols, row_hash)
-        .join(candidates, "_row_hash", "left_semi")
+        .join(F.broadcast(candidates), (word == F.col("_word")) & (F.col("_bits").bitwiseAND(bit) != 0), "left_semi")
         .groupBy(*cols)
         .agg(F.count(F.lit(1)).alias("duplicate_counter"))
         .filter(F.col("duplicate_counter") > 1)

@@ -163,3 +163,25 @@ def test_sample_is_one_ordered_limit(spark, fact):
     fan_out = fact.select(F.explode(F.array(*[F.lit(i) for i in range(40)])).alias("k"))
     for n in (10, 20_000):
         assert profiling.sample_rows(fan_out, n).count() == n
+
+
+def test_rows_without_a_twin_are_not_shuffled_whole(spark, fact):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = fact.unionAll(fact.filter("row_id % 10 = 3")).unionAll(fact.limit(5))
+        found = profiling.duplicate_rows(rows)
+        # the filter by candidates is a broadcast whatever the planner's estimates
+        assert "SortMergeJoin" not in plan_text(found, "simple")
+        plain = rows.groupBy(*fact.columns).count().filter("count > 1").select(F.col("count").alias("duplicate_counter"), *fact.columns)
+        assert plain.count() > 600 and found.exceptAll(plain).isEmpty() and plain.exceptAll(found).isEmpty()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_lineitem_meets_part_before_the_wider_orders(spark):
+    lines = plan_text(sales_fact(spark, SF_SMALL, broadcast_rows=0), "simple").splitlines()
+    above = _ancestors(lines, next(i for i, line in enumerate(lines) if "lineitem.parquet" in line))
+    joins = [a for a in above if "Join" in a]
+    # nearest first
+    assert len(joins) == 2 and "l_partkey" in joins[0] and "l_orderkey" in joins[1]

@@ -110,6 +110,10 @@ def _fill_slots(df: DataFrame) -> DataFrame:
     return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
 
 
+def _dated(table: DataFrame, column: str) -> DataFrame:
+    return table.withColumn(column, F.col(column).cast("date"))
+
+
 def sales_fact(spark: SparkSession, sf_dir: str, broadcast_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
     """Star join lineitem - orders - customer - nation - region - part, all inner.
 
@@ -119,11 +123,14 @@ def sales_fact(spark: SparkSession, sf_dir: str, broadcast_rows: int = BROADCAST
     at most ``broadcast_rows``; otherwise the join is pinned to sort-merge on
     the key, and AQE splits skewed partitions (a key holding a third of the
     rows) into several tasks. The fact side (lineitem) is never broadcast.
-    Join order keeps the lineitem-sized data to two joins at most: orders
-    (a quarter of lineitem) meets the customer geography first.
+    Join order keeps the lineitem-sized data to two joins at most, and its
+    rows narrow in them: the part, with the fewest and shortest columns, comes
+    first, and the customer's texts, which meet orders (a quarter of lineitem)
+    before, come with the last join. Times of day, which the fact does not
+    have, are cut off before anything is moved.
     """
-    lineitem = _fill_slots(_table(spark, sf_dir, "lineitem"))
-    orders = _table(spark, sf_dir, "orders")
+    lineitem = _fill_slots(_dated(_table(spark, sf_dir, "lineitem"), "l_shipdate"))
+    orders = _dated(_table(spark, sf_dir, "orders"), "o_orderdate")
     customer = _table(spark, sf_dir, "customer")
     nation = _table(spark, sf_dir, "nation")
     region = _table(spark, sf_dir, "region")
@@ -150,8 +157,8 @@ def sales_fact(spark: SparkSession, sf_dir: str, broadcast_rows: int = BROADCAST
     geo = nation.join(small(region, "region"), nation.n_regionkey == region.r_regionkey)
     cust = customer.join(small(geo, "nation"), customer.c_nationkey == geo.n_nationkey)
     order_cust = orders.join(small(cust, "customer"), orders.o_custkey == cust.c_custkey)
-    lines = lineitem.join(small(order_cust, "orders"), lineitem.l_orderkey == order_cust.o_orderkey)
-    joined = lines.join(small(part, "part"), lines.l_partkey == part.p_partkey)
+    lines = lineitem.join(small(part, "part"), lineitem.l_partkey == part.p_partkey)
+    joined = lines.join(small(order_cust, "orders"), lines.l_orderkey == order_cust.o_orderkey)
     return joined.select(*[F.expr(e).alias(c) for c, e in SALES_FACT_EXPRESSIONS])
 
 

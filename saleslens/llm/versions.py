@@ -286,7 +286,8 @@ def fingerprint_versions(docs: DataFrame) -> DataFrame:
     order = _next_documents(base.select("o", "h", F.length("t").alias("n")))
     links = through_storage(order, "links")
     rows = base.withColumn("keys", digests(F.col("t")))
-    given = rows.select("doc_id", "o", "h", "t", "keys")
+    # One array, read as a whole by both joins: with the same columns they share one exchange of the texts.
+    given = rows.select("o", "h", F.array(F.struct("doc_id", "t", "keys")).alias("doc"))
     # A document is the next of one other, so no key is met twice.
     start = (
         given.join(
@@ -295,14 +296,21 @@ def fingerprint_versions(docs: DataFrame) -> DataFrame:
         )
         .select(
             F.col("oo").alias("o"), F.col("oh").alias("h"),
-            F.substring("t", F.lit(1), F.floor(F.col("n") / 4).cast("int")).alias("head"),
-            F.col("keys").alias("next_keys"),
+            F.transform(
+                "doc",
+                lambda d: F.struct(
+                    F.substring(d["t"], F.lit(1), F.floor(F.col("n") / 4).cast("int")).alias("head"), d["keys"].alias("keys")
+                ),
+            )[0].alias("next"),
         )
     )
     if base.select("o", "h").groupBy("o", "h").count().filter("count > 1").isEmpty():
         pairs = given.join(start, ["o", "h"])
     else:
         pairs = given.join(start.dropDuplicates(["o", "h"]), ["o", "h"])
+    pairs = pairs.withColumn("own", F.transform("doc", lambda d: d)[0]).select(
+        "own.doc_id", "own.t", "own.keys", F.col("next.head").alias("head"), F.col("next.keys").alias("next_keys")
+    )
     n = F.length("t")
     edited = pairs.withColumn(
         "edited", F.concat(F.substring(F.col("t"), F.lit(1), (n - F.floor(n / 4)).cast("int")), F.col("head"))

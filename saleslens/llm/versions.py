@@ -5,8 +5,8 @@ digest with 24 check bits. A sketch deals the digests of a text into shards of
 24 cells, each digest into one cell of each of three rows of eight; a cell
 holds a count and the XOR of its digests. Sketches of two versions subtract
 cell by cell, what they share cancels, and peeling the cells that hold one
-digest recovers the differing ones. A pair that does not peel is tried again
-with four times the shards.
+digest recovers the differing ones. The shards of a pair that do not peel are
+tried again, each as four.
 
 Everything runs as DataFrame expressions in the JVM.
 """
@@ -102,26 +102,29 @@ def _each_cell(body: Callable[[int, Column], Column]) -> Column:
     return F.concat(*[cells(r) for r in range(CELLS // ROW)])
 
 
-def sketch(keys: Column, size: Size) -> Column:
-    """Shards of CELLS cells (c, x) of an array of digests."""
+def _cells(held: Column) -> Column:
+    """The CELLS cells of a shard that holds an array of digests."""
     empty = _cell(F.lit(0), F.lit(0).cast("long"))
-
-    def cells(held: Column) -> Column:
-        return _each_cell(
-            lambda row, at: F.aggregate(
-                F.filter(held, lambda k: _in_row(k, row, at)),
-                empty,
-                lambda a, k: _cell(a["c"] + 1, a["x"].bitwiseXOR(k)),
-            )
+    return _each_cell(
+        lambda row, at: F.aggregate(
+            F.filter(held, lambda k: _in_row(k, row, at)),
+            empty,
+            lambda a, k: _cell(a["c"] + 1, a["x"].bitwiseXOR(k)),
         )
+    )
+
+
+def _inner_shard(k: Column, size: Size) -> Column:
+    return F.call_function("shiftright", k, size.shift).bitwiseAND(size.inner)
+
+
+def dealt(keys: Column, size: Size) -> Column:
+    """An array of digests as one array for each shard."""
 
     # in two steps, so that a long text is not read once for each shard
     def inner(held: Column) -> Column:
         return F.transform(
-            F.sequence(F.lit(0).cast("long"), size.inner),
-            lambda j: _let(
-                F.filter(held, lambda k: F.call_function("shiftright", k, size.shift).bitwiseAND(size.inner) == j), cells
-            ),
+            F.sequence(F.lit(0).cast("long"), size.inner), lambda j: F.filter(held, lambda k: _inner_shard(k, size) == j)
         )
 
     return F.flatten(
@@ -132,11 +135,23 @@ def sketch(keys: Column, size: Size) -> Column:
     )
 
 
+def _shard(k: Column, size: Size) -> Column:
+    """The place in ``dealt`` of the shard of digest ``k``."""
+    return (k.bitwiseAND(size.outer) * (size.inner + 1) + _inner_shard(k, size)).cast("int")
+
+
+def sketch(keys: Column, size: Size) -> Column:
+    """Shards of CELLS cells (c, x) of an array of digests."""
+    return F.transform(dealt(keys, size), _cells)
+
+
+def _subtract_shard(s: Column, t: Column) -> Column:
+    return F.zip_with(s, t, lambda u, v: _cell(u["c"] - v["c"], u["x"].bitwiseXOR(v["x"])))
+
+
 def subtract(a: Column, b: Column) -> Column:
     """The sketch of what differs: counts subtract, digests XOR."""
-    return F.zip_with(
-        a, b, lambda s, t: F.zip_with(s, t, lambda u, v: _cell(u["c"] - v["c"], u["x"].bitwiseXOR(v["x"])))
-    )
+    return F.zip_with(a, b, _subtract_shard)
 
 
 def _peel(cells: Column) -> Column:
@@ -170,15 +185,22 @@ def _peel(cells: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), begin, lambda s, _: go(s))
 
 
+def _peeled_shard(cells: Column) -> Column:
+    """The digests (c, x) of a shard; null if it does not peel."""
+    return _let(
+        _peel(cells), lambda s: F.when(F.forall(s["cells"], lambda q: (q["c"] == 0) & (q["x"] == 0)), s["found"])
+    )
+
+
 def peeled(difference: Column) -> Column:
     """The digests (c, x) of a sketch; null if it does not peel."""
-    states = F.transform(difference, lambda s: _peel(s))
+    return F.flatten(F.transform(difference, _peeled_shard))
 
-    def result(done: Column) -> Column:
-        clear = F.forall(done, lambda s: F.forall(s["cells"], lambda q: (q["c"] == 0) & (q["x"] == 0)))
-        return F.when(clear, F.flatten(F.transform(done, lambda s: s["found"])))
 
-    return _let(states, result)
+def unpeeled(keys: str, tried: str, size: Size) -> Column:
+    """The digests of ``keys`` in shards that did not peel: those without a number in ``tried``."""
+    there = F.filter(keys, lambda x: F.get(tried, _shard(x, size)).isNull())
+    return F.when(F.exists(tried, lambda n: n.isNull()), there).otherwise(F.expr("cast(array() as array<bigint>)"))
 
 
 def with_sketch(df: DataFrame, keys: str) -> DataFrame:
@@ -191,30 +213,44 @@ def with_likeness(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
     """``df`` with ``name``: 1 - differing / all digests of the columns ``a`` and ``b``; 1 for two empty ones.
 
     ``a`` has a sketch (``with_sketch``), ``b`` may have one. They are
-    subtracted at the size of the larger text's; a pair that does not peel is
-    tried again with four times the shards, and after the last try the arrays
-    are compared themselves.
+    subtracted at the size of the larger text's; the digests of the shards that
+    do not peel are tried again with four times the shards, and what the last
+    try leaves is compared itself. A shard that peels is not worked on again.
     """
     columns, both = df.columns, F.size(a) + F.size(b)
     bits = F.greatest(_bits_for(F.size(a), SHARD_LOAD), _bits_for(F.size(b), SHARD_LOAD))
     df = df.withColumn(f"{name}_first", bits)
-    last = None
+    count, left = F.lit(0), (a, b)
     for k in range(TRIES):
         df, size = Size.add(df, F.least(F.col(f"{name}_first") + 2 * k, F.lit(MAX_SHARD_BITS)), f"{name}_size{k}")
 
-        def held(keys: str, size=size, k=k) -> Column:
+        def held(keys: str, size=size) -> Column:
             made = sketch(F.col(keys), size)
             if f"{keys}_sketch" not in columns:
                 return made
-            same = F.col(f"{keys}_bits") == F.col(f"{name}_size{k}_bits")
+            same = F.col(f"{keys}_bits") == F.col(f"{name}_size0_bits")
             return F.when(same, F.col(f"{keys}_sketch")).otherwise(made)
 
-        count = F.size(peeled(subtract(held(a), held(b))))
-        count = F.when(both > 0, count).otherwise(F.lit(0)) if last is None else F.coalesce(F.col(last), count)
-        last = f"{name}_try{k}"
-        df = df.withColumn(last, count)
-    plain = F.size(F.array_except(a, b)) + F.size(F.array_except(b, a))
-    count = F.coalesce(F.col(last), plain)
+        if k == 0:
+            found = F.transform(subtract(held(a), held(b)), lambda s: F.array_size(_peeled_shard(s)))
+        else:
+            found = F.zip_with(
+                dealt(F.col(left[0]), size),
+                dealt(F.col(left[1]), size),
+                lambda s, t: F.when(
+                    F.size(s) + F.size(t) > 0, F.array_size(_peeled_shard(_subtract_shard(_cells(s), _cells(t))))
+                ).otherwise(F.lit(0)),
+            )
+            some = F.size(left[0]) + F.size(left[1]) > 0
+            found = F.when(some, found).otherwise(F.expr("cast(array() as array<int>)"))
+        tried = f"{name}_try{k}"  # digests found in each shard; null where it does not peel
+        df = df.withColumn(tried, found)
+        count = count + F.aggregate(tried, F.lit(0), lambda n, m: n + F.coalesce(m, F.lit(0)))
+        rest = f"{name}_a{k}", f"{name}_b{k}"
+        for keys, to in zip(left, rest, strict=True):
+            df = df.withColumn(to, unpeeled(keys, tried, size))
+        left = rest
+    count = count + F.size(F.array_except(*left)) + F.size(F.array_except(*left[::-1]))
     return df.select(*columns, F.when(both > 0, 1.0 - count / both).otherwise(F.lit(1.0)).alias(name))
 
 

@@ -31,8 +31,12 @@ from saleslens.operators.audit_scan import distinct_tuples, land_tuples, tuples_
 from saleslens.operators.rollup import Rollup, merge_rollups, roll_up
 from saleslens.sources.csv_source import REJECT_REASON, csv_reader_options, land_clustered, load_sales_csv
 from saleslens.sources.fixtures import (
+    delete_folder,
+    file_groups,
+    finished,
     landed_sales_fact,
     landing_folder,
+    mark_finished,
     sales_fact,
     sales_growing,
     sales_mixed_case,
@@ -105,13 +109,34 @@ def _reporting_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(fact.schema).options(**csv_reader_options()).csv(path)
 
 
+#: The CSV of the fact is several times as large as the fact: it is made and loaded in waves of so many bytes of the
+#: landed fact at least, and in so many waves at most.
+WAVE_BYTES, WAVES = 128 << 20, 16
+
+
 def _multiline_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C02 over cells with line breaks, quotes and separators in them, records cut by many tasks."""
-    cells = clean(spark, sf_dir).withColumn("product_name", F.concat("product_name", F.lit('\n"a", b\n')))
-    folder = f"{landing_folder(spark, sf_dir, 'clean')}-lines-csv"
-    path = write_once(spark, folder, lambda p: export(cells, p, fmt="csv"))
-    good, _rejects = load_sales_csv(spark, path, schema=sales_schema(row_id_type=T.LongType()))
-    return good
+    """C02 over cells with line breaks, quotes and separators in them, records cut by many tasks.
+
+    The typed rows are landed once, wave by wave; the CSV of a wave is deleted
+    when its rows are landed, so that only one is there at a time.
+    """
+    fact, schema = clean(spark, sf_dir), sales_schema(row_id_type=T.LongType())
+    folder = f"{landing_folder(spark, sf_dir, 'clean')}-lines"
+
+    def load(path: str) -> None:
+        landed, text = finished(spark, landing_folder(spark, sf_dir, "clean")), f"{path}-csv"
+        for i, files in enumerate(file_groups(spark, landed, WAVE_BYTES, WAVES)):
+            cells = spark.read.schema(fact.schema).parquet(*files).withColumn("product_name", F.concat("product_name", F.lit('\n"a", b\n')))
+            try:
+                export(cells, text, fmt="csv")
+                good, _rejects = load_sales_csv(spark, text, schema=schema)
+                good.write.parquet(f"{path}/{i}")
+            finally:
+                delete_folder(spark, text)
+        mark_finished(spark, path)
+
+    path = write_once(spark, folder, load)
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
 
 
 # ------------------------------------------------------ shared states of the fact --

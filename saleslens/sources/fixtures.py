@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from saleslens.constants import BROADCAST_BYTE_LIMIT, BROADCAST_ROW_LIMIT
-from saleslens.session import shared_dir
+from saleslens.session import shared_dir, shuffles_dropped
 
 FIXTURE_VERSION = "f0-v2"
 
@@ -114,7 +114,19 @@ def _dated(table: DataFrame, column: str) -> DataFrame:
     return table.withColumn(column, F.col(column).cast("date"))
 
 
-def sales_fact(spark: SparkSession, sf_dir: str, broadcast_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
+#: The fact is landed in shares of so many bytes of lineitem at least, and in so many shares at most.
+SHARE_BYTES, SHARES = 128 << 20, 4
+
+
+def _share(table: DataFrame, key: str, share: tuple[int, int]) -> DataFrame:
+    """The rows of ``table`` whose ``key`` falls to the share (number, of how many)."""
+    number, shares = share
+    return table.filter(F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(shares)) == number) if shares > 1 else table
+
+
+def sales_fact(
+    spark: SparkSession, sf_dir: str, broadcast_rows: int = BROADCAST_ROW_LIMIT, share: tuple[int, int] = (0, 1)
+) -> DataFrame:
     """Star join lineitem - orders - customer - nation - region - part, all inner.
 
     Every join looks up a dimension by its primary key, so a joined side has
@@ -127,10 +139,11 @@ def sales_fact(spark: SparkSession, sf_dir: str, broadcast_rows: int = BROADCAST
     rows narrow in them: the part, with the fewest and shortest columns, comes
     first, and the customer's texts, which meet orders (a quarter of lineitem)
     before, come with the last join. Times of day, which the fact does not
-    have, are cut off before anything is moved.
+    have, are cut off before anything is moved. ``share`` (number, of how
+    many) gives the lines of a share of the orders.
     """
-    lineitem = _fill_slots(_dated(_table(spark, sf_dir, "lineitem"), "l_shipdate"))
-    orders = _dated(_table(spark, sf_dir, "orders"), "o_orderdate")
+    lineitem = _fill_slots(_dated(_share(_table(spark, sf_dir, "lineitem"), "l_orderkey", share), "l_shipdate"))
+    orders = _dated(_share(_table(spark, sf_dir, "orders"), "o_orderkey", share), "o_orderdate")
     customer = _table(spark, sf_dir, "customer")
     nation = _table(spark, sf_dir, "nation")
     region = _table(spark, sf_dir, "region")
@@ -139,7 +152,8 @@ def sales_fact(spark: SparkSession, sf_dir: str, broadcast_rows: int = BROADCAST
     # One job counts every dimension table (Parquet counts come from footers).
     key = (spark.sparkContext.applicationId, _landing_key(spark, sf_dir, "dims"), broadcast_rows)
     if key not in _SMALL:
-        dims = {"region": region, "nation": nation, "customer": customer, "orders": orders, "part": part}
+        every = _table(spark, sf_dir, "orders")  # of all shares
+        dims = {"region": region, "nation": nation, "customer": customer, "orders": every, "part": part}
         counts = reduce(
             DataFrame.unionAll,
             [t.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("t"), "n") for name, t in dims.items()],
@@ -239,6 +253,33 @@ def write_once(spark: SparkSession, folder: str, write) -> str:
     return path
 
 
+def file_groups(spark: SparkSession, path: str, least: int, most: int) -> list[list[str]]:
+    """The files of the table in ``path`` in groups of ``least`` bytes or more (the last may be smaller), ``most`` groups at most."""
+    files = [(name, size) for name, size, _ in _files(spark, path) if not name.startswith(("_", "."))]
+    enough = max(least, -(-sum(size for _, size in files) // most))
+    groups: list[list[str]] = []
+    room = 0
+    for name, size in files:
+        if room <= 0:
+            groups.append([])
+            room = enough
+        groups[-1].append(f"{path}/{name}")
+        room -= size
+    return groups
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, on any file system; there need not be one."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def mark_finished(spark: SparkSession, path: str) -> None:
+    """Puts the success mark on a table that several jobs wrote."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True).close()
+
+
 # Landed tables opened in this application, by path: a finished path never
 # changes, so the DataFrame is reused without listing the folder again.
 _OPENED: dict[tuple[str, str], DataFrame] = {}
@@ -259,9 +300,6 @@ def landed_sales_fact(spark: SparkSession, sf_dir: str, dirty: bool = False, ref
     folder = landing_folder(spark, sf_dir, variant)
 
     def write(path: str) -> None:
-        # The dirty variant is derived from the landed clean fact (scan + CASE),
-        # so the star join runs once for both.
-        fact = sales_dirty(landed_sales_fact(spark, sf_dir)) if dirty else sales_fact(spark, sf_dir)
         # Cap rows per file so the landed table has at least as many files as
         # there are task slots (more parallel scans later) without a shuffle:
         # each writing task just rolls over to a new file. The lineitem count
@@ -269,7 +307,17 @@ def landed_sales_fact(spark: SparkSession, sf_dir: str, dirty: bool = False, ref
         # millions of rows, each with many row groups.
         rows = _table(spark, sf_dir, "lineitem").count()
         per_file = max(1, -(-rows // max(1, spark.sparkContext.defaultParallelism)))
-        fact.write.option("maxRecordsPerFile", per_file).parquet(path)
+        # Shares of the fact are joined one after the other, each by itself, and what
+        # a share has shuffled is deleted before the next; only the last makes the table count.
+        size = sum(n for _, n, _ in _files(spark, f"{sf_dir.rstrip('/')}/lineitem.parquet"))
+        shares = 1 if dirty else max(1, min(SHARES, -(-size // SHARE_BYTES)))
+        for i in range(shares):
+            # The dirty variant is derived from the landed clean fact (scan + CASE),
+            # so the star join runs once for both.
+            fact = sales_dirty(landed_sales_fact(spark, sf_dir)) if dirty else sales_fact(spark, sf_dir, share=(i, shares))
+            writer = fact.write.mode("append").option("maxRecordsPerFile", per_file)
+            with shuffles_dropped(spark):
+                writer.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", str(i == shares - 1).lower()).parquet(path)
 
     if refresh:
         path = f"{folder}/{uuid.uuid4().hex}"

@@ -1,0 +1,136 @@
+"""The round trip through CSV in waves: whole rows, one CSV at a time, nothing left behind."""
+
+import datetime as dt
+import glob
+import os
+import time
+
+import pytest
+from pyspark.sql import functions as F
+
+from saleslens.plans import queries
+from saleslens.session import shared_dir
+from saleslens.sources import fixtures
+from saleslens.sources.fixtures import file_groups, finished, landed_sales_fact, landing_folder, sales_fact
+
+
+@pytest.fixture
+def tables(spark, tmp_path):
+    """Twelve lines, one of them twice, of three orders; names with quotes, separators and line breaks."""
+    day = dt.datetime(2013, 5, 6, 7)
+    lines = [(i % 3, i % 2, 0, i, 1.0 + i, 10.5 * i, 0.05, 0.02, "A", "F", day) for i in [*range(11), 4]]
+    made = {
+        "lineitem": (
+            lines,
+            "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, "
+            "l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp",
+        ),
+        "orders": ([(k, 0, day, "1-URGENT") for k in range(3)], "o_orderkey long, o_custkey long, o_orderdate timestamp, o_orderpriority string"),
+        "customer": ([(0, 'a "b",\nc', 0, "BUILDING")], "c_custkey long, c_name string, c_nationkey long, c_mktsegment string"),
+        "nation": ([(0, "N", 0)], "n_nationkey long, n_name string, n_regionkey long"),
+        "region": ([(0, "R")], "r_regionkey long, r_name string"),
+        "part": ([(0, "x\n\n", "SMALL", 1.5), (1, None, "ECONOMY", 2.5)], "p_partkey long, p_name string, p_type string, p_retailprice double"),
+    }
+    for name, (rows, ddl) in made.items():
+        spark.createDataFrame(rows, ddl).write.parquet(f"{tmp_path}/{name}.parquet")
+    return str(tmp_path)
+
+
+def _csv_files(spark):
+    return set(glob.glob(f"{shared_dir(spark).removeprefix('file:')}/saleslens/landed/*lines*/**/*.csv", recursive=True))
+
+
+def _rows(df):
+    return sorted(str(tuple(r)) for r in df.collect())
+
+
+def test_lines_are_loaded_whole_with_one_csv_at_a_time(spark, tables, monkeypatch):
+    query, old, made = queries.registry()["load_sales_csv_lines"], _csv_files(spark), []
+    real = queries.export
+
+    def export(df, path, **how):
+        assert _csv_files(spark) == old
+        real(df, path, **how)
+        made.append(df.count())
+
+    monkeypatch.setattr(queries, "export", export)
+    monkeypatch.setattr(queries, "WAVE_BYTES", 1)
+    monkeypatch.setattr(queries, "WAVES", 5)
+    plain = sales_fact(spark, tables).withColumn("product_name", F.concat("product_name", F.lit('\n"a", b\n')))
+    got = query(spark, tables)
+    assert _rows(got) == _rows(plain) and got.count() == 12
+    assert 1 < len(made) <= 5 and sum(made) == 12
+    assert _csv_files(spark) == old
+    # another call reads what is landed
+    assert _rows(query(spark, tables)) == _rows(got) and sum(made) == 12
+
+
+def test_a_wave_that_fails_leaves_no_table(spark, tables, monkeypatch):
+    old, calls, real = _csv_files(spark), [], queries.load_sales_csv
+
+    def load(*args, **how):
+        calls.append(args)
+        if len(calls) == 2:
+            raise OSError("no space")
+        return real(*args, **how)
+
+    monkeypatch.setattr(queries, "load_sales_csv", load)
+    monkeypatch.setattr(queries, "WAVE_BYTES", 1)
+    with pytest.raises(OSError):
+        queries._multiline_csv(spark, tables)
+    assert finished(spark, f"{landing_folder(spark, tables, 'clean')}-lines") is None and _csv_files(spark) == old
+    assert queries._multiline_csv(spark, tables).count() == 12
+
+
+def test_groups_hold_every_file_once(spark, tmp_path):
+    spark.range(70).repartition(7).write.parquet(str(tmp_path / "t"))
+    names = sorted(f"{tmp_path}/t/{x}" for x in os.listdir(tmp_path / "t") if x.startswith("part"))
+    for least, most, groups in ((1, 100, 7), (1, 3, 3), (1 << 30, 3, 1), (1, 1, 1)):
+        found = file_groups(spark, str(tmp_path / "t"), least, most)
+        assert len(found) == groups and [f for g in found for f in g] == names
+    (tmp_path / "none").mkdir()
+    assert file_groups(spark, str(tmp_path / "none"), 1, 3) == []
+
+
+def test_the_landing_leaves_no_shuffled_rows(spark, tables):
+    lines = spark.read.parquet(f"{tables}/lineitem.parquet")
+    lines.crossJoin(spark.range(2_000)).withColumn("l_linenumber", F.col("id").cast("int")).drop("id").coalesce(1).write.mode("overwrite").parquet(
+        f"{tables}/many"
+    )
+    os.rename(f"{tables}/lineitem.parquet", f"{tables}/few")
+    os.rename(f"{tables}/many", f"{tables}/lineitem.parquet")
+    folders = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    sizes = lambda: {f: os.path.getsize(f) for d in folders for f in glob.glob(f"{d}/**/shuffle_*.data", recursive=True)}
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, was = sizes(), spark.conf.get(setting)
+    left = lambda: sum(n for f, n in sizes().items() if f not in before)
+    landed_sales_fact(spark, tables)
+    assert spark.conf.get(setting) == was
+    wait = time.time() + 20
+    while left() > 10_000 and time.time() < wait:  # deleted in the background
+        time.sleep(0.2)
+    assert left() < 10_000  # those of the counts
+
+
+def test_shares_of_the_fact_are_landed_whole(spark, tables, monkeypatch):
+    whole = _rows(sales_fact(spark, tables))
+    parts = [_rows(sales_fact(spark, tables, share=(i, 3))) for i in range(3)]
+    assert len(whole) == 12 and sorted(sum(parts, [])) == whole and max(map(len, parts)) < 12
+    monkeypatch.setattr(fixtures, "SHARE_BYTES", 1)
+    assert _rows(landed_sales_fact(spark, tables)) == whole
+    # a landing that ends between two shares does not count
+    real, calls = fixtures.sales_fact, []
+
+    def stops(*args, **how):
+        calls.append(how)
+        if len(calls) == 2:
+            raise OSError("no space")
+        return real(*args, **how)
+
+    monkeypatch.setattr(fixtures, "sales_fact", stops)
+    os.utime(f"{tables}/orders.parquet/{next(x for x in os.listdir(f'{tables}/orders.parquet') if x.startswith('part'))}", (1, 1))
+    with pytest.raises(OSError):
+        landed_sales_fact(spark, tables)
+    folder = landing_folder(spark, tables, "clean")
+    assert finished(spark, folder) is None
+    assert _rows(landed_sales_fact(spark, tables)) == whole and finished(spark, folder)
